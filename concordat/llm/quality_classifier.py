@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map
 from .linear import Ftrl, fit, sigmoid
-from .textarrays import LOWER, U64, mix, of_text, slices, span_hashes, sums_by
+from .textarrays import LOWER, U64, mix, slices, span_hashes, sums_by
 
 BITS = 18
 THRESHOLD = 0.7
@@ -64,7 +64,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarr
     pair_bounds = np.searchsorted(at, bounds)
     out = []
     for salt, values in ((1, word), (2, shape)):
-        one = mix(values + U64(salt) * U64(0x632BE59BD9B4E019))
+        one = mix(values + U64(salt * 0x632BE59BD9B4E019 % (1 << 64)))
         two = mix(one[at] + U64(3) * values[at - 1])
         out += [(one >> U64(64 - BITS), bounds), (two >> U64(64 - BITS), pair_bounds)]
     return [(idx.astype(np.int64), b) for idx, b in out], np.diff(bounds)

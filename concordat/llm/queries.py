@@ -7,16 +7,42 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .decontamination import find_contamination
+from .license_scan import scan_licences
 from .quality_classifier import classify_quality
+from .quality_rules import apply_rules, fit_rules
+from .secret_scan import scan_secrets
+
+
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
+
+
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("items", "spans").withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_secret_scan": op2_secret_scan,
+        "op5_license_scan": op5_license_scan,
         "op6_quality_classifier": op6_quality_classifier,
+        "op8_quality_rules": op8_quality_rules,
+        "op10_decontamination": op10_decontamination,
     }
 
 
