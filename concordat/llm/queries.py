@@ -5,19 +5,32 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import find_contamination
 from .license_scan import scan_licences
+from .mixing import mix
 from .quality_classifier import classify_quality
 from .quality_rules import apply_rules, fit_rules
 from .secret_scan import scan_secrets
+from .simhash_dedup import near_duplicates
+
+
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", F.size("shards").alias("copies"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
 
@@ -38,7 +51,9 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_mixing": op1_mixing,
         "op2_secret_scan": op2_secret_scan,
+        "op3_simhash_dedup": op3_simhash_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_quality_classifier": op6_quality_classifier,
         "op8_quality_rules": op8_quality_rules,
