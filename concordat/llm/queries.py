@@ -15,6 +15,7 @@ from .quality_classifier import classify_quality
 from .quality_rules import apply_rules, fit_rules
 from .secret_scan import scan_secrets
 from .simhash_dedup import near_duplicates
+from .token_files import token_index
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -39,6 +40,10 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_index(table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
@@ -56,6 +61,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_simhash_dedup": op3_simhash_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_quality_classifier": op6_quality_classifier,
+        "op7_token_files": op7_token_files,
         "op8_quality_rules": op8_quality_rules,
         "op10_decontamination": op10_decontamination,
     }
