@@ -15,6 +15,7 @@ from .quality_classifier import classify_quality
 from .quality_rules import apply_rules, fit_rules
 from .secret_scan import scan_secrets
 from .simhash_dedup import near_duplicates
+from .suffix_dedup import repeated_strings
 from .token_files import token_index
 
 
@@ -49,6 +50,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_rules(docs, fit_rules(docs, table(spark, sf_dir, "labels"))).withColumnRenamed("id", "doc_id")
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_strings(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.drop("items", "spans").withColumnRenamed("id", "doc_id")
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_quality_classifier": op6_quality_classifier,
         "op7_token_files": op7_token_files,
         "op8_quality_rules": op8_quality_rules,
+        "op9_suffix_dedup": op9_suffix_dedup,
         "op10_decontamination": op10_decontamination,
     }
 
