@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # A file name's longest UTF-8 form and the names that no file can have.
 MAX_NAME_BYTES = 255
@@ -33,7 +34,7 @@ def valid_name(name: Column) -> Column:
     return name.isNotNull() & (name != "") & ~name.isin(*RESERVED_NAMES) & ~slashes & (F.octet_length(name) <= MAX_NAME_BYTES)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def name_key(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """Names that a case- and normalisation-blind file system takes for one: case folded, then NFC.
 

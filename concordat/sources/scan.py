@@ -2,37 +2,101 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
-from concordat.functions.paths import not_version_control, parent, base_name
-from concordat.functions.text import digest
+from concordat.functions.paths import not_version_control
 
 
-def files(spark: SparkSession, root: str) -> DataFrame:
-    """path, name, parent, mtime (us) and size of all files below ``root``, .git left out.
+ENTRY = "path string, name string, parent string, is_directory boolean, device long, inode long, mtime long, ctime long, size long"
+READ = 8 * 1024 * 1024
+
 
-    The content column is not selected, so the files are not opened.
+class FolderSource(DataSource):
+    """``folder``: every entry below a folder with its metadata in nanoseconds, hidden and empty ones too.
+
+    Option path: a folder that all executors see.  One partition for each top-level directory and one
+    for the files beside them; a directory comes before what it holds.  Content is not opened.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    where = F.regexp_replace("path", "^file:/*", "/")
-    rel = F.expr(f"substr(p, {len(root.rstrip('/')) + 2})")
-    out = raw.select(where.alias("p"), F.unix_micros("modificationTime").alias("mtime"), F.col("length").alias("size")).withColumn("path", rel)
-    return out.where(not_version_control(F.col("path"))).select("path", base_name(F.col("path")).alias("name"), parent(F.col("path")).alias("parent"), "mtime", "size")
+
+    @classmethod
+    def name(cls) -> str:
+        return "folder"
+
+    def schema(self) -> str:
+        return ENTRY
+
+    def reader(self, schema) -> DataSourceReader:
+        return _FolderReader(self.options["path"].rstrip("/"))
+
+
+class _FolderReader(DataSourceReader):
+    def __init__(self, path: str):
+        self.path = path
+
+    def partitions(self):
+        with os.scandir(self.path) as entries:
+            return [_Folder(""), *(_Folder(e.name) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False))]
+
+    def _row(self, entry: os.DirEntry):
+        seen = entry.stat(follow_symlinks=False)
+        rel = entry.path[len(self.path) + 1 :]
+        return rel, entry.name, os.path.dirname(rel), entry.is_dir(follow_symlinks=False), seen.st_dev, seen.st_ino, seen.st_mtime_ns, seen.st_ctime_ns, seen.st_size
+
+    def read(self, partition):
+        waiting = [partition.path]
+        while waiting:
+            with os.scandir(os.path.join(self.path, waiting.pop())) as entries:
+                for entry in sorted(entries, key=lambda e: e.name):
+                    is_dir = entry.is_dir(follow_symlinks=False)
+                    if entry.name == ".git" and is_dir and entry.path == f"{self.path}/.git":
+                        continue
+                    if partition.path == "" and is_dir:
+                        yield self._row(entry)  # its entries are another partition
+                        continue
+                    yield self._row(entry)
+                    if is_dir:
+                        waiting.append(entry.path[len(self.path) + 1 :])
+
+
+def entries(spark: SparkSession, root: str) -> DataFrame:
+    """All entries below ``root`` but .git and what it holds."""
+    spark.dataSource.register(FolderSource)
+    return spark.read.format("folder").option("path", root).load().where(not_version_control(F.col("path")))
+
+
+def files(spark: SparkSession, root: str) -> DataFrame:
+    return entries(spark, root).where("not is_directory")
+
+
+def _hash(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                own = hashlib.sha256()
+                with open(os.path.join(root, path), "rb") as content:
+                    while part := content.read(READ):
+                        own.update(part)
+                found.append(own.hexdigest())
+            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "sha256": found})
+
+    return run
 
 
-def digests(spark: SparkSession, root: str, changed: DataFrame) -> DataFrame:
-    """path and sha256 of the files named in ``changed`` only: the join comes before the content is used.
+def digests(root: str, changed: DataFrame) -> DataFrame:
+    """path and sha256 of the files that ``changed`` names, read in pieces, so a file of any size fits.
 
-    A file's content is one value, so files are bounded by the memory of a task.
+    The fast-path join comes first: only files whose metadata changed are in ``changed``.
     """
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    rel = F.expr(f"substr(regexp_replace(path, '^file:/*', '/'), {len(root.rstrip('/')) + 2})")
-    return raw.withColumn("rel", rel).join(changed.select(F.col("path").alias("rel")), "rel", "left_semi").select(F.col("rel").alias("path"), digest(F.col("content")).alias("sha256"))
+    return changed.select("path").mapInArrow(_hash(root.rstrip("/")), "path string, sha256 string")
 
 
 def is_empty(spark: SparkSession, root: str) -> bool:
@@ -137,5 +201,6 @@ class _ChangesReader(SimpleDataSourceStreamReader):
 
 
 def register(spark: SparkSession) -> None:
+    spark.dataSource.register(FolderSource)
     spark.dataSource.register(ListingSource)
     spark.dataSource.register(ChangesSource)
