@@ -44,3 +44,14 @@ def refresh(conflicts: DataFrame, inbox: DataFrame, items: DataFrame) -> DataFra
         F.when(change, gone | (whole & F.col("i_name").eqNullSafe(F.col("name")) & F.col("i_parent").eqNullSafe(F.col("parent_remote")))).alias("inbox_done"),
         (change & ~gone & ~whole).alias("issue"),
     )
+
+
+def preserve(records: DataFrame, files: DataFrame, folder: str) -> DataFrame:
+    """Records of files kept aside because their remote parent went; a file that is kept already stays as it is."""
+    new = files.select(F.concat(F.lit("parent-"), "file_id").alias("conflict_id"), "root_id", F.col("path").alias("original_path"), F.concat_ws("/", F.lit(folder), "path").alias("stored_path"))
+    return records.unionByName(new.join(records.select("conflict_id"), "conflict_id", "left_anti").select(records.columns))
+
+
+def settled(records: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Records left after the resolved ones."""
+    return records.join(resolved.select("conflict_id"), "conflict_id", "left_anti")

@@ -110,3 +110,13 @@ def verify_existing(folder: bool) -> Column:
 def verify_upload() -> Column:
     """The same for an upload's answer: the size may be left out, the digest may not."""
     return F.when(F.col("size").isNotNull() & (F.col("size") != F.col("expected_size")), "size").when(~F.coalesce(F.lower("sha256") == F.lower("expected_sha256"), F.lit(False)), "checksum")
+
+
+def links(items: DataFrame) -> DataFrame:
+    """(device, inode, links, first_item): how often each inode is linked, without gathering the links."""
+    return items.groupBy("device", "inode").agg(F.count("*").alias("links"), F.min("item_id").alias("first_item"))
+
+
+def whole_rows(rows: DataFrame, required: list[str]) -> DataFrame:
+    """Rows with all required columns; a row with a null among them is skipped, the rest stay."""
+    return rows.dropna(subset=required)

@@ -115,3 +115,21 @@ def name_conflicts(inbox: DataFrame, items: DataFrame) -> DataFrame:
     parents = items.select(F.col("item_id").alias("parent_id"), F.col("remote_id").alias("parent_remote"))
     siblings = items.select(F.col("item_id").alias("sibling_id"), "parent_id", "name_key", F.col("remote_id").alias("sibling_remote"))
     return inbox.join(parents, "parent_remote").join(siblings, ["parent_id", "name_key"]).where(~F.col("sibling_remote").eqNullSafe(F.col("remote_id"))).select("remote_id", "sibling_id", "parent_id", "name_key").distinct()
+
+
+def advance(jobs: DataFrame, pages: DataFrame, key: str = "id") -> DataFrame:
+    """Listing jobs after a wave of pages: the next token, complete without one, from the start if it was stale.
+
+    ``pages``: key, requested_token, next_token, stale.  A page of another token than the job's is late
+    and does not count.
+    """
+    joined = jobs.join(pages.select(key, "requested_token", "next_token", "stale", F.lit(True).alias("_page")), key, "left")
+    hit = F.coalesce("_page", F.lit(False)) & F.col("requested_token").eqNullSafe(F.col("page_token"))
+    stale = hit & F.coalesce("stale", F.lit(False))
+    done = hit & ~stale & F.col("next_token").isNull()
+    return joined.select(key, "scan_id", F.when(stale | done, None).when(hit, F.col("next_token")).otherwise(F.col("page_token")).alias("page_token"), F.when(done, "complete").when(stale, "pending").otherwise(F.col("state")).alias("state"))
+
+
+def wave(jobs: DataFrame, limit: int) -> DataFrame:
+    """The pending jobs of one wave: 1 to 64, smallest ids first."""
+    return jobs.where("state = 'pending'").orderBy("id").limit(max(1, min(64, limit)))

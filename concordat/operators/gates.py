@@ -67,3 +67,8 @@ def staging_allowed(candidate, roots: DataFrame):
 def duplicate_names(children: DataFrame, parent: str, key: str, ident: str) -> DataFrame:
     """(parent, key, n): sibling names that more than one object claims."""
     return children.groupBy(parent, key).agg(F.count_distinct(ident).alias("n")).where("n > 1")
+
+
+def protected(tasks: DataFrame, held: DataFrame, released: DataFrame) -> DataFrame:
+    """The distinct task ids, with those held, without those released: (id)."""
+    return tasks.select("id").union(held.select("id")).distinct().join(released.select("id"), "id", "left_anti")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concordat.functions import issues as meaning
 from concordat.functions import transfer
 from concordat.functions.text import name_key, subject_key
-from concordat.operators import feed, issues, metrics, tree
+from concordat.operators import feed, issues, metrics, pacing, tree
 from concordat.sources.snapshots import Snapshots
 from concordat.sources.workspace import Workspace
 from concordat.streaming.feed_stream import replay
@@ -253,3 +253,29 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     inbox = Snapshots(spark, f"{work.root}/inbox")
     replay(stream, inbox, f"{work.root}/checkpoint", ["user_id"], ["event_id"])
     return inbox.read()
+
+
+@query()
+def request_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """When each user's events could have started under the pace; sequential, so beyond SQL."""
+    own = events(spark, sf_dir).select(F.col("user_id").alias("gate"), F.col("event_id").alias("request"), "at_us")
+    return pacing.permits(own, limit=3, width_us=3_600_000_000)
+
+
+@query(EVENTS + "SELECT user_id, at_us // 3600000000 AS interval, arg_max(event_id, event_id) AS event_id, arg_max(event_type, event_id) AS event_type FROM e GROUP BY ALL")
+def interval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = events(spark, sf_dir).select("user_id", "event_id", "event_type", "at_us")
+    return pacing.sampled(own, ["user_id"], "at_us", ["event_id"], 3_600_000_000).select("user_id", "interval", "event_id", "event_type")
+
+
+@query("""
+WITH j AS (SELECT n_nationkey AS id, 's' AS scan_id, CASE WHEN n_nationkey % 4 <> 0 THEN 't' || n_nationkey END AS page_token, 'pending' AS state FROM nation), p AS (SELECT s_nationkey AS id, count(*) AS n FROM supplier GROUP BY 1)
+SELECT id, scan_id, CASE WHEN n IS NULL OR (id % 5 = 0 AND id % 4 <> 0) THEN page_token WHEN n % 3 = 0 THEN NULL WHEN n % 2 = 0 THEN 'next' END AS page_token,
+ CASE WHEN n IS NULL OR (id % 5 = 0 AND id % 4 <> 0) OR n % 3 = 0 OR n % 2 = 0 THEN state ELSE 'complete' END AS state FROM j LEFT JOIN p USING (id)""")
+def listing_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k, i, n = F.col("n_nationkey"), F.col("id"), F.col("n")
+    token = lambda x: F.when(x % 4 != 0, F.concat(F.lit("t"), x))
+    jobs = table(spark, sf_dir, "nation").select(k.alias("id"), F.lit("s").alias("scan_id"), token(k).alias("page_token"), F.lit("pending").alias("state"))
+    pages = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.count("*").alias("n"))
+    pages = pages.select("id", F.when((i % 5 == 0) & (i % 4 != 0), "late").otherwise(token(i)).alias("requested_token"), F.when(n % 2 == 0, "next").alias("next_token"), (n % 3 == 0).alias("stale"))
+    return feed.advance(jobs, pages)

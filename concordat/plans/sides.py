@@ -318,3 +318,24 @@ def below_deleted_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     files = docs.select("doc_id", F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")).alias("path"))
     return gates.below_deleted(files, docs.where("lang = 'de'").select(F.concat_ws("/", "source", "lang").alias("path")), "doc_id").select("doc_id")
+
+
+@query("""
+SELECT 'parent-' || doc_id AS conflict_id, CAST(substr(source, 4) AS BIGINT) AS root_id, source || '/' || doc_id AS original_path, CASE WHEN quality = 1 THEN '/old' ELSE '/kept/' || source || '/' || doc_id END AS stored_path
+FROM documents JOIN labels USING (doc_id) WHERE toxic = 0""")
+def preserved_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, labelled, _ = _conflicts(spark, sf_dir)
+    files = labelled.select(F.col("doc_id").alias("file_id"), "root_id", F.concat_ws("/", "source", F.col("doc_id").cast("string")).alias("path"))
+    old = files.join(labelled.where("quality = 1").select(F.col("doc_id").alias("file_id")), "file_id", "left_semi").select(F.concat(F.lit("parent-"), "file_id").alias("conflict_id"), "root_id", F.col("path").alias("original_path"), F.lit("/old").alias("stored_path"))
+    return conflicts.settled(conflicts.preserve(old, files, "/kept"), labelled.where("toxic = 1").select(F.concat(F.lit("parent-"), "doc_id").alias("conflict_id")))
+
+
+@query("SELECT doc_id AS id FROM labels WHERE quality = 1 AND toxic = 0 UNION SELECT doc_id FROM documents WHERE lang = 'de' AND doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def protected_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    return gates.protected(labels.where("quality = 1"), table(spark, sf_dir, "documents").where("lang = 'de'").withColumnRenamed("doc_id", "id"), labels.where("toxic = 1"))
+
+
+@query("SELECT 1::BIGINT AS device, doc_id // 2 AS inode, count(*) AS links, min(doc_id) AS first_item FROM documents GROUP BY ALL")
+def links_by_inode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diff.links(diff.whole_rows(stored(spark, sf_dir), ["device", "inode"]))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import transfer
 from concordat.functions.text import byte_size
-from concordat.operators import metrics, operations, store
+from concordat.operators import metrics, operations, pacing, store
 
 from .registry import query, table
 
@@ -162,3 +162,9 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     by = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("name")).agg(F.count("*").alias("files"), F.sum(F.floor("o_totalprice").cast("double")).alias("bytes"))
     files, mb = metrics.throughput(F.col("files"), F.col("bytes"), F.lit(12.5))
     return by.select("name", F.round(files, 6).cast("double").alias("files_per_s"), F.round(mb, 6).alias("mb_per_s"), byte_size(F.col("bytes")).alias("size"))
+
+
+@query("SELECT c_custkey, 99 + row_number() OVER (ORDER BY c_nationkey, c_custkey) AS id, ceil(greatest(c_custkey % 3000 + 200 - c_nationkey * 100, 0) / 1000.0)::BIGINT AS refills FROM customer")
+def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pacing.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey", "c_custkey"], 100, groups=8)
+    return found.select("c_custkey", "id", pacing.refills(F.col("c_custkey") % 3000, F.col("c_nationkey") * 100).alias("refills"))

@@ -163,3 +163,24 @@ def test_rate_gate(spark):
 def test_fraction(spark):
     rows = spark.createDataFrame([(5.0, 0.0), (5.0, 10.0), (20.0, 10.0), (-1.0, 10.0)], "d double, t double")
     assert [r.x for r in rows.select(metrics.fraction(F.col("d"), F.col("t")).alias("x")).collect()] == [0.0, 0.5, 1.0, 0.0]
+
+
+def test_permits(spark):
+    import random
+
+    from concordat.operators import pacing
+
+    rng = random.Random(2)
+    rows = [(g, n, rng.randrange(3_000_000)) for g in range(3) for n in range(80)]
+    got = {(r.gate, r.request): r.start_us for r in pacing.permits(spark.createDataFrame(rows, "gate long, request long, at_us long"), limit=20).collect()}
+    for g in range(3):
+        starts = []
+        for _, n, at in sorted((r for r in rows if r[0] == g), key=lambda r: (r[2], r[1])):
+            start = max([at, *(s + 50_000 for s in starts[-1:]), *(s + 1_010_000 for s in starts[-20:-19])])
+            assert got[g, n] == start
+            starts.append(start)
+
+
+def test_wave(spark):
+    jobs = spark.createDataFrame([(k, "pending" if k % 2 else "complete") for k in range(300)], "id long, state string")
+    assert [feed.wave(jobs, n).count() for n in (0, 5, 1000)] == [1, 5, 64]

@@ -23,7 +23,7 @@ def plain(value):
     return "nan" if isinstance(value, float) and math.isnan(value) else repr(value)
 
 
-@pytest.mark.parametrize("name", QUERIES)
+@pytest.mark.parametrize("name", SQL)
 def test_equals_sql(spark, duck, name):
     df = QUERIES[name](spark, HERE)
     names = sorted(df.columns)
