@@ -14,8 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
-from .linear import Ftrl, fit, sigmoid
+from .common import arrow_map, reach_workers
+from .linear import Ftrl, fit, fit_in_a_task, sigmoid
 from .textarrays import LOWER, U64, mix, slices, span_hashes, sums_by
 
 BITS = 18
@@ -93,7 +93,7 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
     """Weights from labelled rows outside the held-out quarter.
 
     At most ``limit`` ids (those with the smallest hash) are taken from ``labels`` first, so that
-    only their texts are read and the driver holds a bounded sample.  Rows with a null id, a null
+    only their texts are read and one task fits a bounded sample.  Rows with a null id, a null
     label or a label other than 0 and 1 do not count; several labels of one id: the largest.
     """
     chosen = (
@@ -102,9 +102,9 @@ def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text
         .groupBy("id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(limit)
     )
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").toArrow()
-    sample = sample.sort_by([("id", "ascending"), ("text", "ascending")])
-    return fit(training_rows(sample.column("text"), sample.column("y").to_numpy()), 1 << BITS, how)
+    reach_workers(docs.sparkSession)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+    return fit_in_a_task(sample, lambda t: [fit(training_rows(t.column("text"), t.column("y").to_numpy()), 1 << BITS, how)])[0]
 
 
 def _score(batch: pa.RecordBatch, weights: np.ndarray) -> dict:

@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_classifier as ngrams
-from .common import arrow_map
-from .linear import Ftrl, calibrate, fit, sigmoid
+from .common import arrow_map, reach_workers
+from .linear import Ftrl, calibrate, fit, fit_in_a_task, sigmoid
 from .textarrays import NOT_SPACE, U64, mix, of_text, slices, span_hashes, sums_by, words
 
 # The base rules.
@@ -124,15 +124,20 @@ def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
         .groupBy("id").agg(F.max("y").alias("y"))
         .orderBy(F.xxhash64("id"), "id").limit(fit_rows + calibrate_rows)
     )
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id").toArrow()
-    sample = sample.sort_by([("id", "ascending"), ("text", "ascending")])
-    y = sample.column("y").to_numpy()
-    third = np.arange(len(y)) % 3 == 2  # ids are in ascending order: every third row calibrates
+    reach_workers(docs.sparkSession)
+    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
     size = (1 << ngrams.BITS) + (1 << CHAR_BITS)
-    weights = fit(_rows(sample.filter(pa.array(~third)).column("text"), y[~third]), size, how)
-    held = sample.filter(pa.array(third)).column("text")
-    m = np.concatenate([margins(data, offsets, weights) for _, _, data, offsets in slices(held)] or [np.zeros(0)])
-    return Model(weights, *calibrate(m, y[third]))
+
+    def both(rows: pa.Table) -> list[np.ndarray]:
+        y = rows.column("y").to_numpy()
+        third = np.arange(len(y)) % 3 == 2  # ids are in ascending order: every third row calibrates
+        weights = fit(_rows(rows.filter(pa.array(~third)).column("text"), y[~third]), size, how)
+        held = rows.filter(pa.array(third)).column("text")
+        m = np.concatenate([margins(data, offsets, weights) for _, _, data, offsets in slices(held)] or [np.zeros(0)])
+        return [weights, np.array(calibrate(m, y[third]))]
+
+    weights, (slope, intercept) = fit_in_a_task(sample, both)
+    return Model(weights, float(slope), float(intercept))
 
 
 def _apply(batch: pa.RecordBatch, model: Model, threshold: float) -> dict:
