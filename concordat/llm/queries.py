@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import find_contamination
 from .license_scan import scan_licences
+from .line_dedup import drop_boilerplate
 from .mixing import mix
+from .oracles import DECONTAMINATION, LINE_DEDUP, SUFFIX_DEDUP
 from .quality_classifier import classify_quality
 from .quality_rules import apply_rules, fit_rules
 from .secret_scan import scan_secrets
@@ -33,6 +35,11 @@ def op3_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = drop_boilerplate(table(spark, sf_dir, "pages"))
+    return found.select(F.col("id").alias("page_id"), "host", "n_lines", "n_dropped", F.sha2(F.array_join("kept", "\n"), 256).alias("kept_sha256"))
+
+
 def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(table(spark, sf_dir, "documents")).drop("spans").withColumnRenamed("id", "doc_id")
 
@@ -64,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_mixing": op1_mixing,
         "op2_secret_scan": op2_secret_scan,
         "op3_simhash_dedup": op3_simhash_dedup,
+        "op4_line_dedup": op4_line_dedup,
         "op5_license_scan": op5_license_scan,
         "op6_quality_classifier": op6_quality_classifier,
         "op7_token_files": op7_token_files,
@@ -74,4 +82,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The others rest on trained models, tokenizers, XXH64 or random draws, which SQL has not."""
+    return {"op4_line_dedup": LINE_DEDUP, "op9_suffix_dedup": SUFFIX_DEDUP, "op10_decontamination": DECONTAMINATION}
