@@ -124,17 +124,22 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
         .groupBy("number", "block", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("homes"))  # one to four turns
     )
 
-    # Documents of partial blocks (one block a source): long ones while they fit, then others up to the room left.
+    # Documents of partial blocks (one block a source): long ones while they fit, then others while they fit,
+    # then the one document that comes nearest to the room left, if that is nearer than none.
     partial = blocks.where("part = 1").select("number", "block", "room", "words")
     cut = placed.join(F.broadcast(partial), ["number", "block"]).where("size > 0").select("number", "block", "id", "key", "size", "room", (F.col("size") * 8 > F.col("words")).alias("long"))
     cut = cut.groupBy(*cut.columns).agg(F.sum("size").alias("own"))  # rows alike are taken alike
     running = Window.partitionBy("number", "block", "long").orderBy("key", "id", "size")
     whole = Window.partitionBy("number", "block")
+    nearest = Window.partitionBy("number", "block", "fits").orderBy(F.abs(F.col("room") - F.col("own")), "key", "id", "size")
+    spent = F.sum(F.when(F.col("fits"), F.col("own")).otherwise(0)).over(whole)
     cut = (
         cut.withColumn("upto", F.sum("own").over(running))
         .withColumn("fits", F.col("long") & (F.col("upto") <= F.col("room")))
-        .withColumn("left", F.col("room") - F.sum(F.when(F.col("fits"), F.col("own")).otherwise(0)).over(whole))
-        .where(F.col("fits") | (~F.col("long") & (F.col("upto") - F.col("own") / 2 <= F.col("left"))))
+        .withColumn("fits", F.col("fits") | (~F.col("long") & (F.col("upto") <= F.col("room") - spent)))
+        .withColumn("room", F.col("room") - spent)
+        .withColumn("last", ~F.col("fits") & (F.row_number().over(nearest) == 1) & (F.abs(F.col("room") - F.col("own")) < F.col("room")))
+        .where("fits or last")
         .select(F.col("number").alias("cut_number"), F.col("block").alias("cut_block"), F.col("id").alias("cut_id"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.lit(True).alias("in_part"))
     )
     return plans, scratch.save(homes, "homes"), scratch.save(cut, "cut")
@@ -144,7 +149,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """For every row: id, source, size, source_size, target, taken, and the shards its copies go to.
 
     Sources in ascending code points, null last, take ``weights`` in turn.  A source's taken words
-    differ from its target by less than about half a document of its last block.  A null or empty
+    come as near to its target as one more document of its last block can bring them.  A null or empty
     text has size 0 and takes nothing; repeated rows are taken alike; an empty table gives no rows.
     Columns other than the three named are not read.  A rerun gives the same result.
     """
