@@ -163,7 +163,9 @@ class Licences:
                 best[template] = max(best.get(template, 0.0), share)
                 if share >= COVERAGE and template >= len(PHRASES):
                     span = (self.labels[template], chain[0], chain[1])
-                    spans = [s for s in spans if s[:2] != span[:2]] + [span]
+                    if spans and spans[-1][:2] == span[:2]:  # the chain has grown
+                        spans.pop()
+                    spans.append(span)
         return base, best, spans
 
 

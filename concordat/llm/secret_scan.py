@@ -11,7 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import public_tokenizers
@@ -95,10 +97,12 @@ def _scan(batch: pa.RecordBatch, path: str) -> dict:
             text = whole[offsets[k] : offsets[k + 1]]
             a, b = cuts[k], cuts[k + 1]
             base = base_spans(text, text.lower(), b > a)
-            taken = [(s, e) for s, _, e in base]
+            begins = [s for s, _, _ in base]
+            reach = list(accumulate((e for _, _, e in base), max))  # the furthest end so far
             more = []
             for s, e in zip((starts[a:b] - offsets[k]).tolist(), (ends[a:b] - offsets[k]).tolist(), strict=True):
-                if not any(s < y and x < e for x, y in taken) and is_random(text[s:e], path):
+                before = bisect_left(begins, e)
+                if not (before and reach[before - 1] > s) and is_random(text[s:e], path):
                     more.append((s, 3, e))
             points = _in_points(text, base)
             every = _in_points(text, sorted(base + more)) if more else points
