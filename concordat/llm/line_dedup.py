@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 # What the text of a page is (also used by the SQL twin).
 HIDDEN = r"(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)\s*>"
 COMMENT = r"(?s)<!--.*?-->"
@@ -45,12 +47,14 @@ def drop_boilerplate(pages: DataFrame, id_col: str = "page_id", url_col: str = "
     repeated rows too; a line that a page holds several times counts once, and all its places go.
     Columns other than the three named are not read; an empty table gives no rows.
     """
+    scratch = Scratch(pages.sparkSession, "lines")
     own = pages.select(F.col(id_col).alias("id"), host(F.col(url_col).cast("string")).alias("host"), lines(F.col(html_col).cast("string")).alias("lines"))
-    totals = pages.select(host(F.col(url_col).cast("string")).alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
+    own = scratch.save(own, "own")  # pages are taken apart once; counts and filter read the lines
+    totals = own.groupBy("host").agg(F.count("*").alias("pages"))
     held = own.select("host", F.explode(F.array_distinct(F.transform("lines", lambda x: F.xxhash64(x)))).alias("line")).groupBy("host", "line").agg(F.count("*").alias("holding"))
     over = held.where(F.col("holding") >= min_pages).join(totals, "host").where(F.col("holding") > ratio * F.col("pages"))
-    boilerplate = over.groupBy("host").agg(F.collect_set("line").alias("boilerplate"))  # a few lines by host, see above
-    if over.select("host").distinct().limit(BROADCAST_HOSTS + 1).count() <= BROADCAST_HOSTS:
+    boilerplate = scratch.save(over.groupBy("host").agg(F.collect_set("line").alias("boilerplate")), "boilerplate")  # a few lines by host, see above
+    if boilerplate.count() <= BROADCAST_HOSTS:
         boilerplate = F.broadcast(boilerplate)
     none = F.array().cast("array<bigint>")
     joined = own.join(boilerplate, "host", "left").withColumn("boilerplate", F.coalesce("boilerplate", none))
