@@ -12,6 +12,7 @@ import os
 import zlib
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import public_tokenizers
@@ -64,7 +65,7 @@ class Encoder:
         ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
         n = np.array([len(x) for x in ids], np.int64)
         at = len(self.pool) + np.concatenate([[0], np.cumsum(n)[:-1]])
-        self.pool = np.concatenate([self.pool, np.fromiter((i for x in ids for i in x), self.kind, int(n.sum()))])
+        self.pool = np.concatenate([self.pool, np.fromiter(chain.from_iterable(ids), self.kind, int(n.sum()))])
         every = np.concatenate([self.hashes, hashes])
         order = np.argsort(every, kind="stable")
         self.hashes, self.at, self.n = every[order], np.concatenate([self.at, at])[order], np.concatenate([self.n, n])[order]
@@ -85,7 +86,8 @@ class Encoder:
                 self.forget()
                 new[:] = True
             whole = data.tobytes()
-            self._learn(distinct[new], [whole[starts[k] : ends[k]].decode() for k in first[new]])
+            at = first[new]
+            self._learn(distinct[new], [whole[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         lengths = np.insert(self.n[place][inverse] if len(hashes) else np.zeros(0, np.int64), bounds[1:], 1)
         begin = np.insert(self.at[place][inverse] if len(hashes) else np.zeros(0, np.int64), bounds[1:], len(self.pool))
         total = np.concatenate([[0], np.cumsum(lengths)])
