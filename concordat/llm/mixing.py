@@ -1,7 +1,8 @@
 """Mixing sources to target weights, by a multivariate-hypergeometric splitting tree.
 
 The documents of a source are dealt by hash into blocks.  A source's target is met by whole passes
-over its blocks and a last, partial pass over the first blocks of a permutation.  The drawn blocks
+over its blocks and a last, partial pass: the first blocks of a permutation whole, and in the blocks
+after them single documents while any fits the room that is left.  The drawn blocks
 of all sources are one population: at each node of a binary tree over the output shards, a
 multivariate hypergeometric draw decides how many blocks of each source go left, so that the shards
 are equal in blocks and exact in sum.  A shard then takes the next disjoint run of each source's
@@ -13,6 +14,7 @@ Only counts by source and the tree reach the driver; blocks and documents stay i
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,13 +77,72 @@ def _placed(measured: DataFrame, plans: DataFrame) -> DataFrame:
 
 def _taken(placed: DataFrame, homes: DataFrame, cut: DataFrame) -> DataFrame:
     """Each row with ``shards``, one entry for each copy; the block tables are broadcast while small."""
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    joined = placed.join(small(homes), ["number", "block"], "left")
-    joined = joined.join(small(cut), (joined["number"] == cut["cut_number"]) & (joined["block"] == cut["cut_block"]) & (joined["key"] == cut["cut_key"]) & joined["id"].eqNullSafe(cut["cut_id"]) & (joined["size"] == cut["cut_size"]), "left")
+    joined = placed.join(_small(homes), ["number", "block"], "left")
+    joined = joined.join(_small(cut), (joined["number"] == cut["cut_number"]) & (joined["block"] == cut["cut_block"]) & (joined["key"] == cut["cut_key"]) & joined["id"].eqNullSafe(cut["cut_id"]) & (joined["size"] == cut["cut_size"]), "left")
     use = F.filter("homes", lambda h: (h["turn"] < F.col("passes")) | (F.col("part") == 2) | F.col("in_part"))
     return joined.withColumn("shards", F.when(F.col("size") > 0, F.coalesce(F.transform(use, lambda h: h["shard"]), F.array().cast("array<int>"))).otherwise(F.array().cast("array<int>")))
 
 
+def _small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _filled(rows: pa.Table) -> pa.Table:
+    """The rows of one source that fill its room: by order while they fit, then the smallest if nearer than none."""
+    room, own = rows["room"][0].as_py(), rows["own"].to_pylist()
+    columns = [rows[c].to_pylist() for c in ("first", "class", "extra", "place", "block", "key", "size")]
+    names = [(i is None, str(i)) for i in rows["id"].to_pylist()]
+    order = [(0, 0, 0, key, name, size, k) if first else (1, -level, extra, place, block, key, name, size, k) for k, (first, level, extra, place, block, key, size, name) in enumerate(zip(*columns, names, strict=True))]
+    taken, least = [], None
+    for one in sorted(order):
+        k = one[-1]
+        if own[k] <= room:
+            taken.append(k)
+            room -= own[k]
+        elif least is None or own[k] < own[least]:
+            least = k
+    if least is not None and own[least] - room < room:
+        taken.append(least)
+    return rows.take(taken).select(["number", "block", "id", "key", "size"])
+
+
+def _cut(placed: DataFrame, blocks: DataFrame, scratch: Scratch, seed: int) -> DataFrame:
+    """(number, block, id, key, size) of the documents that fill the room left by the whole blocks.
+
+    The first block in part goes document by document.  The room then left is carried on over all blocks
+    after it, by classes of size (powers of two) from the largest down.  In a class, documents are taken in
+    permuted order until one does not fit, so that less than the class's upper end is left: blocks up to
+    the sum that can still be taken are enough, with the two smallest documents of the others.  In the end
+    no document fits any more, and the smallest left out is taken if that is nearer than none.
+    """
+    rooms = blocks.where("part = 1").select("number", "room")
+    later = blocks.where("part < 2").select("number", "block", (F.col("part") == 1).alias("first")).join(rooms, "number")
+    one = ["number", "block", "id", "key", "size"]
+    rest = (
+        placed.join(_small(scratch.save(later, "later")), ["number", "block"]).where("size > 0 and size < 2 * room")
+        .groupBy(*one, "room", "first").agg(F.sum("size").alias("own"))  # rows alike are taken alike
+        .where("own < 2 * room").withColumn("class", F.length(F.bin("own")) - 1).withColumn("place", F.xxhash64("number", "block", F.lit(seed)))
+    )
+    rest = scratch.save(rest, "rest")
+
+    sums = scratch.save(rest.where("not first").groupBy("number", "class", "block", "place", "room").agg(F.sum("own").alias("words")), "sums")
+    above = Window.partitionBy("number").orderBy(F.desc("class")).rowsBetween(Window.unboundedPreceding, -1)  # 64 classes at most
+    most = (
+        sums.groupBy("number", "class", "room").agg(F.sum("words").alias("words")).where("pow(2, class) <= room")
+        .select("number", "class", F.least("room", F.min(F.when(F.col("words") > F.col("room"), F.pow(F.lit(2.0), F.col("class") + 1))).over(above)).alias("most"))
+    )
+    in_class = Window.partitionBy("number", "class").orderBy("place", "block").rowsBetween(Window.unboundedPreceding, -1)  # MAX_BLOCKS at most
+    chosen = sums.withColumn("before", F.coalesce(F.sum("words").over(in_class), F.lit(0))).join(most, ["number", "class"]).where("before < most").select("number", "class", "block", F.lit(True).alias("chosen"))
+    marked = rest.join(_small(scratch.save(chosen, "chosen")), ["number", "class", "block"], "left").withColumn("extra", ~F.col("first") & F.col("chosen").isNull())
+    by_size = ["own", "key", "id", "size", "block"]
+    others = marked.where("extra")
+    for group in (["number", "class", "block"], ["number", "class"]):
+        others = others.withColumn("nth", F.row_number().over(Window.partitionBy(*group).orderBy(*by_size))).where("nth <= 2").drop("nth")
+    own = [*one, "own", "room", "first", "class", "place", "extra"]
+    offered = marked.where("not extra").select(*own).unionByName(others.select(*own))
+    return offered.groupBy("number").applyInArrow(_filled, rest.select(*one).schema)
+
+
 def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plans by source, homes of the drawn blocks, and the documents taken of partial blocks."""
     spark = sizes.sparkSession
@@ -98,7 +159,7 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
     plans = spark.createDataFrame(plan, "number int, source string, source_size long, target double, passes int, rest double, blocks int")
     placed = _placed(sizes, plans)
 
-    # The last pass: whole blocks in permuted order, one block in part.  A source has MAX_BLOCKS rows at most.
+    # The last pass: whole blocks in permuted order, then documents.  A source has MAX_BLOCKS rows at most.
     by_source = Window.partitionBy("number").orderBy(F.xxhash64("number", "block", F.lit(seed)), "block")
     blocks = placed.groupBy("number", "block", "passes", "rest").agg(F.sum("size").alias("words"))
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(by_source.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -106,6 +167,12 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
         blocks.withColumn("room", F.col("rest") - F.col("before")).withColumn("part", F.when(F.col("room") >= F.col("words"), 2).when(F.col("room") > 0, 1).otherwise(0)),
         "blocks",
     )
+    cut = scratch.save(_cut(placed, blocks, scratch, seed), "cut")
+    partial = cut.select("number", "block", F.lit(1).alias("in_part")).distinct()
+    blocks = scratch.save(
+        blocks.join(_small(partial), ["number", "block"], "left").withColumn("part", F.when(F.col("part") == 2, 2).otherwise(F.coalesce("in_part", F.lit(0)))).drop("in_part"),
+        "drawn",
+    )
 
     # Every drawn block (turn, block), numbered in its source's permuted order, falls to a shard.
     drawn = blocks.select("number", "block", "passes", "part", F.explode(F.sequence(F.lit(0), F.col("passes"))).alias("turn")).where("turn < passes or part > 0")
@@ -124,32 +191,15 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
         .groupBy("number", "block", "part").agg(F.sort_array(F.collect_list(F.struct("turn", "shard"))).alias("homes"))  # one to four turns
     )
 
-    # Documents of partial blocks (one block a source): long ones while they fit, then others while they fit,
-    # then the one document that comes nearest to the room left, if that is nearer than none.
-    partial = blocks.where("part = 1").select("number", "block", "room", "words")
-    cut = placed.join(F.broadcast(partial), ["number", "block"]).where("size > 0").select("number", "block", "id", "key", "size", "room", (F.col("size") * 8 > F.col("words")).alias("long"))
-    cut = cut.groupBy(*cut.columns).agg(F.sum("size").alias("own"))  # rows alike are taken alike
-    running = Window.partitionBy("number", "block", "long").orderBy("key", "id", "size")
-    whole = Window.partitionBy("number", "block")
-    nearest = Window.partitionBy("number", "block", "fits").orderBy(F.abs(F.col("room") - F.col("own")), "key", "id", "size")
-    spent = F.sum(F.when(F.col("fits"), F.col("own")).otherwise(0)).over(whole)
-    cut = (
-        cut.withColumn("upto", F.sum("own").over(running))
-        .withColumn("fits", F.col("long") & (F.col("upto") <= F.col("room")))
-        .withColumn("fits", F.col("fits") | (~F.col("long") & (F.col("upto") <= F.col("room") - spent)))
-        .withColumn("room", F.col("room") - spent)
-        .withColumn("last", ~F.col("fits") & (F.row_number().over(nearest) == 1) & (F.abs(F.col("room") - F.col("own")) < F.col("room")))
-        .where("fits or last")
-        .select(F.col("number").alias("cut_number"), F.col("block").alias("cut_block"), F.col("id").alias("cut_id"), F.col("key").alias("cut_key"), F.col("size").alias("cut_size"), F.lit(True).alias("in_part"))
-    )
-    return plans, scratch.save(homes, "homes"), scratch.save(cut, "cut")
+    cut = cut.select(*(F.col(c).alias(f"cut_{c}") for c in cut.columns), F.lit(True).alias("in_part"))
+    return plans, scratch.save(homes, "homes"), cut
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = WEIGHTS, share: float = 1.0, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """For every row: id, source, size, source_size, target, taken, and the shards its copies go to.
 
     Sources in ascending code points, null last, take ``weights`` in turn.  A source's taken words
-    come as near to its target as one more document of its last block can bring them.  A null or empty
+    miss its target by half the smallest document that its last pass leaves out, at most.  A null or empty
     text has size 0 and takes nothing; repeated rows are taken alike; an empty table gives no rows.
     Columns other than the three named are not read.  A rerun gives the same result.
     """

@@ -50,3 +50,27 @@ def test_documents(spark, odd):
     none = spark.createDataFrame([], odd.schema)
     assert mixing.mix(none).count() == mixing.mixed_documents(none).count() == 0
     assert mixing.mix(odd.withColumn("source", F.lit(None).cast("string"))).where("source is null").count() == odd.count()
+
+
+def test_room_is_carried_over_a_long_document(spark):
+    rows = [(s * 640 + k, "w " * (10_000 if k == 0 else 30), f"s{s:02}") for s in range(24) for k in range(640)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    share = 15_000 / (10_000 + 639 * 30)
+    found = mixing.mix(docs, weights=(1,), share=share).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect()
+    assert len(found) == 24 and all(abs(r.taken - r.target) <= 15 + 1e-6 for r in found)
+
+
+def test_miss_is_half_the_smallest_left_out(spark):
+    sizes = {"a": [1 << (k % 12) for k in range(300)], "b": [k * k for k in range(1, 200)], "c": [700] * 50 + [5] * 9, "d": [50_000, 3, 4, 5]}
+    rows = [(k % 37 if s == "b" else k, "w " * n, s) for s, own in sizes.items() for k, n in enumerate(own)] + [(1, "w " * 900, "c")] * 5
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for share, seed in ((0.31, 1), (0.77, 2)):
+        got = mixing.mix(docs, share=share, seed=seed).collect()
+        for source in sizes:
+            own = [r for r in got if r.source == source]
+            fewest = min(len(r.shards) for r in own)
+            units = Counter()
+            for r in own:
+                if len(r.shards) == fewest:
+                    units[r.id, r.size] += r.size
+            assert abs(sum(r.taken for r in own) - own[0].target) <= min(units.values()) / 2 + 1e-6
