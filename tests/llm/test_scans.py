@@ -1,3 +1,6 @@
+import random
+import string
+
 import plain
 import pytest
 
@@ -32,6 +35,23 @@ def test_random_strings():
     assert not secret_scan.is_random(b"internationalization_of_words", path)
 
 
+def test_random_parts_of_runs(spark):
+    path = secret_scan.public_tokenizers.path("byte_bpe_50k.tiktoken")
+    draw = random.Random(5)
+    for before, after in (("", ""), ("service/production/configuration/", ""), ("customer_subscription_identifier_", ""), ("configuration-", "/production/service"), ("NAME=", "")):
+        for letters in (string.ascii_letters + string.digits, string.ascii_letters):
+            for n in (20, 24, 32, 48):
+                keys = ["".join(draw.choices(letters, k=n)) for _ in range(50)]
+                spans = [secret_scan.random_spans(f"{before}{k}{after}".encode(), path) for k in keys]
+                assert sum(any(s <= len(before) and e >= len(before) + n for s, e in found) for found in spans) >= 48
+    for word in (b"com/google/android/gms/maps/model", b"customer_subscription_identifier_name", b"Donaudampfschifffahrtsgesellschaft", b"MAX_BUFFER_SIZE_IN_BYTES_PER_CONNECTION", b"A/B/C/D/E/F/G/H/I/J/K/L", b"MAX_SUBCLASSES_TO_DISPLAY", b"some/path/123e4567-e89b-12d3-a456-426614174000", b"2024-01-02-10-20-30-40-50", b"-" * 40):
+        assert secret_scan.random_spans(word, path) == []
+    hexes, key = "deadbeef" * 4, "kx9Qz7Lw2Vb8Rt5Yp3Nm6Jd4Hs1Gf0"
+    texts = [(1, f"é {key}_{hexes}/{key} x"), (2, f"service/production/configuration/customer/subscription/identifier/{key[:24]}"), (3, f"{key}/token=abcdefghij {hexes}")]
+    got = {r.id: r.spans for r in secret_scan.scan_secrets(spark.createDataFrame(texts, "doc_id long, text string")).collect()}
+    assert got[1] == "random:2:33,hex:33:65,random:65:96" and got[2] == "random:66:90" and got[3] == "random:0:31,assign:31:47,hex:48:80"
+
+
 def test_licences(odd, small):
     docs = both(odd, small)
     got = license_scan.scan_licences(docs).collect()
