@@ -4,7 +4,7 @@ Every licence phrase and notice is one template.  Texts stream through the autom
 after each word the state gives the longest run of words ending there that stands in any template
 (the matching statistics).  A phrase stands at a place exactly when its own state lies on the suffix
 path of that state, which yields the base places; long matches are chained in text and template
-order into covered template spans, which yield the method's labels and score.
+order, each with its best predecessor, into covered template spans, which yield the labels and score.
 """
 
 from __future__ import annotations
@@ -102,6 +102,27 @@ class SuffixAutomaton:
         return out
 
 
+def chains(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int]]:
+    """(start, end, words covered) of the best chain that ends with each match, by ends.
+
+    Matches are (start, end, template start, template end).  A chain goes on in text and template alike;
+    a word counts once in each.  Only matches whose end lies near can go before, so a match looks at few.
+    """
+    found, out, first = sorted(found, key=lambda m: (m[1], m[0], m[2])), [], 0
+    longest = max(end - start for start, end, _, _ in found)
+    for start, end, t_start, t_end in found:
+        while found[first][1] < end - longest - MAX_GAP:
+            first += 1
+        chain = (start, end, end - start)
+        for (_, end_, _, t_end_), (start_, _, covered) in zip(found[first : len(out)], out[first:], strict=True):
+            if end_ < end and t_end_ < t_end and start - end_ <= MAX_GAP:
+                covered += min(t_end - max(t_start, t_end_), end - max(start, end_))
+                if (covered, start_) > (chain[2], chain[0]):
+                    chain = (start_, end, covered)
+        out.append(chain)
+    return out
+
+
 class Licences:
     """The automaton with what its states say about phrases, and the words it knows."""
 
@@ -152,20 +173,18 @@ class Licences:
                         matches.setdefault(template, []).append((first + n + 1 - length, first + n + 1, end - length, end))
         best, spans = {}, []
         for template, found in matches.items():
-            size, chain = len(self.templates[template]), None
-            for start, end, t_start, t_end in sorted(found):
-                if chain and start - chain[1] <= MAX_GAP and t_end > chain[3]:
-                    fresh = t_end - max(t_start, chain[3])
-                    chain = [chain[0], end, chain[2] + fresh, t_end]
-                else:
-                    chain = [start, end, t_end - t_start, t_end]
-                share = chain[2] / size
+            size, own = len(self.templates[template]), []
+            for start, end, covered in chains(found):
+                share = covered / size
                 best[template] = max(best.get(template, 0.0), share)
                 if share >= COVERAGE and template >= len(PHRASES):
-                    span = (self.labels[template], chain[0], chain[1])
-                    if spans and spans[-1][:2] == span[:2]:  # the chain has grown
-                        spans.pop()
-                    spans.append(span)
+                    last = own[-1] if own else (0, -1, 0)
+                    if start == last[0] or (start >= last[0] and end <= last[1]) or (start <= last[0] and end >= last[1] >= 0):  # the same place
+                        if covered >= last[2]:
+                            own[-1:] = [(start, end, covered)]
+                    else:
+                        own.append((start, end, covered))
+            spans += [(self.labels[template], start, end) for start, end, _ in own]
         return base, best, spans
 
 

@@ -68,6 +68,31 @@ def test_licence_notice_is_chained(spark):
     assert got[1].labels == "" and got[1].score < 0.6
 
 
+def test_licence_chain_keeps_what_it_gathered(spark):
+    own = license_scan.NOTICES["apache-notice"].split()
+    for k in (5, 19, 24):
+        own[k] = "zzz"
+    rows = [(1, " ".join(own)), (2, " ".join([*own, *["zzz"] * 20, *own]))]
+    got = license_scan.scan_licences(spark.createDataFrame(rows, "doc_id long, text string")).orderBy("id").collect()
+    assert "apache-notice" in got[0].labels.split(",") and got[0].score >= 0.9
+    assert [(s.first_word, s.end_word) for s in got[1].spans if s.label == "apache-notice"] == [(0, 31), (51, 82)]
+    draw = random.Random(3)
+    for _ in range(200):
+        found = [(s, s + n, t, t + n) for s, n, t in ((draw.randrange(60), draw.randrange(4, 9), draw.randrange(25)) for _ in range(8))]
+        every: dict = {}
+
+        def follow(last, covered):
+            every[last] = max(every.get(last, 0), covered)
+            for m in found:
+                if m[1] > last[1] and m[3] > last[3] and m[0] - last[1] <= license_scan.MAX_GAP:
+                    follow(m, covered + min(m[3] - max(m[2], last[3]), m[1] - max(m[0], last[1])))
+
+        for m in found:
+            follow(m, m[1] - m[0])
+        order = sorted(found, key=lambda m: (m[1], m[0], m[2]))
+        assert [c for _, _, c in license_scan.chains(found)] == [every[m] for m in order]
+
+
 @pytest.mark.parametrize("templates", [[[1, 2, 1, 2, 3]], [[1, 1, 1], [1, 2, 1]], [[4, 5], [5, 4], [4, 5, 4]]])
 def test_matching_statistics(templates):
     automaton = license_scan.SuffixAutomaton(templates)
