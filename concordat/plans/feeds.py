@@ -248,7 +248,12 @@ def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as a stream of files, folded batch by batch; equal to the batch query."""
     schema = table(spark, sf_dir, "events").schema
     work = Workspace(spark, "replay")
-    raw = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():  # part files, as Spark writes tables
+        raw = files.parquet(f"{sf_dir}/events.parquet")
+    else:
+        raw = files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
     stream = raw.select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
     inbox = Snapshots(spark, f"{work.root}/inbox")
     replay(stream, inbox, f"{work.root}/checkpoint", ["user_id"], ["event_id"])

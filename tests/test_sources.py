@@ -103,3 +103,12 @@ def test_stream_of_many_batches_equals_batch(spark, tmp_path):
     assert inbox.version() == 5
     rebuild(events.dropDuplicates(["user_id"]).select("user_id", "event_type"), inbox, {"event_id": 0})
     assert inbox.version() == 6
+
+
+def test_stream_of_a_folder_of_part_files(spark, tmp_path):
+    from concordat.plans import feeds
+
+    given = "/root/testdata/sf0.001"
+    spark.read.parquet(f"{given}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    want = sorted(map(repr, feeds.stream_replay(spark, given).collect()))
+    assert want and sorted(map(repr, feeds.stream_replay(spark, str(tmp_path)).collect())) == want
