@@ -47,6 +47,39 @@ def test_pieces_give_the_ids_of_the_text():
         assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids + [1], text
 
 
+def colliding():
+    """Two words of 1,024 bytes that polynomial hashes modulo 2**64 do not tell apart."""
+    bits = [bin(k).count("1") & 1 for k in range(1024)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_words_are_told_apart_by_their_bytes():
+    import pyarrow as pa
+
+    one, two = colliding()
+    ids, bounds = token_files.Encoder(PATH).encode(*as_bytes(pa.array([f"{one} {two} {one}", f"{one}é {two}é"])))
+    assert ids[: bounds[1]].tolist() == plain(f"{one} {two} {one}") and ids[bounds[1] :].tolist() == plain(f"{one}é {two}é")
+
+
+def test_a_very_long_text():
+    import pyarrow as pa
+
+    text = "Längster Text, d'un côté 12345 — and words " * 110_000 + "x" * 70_000 + " end"
+    ids, bounds = token_files.Encoder(PATH).encode(*as_bytes(pa.array([text])))
+    assert len(text.encode()) > 2 * token_files.SLICE_BYTES and bounds.tolist() == [0, len(ids)] and ids.tolist() == plain(text)
+
+
+def test_another_tokenizer_gets_whole_texts():
+    import pyarrow as pa
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    own, texts = token_files.Encoder(path), ["  two  spaces", "", "Ünder\nline"]
+    ids, bounds = own.encode(*as_bytes(pa.array(texts)))
+    library = Tokenizer.from_file(path)
+    for k, text in enumerate(texts):
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == library.encode(text, add_special_tokens=False).ids + [1]
+
+
 def test_remembered_pieces_are_bounded(monkeypatch):
     import pyarrow as pa
 
@@ -58,7 +91,7 @@ def test_remembered_pieces_are_bounded(monkeypatch):
         assert ids.tolist() == plain(texts[0])
 
 
-@pytest.mark.parametrize(("docs_each", "tokens_each"), [(4096, 1 << 20), (7, 50)])
+@pytest.mark.parametrize(("docs_each", "tokens_each"), [(4096, 1 << 18), (7, 50)])
 def test_round_trip(spark, odd, small, tmp_path, docs_each, tokens_each):
     docs = odd.select("doc_id", "text").union(small.selectExpr("doc_id + 1000", "text").limit(60))
     where = f"file://{tmp_path}/files"
@@ -73,5 +106,18 @@ def test_round_trip(spark, odd, small, tmp_path, docs_each, tokens_each):
     assert sorted(got, key=repr) == sorted(want, key=repr)
 
 
+def test_blocks_answer_by_themselves(spark, small, tmp_path):
+    docs, where = small.orderBy("doc_id").limit(30), f"file://{tmp_path}/files"
+    token_files.write_token_files(docs, where, shard_docs=10, block_tokens=64)  # documents go on over several matrices
+    want = {r.doc_id: plain(r.text) for r in docs.collect()}
+    for row in spark.read.schema(token_files.BLOCKS).parquet(where).collect():
+        own, every = list(token_files.matrices(row.asDict())), []
+        for m in own:
+            every += [m.access(i) for i in range(m.n)]
+        ids, lengths = np.frombuffer(row.ids, "<i8").tolist(), np.frombuffer(row.lengths, "<i8").tolist()
+        assert every == sum((want[i] for i in ids), []) and [len(want[i]) for i in ids] == lengths
+        assert sum(m.count(1) for m in own) == every.count(1) and max(m.n for m in own) <= 64
+
+
 def test_empty(spark):
     assert token_files.token_index(spark.createDataFrame([], "doc_id long, text string")).count() == 0
