@@ -63,8 +63,11 @@ def renames(scan: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame
 
 
 def missing(stored: DataFrame, seen: DataFrame, gated: DataFrame | None = None) -> DataFrame:
-    """Stored present entries that a complete scan did not see, marked absent with new generations."""
-    gone = stored.where("local_status = 'present'").join(seen, ["parent_id", "name"], "left_anti")
+    """Stored present entries that a complete scan did not see, marked absent with new generations.
+
+    The entry of the root itself has no parent and no place among the scanned ones: it never counts.
+    """
+    gone = stored.where("local_status = 'present' and parent_id is not null").join(seen, ["parent_id", "name"], "left_anti")
     if gated is not None:
         gone = gone.join(gated, "item_id", "left_anti")
     return gone.withColumns({"local_status": F.lit("absent"), "local_generation": F.col("local_generation") + 1, "dirty_generation": F.col("dirty_generation") + 1, "phase": F.lit("ready")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .tree import excluded
+
 #: Rows of one round.
 BATCH = 1000
 
@@ -48,24 +50,58 @@ def fresh_enough(incoming: Column, stored: Column) -> Column:
 
 
 def apply_observations(items: DataFrame, seen: DataFrame, key: str) -> DataFrame:
-    """Items after remote observations: new, updated, or left alone if the observation is stale.
+    """Items after remote observations (one row a key), with what each observation did.
+
+    ``items``: key, name, parent_remote, sha256, size, version, status, phase, excluded,
+    remote_generation, dirty_generation; ``seen``: key, name, parent_remote, sha256, size, version,
+    removed, trashed, scope (inside, outside, unknown) and placeable (its parent is a known folder and
+    its name can stand there).
 
-    ``seen``: key, name, parent_remote, sha256, size, version, removed, trashed (one row a key).
+    A removed object excludes the stored one and leaves its status; a trashed one is marked, whatever
+    its version; one that is not inside is excluded.  A present one is written unless it is older than
+    what is stored, and is then no longer excluded.  An object that is not stored is inserted only if
+    it is present.  effect: inserted, updated, trashed, excluded, stale, or kept.
     """
     cols = ["name", "parent_remote", "sha256", "size", "version"]
-    s = seen.select(key, *[F.col(c).alias(f"new_{c}") for c in cols], F.when(F.col("removed"), "absent").when(F.col("trashed"), "trashed").otherwise("present").alias("new_status"), F.lit(True).alias("_seen"))
-    joined = items.join(s, key, "full_outer")
-    take = F.coalesce(F.col("_seen"), F.lit(False)) & fresh_enough(F.col("new_version"), F.col("version"))
-    known = F.col("status").isNotNull()
-    gone = F.col("new_status") != "present"
-    value = lambda c: F.when(take & ~(gone & known), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c)
-    return joined.select(
-        key, *[value(c) for c in cols], F.when(take, F.col("new_status")).otherwise(F.col("status")).alias("status"),
-        (F.coalesce("remote_generation", F.lit(0)) + take.cast("int")).cast("bigint").alias("remote_generation"),
-        F.when(~known, "inserted").when(take, "updated").when(F.col("_seen"), "stale").otherwise("kept").alias("effect"),
+    flag = lambda c: F.coalesce(F.col(c), F.lit(False))
+    new = seen.select(
+        key, *[F.col(c).alias(f"new_{c}") for c in cols],
+        flag("removed").alias("_removed"), flag("trashed").alias("_trashed"), (F.col("scope") == "inside").alias("_inside"), flag("placeable").alias("_placeable"), F.lit(True).alias("_seen"),
+    )
+    joined = items.join(new, key, "full_outer")
+    known, has = F.col("status").isNotNull(), flag("_seen")
+    gone = has & known & (flag("_removed") | (~flag("_trashed") & ~flag("_inside")))
+    trash = has & known & ~flag("_removed") & flag("_trashed")
+    present = has & ~flag("_removed") & ~flag("_trashed") & flag("_inside") & flag("_placeable")
+    write = present & (~known | fresh_enough(F.col("new_version"), F.col("version")))
+    effect = (
+        F.when(write, F.when(known, "updated").otherwise("inserted")).when(trash, "trashed").when(gone, "excluded")
+        .when(present, "stale").otherwise("kept")
+    )
+    count = lambda c, did: (F.coalesce(F.col(c), F.lit(0)) + did.cast("int")).cast("bigint").alias(c)
+    return joined.where(known | write).select(
+        key, *[F.when(write, F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) for c in cols],
+        F.when(write, "present").when(trash, "trashed").otherwise(F.col("status")).alias("status"),
+        F.when(write | trash, "ready").otherwise(F.col("phase")).alias("phase"),
+        F.when(write, False).when(gone, True).otherwise(flag("excluded")).alias("excluded"),
+        count("remote_generation", write), count("dirty_generation", write | trash), effect.alias("effect"),
     )
 
 
+def exclude_below(applied: DataFrame, key: str) -> DataFrame:
+    """``applied`` with everything below an excluded row excluded too, but what was written just now."""
+    nodes = applied.select(F.col(key).alias("id"), F.col("parent_remote").alias("parent_id"), "name")
+    below = excluded(nodes, applied.where("effect = 'excluded'").select(F.col(key).alias("id"))).select(F.col("id").alias(key), F.lit(True).alias("_below"))
+    hit = F.col("_below").isNotNull() & ~F.col("effect").isin("inserted", "updated")
+    return applied.join(below, key, "left").withColumn("excluded", F.when(hit, True).otherwise(F.col("excluded"))).drop("_below")
+
+
+def still_queued(seen: DataFrame) -> DataFrame:
+    """The observations that stay in the inbox: of unknown scope, or inside but without a place yet."""
+    live = ~F.coalesce("removed", F.lit(False)) & ~F.coalesce("trashed", F.lit(False))
+    return seen.where(live & ((F.col("scope") == "unknown") | ((F.col("scope") == "inside") & ~F.coalesce("placeable", F.lit(False)))))
+
+
 def invalidate(items: DataFrame, changed: DataFrame, key: str) -> DataFrame:
     """Items whose observation a change makes unknown until it is read again."""
     hit = changed.select(key).distinct().withColumn("_hit", F.lit(True))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from concordat.functions.paths import ancestors_or_self, overlapping, within
+from concordat.functions.paths import ancestors_or_self, overlapping, parent, within
 
 
 def blocked(rows: DataFrame, gate: DataFrame, key: str) -> DataFrame:
@@ -21,9 +21,10 @@ def open_rows(rows: DataFrame, gate: DataFrame, key: str) -> DataFrame:
 
 
 def failed_subtrees(rows: DataFrame, failed: DataFrame, key: str) -> DataFrame:
-    """Keys of rows below a failed directory, or that are a failed directory under another path."""
-    same = rows.where("is_directory").join(failed.select("device", "inode").distinct(), ["device", "inode"], "left_semi").select(key)
-    return blocked(rows, failed, key).union(same).distinct()
+    """Keys of rows strictly below a failed directory, or that are that directory: its path and its inode."""
+    same = rows.where("is_directory").join(failed.select("path", "device", "inode").distinct(), ["path", "device", "inode"], "left_semi").select(key)
+    below = rows.select(key, parent(F.col("path")).alias("path"))
+    return blocked(below, failed, key).union(same).distinct()
 
 
 def union_of(sources: list[DataFrame]) -> DataFrame:

@@ -61,11 +61,16 @@ def cooldown(samples: DataFrame, by: list[str], order: list[str], at: str, delay
     return samples.withColumn("until", F.max(F.col(at) + kept).over(w))
 
 
-def stalled(samples: DataFrame, by: list[str], order: list[str], offset: str) -> DataFrame:
-    """Add stalled: the second acknowledgement in a row without progress."""
+def stalled(samples: DataFrame, by: list[str], order: list[str], offset: str, start: int = 0) -> DataFrame:
+    """Add stalled and went_back to acknowledged offsets, in order, after ``start``.
+
+    stalled: the second acknowledgement in a row that confirms nothing new; went_back: it confirms less
+    than the one before, which is an invalid answer and not a stall.
+    """
     w = Window.partitionBy(*by).orderBy(*order)
-    one, two = F.lag(offset, 1).over(w), F.lag(offset, 2).over(w)
-    return samples.withColumn("stalled", F.coalesce((F.col(offset) <= one) & (one <= two), F.lit(False)))
+    before = F.coalesce(F.lag(offset).over(w), F.lit(start))
+    marked = samples.withColumn("went_back", F.col(offset) < before).withColumn("_nothing", F.col(offset) == before)
+    return marked.withColumn("stalled", F.col("_nothing") & F.coalesce(F.lag("_nothing").over(w), F.lit(False))).drop("_nothing")
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:

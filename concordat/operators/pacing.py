@@ -54,9 +54,13 @@ def sampled(samples: DataFrame, by: list[str], at_us: str, order: list[str], eve
 
 
 def refills(need: Column, held: Column) -> Column:
-    """Batches of identifiers to fetch: none while enough are held above the low mark."""
-    short = F.greatest(need + LOW_WATER - held, F.lit(0))
-    return F.ceil(short / ID_BATCH).cast("bigint")
+    """Batches of identifiers to fetch so that ``need`` of them are held."""
+    return F.ceil(F.greatest(need - held, F.lit(0)) / ID_BATCH).cast("bigint")
+
+
+def prefetches(held: Column) -> Column:
+    """Whether so few identifiers are left that the next batch is fetched ahead."""
+    return held < LOW_WATER
 
 
 def numbered(rows: DataFrame, order: list[str], first: int, groups: int = 64) -> DataFrame:

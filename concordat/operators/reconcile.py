@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from concordat.functions.paths import ancestors_or_self
 from concordat.functions.text import missing
 
+from .store import compare_and_swap
+
 # The reasons that decisions carry.
 UNSTABLE = "Local file body is unstable, writing"
 BOTH_UNKNOWN = "Observation status unknown at both ends"
@@ -102,27 +104,45 @@ def schedule(decided: DataFrame, blocked: DataFrame, scheduled: DataFrame, key:
 
 
 def apply_decisions(decided: DataFrame) -> DataFrame:
-    """The row each decision leaves: new baseline, phase, dirty_generation, and what is put to work.
+    """The row each decision leaves: new baseline, statuses, phase, dirty_generation, and what is put to work.
 
     An upload over an existing remote object (remote_id without pending_create) is never carried
-    out: the row is blocked.  A conflict keeps the remote digest and size, or the baseline's.
+    out: the row is blocked and stays dirty.  A match marks both sides present.  A conflict keeps the
+    remote digest and size, or the baseline's.
     """
     d = F.col("decision")
     sends = (d == "upload") | (d == "keepModified")
     guarded = sends & F.col("remote_id").isNotNull() & F.col("pending_create").isNull()
-    settled = (d == "matchUpdateBaseline") | (d == "unchanged")
+    match = d == "matchUpdateBaseline"
     cleanup = (d == "unchanged") & (F.col("local_status") == "absent") & (F.col("remote_status") == "trashed")
+    done = match | ((d == "unchanged") & ~cleanup)
     known = ~missing(F.coalesce("remote_sha256", F.lit("")))
+    kept = lambda new, old, name: F.when(match, new).otherwise(F.col(old)).alias(name)
     return decided.select(
         "*",
-        F.when(d == "matchUpdateBaseline", F.col("sha256")).otherwise(F.col("base_sha256")).alias("new_base_sha256"),
-        F.when(d == "matchUpdateBaseline", F.col("size")).otherwise(F.col("base_size")).alias("new_base_size"),
-        F.when(guarded, "blocked").when(settled & ~cleanup, "committed").otherwise(F.col("phase")).alias("new_phase"),
-        F.when(guarded | (settled & ~cleanup), F.lit(0)).otherwise(F.col("dirty_generation")).cast("bigint").alias("new_dirty_generation"),
+        kept(F.col("sha256"), "base_sha256", "new_base_sha256"), kept(F.col("size"), "base_size", "new_base_size"),
+        kept(F.lit("present"), "local_status", "new_local_status"), kept(F.lit("present"), "remote_status", "new_remote_status"),
+        F.when(guarded, "blocked").when(done, "committed").otherwise(F.col("phase")).alias("new_phase"),
+        F.when(done, F.lit(0)).otherwise(F.col("dirty_generation")).cast("bigint").alias("new_dirty_generation"),
         F.when(guarded, "safetyBlocked").when(cleanup, "cleanup").when(sends, "upload").when(d.isin("download", "trashRemote", "deleteLocal", "conflict"), d).alias("work"),
         F.when(d == "conflict", F.when(known, F.col("remote_sha256")).otherwise(F.col("base_sha256"))).alias("conflict_sha256"),
         F.when(d == "conflict", F.when(known, F.col("remote_size")).otherwise(F.col("base_size"))).cast("bigint").alias("conflict_size"),
-    )
+    )
+
+
+#: What a decision's receipt compares with the stored row, and what it sets.
+EXPECTED = ("local_generation", "remote_generation", "dirty_generation")
+SETS = ("base_sha256", "base_size", "local_status", "remote_status", "phase", "dirty_generation")
+
+
+def commit_decisions(items: DataFrame, applied: DataFrame, key: str) -> DataFrame:
+    """``items`` after the applied decisions, with outcome: applied, or stale if a generation moved meanwhile.
+
+    Only decisions that change the row by themselves have a receipt; what is put to work commits later.
+    """
+    own = applied.where(F.col("new_phase").isin("committed", "blocked") & (F.col("work").isNull() | (F.col("work") == "safetyBlocked")))
+    receipts = own.select(key, *[F.col(e).alias(f"expected_{e}") for e in EXPECTED], *[F.col(f"new_{s}") for s in SETS])
+    return compare_and_swap(items, receipts, key, list(EXPECTED), list(SETS))
 
 
 def directory_outcome(local: Column, remote: Column, pending: Column) -> Column:

@@ -88,18 +88,38 @@ def directories(nodes: DataFrame, root: DataFrame, keep_orphans: bool = True) ->
     return found.where("outcome <> 'deep'").select("id", "path", (F.col("depth") + orphan.cast("int")).alias("depth"), (F.col("ready") & ~orphan).alias("ready"), orphan.alias("orphan"))
 
 
-def scope(queued: DataFrame, links: DataFrame, inside: DataFrame, outside: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """(id, scope) of queued objects: inside or outside by the first known ancestor, else unknown.
-
-    ``links``: id, parent_id of every known object; a missing parent, a cycle or a chain longer than
-    ``max_depth`` leaves the object unknown (it stays queued).
+def scope(queued: DataFrame, fetched: DataFrame, known: DataFrame, root: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+    """(id, scope) of queued objects: inside, outside, or unknown (they stay queued).
+
+    ``queued`` and ``fetched``: id, parent_id, removed, trashed (of one id, what is queued counts);
+    ``known``: ids stored below the root, which are inside unless they are queued themselves.  Links
+    are followed up to the root or a known object (inside), or to one that is removed, trashed or has
+    no parent (outside).  An object whose chain meets one that was not read, a cycle or more than
+    ``max_depth`` links is unknown.
     """
-    nodes = links.select("id", "parent_id", F.col("id").cast("string").alias("name"))
-    known = inside.select("id", F.lit("inside").alias("scope")).unionByName(outside.select("id", F.lit("outside").alias("scope")))
-    found = climb(nodes, known, max_depth).where("outcome = 'reached'").join(known.withColumnRenamed("id", "top"), "top").select("id", "scope")
+    cols = ["id", "parent_id", "removed", "trashed"]
+    inside = known.select("id").join(queued.select("id"), "id", "left_anti").union(root.select("id")).distinct()
+    read = queued.select(cols).unionByName(fetched.select(cols).join(queued.select("id"), "id", "left_anti")).join(inside, "id", "left_anti")
+    outside = read.where("coalesce(removed, false) or coalesce(trashed, false) or parent_id is null").select("id")
+    stops = inside.select("id", F.lit("inside").alias("scope")).union(outside.select("id", F.lit("outside").alias("scope")))
+    no_parent = F.lit(None).cast(queued.schema["parent_id"].dataType)
+    nodes = read.select("id", "parent_id").union(inside.select("id", no_parent)).withColumn("name", F.lit(""))
+    found = climb(nodes, stops, max_depth).where("outcome = 'reached'").join(stops.withColumnRenamed("id", "top"), "top").select("id", "scope")
     return queued.select("id").join(found, "id", "left").select("id", F.coalesce("scope", F.lit("unknown")).alias("scope"))
 
 
+#: Objects whose parents are read in one run.
+PROBES = 64
+
+
+def to_probe(queued: DataFrame, fetched: DataFrame, known: DataFrame, root: DataFrame, limit: int = PROBES) -> DataFrame:
+    """(id) of parents of live objects that nobody has read yet, smallest first; a run reads ``limit`` of them."""
+    read = queued.select("id", "parent_id", "removed", "trashed").unionByName(fetched.select("id", "parent_id", "removed", "trashed"))
+    wanted = read.where("not coalesce(removed, false) and not coalesce(trashed, false) and parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
+    have = read.select("id").union(known.select("id")).union(root.select("id"))
+    return wanted.join(have, "id", "left_anti").orderBy("id").limit(limit)
+
+
 def rename(tree: DataFrame, old: str, new: str) -> DataFrame:
     """``tree`` with a directory's path and all paths below it rebased."""
     return tree.withColumn("path", rebased(F.col("path"), F.lit(old), F.lit(new)))

@@ -55,18 +55,56 @@ def feed_invalidate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    LATEST
-    + """, i AS (SELECT c_custkey AS id, c_name AS name, c_custkey % 40 AS version FROM customer), s AS (SELECT user_id AS id, event_type, k, CASE WHEN user_id % 9 <> 0 THEN k END AS version FROM l),
-j AS (SELECT id, i.name, i.version AS old, s.version AS new, s.event_type, i.id IS NOT NULL AS known, s.id IS NOT NULL AND (s.version IS NULL OR i.version IS NULL OR s.version >= i.version) AS take, s.id IS NOT NULL AS seen FROM i FULL JOIN s USING (id))
-SELECT id, CASE WHEN take AND NOT (event_type = 'error' AND known) THEN event_type ELSE name END AS name, CASE WHEN take AND NOT (event_type = 'error' AND known) THEN new ELSE old END AS version,
- CASE WHEN take THEN CASE WHEN event_type = 'error' THEN 'absent' ELSE 'present' END WHEN known THEN 'present' END AS status, take::BIGINT AS remote_generation, CASE WHEN NOT known THEN 'inserted' WHEN take THEN 'updated' WHEN seen THEN 'stale' ELSE 'kept' END AS effect FROM j"""
+    LATEST.replace("WITH e", "WITH RECURSIVE e")
+    + """, i AS (SELECT c_custkey AS id, c_name AS name, CASE WHEN c_custkey > 1 THEN c_custkey // 3 END AS parent_remote, c_custkey % 40 AS version, c_custkey % 33 = 5 AS excluded FROM customer),
+s AS (SELECT user_id AS id, event_type, CASE WHEN user_id % 9 <> 0 THEN k END AS version, user_id // 3 AS parent_remote, event_type = 'error' AS removed, k % 5 = 0 AS trashed,
+  CASE WHEN k % 7 = 0 THEN 'outside' WHEN k % 11 = 0 THEN 'unknown' ELSE 'inside' END AS scope, k % 13 <> 0 AS placeable FROM l),
+o AS (SELECT id, i.name, s.event_type, i.parent_remote, s.parent_remote AS new_parent, i.version, s.version AS new_version, i.excluded, i.id IS NOT NULL AS known,
+  CASE WHEN s.id IS NULL THEN 'kept'
+   WHEN removed THEN CASE WHEN i.id IS NULL THEN 'none' ELSE 'excluded' END
+   WHEN trashed THEN CASE WHEN i.id IS NULL THEN 'none' ELSE 'trashed' END
+   WHEN scope <> 'inside' THEN CASE WHEN i.id IS NULL THEN 'none' ELSE 'excluded' END
+   WHEN NOT placeable THEN CASE WHEN i.id IS NULL THEN 'none' ELSE 'kept' END
+   WHEN i.id IS NULL THEN 'inserted' WHEN s.version < i.version THEN 'stale' ELSE 'updated' END AS effect FROM i FULL JOIN s USING (id)),
+a AS (SELECT id, effect, effect IN ('inserted', 'updated') AS written, CASE WHEN effect IN ('inserted', 'updated') THEN new_parent ELSE parent_remote END AS parent_remote,
+  CASE WHEN effect IN ('inserted', 'updated') THEN event_type ELSE name END AS name, CASE WHEN effect IN ('inserted', 'updated') THEN new_version ELSE version END AS version, coalesce(excluded, false) AS excluded FROM o WHERE effect <> 'none'),
+x AS (SELECT id FROM a WHERE effect = 'excluded' UNION SELECT a.id FROM a JOIN x ON a.parent_remote = x.id)
+SELECT id, name, parent_remote, version, CASE WHEN effect = 'trashed' THEN 'trashed' ELSE 'present' END AS status, CASE WHEN written OR effect = 'trashed' THEN 'ready' ELSE 'committed' END AS phase,
+ CASE WHEN written THEN false ELSE excluded OR id IN (SELECT id FROM x) END AS excluded, written::BIGINT AS remote_generation, (written OR effect = 'trashed')::BIGINT AS dirty_generation, effect FROM a"""
 )
 def feed_apply_versioned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    none = lambda kind: F.lit(None).cast(kind)
-    items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), none("string").alias("parent_remote"), none("string").alias("sha256"), none("bigint").alias("size"), (F.col("c_custkey") % 40).alias("version"), F.lit("present").alias("status"), F.lit(0).cast("bigint").alias("remote_generation"))
+    """Customers as a stored tree (parent = key div 3) after the latest event of each as its observation."""
+    items = _stored_objects(spark, sf_dir)
+    return feed.exclude_below(feed.apply_observations(items, _observed(spark, sf_dir), "id"), "id").select(
+        "id", "name", "parent_remote", "version", "status", "phase", "excluded", "remote_generation", "dirty_generation", "effect"
+    )
+
+
+def _stored_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key, zero = F.col("c_custkey"), F.lit(0).cast("bigint")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("id"), F.col("c_name").alias("name"), F.when(key > 1, F.floor(key / 3)).alias("parent_remote"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("bigint").alias("size"),
+        (key % 40).alias("version"), F.lit("present").alias("status"), F.lit("committed").alias("phase"), (key % 33 == 5).alias("excluded"), zero.alias("remote_generation"), zero.alias("dirty_generation"),
+    )
+
+
+def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
     new = feed.latest(events(spark, sf_dir).select("user_id", "event_id", "event_type", "k"), ["user_id"], ["event_id"])
-    seen = new.select(F.col("user_id").alias("id"), F.col("event_type").alias("name"), none("string").alias("parent_remote"), none("string").alias("sha256"), none("bigint").alias("size"), F.when(F.col("user_id") % 9 != 0, F.col("k")).alias("version"), (F.col("event_type") == "error").alias("removed"), F.lit(False).alias("trashed"))
-    return feed.apply_observations(items, seen, "id").select("id", "name", "version", "status", "remote_generation", "effect")
+    k = F.col("k")
+    return new.select(
+        F.col("user_id").alias("id"), F.col("event_type").alias("name"), F.floor(F.col("user_id") / 3).alias("parent_remote"), F.lit(None).cast("string").alias("sha256"), F.lit(None).cast("bigint").alias("size"),
+        F.when(F.col("user_id") % 9 != 0, k).alias("version"), (F.col("event_type") == "error").alias("removed"), (k % 5 == 0).alias("trashed"),
+        F.when(k % 7 == 0, "outside").when(k % 11 == 0, "unknown").otherwise("inside").alias("scope"), (k % 13 != 0).alias("placeable"),
+    )
+
+
+@query(
+    LATEST
+    + """SELECT user_id AS id, CASE WHEN k % 7 <> 0 AND k % 11 = 0 THEN 'unknown' ELSE 'inside' END AS scope FROM l
+WHERE event_type <> 'error' AND k % 5 <> 0 AND k % 7 <> 0 AND (k % 11 = 0 OR k % 13 = 0)"""
+)
+def feed_still_queued(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return feed.still_queued(_observed(spark, sf_dir)).select("id", "scope")
 
 
 @query("SELECT user_id AS id, min(value) AS attempted_at FROM events GROUP BY user_id HAVING min(value) < 5.0 ORDER BY 2, 1 LIMIT 1000")
@@ -201,9 +239,14 @@ def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.batches(events(spark, sf_dir), ["user_id"], ["event_id"]).select("event_id", "batch")
 
 
-@query(EVENTS + "SELECT event_id, coalesce(k <= lag(k) OVER w AND lag(k) OVER w <= lag(k, 2) OVER w, false) AS stalled FROM e WINDOW w AS (PARTITION BY user_id ORDER BY event_id)")
+@query(
+    EVENTS
+    + """, p AS (SELECT event_id, user_id, k // 20 AS o FROM e), b AS (SELECT *, coalesce(lag(o) OVER w, 0) AS before FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT event_id, o < before AS went_back, o = before AND coalesce(lag(o = before) OVER (PARTITION BY user_id ORDER BY event_id), false) AS stalled FROM b"""
+)
 def stalled_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.stalled(events(spark, sf_dir), ["user_id"], ["event_id"], "k").select("event_id", "stalled")
+    offsets = events(spark, sf_dir).withColumn("offset", F.floor(F.col("k") / 20))
+    return metrics.stalled(offsets, ["user_id"], ["event_id"], "offset").select("event_id", "went_back", "stalled")
 
 
 @query(EVENTS + "SELECT event_id, CASE k % 6 WHEN 0 THEN '429' WHEN 1 THEN '503' WHEN 2 THEN 'quotaExceeded' WHEN 3 THEN 'rateLimitExceeded' WHEN 5 THEN 'userRateLimitExceeded' END AS reason, k % 6 = 4 AND event_id % 2 = 0 AS rejected FROM e")

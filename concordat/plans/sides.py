@@ -91,19 +91,40 @@ def prepared(spark: SparkSession, sf_dir: str) -> DataFrame:
     })
 
 
-@query(
+APPLIED = (
     ALIGNED
     + """, p AS (SELECT *, CASE WHEN doc_id % 2 = 0 THEN 'r' || doc_id END AS remote_id, CASE WHEN doc_id % 6 = 0 THEN 'op' END AS pending FROM decided),
 g AS (SELECT *, decision IN ('upload', 'keepModified') AS sends, decision IN ('upload', 'keepModified') AND remote_id IS NOT NULL AND pending IS NULL AS guarded,
-      decision IN ('matchUpdateBaseline', 'unchanged') AS settled, decision = 'unchanged' AND ls = 'absent' AND rs = 'trashed' AS cleanup FROM p)
-SELECT doc_id, CASE WHEN decision = 'matchUpdateBaseline' THEN sha256 ELSE base_sha256 END AS new_base_sha256, CASE WHEN decision = 'matchUpdateBaseline' THEN size ELSE base_size END AS new_base_size,
- CASE WHEN guarded THEN 'blocked' WHEN settled AND NOT cleanup THEN 'committed' ELSE 'ready' END AS new_phase, CASE WHEN guarded OR (settled AND NOT cleanup) THEN 0 ELSE 1 END::BIGINT AS new_dirty_generation,
+      decision = 'matchUpdateBaseline' AS matched, decision = 'unchanged' AND ls = 'absent' AND rs = 'trashed' AS cleanup, decision IN ('matchUpdateBaseline', 'unchanged') AS settled FROM p),
+applied AS (SELECT doc_id, CASE WHEN matched THEN sha256 ELSE base_sha256 END AS new_base_sha256, CASE WHEN matched THEN size ELSE base_size END AS new_base_size,
+ CASE WHEN matched THEN 'present' ELSE ls END AS new_local_status, CASE WHEN matched THEN 'present' ELSE rs END AS new_remote_status,
+ CASE WHEN guarded THEN 'blocked' WHEN settled AND NOT cleanup THEN 'committed' ELSE 'ready' END AS new_phase, CASE WHEN settled AND NOT cleanup THEN 0 ELSE 1 END::BIGINT AS new_dirty_generation,
  CASE WHEN guarded THEN 'safetyBlocked' WHEN cleanup THEN 'cleanup' WHEN sends THEN 'upload' WHEN decision IN ('download', 'trashRemote', 'deleteLocal', 'conflict') THEN decision END AS work,
  CASE WHEN decision = 'conflict' THEN coalesce(nullif(remote_sha256, ''), base_sha256) END AS conflict_sha256,
- CASE WHEN decision = 'conflict' THEN CASE WHEN coalesce(remote_sha256, '') <> '' THEN remote_size ELSE base_size END END AS conflict_size FROM g"""
+ CASE WHEN decision = 'conflict' THEN CASE WHEN coalesce(remote_sha256, '') <> '' THEN remote_size ELSE base_size END END AS conflict_size, base_sha256, base_size, ls, rs FROM g)
+"""
 )
+_NEW = ["new_base_sha256", "new_base_size", "new_local_status", "new_remote_status", "new_phase", "new_dirty_generation", "work", "conflict_sha256", "conflict_size"]
+
+
+@query(APPLIED + f"SELECT doc_id, {', '.join(_NEW)} FROM applied")
 def reconcile_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reconcile.apply_decisions(prepared(spark, sf_dir)).select("doc_id", "new_base_sha256", "new_base_size", "new_phase", "new_dirty_generation", "work", "conflict_sha256", "conflict_size")
+    return reconcile.apply_decisions(prepared(spark, sf_dir)).select("doc_id", *_NEW)
+
+
+@query(
+    APPLIED
+    + """, c AS (SELECT *, new_phase IN ('committed', 'blocked') AND coalesce(work, 'safetyBlocked') = 'safetyBlocked' AS has, doc_id % 10 = 0 AS moved FROM applied)
+SELECT doc_id, CASE WHEN has AND NOT moved THEN new_base_sha256 ELSE base_sha256 END AS base_sha256, CASE WHEN has AND NOT moved THEN new_base_size ELSE base_size END AS base_size,
+ CASE WHEN has AND NOT moved THEN new_local_status ELSE ls END AS local_status, CASE WHEN has AND NOT moved THEN new_phase ELSE 'ready' END AS phase,
+ CASE WHEN has AND NOT moved THEN new_dirty_generation ELSE 1 + moved::INT END::BIGINT AS dirty_generation, CASE WHEN has THEN CASE WHEN moved THEN 'stale' ELSE 'applied' END END AS outcome FROM c"""
+)
+def decision_receipts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Decisions committed against rows of which a tenth got new generations meanwhile."""
+    decided = prepared(spark, sf_dir).withColumns({"local_generation": F.lit(3), "remote_generation": F.lit(4)})
+    applied = reconcile.apply_decisions(decided)
+    items = decided.select("doc_id", "base_sha256", "base_size", "local_status", "remote_status", "phase", "local_generation", "remote_generation", (F.col("dirty_generation") + F.when(F.col("doc_id") % 10 == 0, 1).otherwise(0)).cast("bigint").alias("dirty_generation"))
+    return reconcile.commit_decisions(items, applied, "doc_id").select("doc_id", "base_sha256", "base_size", "local_status", "phase", "dirty_generation", "outcome")
 
 
 @query(
@@ -213,10 +234,11 @@ def rename_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""
 SELECT doc_id AS item_id, 'absent' AS local_status, 1::BIGINT AS local_generation, CASE WHEN doc_id % 14 = 0 THEN 2 ELSE 1 END::BIGINT AS dirty_generation, 'ready' AS phase FROM documents
-WHERE (doc_id % 31 = 0 OR doc_id % 25 = 0) AND doc_id NOT IN (SELECT doc_id FROM labels)""")
+WHERE (doc_id % 31 = 0 OR doc_id % 25 = 0) AND doc_id % 4 <> 1 AND doc_id NOT IN (SELECT doc_id FROM labels)""")
 def missing_mark(spark: SparkSession, sf_dir: str) -> DataFrame:
     gated = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("item_id"))
-    found = diff.missing(stored(spark, sf_dir), scanned(spark, sf_dir).select("parent_id", "name"), gated)
+    rows = stored(spark, sf_dir).withColumn("parent_id", F.when(F.col("item_id") % 4 != 1, F.col("parent_id")))  # entries of roots have no parent
+    found = diff.missing(rows, scanned(spark, sf_dir).select("parent_id", "name"), gated)
     return found.select("item_id", "local_status", F.col("local_generation").cast("bigint"), F.col("dirty_generation").cast("bigint"), "phase")
 
 

@@ -164,7 +164,7 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.select("name", F.round(files, 6).cast("double").alias("files_per_s"), F.round(mb, 6).alias("mb_per_s"), byte_size(F.col("bytes")).alias("size"))
 
 
-@query("SELECT c_custkey, 99 + row_number() OVER (ORDER BY c_nationkey, c_custkey) AS id, ceil(greatest(c_custkey % 3000 + 200 - c_nationkey * 100, 0) / 1000.0)::BIGINT AS refills FROM customer")
+@query("SELECT c_custkey, 99 + row_number() OVER (ORDER BY c_nationkey, c_custkey) AS id, ceil(greatest(c_custkey % 3000 - c_nationkey * 100, 0) / 1000.0)::BIGINT AS refills, c_nationkey * 100 < 200 AS prefetches FROM customer")
 def numbered_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pacing.numbered(table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), ["c_nationkey", "c_custkey"], 100, groups=8)
-    return found.select("c_custkey", "id", pacing.refills(F.col("c_custkey") % 3000, F.col("c_nationkey") * 100).alias("refills"))
+    return found.select("c_custkey", "id", pacing.refills(F.col("c_custkey") % 3000, F.col("c_nationkey") * 100).alias("refills"), pacing.prefetches(F.col("c_nationkey") * 100).alias("prefetches"))

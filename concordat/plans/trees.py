@@ -86,22 +86,50 @@ def ancestor_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.open_rows(flat, gate, "id").select("id")
 
 
-@query(FLAT + ", x AS (SELECT * FROM f WHERE p_size = 50) SELECT DISTINCT id FROM f WHERE EXISTS (SELECT 1 FROM x WHERE f.path = x.path OR starts_with(f.path, x.path || '/') OR (f.is_directory AND f.inode = x.inode))")
+@query(
+    FLAT
+    + """, x AS (SELECT CASE id % 3 WHEN 0 THEN 'a' || (id % 5) || '/b' || (id % 50) ELSE path END AS path, inode + CASE WHEN id % 3 = 1 THEN 1000 ELSE 0 END AS inode FROM f WHERE p_size = 50)
+SELECT DISTINCT id FROM f WHERE EXISTS (SELECT 1 FROM x WHERE starts_with(f.path, x.path || '/') OR (f.is_directory AND f.path = x.path AND f.inode = x.inode))"""
+)
 def failed_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failed directories: some are parents of many rows, some a row itself, some a row's path with another inode."""
     flat = _flat(spark, sf_dir)
     failed = flat.join(table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("id")), "id", "left_semi")
+    n = F.col("id") % 3
+    failed = failed.withColumns({"path": F.when(n == 0, paths.parent(F.col("path"))).otherwise(F.col("path")), "inode": F.col("inode") + F.when(n == 1, 1000).otherwise(0)})
     return gates.failed_subtrees(flat, failed, "id")
 
 
-@query(
+def _objects(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Queued and read objects, stored ones, and the root: two thirds and a fifteenth of ``part``."""
+    i = F.col("id")
+    own = nodes(spark, sf_dir).select("id", F.when(i % 23 != 4, F.col("parent_id")).alias("parent_id"), (i % 40 == 7).alias("removed"), (i % 44 == 9).alias("trashed"))
+    fetched = own.where("id % 3 = 1 and id % 17 <> 6").withColumn("removed", F.lit(False))
+    return own.where("id % 3 = 0"), fetched, own.where("id % 15 = 5").select("id"), root(spark)
+
+
+OBJECTS = (
     NODES
-    + """, k AS (SELECT id, CASE WHEN id % 40 = 7 THEN 'outside' ELSE 'inside' END AS scope FROM n WHERE id % 40 IN (7, 9) OR id = 0), m AS (SELECT * FROM n WHERE id % 17 <> 6),
-t AS (SELECT m.id, k.scope FROM m JOIN k USING (id) UNION ALL SELECT m.id, t.scope FROM m JOIN t ON m.parent_id = t.id WHERE m.id NOT IN (SELECT id FROM k))
-SELECT n.id, coalesce(t.scope, 'unknown') AS scope FROM n LEFT JOIN t USING (id)"""
+    + """, own AS (SELECT id, CASE WHEN id % 23 <> 4 THEN parent_id END AS parent_id, id % 40 = 7 AS removed, id % 44 = 9 AS trashed FROM n),
+r AS (SELECT * FROM own WHERE id % 3 = 0 UNION ALL SELECT id, parent_id, false, trashed FROM own WHERE id % 3 = 1 AND id % 17 <> 6), k AS (SELECT id FROM own WHERE id % 15 = 5 UNION SELECT 0)
+"""
+)
+
+
+@query(
+    OBJECTS
+    + """, s AS (SELECT id, 'inside' AS scope FROM k UNION ALL SELECT id, 'outside' FROM r WHERE id NOT IN (SELECT id FROM k) AND (removed OR trashed OR parent_id IS NULL)),
+t AS (SELECT id, scope FROM s UNION ALL SELECT r.id, t.scope FROM r JOIN t ON r.parent_id = t.id WHERE r.id NOT IN (SELECT id FROM s))
+SELECT own.id, coalesce(t.scope, 'unknown') AS scope FROM own LEFT JOIN t USING (id) WHERE own.id % 3 = 0"""
 )
 def scope_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = nodes(spark, sf_dir)
-    return tree.scope(own, own.where("id % 17 <> 6"), own.where("id % 40 = 9 or id = 0"), own.where("id % 40 = 7"))
+    return tree.scope(*_objects(spark, sf_dir))
+
+
+@query(OBJECTS + "SELECT DISTINCT parent_id AS id FROM r WHERE NOT removed AND NOT trashed AND parent_id IS NOT NULL AND parent_id NOT IN (SELECT id FROM r UNION SELECT id FROM k) ORDER BY 1 LIMIT 64")
+def scope_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parents to read next; 64 in a run is the feature."""
+    return tree.to_probe(*_objects(spark, sf_dir))
 
 
 @query(NODES + ", t AS (SELECT id FROM n WHERE size = 9 UNION ALL SELECT n.id FROM n JOIN t ON n.parent_id = t.id) SELECT 'nodes' AS kind, count(*) AS n FROM n WHERE id NOT IN (SELECT id FROM t) UNION ALL SELECT 'lineitem', count(*) FROM lineitem WHERE l_partkey NOT IN (SELECT id FROM t)")

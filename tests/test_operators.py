@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from concordat.functions import paths, text, transfer
-from concordat.operators import diff, feed, gates, issues, metrics, operations, store, tree
+from concordat.operators import diff, feed, gates, issues, metrics, operations, pacing, reconcile, store, tree
 
 
 def plan(df):
@@ -184,3 +184,77 @@ def test_permits(spark):
 def test_wave(spark):
     jobs = spark.createDataFrame([(k, "pending" if k % 2 else "complete") for k in range(300)], "id long, state string")
     assert [feed.wave(jobs, n).count() for n in (0, 5, 1000)] == [1, 5, 64]
+
+
+OBJECT = "id long, name string, parent_remote long, sha256 string, size long, version long, status string, phase string, excluded boolean, remote_generation long, dirty_generation long"
+SEEN = "id long, name string, parent_remote long, sha256 string, size long, version long, removed boolean, trashed boolean, scope string, placeable boolean"
+
+
+def test_remote_observations(spark):
+    stored = [(k, f"n{k}", p, "h", 1, 5, "present", "committed", k == 8, 0, 0) for k, p in ((1, None), (2, 1), (3, 2), (4, 3), (5, 1), (6, 1), (7, 6), (8, 1), (9, 1))]
+    seen = [
+        (2, None, None, None, None, None, True, False, "unknown", False),  # removed: it and all below is excluded, its status stays
+        (5, "n5", 1, None, None, 1, False, True, "inside", True),  # trashed, though older
+        (6, "n6", 1, "g", 2, 4, False, False, "inside", True),  # stale
+        (7, "moved", 1, "g", 2, None, False, False, "inside", True),  # no version: written
+        (8, "n8", 1, "g", 2, 6, False, False, "inside", True),  # was excluded, comes back
+        (9, "n9", 1, "g", 2, 6, False, False, "unknown", True),  # excluded, stays queued
+        (20, "a", 1, "g", 2, 1, True, False, "unknown", False), (21, "a", 1, "g", 2, 1, False, True, "inside", True), (22, "a", 1, "g", 2, 1, False, False, "outside", True),  # not stored: no rows
+        (23, "new", 1, "g", 2, 1, False, False, "inside", True), (24, "bad/name", 1, "g", 2, 1, False, False, "inside", False),
+    ]
+    seen = spark.createDataFrame(seen, SEEN)
+    out = feed.exclude_below(feed.apply_observations(spark.createDataFrame(stored, OBJECT), seen, "id"), "id")
+    got = {r.id: (r.effect, r.status, r.phase, r.excluded, r.remote_generation, r.dirty_generation) for r in out.collect()}
+    assert got == {
+        1: ("kept", "present", "committed", False, 0, 0), 2: ("excluded", "present", "committed", True, 0, 0), 3: ("kept", "present", "committed", True, 0, 0), 4: ("kept", "present", "committed", True, 0, 0),
+        5: ("trashed", "trashed", "ready", False, 0, 1), 6: ("stale", "present", "committed", False, 0, 0), 7: ("updated", "present", "ready", False, 1, 1), 8: ("updated", "present", "ready", False, 1, 1),
+        9: ("excluded", "present", "committed", True, 0, 0), 23: ("inserted", "present", "ready", False, 1, 1),
+    }
+    assert sorted(r.id for r in feed.still_queued(seen).collect()) == [9, 24]
+
+
+def test_the_root_is_never_missing(spark):
+    rows = spark.createDataFrame([(1, None, "root", "present", 0, 0, "committed"), (2, 1, "a", "present", 0, 0, "committed"), (3, 1, "b", "present", 0, 0, "committed")], "item_id long, parent_id long, name string, local_status string, local_generation long, dirty_generation long, phase string")
+    seen = spark.createDataFrame([(1, "a")], "parent_id long, name string")
+    assert [r.item_id for r in diff.missing(rows, seen).collect()] == [3]
+
+
+def test_failed_directories_block_what_is_below(spark):
+    rows = spark.createDataFrame([(1, "other", 1, 9, True), (2, "a/b", 1, 8, True), (3, "a/b/c", 1, 7, False), (4, "a/bc", 1, 6, False), (5, "a/b", 1, 9, True)], "id long, path string, device long, inode long, is_directory boolean")
+    failed = spark.createDataFrame([("a/b", 1, 9)], "path string, device long, inode long")
+    assert sorted(r.id for r in gates.failed_subtrees(rows, failed, "id").collect()) == [3, 5]
+
+
+def test_scope(spark):
+    kind = "id long, parent_id long, removed boolean, trashed boolean"
+    queued = spark.createDataFrame([(10, 1, False, False), (11, 10, False, False), (12, None, False, False), (13, 12, False, False), (14, 1, True, False), (15, 14, False, False), (16, 99, False, False), (17, 18, False, False), (18, 17, False, False), (2, 77, False, False), (19, 30, False, False)], kind)
+    fetched = spark.createDataFrame([(30, 31, False, True), (10, None, False, False)], kind)
+    known, root = spark.createDataFrame([(1,), (2,)], "id long"), spark.createDataFrame([(0,)], "id long")
+    got = {r.id: r.scope for r in tree.scope(queued, fetched, known, root).collect()}
+    assert got == {10: "inside", 11: "inside", 12: "outside", 13: "outside", 14: "outside", 15: "outside", 16: "unknown", 17: "unknown", 18: "unknown", 2: "unknown", 19: "outside"}
+    assert [r.id for r in tree.to_probe(queued, fetched, known, root).collect()] == [77, 99]
+
+
+def test_a_blocked_upload_stays_dirty(spark):
+    cols = "id long, base_sha256 string, base_size long, local_status string, local_sha256 string, local_size long, remote_status string, remote_sha256 string, remote_size long, remote_id string, pending_create string, phase string, local_generation long, remote_generation long, dirty_generation long"
+    rows = [(1, "b", 1, "present", "l", 2, "present", "b", 1, "r1", None, "ready", 1, 1, 3), (2, None, None, "present", "x", 4, "present", "X", 4, "r2", None, "ready", 1, 1, 3), (3, "b", 1, "present", "b", 1, "present", "b", 1, "r3", None, "ready", 1, 1, 3)]
+    items = spark.createDataFrame(rows, cols)
+    applied = reconcile.apply_decisions(reconcile.decide(items))
+    got = {r.id: (r.decision, r.new_phase, r.new_dirty_generation, r.work) for r in applied.collect()}
+    assert got == {1: ("upload", "blocked", 3, "safetyBlocked"), 2: ("matchUpdateBaseline", "committed", 0, None), 3: ("unchanged", "committed", 0, None)}
+    later = items.withColumn("remote_generation", F.when(F.col("id") == 3, 2).otherwise(F.col("remote_generation")).cast("long"))
+    done = {r.id: (r.phase, r.base_sha256, r.outcome) for r in reconcile.commit_decisions(later, applied, "id").collect()}
+    assert done == {1: ("blocked", "b", "applied"), 2: ("committed", "x", "applied"), 3: ("ready", "b", "stale")}
+
+
+def test_stalls(spark):
+    offsets = [(1, n, o) for n, o in enumerate([0, 0, 5, 5, 5, 3, 3])] + [(2, n, o) for n, o in enumerate([10, 5, 3])]
+    rows = metrics.stalled(spark.createDataFrame(offsets, "g long, n long, o long"), ["g"], ["n"], "o").orderBy("g", "n").collect()
+    assert [r.stalled for r in rows] == [False, True, False, False, True, False, False, False, False, False]
+    assert [r.went_back for r in rows] == [False] * 5 + [True, False] + [False, True, True]
+
+
+def test_refills(spark):
+    need = lambda n, held: one(spark, pacing.refills(F.lit(n), F.lit(held)))
+    assert [need(1000, 0), need(1001, 0), need(5, 5), need(5, 900), need(2500, 400)] == [1, 2, 0, 0, 3]
+    assert one(spark, pacing.prefetches(F.lit(199))) and not one(spark, pacing.prefetches(F.lit(200)))
