@@ -66,6 +66,13 @@ def rebased(path: Column, old: Column, new: Column) -> Column:
     return F.when(within(path, old), F.concat(new, F.substring(path, F.length(old) + 1, F.length(path)))).otherwise(path)
 
 
+def stays_below(root: Column, path: Column) -> Column:
+    """Whether ``root``/``path`` is lexically a place below ``root`` (links on disk are not looked at)."""
+    root = normalised(root)
+    whole = normalised(F.concat(root, F.lit("/"), path))
+    return within(whole, root) & (whole != root)
+
+
 def not_version_control(path: Column) -> Column:
     """Whether a scan keeps the path: the folder .git and all below it are left out."""
     return ~((path == ".git") | path.startswith(".git/"))

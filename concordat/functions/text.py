@@ -24,6 +24,16 @@ def same_digest(a: Column, b: Column) -> Column:
     return F.lower(a) == F.lower(b)
 
 
+def range_digest(content: Column, offset: Column, length: Column) -> Column:
+    """SHA-256 of ``length`` bytes of the content from ``offset``; of fewer where it ends before."""
+    return F.sha2(F.substring(content.cast("binary"), offset + 1, length), 256)
+
+
+def epoch_seconds(at: Column) -> Column:
+    """A timestamp as seconds since 1970, the form in which rows keep their times."""
+    return F.unix_micros(at.cast("timestamp")) / 1e6
+
+
 def missing(value: Column) -> Column:
     """No evidence: null or empty."""
     return value.isNull() | (value == "")
@@ -46,11 +56,6 @@ def name_key(names: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(seen)
 
 
-def whole_number(text: Column) -> Column:
-    """A long from text, null where it is none."""
-    return text.try_cast("bigint")
-
-
 def subject_key(item: Column, remote: Column, path: Column) -> Column:
     """What an issue is about: the item if known, else the remote object, else the path."""
     return F.when(item.isNotNull(), F.concat(F.lit("item:"), item.cast("string"))).when(remote.isNotNull(), F.concat(F.lit("remote:"), remote)).otherwise(F.concat(F.lit("path:"), path))

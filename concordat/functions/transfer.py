@@ -11,6 +11,8 @@ RANGE_PREFIX = "bytes=0-"
 RATE_REASONS = ("userRateLimitExceeded", "rateLimitExceeded", "quotaExceeded", "sharingRateLimitExceeded", "dailyLimitExceeded")
 MAX_BACKOFF = 16.0
 RETRIES = 5
+REASON_WAIT = 2.0
+TRANSIENT = (500, 502, 504)
 
 
 def confirmed_offset(header: Column, total: Column) -> Column:
@@ -43,6 +45,22 @@ def rate_limit(status: Column, body: Column) -> Column:
     return F.when(status == 429, "429").when(status == 503, "503").when(status == 403, F.when(parsed.isin(*RATE_REASONS), parsed).otherwise(mentioned))
 
 
+def answer(status: Column, body: Column) -> Column:
+    """What an answer asks for: a pause (``rateLimited``), another try (``transient``), or null."""
+    return F.when(rate_limit(status, body).isNotNull(), "rateLimited").when(status.isin(*TRANSIENT), "transient")
+
+
+def asked_wait(status: Column, body: Column, retry_after: Column) -> Column:
+    """Seconds that the answer itself asks to wait: a limiting 403 without a header asks for two."""
+    limited = (status == 403) & rate_limit(status, body).isNotNull()
+    return F.coalesce(retry_after, F.when(limited, F.lit(REASON_WAIT)))
+
+
+def may_resume(size: Column, sha256: Column, session_size: Column, session_sha256: Column) -> Column:
+    """Whether an unfinished transfer goes on: its session is for the same size and content."""
+    return F.coalesce((size == session_size) & (F.lower(sha256) == F.lower(session_sha256)), F.lit(False))
+
+
 def backoff(attempt: Column, retry_after: Column, jitter: Column) -> Column:
     """Seconds to wait after a limited request; the jitter (0.2 to 0.8) is an input."""
     return F.greatest(F.coalesce(retry_after, F.lit(0.0)), F.least(F.lit(MAX_BACKOFF), F.pow(F.lit(2.0), attempt) + jitter))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IDENTITY = ("device", "inode", "mtime", "ctime", "size")
@@ -41,6 +41,11 @@ def same_version(a: str, b: str) -> Column:
     return fields(a).eqNullSafe(fields(b))
 
 
+def trusted_digest(before: str, after: str, digest: Column) -> Column:
+    """A digest counts only if the file was the same version before and after it was read."""
+    return F.when(same_version(before, after), digest)
+
+
 def renames(scan: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame:
     """For each scan row, the stored item it is: (scan_id, item_id, how).
 
@@ -115,6 +120,11 @@ def verify_upload() -> Column:
     return F.when(F.col("size").isNotNull() & (F.col("size") != F.col("expected_size")), "size").when(~F.coalesce(F.lower("sha256") == F.lower("expected_sha256"), F.lit(False)), "checksum")
 
 
+def links_in_order(items: DataFrame) -> DataFrame:
+    """``items`` with link: their place (from 1) among the links of their inode, by item_id."""
+    return items.withColumn("link", F.row_number().over(Window.partitionBy("device", "inode").orderBy("item_id")))
+
+
 def links(items: DataFrame) -> DataFrame:
     """(device, inode, links, first_item): how often each inode is linked, without gathering the links."""
     return items.groupBy("device", "inode").agg(F.count("*").alias("links"), F.min("item_id").alias("first_item"))

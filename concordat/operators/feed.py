@@ -143,14 +143,26 @@ def pending_count(inbox: DataFrame, scans: DataFrame, unknown: DataFrame, exclud
 
 
 def name_conflicts(inbox: DataFrame, items: DataFrame) -> DataFrame:
-    """Queued changes whose folded name another item of the same parent already has.
+    """(remote_id, name, parent_id): queued changes whose folded name is taken in their folder, once each.
 
-    ``inbox``: remote_id, parent_remote, name_key; ``items``: item_id, remote_id, parent_id, name_key.
-    Both joins are on columns that stand in the inputs, so they are hash joins.
+    ``inbox``: remote_id, parent_remote, name, name_key; ``items``: item_id, remote_id, parent_id, name,
+    name_key.  Taken means: by an item of another remote object, or by one of none that is spelt
+    differently.  Items are counted by place before they meet the changes, so no pairs are formed.
     """
+    place = ["parent_id", "name_key"]
     parents = items.select(F.col("item_id").alias("parent_id"), F.col("remote_id").alias("parent_remote"))
-    siblings = items.select(F.col("item_id").alias("sibling_id"), "parent_id", "name_key", F.col("remote_id").alias("sibling_remote"))
-    return inbox.join(parents, "parent_remote").join(siblings, ["parent_id", "name_key"]).where(~F.col("sibling_remote").eqNullSafe(F.col("remote_id"))).select("remote_id", "sibling_id", "parent_id", "name_key").distinct()
+    wanted = inbox.join(parents, "parent_remote").select("remote_id", "name", *place).distinct()
+    taken = items.groupBy(*place).agg(F.count("remote_id").alias("remote"), F.count_if(F.col("remote_id").isNull()).alias("local"))
+    own = items.where("remote_id is not null").groupBy(*place, "remote_id").agg(F.count("*").alias("own"))
+    spelt = items.where("remote_id is null").groupBy(*place, "name").agg(F.count("*").alias("spelt"))
+    met = wanted.join(taken, place).join(own, [*place, "remote_id"], "left").join(spelt, [*place, "name"], "left")
+    none = F.lit(0)
+    return met.where((F.col("remote") > F.coalesce("own", none)) | (F.col("local") > F.coalesce("spelt", none))).select("remote_id", "name", "parent_id")
+
+
+def lookup(wanted: DataFrame, objects: DataFrame, key: str) -> DataFrame:
+    """The wanted keys with what is known of them and outcome: found, or notFound."""
+    return wanted.select(key).join(objects.withColumn("_found", F.lit(True)), key, "left").withColumn("outcome", F.when(F.col("_found"), "found").otherwise("notFound")).drop("_found")
 
 
 def advance(jobs: DataFrame, pages: DataFrame, key: str = "id") -> DataFrame:

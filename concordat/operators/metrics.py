@@ -79,13 +79,33 @@ def batches(rows: DataFrame, by: list[str], order: list[str], chunk: int = CHUNK
     return rows.withColumn("batch", F.when(n < ALONE_FIRST, 0).otherwise(1 + F.floor((n - ALONE_FIRST) / chunk)).cast("bigint"))
 
 
+def observation_batches(entries: DataFrame, by: list[str], order: list[str], is_directory: str, chunk: int = CHUNK) -> DataFrame:
+    """The files of a scan with segment and chunk: which commit takes them.
+
+    The first file goes alone; a directory commits what was gathered before it; the others go in chunks.
+    """
+    w = Window.partitionBy(*by).orderBy(*order)
+    marked = entries.withColumn("segment", F.sum(F.col(is_directory).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    files = marked.where(~F.col(is_directory))
+    first = F.row_number().over(w) == 1
+    alone = files.withColumn("_alone", first)
+    place = F.row_number().over(Window.partitionBy(*by, "segment", "_alone").orderBy(*order)) - 1
+    return alone.withColumn("chunk", F.when(F.col("_alone"), F.lit(-1)).otherwise(F.floor(place / chunk)).cast("bigint")).drop("_alone")
+
+
+def transfers_in_order(transfers: DataFrame) -> DataFrame:
+    """Running and queued transfers of each direction in the order in which they began, with their place."""
+    return transfers.withColumn("place", F.row_number().over(Window.partitionBy("direction", "state").orderBy("began", "id")))
+
+
 def run_statistics(actions: DataFrame) -> DataFrame:
-    """One row: counts and bytes by action, failures, and work left, in one partial aggregate."""
+    """One row: counts and bytes by action, failures, issues, and work left, in one partial aggregate."""
     a = F.col("action")
     count = lambda *names: F.count_if(a.isin(*names))
     size = lambda *names: F.coalesce(F.sum(F.when(a.isin(*names), F.col("bytes"))), F.lit(0)).cast("bigint")
     return actions.agg(
         count("upload").alias("uploaded"), size("upload").alias("uploaded_bytes"), count("download").alias("downloaded"), size("download").alias("downloaded_bytes"),
+        count("scanned", "skipped").alias("scanned"), count("skipped").alias("skipped"), count("directoryCreated").alias("directories_created"), count("issue").alias("issues"), count("nameConflict").alias("name_conflicts"),
         count("trashRemote", "deleteLocal").alias("deleted"), count("conflict").alias("conflicts"), count("failed", "scanFailed").alias("failures"),
         (F.greatest(count("pending"), F.max(F.when(a == "enumerated", 1).otherwise(0))) + count("conflict")).alias("remote_work_pending"),
     )

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .pacing import numbered
+
 # Fixed values.
 TYPES = ("createDirectory", "uploadMultipart", "uploadResumable", "trashRemote", "deleteLocal")
 STATES = ("ready", "inFlight", "verify", "unknownOutcome", "completed", "failed")
@@ -49,5 +51,11 @@ def cleanup_conflicts(wanted: DataFrame, operations: DataFrame, item: str) -> Da
     return wanted.join(active, item).where(~F.col("payload").eqNullSafe(F.col("active_payload")))
 
 
-def oldest_first(operations: DataFrame) -> DataFrame:
-    return operations.where(F.col("state").isin(*ACTIVE)).orderBy("created_at", "operation_id")
+def to_replay(operations: DataFrame, types: tuple[str, ...] = TYPES) -> DataFrame:
+    """Active operations with turn: the order in which they are taken up again, the oldest first."""
+    return numbered(operations.where(F.col("state").isin(*ACTIVE) & F.col("operation_type").isin(*types)), ["created_at", "operation_id"], 1, ident="turn")
+
+
+def staged_items(items: DataFrame, staged: DataFrame, key: str) -> DataFrame:
+    """Items of a staged table of ids, in which an id may stand several times."""
+    return items.join(staged.select(key).distinct(), key, "left_semi")

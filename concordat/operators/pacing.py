@@ -9,11 +9,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.sources.workspace import Workspace
+
 from .metrics import RATE_LIMIT, RATE_WINDOW_US
 
 # Fixed values.
 ID_BATCH, LOW_WATER = 1000, 200
 SAMPLE_US = 500_000
+WRITER_CAPACITY, WRITER_TIMEOUT_US = 256, 5_000
 
 
 def _permit(limit: int, width_us: int):
@@ -63,14 +66,48 @@ def prefetches(held: Column) -> Column:
     return held < LOW_WATER
 
 
-def numbered(rows: DataFrame, order: list[str], first: int, groups: int = 64) -> DataFrame:
-    """Add id: consecutive numbers from ``first`` in ``order``, without one task that holds all rows.
+def numbered(rows: DataFrame, order: list[str], first: int, groups: int = 64, ident: str = "id") -> DataFrame:
+    """Add ``ident``: consecutive numbers from ``first`` in ``order``, without one task that holds all rows.
 
-    Rows are range partitioned; the sizes of the ranges (as many as partitions) are summed up, and each
-    range numbers its own rows.
+    Rows are range partitioned and written, so that counts and numbers come from the same ranges; the
+    sizes of the ranges (as many as partitions) are summed up, and each range numbers its own rows.
     """
-    ranged = rows.repartitionByRange(groups, *order).withColumn("_range", F.spark_partition_id())
+    ranged = Workspace(rows.sparkSession, "numbered").save(rows.repartitionByRange(groups, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
     before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))
-    return ranged.withColumn("_own", own).join(F.broadcast(before), "_range").withColumn("id", (F.col("_before") + F.col("_own") + (first - 1)).cast("bigint")).drop("_range", "_own", "_before")
+    placed = ranged.withColumn("_own", own).join(F.broadcast(before), "_range")
+    return placed.withColumn(ident, (F.col("_before") + F.col("_own") + (first - 1)).cast("bigint")).drop("_range", "_own", "_before")
+
+
+def _flush(capacity: int, timeout_us: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        writer, number, held, since = None, 0, 0, 0
+        for batch in batches:
+            flushes, reasons = [], []
+            for own, at, now in zip(*(batch.column(c).to_pylist() for c in ("writer", "at_us", "immediate")), strict=True):
+                if own != writer:
+                    writer, number, held = own, 0, 0
+                if held and at - since >= timeout_us:  # what waits is written before the next arrives
+                    number, held = number + 1, 0
+                since = since if held else at
+                held += 1
+                flushes.append(number)
+                reasons.append("immediate" if now else "capacity" if held >= capacity else None)
+                if reasons[-1]:
+                    number, held = number + 1, 0
+            yield pa.RecordBatch.from_pydict({"writer": batch.column("writer"), "write": batch.column("write"), "at_us": batch.column("at_us"), "flush": pa.array(flushes, pa.int64()), "closed_by": pa.array(reasons, pa.string())})
+
+    return run
+
+
+def flushes(writes: DataFrame, capacity: int = WRITER_CAPACITY, timeout_us: int = WRITER_TIMEOUT_US) -> DataFrame:
+    """(writer, write, at_us, flush, closed_by): which group commit takes each write.
+
+    A commit is closed by the write that fills it (capacity), by one that must not wait (immediate), or
+    when its first write has waited for ``timeout_us``; then closed_by is null in all its rows.  Writes
+    stream through sorted partitions; a task remembers one open commit.
+    """
+    dealt = writes.select(F.col("writer").cast("long"), F.col("write").cast("long"), F.col("at_us").cast("long"), F.coalesce("immediate", F.lit(False)).alias("immediate"))
+    dealt = dealt.repartition("writer").sortWithinPartitions("writer", "at_us", "write")
+    return dealt.mapInArrow(_flush(capacity, timeout_us), "writer long, write long, at_us long, flush long, closed_by string")

@@ -23,8 +23,15 @@ PENDING_CREATE = "Restore persistent small file creation intent"
 
 
 def align(baseline: DataFrame, local: DataFrame, remote: DataFrame, key: str) -> DataFrame:
-    """One row for each key of any side: two full outer joins on one key, so one shuffle a side."""
-    return baseline.join(local, key, "full_outer").join(remote, key, "full_outer")
+    """One row for each key of any side, which holds a key once: a union, and one shuffle on the key."""
+    names = [c for side in (baseline, local, remote) for c in side.columns if c != key]
+    stacked = baseline.unionByName(local, allowMissingColumns=True).unionByName(remote, allowMissingColumns=True)
+    return stacked.groupBy(key).agg(*[F.first(c, ignorenulls=True).alias(c) for c in names])
+
+
+def dirty(items: DataFrame) -> DataFrame:
+    """Items to decide on: changed since they were settled and not held back."""
+    return items.where("dirty_generation > 0 and phase <> 'blocked'")
 
 
 def changes() -> dict[str, Column]:

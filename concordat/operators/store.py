@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .tree import subtree
 
 
-def upsert(current: DataFrame, incoming: DataFrame, key: list[str], bump: str | None = None, keep_first: tuple[str, ...] = (), guard: Column | None = None) -> DataFrame:
+def upsert(current: DataFrame, incoming: DataFrame, key: list[str], bump: str | None = None, keep_first: tuple[str, ...] = (), keep_known: tuple[str, ...] = (), guard: Column | None = None) -> DataFrame:
     """``current`` after ``incoming`` (one row a key): inserted or updated rows, with column effect.
 
     ``bump`` grows by one on update and is one on insert; ``keep_first`` columns keep an existing
-    value; ``guard`` (over current and new_* columns) must hold for an update, else the row stays and
+    value, ``keep_known`` ones keep it where the new one is null; ``guard`` (over current and new_* columns) must hold for an update, else the row stays and
     effect is ``refused``.
     """
     cols = [c for c in current.columns if c not in key and c != bump]
@@ -26,7 +26,8 @@ def upsert(current: DataFrame, incoming: DataFrame, key: list[str], bump: str |
     def value(c: str) -> Column:
         if c not in incoming.columns:
             return F.col(c)
-        fresh = F.coalesce(F.col(c), F.col(f"new_{c}")) if c in keep_first else F.col(f"new_{c}")
+        order = (c, f"new_{c}") if c in keep_first else (f"new_{c}", c)
+        fresh = F.coalesce(*order) if c in keep_first or c in keep_known else F.col(f"new_{c}")
         return F.when(write, fresh).otherwise(F.col(c)).alias(c)
 
     bumped = [(F.coalesce(F.col(bump), F.lit(0)) + write.cast("int")).cast("bigint").alias(bump)] if bump else []

@@ -8,12 +8,17 @@ its result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from concordat.functions.paths import depth, rebased, within
 from concordat.sources.workspace import Workspace
 
+from .pacing import numbered
+
 #: Steps after which a chain counts as endless.
 MAX_DEPTH = 128
 
@@ -131,8 +136,36 @@ def remove(tree: DataFrame, path: str) -> DataFrame:
 
 
 def by_depth(tree: DataFrame, deepest_first: bool) -> DataFrame:
+    """``tree`` with turn: parents before children (to create), or children before parents (to delete)."""
     at = depth(F.col("path"))
-    return tree.orderBy(at.desc() if deepest_first else at.asc(), "path")
+    leveled = tree.withColumn("_level", -at if deepest_first else at)
+    return numbered(leveled, ["_level", "path"], 1, ident="turn").drop("_level")
+
+
+def longest_first(paths: DataFrame) -> DataFrame:
+    """Paths with turn: the longest first, so that nothing is removed before what it holds."""
+    return numbered(paths.withColumn("_length", -F.length("path")), ["_length", "path"], 1, ident="turn").drop("_length")
+
+
+def traverse(start: DataFrame, listing: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(id, parent_id, name, is_directory, path, depth) of all that listings lead to from ``start`` (id).
+
+    ``listing`` gives the children (parent_id, id, name, is_directory) of the folders (id) it is given.
+    A level is listed in one job and written before the next; an object met before is not followed
+    again, so a cycle ends.
+    """
+    work, depth_, found = Workspace(start.sparkSession, "traverse"), 0, []
+    level = work.save(start.select("id", F.lit("").alias("path")).distinct(), "level-0")
+    seen = level.select("id")
+    while not level.limit(1).isEmpty():
+        depth_ += 1
+        children = listing(level.select("id")).join(level.select(F.col("id").alias("parent_id"), F.col("path").alias("_above")), "parent_id")
+        children = children.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("parent_id", "name", "is_directory", "_above")).alias("c")).select("id", "c.*")
+        path = F.when(F.col("_above") == "", F.col("name")).otherwise(F.concat_ws("/", "_above", "name"))
+        own = work.save(children.select("id", "parent_id", "name", "is_directory", path.alias("path"), F.lit(depth_).alias("depth")), f"found-{depth_}")
+        found.append(own)
+        level, seen = own.where("is_directory").select("id", "path"), seen.union(own.select("id"))
+    return reduce(DataFrame.union, found)
 
 
 def barrier_groups(events: DataFrame, partition: str, order: list[str], is_barrier: str) -> DataFrame:

@@ -146,15 +146,18 @@ def barrier_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     EVENTS
-    + """, q AS (SELECT DISTINCT event_id AS remote_id, k % 20 AS parent_remote, nfc_normalize(lower(event_type)) AS name_key FROM e), i AS (SELECT p_partkey AS item_id, p_partkey AS remote_id, p_partkey // 4 AS parent_id, CASE p_partkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'x' END AS name_key FROM part)
-SELECT DISTINCT q.remote_id, s.item_id AS sibling_id, s.parent_id, s.name_key FROM q JOIN i p ON q.parent_remote = p.remote_id JOIN i s ON s.parent_id = p.item_id AND s.name_key = q.name_key WHERE s.remote_id <> q.remote_id"""
+    + """, q AS (SELECT DISTINCT event_id AS remote_id, k % 20 AS parent_remote, upper(event_type) AS name, nfc_normalize(lower(event_type)) AS name_key FROM e),
+i AS (SELECT p_partkey AS item_id, CASE WHEN p_partkey % 4 <> 1 THEN p_partkey END AS remote_id, p_partkey // 4 AS parent_id, CASE WHEN p_partkey % 8 = 1 THEN upper(name_key) ELSE name_key END AS name, name_key
+  FROM (SELECT *, CASE p_partkey % 3 WHEN 0 THEN 'click' WHEN 1 THEN 'view' ELSE 'x' END AS name_key FROM part))
+SELECT DISTINCT q.remote_id, q.name, s.parent_id FROM q JOIN i p ON q.parent_remote = p.remote_id JOIN i s ON s.parent_id = p.item_id AND s.name_key = q.name_key WHERE s.remote_id <> q.remote_id OR (s.remote_id IS NULL AND s.name <> q.name)"""
 )
 def name_conflict_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = events(spark, sf_dir)
-    keys = own.select("event_type").distinct().withColumn("name_key", name_key(F.upper("event_type")))
-    inbox = own.join(keys, "event_type").select(F.col("event_id").alias("remote_id"), (F.col("k") % 20).alias("parent_remote"), "name_key")
+    own = events(spark, sf_dir).withColumn("name", F.upper("event_type"))
+    keys = own.select("name").distinct().withColumn("name_key", name_key("name"))
+    inbox = own.join(keys, "name").select(F.col("event_id").alias("remote_id"), (F.col("k") % 20).alias("parent_remote"), "name", "name_key")
     k = F.col("p_partkey")
-    items = table(spark, sf_dir, "part").select(k.alias("item_id"), k.alias("remote_id"), F.floor(k / 4).alias("parent_id"), F.when(k % 3 == 0, "click").when(k % 3 == 1, "view").otherwise("x").alias("name_key"))
+    key = F.when(k % 3 == 0, "click").when(k % 3 == 1, "view").otherwise("x")
+    items = table(spark, sf_dir, "part").select(k.alias("item_id"), F.when(k % 4 != 1, k).alias("remote_id"), F.floor(k / 4).alias("parent_id"), F.when(k % 8 == 1, F.upper(key)).otherwise(key).alias("name"), key.alias("name_key"))
     return feed.name_conflicts(inbox, items)
 
 
@@ -249,12 +252,23 @@ def stalled_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stalled(offsets, ["user_id"], ["event_id"], "offset").select("event_id", "went_back", "stalled")
 
 
-@query(EVENTS + "SELECT event_id, CASE k % 6 WHEN 0 THEN '429' WHEN 1 THEN '503' WHEN 2 THEN 'quotaExceeded' WHEN 3 THEN 'rateLimitExceeded' WHEN 5 THEN 'userRateLimitExceeded' END AS reason, k % 6 = 4 AND event_id % 2 = 0 AS rejected FROM e")
+@query(
+    EVENTS
+    + """SELECT event_id, CASE k % 7 WHEN 0 THEN '429' WHEN 1 THEN '503' WHEN 2 THEN 'quotaExceeded' WHEN 3 THEN 'rateLimitExceeded' WHEN 5 THEN 'userRateLimitExceeded' END AS reason, k % 7 = 4 AND event_id % 2 = 0 AS rejected,
+ CASE WHEN k % 7 IN (0, 1, 2, 3, 5) THEN 'rateLimited' WHEN k % 7 = 6 THEN 'transient' END AS answer, CASE WHEN event_id % 3 = 0 THEN 7.5 WHEN k % 7 IN (2, 3, 5) THEN 2.0 END::DOUBLE AS asked_wait FROM e"""
+)
 def rate_limit_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("k") % 6
-    status = F.when(n == 0, 429).when(n == 1, 503).when(n == 4, F.when(F.col("event_id") % 2 == 0, 400).otherwise(404)).otherwise(403)
-    body = F.when(n == 2, '{"error": {"errors": [{"reason": "quotaExceeded"}], "message": "userRateLimitExceeded"}}').when(n == 3, "plain rateLimitExceeded and dailyLimitExceeded").when(n == 4, "Invalid PageToken").when(n == 5, '{"error": {"errors": [{"reason": "other userRateLimitExceeded"}]}}')
-    return events(spark, sf_dir).select("event_id", transfer.rate_limit(status, body).alias("reason"), F.coalesce(feed.cursor_rejected(status, body), F.lit(False)).alias("rejected"))
+    n = F.col("k") % 7
+    status = F.when(n == 0, 429).when(n == 1, 503).when(n == 4, F.when(F.col("event_id") % 2 == 0, 400).otherwise(404)).when(n == 6, F.when(F.col("event_id") % 2 == 0, 500).otherwise(504)).otherwise(403)
+    body = (
+        F.when(n == 2, '{"error": {"errors": [{"reason": "quotaExceeded"}], "message": "userRateLimitExceeded"}}').when(n == 3, "plain rateLimitExceeded and dailyLimitExceeded")
+        .when(n == 4, "Invalid PageToken").when(n == 5, '{"error": {"errors": [{"reason": "other userRateLimitExceeded"}]}}')
+    )
+    header = F.when(F.col("event_id") % 3 == 0, 7.5)
+    return events(spark, sf_dir).select(
+        "event_id", transfer.rate_limit(status, body).alias("reason"), F.coalesce(feed.cursor_rejected(status, body), F.lit(False)).alias("rejected"),
+        transfer.answer(status, body).alias("answer"), transfer.asked_wait(status, body, header).alias("asked_wait"),
+    )
 
 
 @query(EVENTS + "SELECT event_id, round(greatest(CASE WHEN k % 3 = 0 THEN k::DOUBLE ELSE 0 END, least(16.0, pow(2, event_id % 7) + 0.2 + (k % 7) / 10.0)), 6) AS wait, round(least(16.0, pow(2, event_id % 7 - 1) + 0.1), 6) AS network_wait, event_id % 7 <= 5 AS retry FROM e")
@@ -268,16 +282,20 @@ def median_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.middle(table(spark, sf_dir, "events"), ["event_type"], "value")
 
 
+ACTIONS = ["upload", "download", "trashRemote", "deleteLocal", "conflict", "failed", "scanFailed", "pending", "enumerated", "scanned", "skipped", "directoryCreated", "issue", "nameConflict"]
+
+
 @query(
     EVENTS
-    + """, a AS (SELECT CASE k % 9 WHEN 0 THEN 'upload' WHEN 1 THEN 'download' WHEN 2 THEN 'trashRemote' WHEN 3 THEN 'deleteLocal' WHEN 4 THEN 'conflict' WHEN 5 THEN 'failed' WHEN 6 THEN 'scanFailed' WHEN 7 THEN 'pending' ELSE 'enumerated' END AS a, k FROM e)
-SELECT count_if(a = 'upload')::BIGINT AS uploaded, coalesce(sum(k) FILTER (a = 'upload'), 0)::BIGINT AS uploaded_bytes, count_if(a = 'download')::BIGINT AS downloaded, coalesce(sum(k) FILTER (a = 'download'), 0)::BIGINT AS downloaded_bytes, count_if(a IN ('trashRemote', 'deleteLocal'))::BIGINT AS deleted,
- count_if(a = 'conflict')::BIGINT AS conflicts, count_if(a IN ('failed', 'scanFailed'))::BIGINT AS failures, (greatest(count_if(a = 'pending'), max((a = 'enumerated')::INT)) + count_if(a = 'conflict'))::BIGINT AS remote_work_pending FROM a"""
+    + f""", a AS (SELECT {ACTIONS}[k % {len(ACTIONS)} + 1] AS a, k FROM e)
+SELECT count_if(a = 'upload')::BIGINT AS uploaded, coalesce(sum(k) FILTER (a = 'upload'), 0)::BIGINT AS uploaded_bytes, count_if(a = 'download')::BIGINT AS downloaded, coalesce(sum(k) FILTER (a = 'download'), 0)::BIGINT AS downloaded_bytes,
+ count_if(a IN ('scanned', 'skipped'))::BIGINT AS scanned, count_if(a = 'skipped')::BIGINT AS skipped, count_if(a = 'directoryCreated')::BIGINT AS directories_created, count_if(a = 'issue')::BIGINT AS issues, count_if(a = 'nameConflict')::BIGINT AS name_conflicts,
+ count_if(a IN ('trashRemote', 'deleteLocal'))::BIGINT AS deleted, count_if(a = 'conflict')::BIGINT AS conflicts, count_if(a IN ('failed', 'scanFailed'))::BIGINT AS failures,
+ (greatest(count_if(a = 'pending'), max((a = 'enumerated')::INT)) + count_if(a = 'conflict'))::BIGINT AS remote_work_pending FROM a"""
 )
 def run_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = F.col("k") % 9
-    names = ["upload", "download", "trashRemote", "deleteLocal", "conflict", "failed", "scanFailed", "pending", "enumerated"]
-    return metrics.run_statistics(events(spark, sf_dir).select(F.get(F.array(*map(F.lit, names)), n.cast("int")).alias("action"), F.col("k").alias("bytes")))
+    action = F.get(F.array(*map(F.lit, ACTIONS)), (F.col("k") % len(ACTIONS)).cast("int"))
+    return metrics.run_statistics(events(spark, sf_dir).select(action.alias("action"), F.col("k").alias("bytes")))
 
 
 @query(EVENTS + "SELECT event_id, CASE WHEN k % 5 = 0 THEN 'incompleteSearch' WHEN k % 7 = 0 THEN 'emptyToken' WHEN k % 11 = 0 THEN 'tokenDidNotAdvance' END AS problem FROM e")

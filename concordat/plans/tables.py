@@ -86,8 +86,8 @@ def cleanup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT c_custkey AS item_id, c_name FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
 def chosen_items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items named in JSON id lists, one list for each priority and day."""
-    lists = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").groupBy("o_orderpriority", "o_orderdate").agg(F.to_json(F.collect_set("o_custkey")).alias("ids"))
+    """Items named in JSON id lists, one short list for each order."""
+    lists = table(spark, sf_dir, "orders").where("o_orderstatus = 'P'").select(F.to_json(F.array("o_custkey", -F.col("o_orderkey"), "o_custkey")).alias("ids"))
     items = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("item_id"), "c_name")
     return operations.chosen_items(items, lists, "ids", "item_id")
 
@@ -139,8 +139,7 @@ def range_header(spark: SparkSession, sf_dir: str) -> DataFrame:
     total = k * 100 + 50
     header = F.when(k % 5 == 1, F.concat(F.lit("bytes=0-"), k)).when(k % 5 == 2, F.concat(F.lit("bytes=0-"), total)).when(k % 5 == 3, "bytes=5-9").when(k % 5 == 4, "bytes=0-99999999999999999999")
     status = F.when(k % 4 == 0, F.when(k % 8 == 0, 200).otherwise(201)).when(k % 4 == 1, 308).when(k % 4 == 2, 404).otherwise(500)
-    known, now = F.struct(total.alias("size"), F.lit("s").alias("sha")), F.struct((total + k % 2).alias("size"), F.lit("s").alias("sha"))
-    return table(spark, sf_dir, "orders").select("o_orderkey", transfer.confirmed_offset(header, total).alias("confirmed"), transfer.upload_state(status).alias("upload_state"), known.eqNullSafe(now).alias("may_resume"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", transfer.confirmed_offset(header, total).alias("confirmed"), transfer.upload_state(status).alias("upload_state"), transfer.may_resume(total, F.lit("AB"), total + k % 2, F.lit("ab")).alias("may_resume"))
 
 
 @query("""

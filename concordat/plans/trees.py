@@ -176,16 +176,14 @@ def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.duplicate_names(names.join(keys, "name"), "parent", "key", "id")
 
 
-@query("SELECT page_id, url FROM pages WHERE starts_with(url, (SELECT min(url)[:length(min(url)) - 4] FROM pages)) OR starts_with(url, 'https://')")
+@query("SELECT page_id, url FROM pages WHERE starts_with(url, 'https://site1')")
 def prefix_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages")
-    first = pages.agg(F.min("url")).first()[0] or ""
-    return pages.where(paths.with_prefix(F.col("url"), first[:-4]) | paths.with_prefix(F.col("url"), "https://")).select("page_id", "url")
+    return table(spark, sf_dir, "pages").where(paths.with_prefix(F.col("url"), "https://site1")).select("page_id", "url")
 
 
 @query(r"""
 WITH p AS (SELECT page_id, regexp_replace(regexp_replace(CASE page_id % 5 WHEN 0 THEN regexp_extract(url, '^([a-z]+://[^/]+)', 1) ELSE url END, '^[a-z]+://', ''), '/+$', '') AS path FROM pages)
-SELECT a.page_id AS a, b.page_id AS b FROM p a JOIN p b ON a.page_id < b.page_id AND (a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/'))""")
+SELECT a.page_id, count(*) AS partners, least(a.page_id, min(b.page_id)) AS smallest FROM p a JOIN p b ON a.page_id <> b.page_id AND (a.path = b.path OR starts_with(a.path, b.path || '/') OR starts_with(b.path, a.path || '/')) GROUP BY a.page_id""")
 def path_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = F.when(F.col("page_id") % 5 == 0, F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)).otherwise(F.col("url"))
     pages = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(F.regexp_replace(own, "^[a-z]+://", ""), "/+$", "").alias("path"))
@@ -222,7 +220,13 @@ def binding_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gates.binding_conflicts(roots, spark.createDataFrame([("/data/5/sub", "r3")], "path string, remote string")).select("root_id")
 
 
-@query("SELECT count_if('/data/5/tmp' = '/data/' || s_nationkey OR starts_with('/data/5/tmp', '/data/' || s_nationkey || '/')) = 0 AS allowed FROM supplier WHERE s_suppkey % 2 = 0")
+@query("""
+WITH c AS (SELECT n_nationkey AS folder_id, '/data/' || (n_nationkey * 2) || '/tmp' AS path FROM nation), r AS (SELECT '/data/' || s_nationkey AS path FROM supplier WHERE s_suppkey % 2 = 0)
+SELECT folder_id, NOT EXISTS (SELECT 1 FROM r WHERE c.path = r.path OR starts_with(c.path, r.path || '/')) AS allowed, folder_id % 5 <> 0 AS named FROM c""")
 def staging_allowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Staging folders of which some lie below a root, and whether the name of their root can be a folder's."""
+    k = F.col("n_nationkey")
+    folders = table(spark, sf_dir, "nation").select(k.alias("folder_id"), F.concat(F.lit("/data/"), k * 2, F.lit("/tmp")).alias("path"), F.when(k % 5 == 0, "..").otherwise("root").alias("name"))
     roots = table(spark, sf_dir, "supplier").select(F.concat(F.lit("/data/"), "s_nationkey").alias("path"), (F.col("s_suppkey") % 2 == 0).alias("is_active"))
-    return gates.staging_allowed("/data/5/tmp", roots)
+    named = folders.select("folder_id", valid_name(F.col("name")).alias("named"))
+    return gates.staging_allowed(folders, roots, "folder_id").join(named, "folder_id")
