@@ -55,7 +55,7 @@ def test_gate_is_an_equi_join(spark):
     assert sorted(r.id for r in left.collect()) == [2, 3]
     assert "NestedLoop" not in plan(left) and "Cartesian" not in plan(left)
     pairs = gates.overlaps(rows, "id")
-    assert sorted((r.a, r.b) for r in pairs.collect()) == [(1, 3), (1, 4), (3, 4)]
+    assert sorted((r.id, r.partners, r.smallest) for r in pairs.collect()) == [(1, 2, 1), (3, 2, 1), (4, 2, 1)]
     assert "NestedLoop" not in plan(pairs)
 
 
@@ -258,3 +258,55 @@ def test_refills(spark):
     need = lambda n, held: one(spark, pacing.refills(F.lit(n), F.lit(held)))
     assert [need(1000, 0), need(1001, 0), need(5, 5), need(5, 900), need(2500, 400)] == [1, 2, 0, 0, 3]
     assert one(spark, pacing.prefetches(F.lit(199))) and not one(spark, pacing.prefetches(F.lit(200)))
+
+
+def test_name_conflicts_are_changes(spark):
+    items = spark.createDataFrame([(1, "p", None, "dir", "dir"), (2, "a", 1, "X", "x"), (3, None, 1, "Y", "y"), (4, "c", 1, "z", "z"), (5, "d", 1, "Z", "z")], "item_id long, remote_id string, parent_id long, name string, name_key string")
+    inbox = spark.createDataFrame([("a", "p", "X", "x"), ("b", "p", "x", "x"), ("e", "p", "Y", "y"), ("f", "p", "y", "y"), ("c", "p", "z", "z"), ("g", "q", "x", "x"), ("h", "p", "new", "new")], "remote_id string, parent_remote string, name string, name_key string")
+    found = feed.name_conflicts(inbox, items)
+    assert sorted((r.remote_id, r.name) for r in found.collect()) == [("b", "x"), ("c", "z"), ("f", "y")]
+
+
+def test_overlaps_of_many_equal_paths(spark):
+    rows = spark.range(3000).select(F.col("id"), F.when(F.col("id") < 2990, "a/b").when(F.col("id") < 2999, "a/b/c").otherwise("a").alias("path"))
+    got = gates.overlaps(rows, "id")
+    assert got.count() == 3000 and got.where("id < 2990 and partners = 2999 and smallest = 0").count() == 2990 and got.where("id = 2995").first().partners == 2999
+    assert "NestedLoop" not in plan(got)
+
+
+def test_cleanup_plans(spark):
+    from concordat.operators import cleanup
+
+    items = spark.createDataFrame([(1, 1, None, "root", 0, 0, 0), (2, 1, 1, "a", 1, None, 2), (3, 1, 2, "b", 0, 0, 0), (4, 1, 99, "lost", 0, 0, 0), (5, 2, None, "gone", 0, 0, 0)], "item_id long, root_id long, parent_id long, name string, local_generation long, remote_generation long, dirty_generation long")
+    roots = spark.createDataFrame([(1, "/r", "x", True), (2, "/s", "y", False)], "root_id long, root_path string, remote_root_id string, is_active boolean")
+    wanted = spark.createDataFrame([(2, 1, 0, 2), (3, 0, 0, 7), (4, 0, 0, 0), (5, 0, 0, 0), (77, 0, 0, 0)], "item_id long, local_generation long, remote_generation long, dirty_generation long")
+    made = cleanup.plans(wanted, items, roots)
+    assert {r.item_id: (r.state, r.path) for r in made.collect()} == {2: ("ready", "a"), 3: ("stale", "a/b"), 4: ("ready", None), 5: ("notFound", ""), 77: ("notFound", None)}
+    assert sorted((r.item_id, r.node_id, r.path) for r in cleanup.plan_nodes(made, items).collect()) == [(2, 2, ""), (2, 3, "b"), (4, 4, "")]
+
+
+def test_traversal_ends_on_a_cycle(spark):
+    rows = spark.createDataFrame([(0, 1, "a", True), (1, 2, "b", True), (2, 0, "back", True), (1, 3, "f", False), (3, 9, "hidden", False)], "parent_id long, id long, name string, is_directory boolean")
+    found = tree.traverse(spark.createDataFrame([(0,)], "id long"), lambda f: rows.join(f.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi"))
+    assert sorted((r.id, r.path, r.depth) for r in found.collect()) == [(1, "a", 1), (2, "a/b", 2), (3, "a/f", 2)]
+
+
+def test_group_commits(spark):
+    writes = [(1, n, at, False) for n, at in enumerate([0, 1, 2, 3, 5000, 6000, 6001])] + [(1, 7, 6002, True), (1, 8, 6003, False)]
+    rows = pacing.flushes(spark.createDataFrame(writes, "writer long, write long, at_us long, immediate boolean"), 4, 5000).orderBy("write").collect()
+    assert [(r.flush, r.closed_by) for r in rows] == [(0, None), (0, None), (0, None), (0, "capacity"), (1, None), (1, None), (1, None), (1, "immediate"), (2, None)]
+
+
+def test_a_choice_counts_for_its_revision(spark):
+    from concordat.operators import conflicts
+
+    held = spark.createDataFrame([("c1", 1, "R", 5, 2), ("c2", 2, "R", 5, 3)], "conflict_id string, item_id long, remote_sha256 string, remote_size long, revision long")
+    items = spark.createDataFrame([(1, "B", 1, "L", 2, "blocked", 0), (2, "B", 1, "L", 2, "blocked", 0)], "item_id long, base_sha256 string, base_size long, local_sha256 string, local_size long, phase string, dirty_generation long")
+    left, now = conflicts.resolved(held, items, spark.createDataFrame([("c1", 2, True), ("c2", 2, False)], "conflict_id string, revision long, keep_local boolean"))
+    assert [r.conflict_id for r in left.collect()] == ["c2"]
+    assert sorted(map(tuple, now.collect())) == [(1, "R", 5, "L", 2, "ready", 1), (2, "B", 1, "L", 2, "blocked", 0)]
+
+
+def test_destinations(spark):
+    below = lambda p: one(spark, paths.stays_below(F.lit("/data/root/"), F.lit(p)))
+    assert [below(p) for p in ("a", "a/../b", "../x", "..", ".", "../root/x", "a/../../root2/x")] == [True, True, False, False, False, True, False]
