@@ -5,16 +5,16 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from concordat.functions.paths import not_version_control
 
-
 ENTRY = "path string, name string, parent string, is_directory boolean, device long, inode long, mtime long, ctime long, size long"
 READ = 8 * 1024 * 1024
 
@@ -22,8 +22,10 @@ READ = 8 * 1024 * 1024
 class FolderSource(DataSource):
     """``folder``: every entry below a folder with its metadata in nanoseconds, hidden and empty ones too.
 
-    Option path: a folder that all executors see.  One partition for each top-level directory and one
-    for the files beside them; a directory comes before what it holds.  Content is not opened.
+    Option path: a folder that all executors see; option partitions: about how many to make.  The
+    driver lists directories from the top until so many are known, and no further; each of those is a
+    partition with all below it, and the ones above them are listed by tasks too.  Within a partition
+    a directory comes before what it holds.  Content is not opened.
     """
 
     @classmethod
@@ -34,36 +36,39 @@ class FolderSource(DataSource):
         return ENTRY
 
     def reader(self, schema) -> DataSourceReader:
-        return _FolderReader(self.options["path"].rstrip("/"))
+        return _FolderReader(self.options["path"].rstrip("/"), int(self.options.get("partitions", "64")))
 
 
 class _FolderReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, wanted: int):
+        self.path, self.wanted = path, wanted
 
     def partitions(self):
-        with os.scandir(self.path) as entries:
-            return [_Folder(""), *(_Folder(e.name) for e in sorted(entries, key=lambda e: e.name) if e.is_dir(follow_symlinks=False))]
+        above, below = [], deque([""])
+        while below and len(below) < self.wanted and len(above) < 16 * self.wanted:
+            at = below.popleft()
+            above.append(at)
+            with os.scandir(os.path.join(self.path, at)) as entries:
+                below.extend(self._relative(e) for e in sorted(entries, key=lambda e: e.name) if self._is_folder(e))
+        return [*(_Folder(p, deep=False) for p in above), *(_Folder(p, deep=True) for p in below)]
 
-    def _row(self, entry: os.DirEntry):
-        seen = entry.stat(follow_symlinks=False)
-        rel = entry.path[len(self.path) + 1 :]
-        return rel, entry.name, os.path.dirname(rel), entry.is_dir(follow_symlinks=False), seen.st_dev, seen.st_ino, seen.st_mtime_ns, seen.st_ctime_ns, seen.st_size
+    def _relative(self, entry: os.DirEntry) -> str:
+        return entry.path[len(self.path) + 1 :]
+
+    def _is_folder(self, entry: os.DirEntry) -> bool:
+        return entry.is_dir(follow_symlinks=False) and self._relative(entry) != ".git"
 
     def read(self, partition):
         waiting = [partition.path]
         while waiting:
             with os.scandir(os.path.join(self.path, waiting.pop())) as entries:
                 for entry in sorted(entries, key=lambda e: e.name):
-                    is_dir = entry.is_dir(follow_symlinks=False)
-                    if entry.name == ".git" and is_dir and entry.path == f"{self.path}/.git":
-                        continue
-                    if partition.path == "" and is_dir:
-                        yield self._row(entry)  # its entries are another partition
+                    rel, seen, is_dir = self._relative(entry), entry.stat(follow_symlinks=False), entry.is_dir(follow_symlinks=False)
+                    if is_dir and rel == ".git":
                         continue
-                    yield self._row(entry)
-                    if is_dir:
-                        waiting.append(entry.path[len(self.path) + 1 :])
+                    yield rel, entry.name, os.path.dirname(rel), is_dir, seen.st_dev, seen.st_ino, seen.st_mtime_ns, seen.st_ctime_ns, seen.st_size
+                    if is_dir and partition.deep:
+                        waiting.append(rel)
 
 
 def entries(spark: SparkSession, root: str) -> DataFrame:
@@ -106,8 +111,8 @@ def is_empty(spark: SparkSession, root: str) -> bool:
 
 
 class _Folder(InputPartition):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, deep: bool = False):
+        self.path, self.deep = path, deep
 
 
 class ListingSource(DataSource):
@@ -155,11 +160,16 @@ class _ListingReader(DataSourceReader):
             token = page.get("nextPageToken")
 
 
+#: Changes of a page at most; a change's number is its page's number times this, and its place.
+PAGE = 1000
+
+
 class ChangesSource(DataSource):
-    """``changes``: a stream of change pages; the offset is the page token.
+    """``changes``: a stream of change pages; the offset is a page's token and number.
 
     Option path: a folder of ``<token>.json`` ({"changes": [...], "nextPageToken" | "newStartPageToken"}),
-    option start: the first token.  A page that is not there yet ends the micro-batch.
+    option start: the first token.  The driver follows the tokens to the last page that is there; the
+    changes themselves are read by tasks, one for each page.
     """
 
     @classmethod
@@ -169,35 +179,52 @@ class ChangesSource(DataSource):
     def schema(self) -> str:
         return "token string, seq long, payload string"
 
-    def simpleStreamReader(self, schema) -> SimpleDataSourceStreamReader:
+    def streamReader(self, schema) -> DataSourceStreamReader:
         return _ChangesReader(self.options["path"], self.options.get("start", "start"))
 
 
-class _ChangesReader(SimpleDataSourceStreamReader):
+class _Page(InputPartition):
+    def __init__(self, token: str, number: int):
+        self.token, self.number = token, number
+
+
+class _ChangesReader(DataSourceStreamReader):
     def __init__(self, path: str, start: str):
-        self.path, self.start = path, start
-
-    def initialOffset(self):
-        return {"token": self.start, "seq": 0}
-
-    def _page(self, offset: dict):
-        where = f"{self.path}/{offset['token']}.json"
-        if not os.path.exists(where):
-            return [], offset
-        with open(where) as page:
-            page = json.load(page)
-        own = page.get("changes", [])
-        rows = [(offset["token"], offset["seq"] + k, json.dumps(c)) for k, c in enumerate(own)]
-        return rows, {"token": page.get("nextPageToken") or page.get("newStartPageToken") or offset["token"], "seq": offset["seq"] + len(rows)}
-
-    def read(self, start: dict):
-        rows, end = self._page(start)
-        return iter(rows), end
-
-    def readBetweenOffsets(self, start: dict, end: dict):
-        while start["token"] != end["token"]:
-            rows, start = self._page(start)
-            yield from rows
+        self.path, self.first = path, {"token": start, "page": 0}
+        self.now = self.first
+
+    def initialOffset(self) -> dict:
+        return self.first
+
+    def _open(self, token: str) -> dict | None:
+        try:
+            with open(f"{self.path}/{token}.json") as page:
+                return json.load(page)
+        except FileNotFoundError:
+            return None
+
+    def _after(self, offset: dict) -> dict | None:
+        page = self._open(offset["token"])
+        token = page and (page.get("nextPageToken") or page.get("newStartPageToken"))
+        if not token or token == offset["token"]:
+            return None
+        return {"token": token, "page": offset["page"] + 1}
+
+    def latestOffset(self) -> dict:
+        while following := self._after(self.now):
+            self.now = following
+        return self.now
+
+    def partitions(self, start: dict, end: dict):
+        pages = []
+        while start["page"] < end["page"]:
+            pages.append(_Page(start["token"], start["page"]))
+            start = self._after(start)
+        return pages
+
+    def read(self, partition):
+        for k, change in enumerate(self._open(partition.token).get("changes", [])):
+            yield partition.token, partition.number * PAGE + k, json.dumps(change)
 
 
 def register(spark: SparkSession) -> None:

@@ -1,20 +1,33 @@
-"""Versioned tables: a commit writes a new folder and then moves the pointer."""
+"""Versioned tables: a commit writes new folders and then one small file that names them."""
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+#: Buckets of a keyed table, and versions whose folders are kept.
+BUCKETS, KEEP = 32, 3
+BUCKET = "_bucket"
+
+
+class StaleCursor(RuntimeError):
+    """The stored cursor is not the one that a commit started from."""
 
 
 class Snapshots:
-    """Snapshots of one table below ``root``; readers see a whole version or the one before.
+    """Tables below ``root`` that change together; readers see a whole version or the one before.
 
-    Versions are never changed, so a job that reads one while another is written is safe, and a lost
-    executor repeats tasks on the same input.  ``commit`` with ``batch`` is idempotent: a batch that
-    was committed before is not applied again.
+    A version is a file ``commit-<n>`` that names, for each table, the folders of its buckets, with
+    the batch and the cursor it goes with.  It is created only if it is not there, so of two writers
+    of one version the second fails.  Folders are never changed, so a lost executor repeats tasks on
+    the same input, and a reader of an older version is not disturbed until ``keep`` newer ones are there.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
+    def __init__(self, spark: SparkSession, root: str, keep: int = KEEP):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), keep
         self._jvm = spark._jvm
         self._fs = self._path("").getFileSystem(spark._jsc.hadoopConfiguration())
         self._fs.mkdirs(self._path(""))
@@ -22,25 +35,91 @@ class Snapshots:
     def _path(self, name: str):
         return self._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
 
+    def _numbers(self, prefix: str) -> list[int]:
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
+        return sorted(int(n.removeprefix(prefix)) for n in names if n.startswith(prefix))
+
     def version(self) -> int:
         """The newest committed version, 0 if there is none."""
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(""))]
-        return max((int(n[7:]) for n in names if n.startswith("commit-")), default=0)
+        return max(self._numbers("commit-"), default=0)
+
+    def head(self, version: int | None = None) -> dict:
+        """What a version says: batch, cursor, and the folders of its tables."""
+        now = self.version() if version is None else version
+        if not now:
+            return {"batch": -1, "cursor": None, "tables": {}}
+        text = self.spark.read.option("wholetext", True).text(f"{self.root}/commit-{now}").first()
+        return json.loads(text[0])
 
     def batch(self) -> int:
-        now = self.version()
-        return int(self.spark.read.text(f"{self.root}/commit-{now}").first()[0]) if now else -1
+        return self.head()["batch"]
 
-    def read(self, version: int | None = None) -> DataFrame | None:
-        now = self.version() if version is None else version
-        return self.spark.read.parquet(f"{self.root}/v-{now}") if now else None
+    def cursor(self) -> str | None:
+        return self.head()["cursor"]
+
+    def read(self, version: int | None = None, table: str = "table") -> DataFrame | None:
+        """A table of a version (the newest); None if it has none."""
+        return self._of(self.head(version)["tables"].get(table))
+
+    def _of(self, entry: dict | None, buckets: list[int] | None = None) -> DataFrame | None:
+        if entry is None:
+            return None
+        chosen = entry["folders"] if buckets is None else {b: f for b, f in entry["folders"].items() if int(b) in buckets}
+        schema = StructType.fromJson(json.loads(entry["schema"]))
+        if not chosen:
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}" for f in chosen.values()])
 
-    def commit(self, df: DataFrame, batch: int = -1) -> int:
+    def commit(self, df: DataFrame, batch: int = -1, table: str = "table") -> int:
+        """A whole table as the next version; a batch that was committed before is not applied again."""
+        return self.commit_all({table: df}, batch)
+
+    def commit_all(self, whole: dict[str, DataFrame] | None = None, batch: int = -1, folds: dict[str, tuple] | None = None, cursor: str | None = None, expected: str | None = None) -> int:
+        """Several tables and the cursor in one version: all of it becomes visible, or nothing.
+
+        ``whole``: tables that are replaced.  ``folds``: {table: (new rows, key, fold)}, keyed tables of
+        which only the buckets with new keys are rewritten; ``fold(stored, new)`` gives their rows, and
+        stored is None in the first version.  With ``expected`` the stored cursor must be that one.
+        """
         now = self.version()
-        if batch >= 0 and now and batch <= self.batch():
+        head = self.head(now)
+        if batch >= 0 and now and batch <= head["batch"]:
             return now
-        df.write.mode("overwrite").parquet(f"{self.root}/v-{now + 1}")
-        made = self._path(f"pending-{now + 1}")
-        self.spark.createDataFrame([(str(batch),)], "batch string").coalesce(1).write.mode("overwrite").text(str(made))
-        self._fs.rename(made, self._path(f"commit-{now + 1}"))
+        if expected is not None and head["cursor"] != expected:
+            raise StaleCursor(f"the cursor is {head['cursor']!r}, not {expected!r}")
+        tables = dict(head["tables"])
+        for name, df in (whole or {}).items():
+            folder = f"v-{now + 1}-{name}"
+            df.write.mode("overwrite").parquet(f"{self.root}/{folder}")
+            tables[name] = {"schema": df.schema.json(), "folders": {"0": folder}}
+        for name, (new, key, fold) in (folds or {}).items():
+            tables[name] = self._folded(now + 1, name, tables.get(name), new, key, fold)
+        made = {"batch": batch, "cursor": head["cursor"] if cursor is None else cursor, "tables": tables}
+        out = self._fs.create(self._path(f"commit-{now + 1}"), False)
+        try:
+            out.write(bytearray(json.dumps(made).encode()))
+        finally:
+            out.close()
+        self._forget(now + 1)
         return now + 1
+
+    def _folded(self, version: int, name: str, entry: dict | None, new: DataFrame, key: list[str], fold) -> dict:
+        bucket = F.pmod(F.xxhash64(*key), F.lit(BUCKETS)).cast("int")
+        touched = sorted(r[0] for r in new.select(bucket).distinct().collect())  # BUCKETS short rows at most
+        stored = self._of(entry, touched) if entry else None
+        folded = fold(stored, new)
+        folder = f"v-{version}-{name}"
+        folded.withColumn(BUCKET, bucket).repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(f"{self.root}/{folder}")
+        folders = dict(entry["folders"]) if entry else {}
+        folders |= {str(b): f"{folder}/{BUCKET}={b}" for b in touched}
+        return {"schema": folded.schema.json(), "folders": folders}
+
+    def _forget(self, now: int) -> None:
+        """Delete commits older than the kept ones and folders that no kept commit names."""
+        kept = [v for v in self._numbers("commit-") if v > now - self.keep]
+        named = {f.split("/")[0] for v in kept for t in self.head(v)["tables"].values() for f in t["folders"].values()}
+        for status in self._fs.listStatus(self._path("")):
+            name = status.getPath().getName()
+            old = name.startswith("commit-") and int(name[7:]) not in kept
+            if old or (name.startswith("v-") and name not in named and int(name.split("-")[1]) <= now):
+                self._fs.delete(status.getPath(), True)

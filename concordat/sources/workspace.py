@@ -2,24 +2,37 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """``spark.checkpoint.dir``; where it is unset, a temporary folder, but only on a single machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = own.get() if own.isDefined() else None
+    if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError(f"spark.checkpoint.dir is unset: executors of {master} share no temporary folder")
+        base = "file://" + tempfile.mkdtemp(prefix="concordat-")
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
+
 class Workspace:
-    """Tables below ``spark.checkpoint.dir``; a temporary folder only where it is unset."""
+    """Tables below the shared folder, deleted when the driver's process ends, as results still read them."""
 
     def __init__(self, spark: SparkSession, name: str):
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            own = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = own.get() if own.isDefined() else None
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="concordat-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.spark, self.root = spark, f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        self.spark, self.root = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+        where = spark._jvm.org.apache.hadoop.fs.Path(self.root)
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        atexit.register(_delete, files, where)
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         """Write and read again: later steps start from the files, whatever executors are lost."""
@@ -30,3 +43,8 @@ class Workspace:
     def drop(self, name: str) -> None:
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def _delete(files, where) -> None:
+    with contextlib.suppress(Exception):  # the session and its JVM may have ended before
+        files.delete(where, True)

@@ -112,3 +112,65 @@ def test_stream_of_a_folder_of_part_files(spark, tmp_path):
     spark.read.parquet(f"{given}/events.parquet").repartition(3).write.parquet(f"{tmp_path}/events.parquet")
     want = sorted(map(repr, feeds.stream_replay(spark, given).collect()))
     assert want and sorted(map(repr, feeds.stream_replay(spark, str(tmp_path)).collect())) == want
+
+
+def test_a_big_folder_is_split_below_the_top(spark, tmp_path):
+    for k in range(12):
+        (tmp_path / f"top/d{k}/e").mkdir(parents=True)
+        (tmp_path / f"top/d{k}/e/f").write_text("x")
+    spark.dataSource.register(scan.FolderSource)
+    df = spark.read.format("folder").option("path", str(tmp_path)).option("partitions", 8).load()
+    assert df.rdd.getNumPartitions() >= 12
+    assert sorted(r.path for r in df.collect()) == sorted(["top", *(f"top/d{k}{p}" for k in range(12) for p in ("", "/e", "/e/f"))])
+
+
+def test_only_touched_buckets_are_rewritten(spark, tmp_path):
+    from concordat.streaming.feed_stream import fold_into
+
+    inbox = Snapshots(spark, f"file://{tmp_path}/inbox", keep=2)
+    fold = fold_into(inbox, ["id"], ["seq"])
+    fold(spark.range(500).select("id", F.lit(1).alias("seq"), F.lit("a").alias("name")), 0)
+    fold(spark.createDataFrame([(7, 2, "b"), (999, 1, "c")], "id long, seq int, name string"), 1)
+    fold(spark.createDataFrame([(7, 1, "late")], "id long, seq int, name string"), 2)
+    fold(spark.createDataFrame([(8, 9, "again")], "id long, seq int, name string"), 2)  # replayed
+    rows = {r.id: (r.seq, r.name, r.n_events) for r in inbox.read().collect()}
+    assert len(rows) == 501 and rows[7] == (2, "b", 3) and rows[8] == (1, "a", 1) and rows[999] == (1, "c", 1)
+    folders = inbox.head()["tables"]["table"]["folders"].values()
+    assert sum(f.startswith("v-1-") for f in folders) >= 29 and sum(f.startswith("v-3-") for f in folders) == 1
+    assert not (tmp_path / "inbox/commit-1").exists() and (tmp_path / "inbox/commit-2").exists()
+
+
+def test_page_items_and_cursor_are_one_commit(spark, tmp_path):
+    from concordat.sources.snapshots import StaleCursor
+    from concordat.streaming.feed_stream import consume_page
+
+    state = Snapshots(spark, f"file://{tmp_path}/state")
+    items = spark.createDataFrame([("a", "present", 1, 0), ("b", "present", 1, 0)], "id string, remote_status string, remote_generation int, dirty_generation int")
+    state.commit_all({"items": items}, cursor="t1")
+    page = spark.createDataFrame([("a", 1, "x")], "id string, seq int, name string")
+    consume_page(state, page, "id", ["seq"], 0, "t2", expected="t1")
+    assert state.cursor() == "t2" and {r.id: r.remote_status for r in state.read(table="items").collect()} == {"a": "unknown", "b": "present"}
+    with pytest.raises(StaleCursor):
+        consume_page(state, page, "id", ["seq"], 1, "t3", expected="t1")
+    assert state.version() == 2 and state.read(table="inbox").count() == 1
+
+
+def test_recovery_without_a_cursor(spark, tmp_path):
+    from concordat.streaming.feed_stream import recover
+
+    state, did, waiting = Snapshots(spark, f"file://{tmp_path}/r"), [], [3]
+    one = lambda n: spark.range(n).select(F.col("id"), F.lit("pending").alias("state"))
+
+    def wave():
+        if waiting[0]:
+            waiting[0] -= 1
+            did.append("wave")
+            return True
+        return False
+
+    none = lambda: (one(0), one(waiting[0]), one(0), one(0))
+    assert recover(state, wave, lambda: did.append("apply"), none, lambda: "t0") == 3
+    assert state.cursor() == "t0" and did == ["apply", "wave", "apply", "wave", "apply", "wave", "apply", "apply"]
+    with pytest.raises(RuntimeError, match="2 remote"):
+        recover(state, lambda: False, lambda: None, lambda: (one(2), one(0), one(0), one(0)), lambda: "t9")
+    assert state.cursor() == "t0"
