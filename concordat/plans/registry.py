@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from concordat.sources.ship import ship
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -26,9 +25,6 @@ def query(sql: str | None = None):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A given table; Python workers are told where the package is, should it not be installed."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if HOME not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([HOME, *filter(None, paths)])
+    """A given table; Python workers get the package, should it not be installed there."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
