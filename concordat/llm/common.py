@@ -2,70 +2,51 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-PACKAGE_HOME = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+from concordat.sources.ship import ship
+from concordat.sources.workspace import Workspace
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def reach_workers(spark: SparkSession) -> None:
-    """Let Python workers import this package where it is not installed (local runs, tests)."""
-    env = spark.sparkContext.environment
-    paths = env.get("PYTHONPATH", "").split(os.pathsep)
-    if PACKAGE_HOME not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([PACKAGE_HOME, *filter(None, paths)])
+def partitions(df: DataFrame, size: int = 16 << 20) -> int:
+    """Partitions for an exchange of about as many bytes as ``df`` has: as set, more for a large input.
+
+    Spark's estimate of the input is a file size; where it has none, the setting holds.
+    """
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, held // size) if held < 1 << 60 else own
 
 
-class Scratch:
+class Scratch(Workspace):
     """Intermediate tables in the folder of ``spark.checkpoint.dir``, which all executors share.
 
-    A table written here cuts the lineage: losing an executor repeats tasks of the current step
-    only.  Where the setting is unset (tests, a single machine) a temporary folder is set.
+    A table written here cuts the lineage: losing an executor repeats tasks of the current step only.
     """
 
     def __init__(self, spark: SparkSession, name: str):
-        reach_workers(spark)
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            base = spark.sparkContext._jsc.sc().getCheckpointDir()
-            base = base.get() if base.isDefined() else None
-        if not base:
-            base = "file://" + tempfile.mkdtemp(prefix="concordat-")
-            spark.sparkContext.setCheckpointDir(base)
-        self.spark = spark
-        self.root = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        ship(spark)
+        super().__init__(spark, name)
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
-        return self.load(name, df)
-
-    def load(self, name: str, like: DataFrame) -> DataFrame:
-        return self.spark.read.schema(like.schema).parquet(self.path(name))
-
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads, so that disk use is that of the widest step."""
-        jvm = self.spark._jvm
         for name in names:
-            where = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            fs = where.getFileSystem(self.spark._jsc.hadoopConfiguration())
-            fs.delete(where, True)
+            super().drop(name)
 
 
 def arrow_map(df: DataFrame, function: Callable[..., dict], schema: str, *args) -> DataFrame:
     """``function(batch, *args)`` for every Arrow batch of ``df``; it returns a dict of columns."""
-    reach_workers(df.sparkSession)
+    ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -15,9 +15,13 @@ occurrence form a piece of at most 74 bytes.  The work goes in three steps.
 3. Removal.  Spans of both steps meet their texts; covered bytes are counted and left out.
 
 Each task folds equal pieces of its documents before it sends them.  An anchor with many different
-pieces (a passage in a large share of all documents, with other text around it) leaves step 2 and
-is resolved string by string with a pre-aggregated ``groupBy`` over 128-bit hashes, so that no task
-gathers its pieces.
+pieces (the edge of a passage in a large share of all documents, with other text beyond it) would
+gather them in one partition: its pieces are taken apart into their strings, each of which is met in
+the partition of its own hash by step 1 alone, as a piece that is equal as a whole.  Equal strings are
+folded before they are sent, so a string in any number of documents comes once from each slice.
+
+A text beyond a slice is worked on in stretches that overlap by less than a string: a string's anchor
+rests on its own bytes only, so a cut through a piece makes two pieces and loses no string.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, reach_workers
+from .common import Scratch, partitions, ship
 from .lyndon_suffixes import prefix_classes, suffix_array
 from .textarrays import U64, mix, of_text, powers, slices
 
@@ -41,6 +45,10 @@ PIECE = SIZE + REACH  # the longest piece
 BLOCK = 8
 #: Different pieces of one anchor in one slice of a task's documents, and in all, that make it hot.
 HOT_IN_SLICE, HOT = 24, 4096
+#: Bytes of documents within which a task folds equal pieces.
+FOLD_BYTES = 1 << 21
+#: Strings of hot pieces that a task folds at a time.
+HELD_STRINGS = 250_000
 
 PACKED = "part int, kind int, n int, a binary, x binary, doc binary, row binary, lo binary, strings binary"
 _KINDS = {"a": "<u8", "x": "<u8", "doc": "<i8", "row": "<i8", "lo": "<u4", "strings": "u1"}
@@ -160,16 +168,29 @@ def _send(parts: int, hot_in_slice: int):
         turn = 0
         for batch in batches:
             doc, row = (batch.column(c).to_numpy() for c in ("doc", "row"))
-            for lo, _, data, offsets in slices(batch.column("text")):
-                found = pieces(data, offsets)
-                found["doc"], found["row"] = doc[lo + found["text"]], row[lo + found["text"]]
-                turn += 1
-                if rows := _fold(found, parts, turn + int(doc[lo]), hot_in_slice):
-                    yield _batch(rows)
+            for lo, _, data, offsets in slices(batch.column("text"), FOLD_BYTES):
+                for found in _stretches(data, offsets):
+                    found["doc"], found["row"] = doc[lo + found["text"]], row[lo + found["text"]]
+                    turn += 1
+                    if rows := _fold(found, parts, turn + int(doc[lo]), hot_in_slice):
+                        yield _batch(rows)
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _stretches(data: np.ndarray, offsets: np.ndarray, size: int = FOLD_BYTES) -> Iterator[dict[str, np.ndarray]]:
+    """The pieces of a slice; of a text much longer than a slice, those of its stretches in turn."""
+    if len(data) <= 2 * size:
+        yield pieces(data, offsets)
+        return
+    for at in range(0, len(data), size):  # one text
+        own = data[at : at + size + SIZE - 1]
+        found = pieces(own, np.array([0, len(own)]))
+        found["lo"] = found["lo"] + at
+        yield found
+
+
 def _meet(parts: int, most_pieces: int):
     """Step 1 in one partition: whole pieces of smaller documents, and pieces to fetch."""
 
@@ -362,30 +383,35 @@ def _resolve(parts: int):
     return run
 
 
-def _hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every string of the hot pieces of a text, by a 128-bit hash."""
-    for batch in batches:
-        out: dict[str, list] = {"h": [], "m_doc": [], "m_row": [], "lo": []}
-        texts = batch.column("text").cast(pa.large_binary())
-        for k, (doc, row, lo, strings, kinds) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m_doc", "m_row", "lo", "strings", "kinds")), strict=True)):
-            mine = np.frombuffer(kinds, "u1") == FETCH_HOT
-            raw = texts[k].as_py() if mine.any() else b""
-            for first, n in zip(np.frombuffer(lo, "<u4")[mine].tolist(), np.frombuffer(strings, "u1")[mine].tolist(), strict=True):
-                for s in range(first, first + n):
-                    out["h"].append(hashlib.blake2b(raw[s : s + SIZE], digest_size=16).digest())
-                    out["m_doc"].append(doc)
-                    out["m_row"].append(row)
-                    out["lo"].append(s)
-        if out["h"]:
-            yield pa.RecordBatch.from_pydict(out)
+def _hot_strings(parts: int):
+    """Every string of the hot pieces of a text by a hash of its own, as a piece of one string."""
 
+    def folded(out: dict[str, list], turn: int) -> Iterator[pa.RecordBatch]:
+        hashes = np.frombuffer(b"".join(out["h"]), "<u8").reshape(-1, 2)
+        found = {"a": hashes[:, 0] & _TOP, "x": hashes[:, 1] & _TOP, "strings": np.ones(len(hashes), np.int64)} | {k: np.array(out[k], np.int64) for k in ("doc", "row", "lo")}
+        found["x"] = np.where(found["x"] == _IS_HOT, U64(0), found["x"])
+        if rows := _fold(found, parts, turn, PIECE * len(hashes)):
+            yield _batch(rows)
 
-def _pack_hot(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: dict[str, list] = {k: [] for k in ("h", "doc", "row", "lo")}
+        turn = 0
         for batch in batches:
-            gone = {"doc": batch.column("m_doc").to_numpy(), "row": batch.column("m_row").to_numpy(), "lo": batch.column("lo").to_numpy(), "strings": np.ones(batch.num_rows, np.int64)}
-            if rows := _by_part(GONE, gone, _row_part(gone["row"], parts)):
-                yield _batch(rows)
+            texts = batch.column("text").cast(pa.large_binary())
+            for k, (doc, row, lo, strings, kinds) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("m_doc", "m_row", "lo", "strings", "kinds")), strict=True)):
+                mine = np.frombuffer(kinds, "u1") == FETCH_HOT
+                raw = memoryview(texts[k].as_buffer()) if mine.any() else b""
+                for first, n in zip(np.frombuffer(lo, "<u4")[mine].tolist(), np.frombuffer(strings, "u1")[mine].tolist(), strict=True):
+                    out["h"] += [hashlib.blake2b(raw[s : s + SIZE], digest_size=16).digest() for s in range(first, first + n)]
+                    out["lo"] += range(first, first + n)
+                    out["doc"] += [doc] * n
+                    out["row"] += [row] * n
+                if len(out["h"]) > HELD_STRINGS:
+                    turn += 1
+                    yield from folded(out, turn + doc)
+                    out = {k: [] for k in out}
+        if out["h"]:
+            yield from folded(out, turn + out["doc"][0])
 
     return run
 
@@ -424,9 +450,9 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     gives no rows.  Other columns are not read.
     """
     spark = docs.sparkSession
-    reach_workers(spark)
+    ship(spark)
     scratch = Scratch(spark, "repeats")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = partitions(docs)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), text.alias("text")).withColumn("row", F.xxhash64("doc", "text"))
 
@@ -444,12 +470,11 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_hot = wanted.where(F.hex("kinds").rlike(f"^(..)*0{FETCH_HOT}"))
     if not of_hot.limit(1).isEmpty():
         strings = texts.join(of_hot, (texts["doc"] == of_hot["m_doc"]) & (texts["row"] == of_hot["m_row"])).select("text", *of_hot.columns)
-        strings = scratch.save(strings.mapInArrow(_hot_strings, "h binary, m_doc long, m_row long, lo long"), "hot")
-        least = strings.groupBy("h").agg(F.min("m_doc").alias("least"), F.max("m_doc").alias("most")).where("least < most")
-        repeats = strings.join(least, "h").where("m_doc > least").select("m_doc", "m_row", "lo")
-        gone = gone.unionByName(repeats.mapInArrow(_pack_hot(parts), PACKED))
+        met = strings.mapInArrow(_hot_strings(parts), PACKED).repartitionById(parts, F.col("part")).mapInArrow(_meet(parts, hot), PACKED)
+        gone = gone.unionByName(met.where(F.col("kind") == GONE))
 
     spans = scratch.save(gone.repartitionById(parts, F.col("part")).mapInArrow(_rows((GONE,)), BY_ROW), "spans")
+    scratch.drop("found", "wanted", "close")
     joined = rows.join(spans, (rows["doc"] == spans["m_doc"]) & (rows["row"] == spans["m_row"]), "left").select("doc", "text", "lo", "strings")
     return joined.mapInArrow(_remove, "id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:long,end:long>>")
 

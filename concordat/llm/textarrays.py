@@ -1,7 +1,8 @@
 """Texts as numpy byte arrays: word boundaries and word hashes without a Python loop per word.
 
-A text batch is cut into slices of about two megabytes, so that the eight-byte arrays over its
-bytes stay small however long the batch is; a single longer text forms a slice of its own.
+A text batch is cut into slices of about half a megabyte, so that the eight-byte arrays over its
+bytes stay small however long the batch is; a single longer text forms a slice of its own, which the
+operators take in stretches.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 
 def as_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -78,7 +79,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
         steps = np.full(size, _BASE_INVERSE if inverse else _BASE, U64)
         steps[0] = 1
         grown = np.cumprod(steps, dtype=U64)
-        if n > 4 * SLICE_BYTES:  # a single very long text: not kept
+        if n > 16 * SLICE_BYTES:  # a single very long text: not kept
             return grown[:n]
         _powers[k] = grown
     return _powers[k][:n]
@@ -100,18 +101,55 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix((sums[ends] - sums[starts]) * powers(len(data) + 1, True)[starts])
 
 
-def span_codes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A number for each of the ascending, disjoint spans: equal exactly if their bytes are equal."""
+def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.LargeBinaryArray:
+    """Successive runs of bytes as an Arrow array, without copying them."""
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+
+
+def span_array(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.LargeBinaryArray:
+    """The bytes of ascending, disjoint spans as an Arrow array."""
     edge = np.zeros(len(data) + 1, np.int8)
     edge[starts] += 1
     edge[ends] -= 1
     inside = np.cumsum(edge[:-1], dtype=np.int8).view(bool)
-    return binaries(data[inside], np.concatenate([[0], np.cumsum(ends - starts)])).dictionary_encode().indices.to_numpy()
+    return binaries(data[inside], np.concatenate([[0], np.cumsum(ends - starts)]))
 
 
-def binaries(data: np.ndarray, offsets: np.ndarray) -> pa.LargeBinaryArray:
-    """Successive runs of bytes as an Arrow array, without copying them."""
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(offsets) - 1, [None, pa.py_buffer(np.ascontiguousarray(offsets, np.int64)), pa.py_buffer(data)])
+def stretches(data: np.ndarray, inside: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Bounds of stretches of about ``size`` bytes that end outside runs of ``inside``, if there is such a place.
+
+    Data of up to two sizes is one stretch; so is a run of ``inside`` however long.
+    """
+    at = 0
+    while at < len(data):
+        end = min(len(data), at + size) if len(data) > 2 * size else len(data)
+        while end < len(data) and not len(gap := np.flatnonzero(~inside[data[end : end + 65536]])):
+            end += 65536
+        end = min(len(data), end + int(gap[0]) if end < len(data) else end)
+        yield at, end
+        at = end
+
+
+def run_codes(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray, filled: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each maximal run of ``inside``, equal exactly for equal bytes, and the runs before each text.
+
+    With ``filled``, runs without such a byte do not count.  Bytes are compared, not hashes.
+    """
+    found, bounds, n = [], np.zeros(len(offsets), np.int64), 0
+    for a, b in stretches(data, inside) if len(offsets) == 2 else [(0, len(data))]:
+        own = data[a:b]
+        starts, ends, own_bounds = words(own, np.clip(offsets - a, 0, b - a), inside)
+        if filled is not None and len(starts):
+            before = np.concatenate([[0], np.cumsum(filled[own], dtype=np.int32)])
+            some = before[ends] > before[starts]
+            own_bounds = np.concatenate([[0], np.cumsum(some)])[own_bounds]
+            starts, ends = starts[some], ends[some]
+        bounds[1:] = n + own_bounds[1:]
+        n += len(starts)
+        found.append(span_array(own, starts, ends).dictionary_encode())
+    if not n:
+        return np.zeros(0, np.int32), bounds
+    return np.concatenate([c.indices.to_numpy() for c in pa.chunked_array(found).unify_dictionaries().chunks]), bounds
 
 
 def of_text(bounds: np.ndarray) -> np.ndarray:

@@ -23,8 +23,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, reach_workers
-from .textarrays import LOWER, NOT_SPACE, SLICE_BYTES, binaries, slices, words
+from .common import Scratch, ship
+from .textarrays import LOWER, NOT_SPACE, SLICE_BYTES, binaries, slices, stretches, words
 from .wavelet import WaveletMatrix, build
 
 END_ID = 1
@@ -34,6 +34,8 @@ SHARD_DOCS, BLOCK_TOKENS = 4096, 1 << 18
 MAX_SHARDS = 20_000
 #: Shards in a group of the two-level running sum of tokens, and shards whose sums are broadcast.
 GROUP_SHARDS, BROADCAST_SHARDS = 1000, 100_000
+#: Bytes of text that are encoded at a time.
+ENCODE_BYTES = 1 << 20
 #: Distinct units of text whose ids a Python worker remembers before it starts anew, and units of one library call.
 REMEMBERED, JOINED = 500_000, 60
 
@@ -127,7 +129,7 @@ class Encoder:
             own = [np.array([*ids, END_ID], self.kind) for ids in self._ids([whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)])]
             return np.concatenate([np.zeros(0, self.kind), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
         if len(data) > 2 * SLICE_BYTES and len(offsets) == 2:  # a very long text: in stretches that end at white space
-            parts = [self._encode(data[a:b], np.array([0, b - a]))[0][:-1] for a, b in _stretches(data)]
+            parts = [self._encode(data[a:b], np.array([0, b - a]))[0][:-1] for a, b in stretches(data, NOT_SPACE)]
             ids = np.concatenate([*parts, np.array([END_ID], self.kind)])
             return ids, np.array([0, len(ids)])
         return self._encode(data, offsets)
@@ -175,18 +177,6 @@ def _bytes(column: pa.LargeBinaryArray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-def _stretches(data: np.ndarray, size: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
-    """Bounds of stretches of about ``size`` bytes that end at white space, where there is any."""
-    at = 0
-    while at < len(data):
-        end = min(len(data), at + size)
-        while end < len(data) and not len(space := np.flatnonzero(~NOT_SPACE[data[end : end + 65536]])):
-            end += 65536
-        end = min(len(data), end + int(space[0]) if end < len(data) else end)
-        yield at, end
-        at = end
-
-
 @cache
 def encoder(path: str) -> Encoder:
     return Encoder(path)
@@ -203,7 +193,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for batch in batches:
-            for lo, hi, data, offsets in slices(batch.column("text")):
+            for lo, hi, data, offsets in slices(batch.column("text"), ENCODE_BYTES):
                 ids, bounds = own.encode(data, offsets)
                 width = ids.itemsize
                 raw = ids.astype(ids.dtype.newbyteorder("<"), copy=False).tobytes()
@@ -216,7 +206,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 del ids, raw, tokens
         pa.default_memory_pool().release_unused()
 
-    reach_workers(docs.sparkSession)
+    ship(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, shard int, tokens binary")
 
 
