@@ -13,11 +13,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .textarrays import ALNUM, LOWER, slices, span_hashes, words
+from .textarrays import ALNUM, LOWER, slices, span_array, stretches, words
 
 # Base phrases with their labels, and passages of public licence notices.
 PHRASES = {
@@ -37,6 +38,11 @@ NOTICES = {
     "cc-by-nc": "licensed under cc by nc 4 0",
     "gpl-3": "this work is licensed under the gnu general public license version 3",
     "apache-2": "licensed under the apache license version 2 0",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met 1 redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution 3 neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "zlib-text": "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required altered source versions must be plainly marked as such and must not be misrepresented as being the original software this notice may not be removed or altered from any source distribution",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
 }
 #: Words of a match that counts for a chain, and words of text a chain may skip between matches.
 MIN_MATCH, MAX_GAP = 4, 12
@@ -133,12 +139,7 @@ class Licences:
         number = {w: k for k, w in enumerate(vocabulary)}
         self.templates = [[number[w] for w in t.split()] for t in texts]
         self.automaton = SuffixAutomaton(self.templates)
-        joined = " ".join(vocabulary).encode()
-        data = np.frombuffer(joined, np.uint8)
-        starts, ends, _ = words(data, np.array([0, len(data)]), ALNUM)
-        hashes = span_hashes(data, starts, ends)
-        order = np.argsort(hashes)
-        self.hashes, self.numbers = hashes[order], order
+        self.vocabulary = pa.array([w.encode() for w in vocabulary], pa.large_binary())
         self.phrases: list[list[tuple[int, int]]] = [[] for _ in self.automaton.next]  # (words, phrase) by state
         for k in range(len(PHRASES)):
             home = self.automaton.statistics(self.templates[k])[-1][0]
@@ -149,11 +150,19 @@ class Licences:
                 if at == home:
                     self.phrases[state].append((len(self.templates[k]), k))
 
-    def known(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which words of a text stand in a template, and their numbers."""
-        at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-        hit = np.flatnonzero(self.hashes[at] == hashes)
-        return hit, self.numbers[at[hit]]
+    def known(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words that stand in a template, their numbers, and the words before each text."""
+        places, numbers, bounds, n = [], [], np.zeros(len(offsets), np.int64), 0
+        for a, b in stretches(data, ALNUM) if len(offsets) == 2 else [(0, len(data))]:
+            own = LOWER[data[a:b]]
+            starts, ends, own_bounds = words(own, np.clip(offsets - a, 0, b - a), ALNUM)
+            number = pc.fill_null(pc.index_in(span_array(own, starts, ends), value_set=self.vocabulary), -1).to_numpy()
+            hit = np.flatnonzero(number >= 0)
+            places.append(n + hit)
+            numbers.append(number[hit])
+            bounds[1:] = n + own_bounds[1:]
+            n += len(starts)
+        return np.concatenate([np.zeros(0, np.int64), *places]), np.concatenate([np.zeros(0, np.int32), *numbers]), bounds
 
     def scan(self, places: np.ndarray, numbers: np.ndarray) -> tuple[list[tuple[int, int]], dict[int, float], list[tuple[str, int, int]]]:
         """(start, phrase) of base places, best coverage by template, and labelled (label, start, end) spans."""
@@ -197,9 +206,7 @@ def _scan(batch: pa.RecordBatch) -> dict:
     found = licences()
     out: dict[str, list] = {k: [] for k in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans")}
     for lo, hi, data, offsets in slices(batch.column("text")):
-        data = LOWER[data]
-        starts, ends, bounds = words(data, offsets, ALNUM)
-        places, numbers = found.known(span_hashes(data, starts, ends)) if len(starts) else (np.zeros(0, int), np.zeros(0, int))
+        places, numbers, bounds = found.known(data, offsets)
         cuts = np.searchsorted(places, bounds)
         for k in range(hi - lo):
             a, b = cuts[k], cuts[k + 1]

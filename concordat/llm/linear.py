@@ -52,15 +52,15 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray, int]], size: int, how: Ftrl = F
 def fit_in_a_task(sample: DataFrame, fit_rows: Callable[[pa.Table], list[np.ndarray]]) -> list[np.ndarray]:
     """``fit_rows`` of a bounded sample, run in one task; only its arrays reach the driver.
 
-    The caller bounds the sample's rows; their order is settled by id and text, so that a rerun or
-    a repeated task gives the same arrays.
+    The caller bounds the sample's rows and bytes; their order is settled by ``turn`` and id, so that
+    a rerun or a repeated task gives the same arrays.
     """
     none = pa.table({n: pa.array([], pa.string() if n == "text" else pa.int64()) for n in sample.columns})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = list(batches)
         table = pa.Table.from_batches(rows) if rows else none
-        found = fit_rows(table.sort_by([("id", "ascending"), ("text", "ascending")]))
+        found = fit_rows(table.sort_by([("turn", "ascending"), ("id", "ascending")]))
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(found)), pa.int32()), "value": [x.astype("<f8").tobytes() for x in found]})
 
     got = sample.repartition(1).mapInArrow(run, "part int, value binary").collect()

@@ -11,17 +11,19 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, reach_workers
+from .common import arrow_map, ship
 from .linear import Ftrl, fit, fit_in_a_task, sigmoid
-from .textarrays import LOWER, U64, mix, slices, span_hashes, sums_by
+from .textarrays import LOWER, NOT_SPACE, U64, mix, slices, span_hashes, stretches, sums_by
 
 BITS = 18
 THRESHOLD = 0.7
 #: At most so many labelled rows are fitted: those whose hashed id is smallest.
 FIT_ROWS = 6000
+#: Bytes of a text up to which it is taken into a fitting sample.
+SAMPLE_BYTES = 1 << 15
 
 _KIND = np.full(256, 3, np.uint8)  # 0 space, 1 letters and digits, 2 marks within prose, 3 symbols
 _KIND[:33] = 0
@@ -71,11 +73,15 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarr
 
 
 def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    kinds, n = features(data, offsets)
-    total = np.full(len(offsets) - 1, weights[-1])
-    for idx, bounds in kinds:
-        total += sums_by(bounds, weights[idx]) / np.maximum(n, 1)
-    return total
+    """The margin of each text; pairs across the stretches of a very long text do not count."""
+    n = len(offsets) - 1
+    sums, n_words = np.zeros(n), np.zeros(n, np.int64)
+    for a, b in stretches(data, NOT_SPACE) if n == 1 else [(0, len(data))]:
+        kinds, own = features(data[a:b], np.clip(offsets - a, 0, b - a))
+        n_words += own
+        for idx, bounds in kinds:
+            sums += sums_by(bounds, weights[idx])
+    return weights[-1] + sums / np.maximum(n_words, 1)
 
 
 def training_rows(column: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -89,22 +95,31 @@ def training_rows(column: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray
     return rows
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = FIT_ROWS, how: Ftrl = Ftrl()) -> np.ndarray:
-    """Weights from labelled rows outside the held-out quarter.
+def _crc(i: Column) -> Column:
+    return F.crc32(i.cast("string").cast("binary")) % 4
 
-    At most ``limit`` ids (those with the smallest hash) are taken from ``labels`` first, so that
-    only their texts are read and one task fits a bounded sample.  Rows with a null id, a null
-    label or a label other than 0 and 1 do not count; several labels of one id: the largest.
+
+def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, rows: int, row_bytes: int, held_out: bool = False) -> DataFrame:
+    """(id, turn, y, text): one row for each of at most ``rows`` labelled ids, those of smallest hash.
+
+    The ids are chosen from ``labels`` alone, so only their texts are read.  Null ids, null labels and
+    labels other than 0 and 1 do not count; of several labels of an id the largest counts, of several
+    texts the smallest, and texts of more than ``row_bytes`` bytes are not taken: the sample has ``rows``
+    times ``row_bytes`` bytes at most.  With ``held_out`` ids of the held-out quarter are left out.
     """
-    chosen = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-        .where(F.col("id").isNotNull() & F.col("y").isin(0, 1) & (F.crc32(F.col("id").cast("string").cast("binary")) % 4 != 2))
-        .groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(limit)
-    )
-    reach_workers(docs.sparkSession)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
-    return fit_in_a_task(sample, lambda t: [fit(training_rows(t.column("text"), t.column("y").to_numpy()), 1 << BITS, how)])[0]
+    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
+    if held_out:
+        known = known.where(_crc(F.col("id")) != 2)
+    chosen = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("turn", F.xxhash64("id")).orderBy("turn", "id").limit(rows)
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.octet_length("text") <= row_bytes)
+    return texts.join(F.broadcast(chosen), "id").groupBy("id", "turn", "y").agg(F.min("text").alias("text"))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = FIT_ROWS, row_bytes: int = SAMPLE_BYTES, how: Ftrl = Ftrl()) -> np.ndarray:
+    """Weights from a sample of at most ``limit`` labelled rows outside the held-out quarter, fitted in one task."""
+    ship(docs.sparkSession)
+    rows = sample(docs, labels, id_col, text_col, label_col, limit, row_bytes, held_out=True)
+    return fit_in_a_task(rows, lambda t: [fit(training_rows(t.column("text"), t.column("y").to_numpy()), 1 << BITS, how)])[0]
 
 
 def _score(batch: pa.RecordBatch, weights: np.ndarray) -> dict:
@@ -128,13 +143,14 @@ def classify_quality(docs: DataFrame, labels: DataFrame, threshold: float = THRE
     """Every row of ``docs`` as doc_id, held_out, score and predicted (score >= ``threshold``).
 
     Nulls and empty texts get the score of a text without words; repeated rows get equal rows;
-    an empty ``labels`` gives 0.5 for all.  Columns other than doc_id and text are not read.
+    a row without a doc_id is scored and not held out; an empty ``labels`` gives 0.5 for all.
+    Columns other than doc_id and text are not read.
     """
     weights = fit_quality(docs, labels)
     scored = score_quality(docs, weights)
     return scored.select(
         F.col("id").alias("doc_id"),
-        (F.crc32(F.col("id").cast("string").cast("binary")) % 4 == 2).alias("held_out"),
+        F.coalesce(_crc(F.col("id")) == 2, F.lit(False)).alias("held_out"),
         "score",
         (F.col("score") >= threshold).cast("int").alias("predicted"),
     )

@@ -15,21 +15,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import quality_classifier as ngrams
-from .common import arrow_map, reach_workers
+from .common import arrow_map, ship
 from .linear import Ftrl, calibrate, fit, fit_in_a_task, sigmoid
-from .textarrays import NOT_SPACE, U64, mix, of_text, slices, span_hashes, sums_by, words
+from .textarrays import NOT_SPACE, U64, mix, of_text, run_codes, slices, stretches, sums_by
 
 # The base rules.
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, WINDOW, MAX_REPEATED_PERCENT = 10, 5, 20
 #: The calibrated probability of a good text below which the model rejects.
 THRESHOLD = 0.5
-FIT_ROWS, CALIBRATE_ROWS = 4000, 2000
+#: Labelled rows of the sample, of which every third calibrates and the others are fitted.
+SAMPLE_ROWS, CALIBRATE_EVERY = 6000, 3
 CHAR_BITS, CHAR_SIZES = 18, (4, 6)
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[[ord(c) for c in SYMBOLS]] = True
 _POINT = (np.arange(256) & 0xC0) != 0x80
+_IN_LINE = np.arange(256) != 10
 
 
 @dataclass(frozen=True)
@@ -42,43 +44,55 @@ class Model:
 
 
 def counts(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
-    """The countable rules' figures for each text."""
-    starts, ends, bounds = words(data, offsets, NOT_SPACE)
+    """The countable rules' figures for each text; lines and words are told apart by their bytes."""
+    codes, bounds = run_codes(data, offsets, NOT_SPACE)
     n = len(offsets) - 1
     n_words = np.diff(bounds)
-    points = _POINT[data] & NOT_SPACE[data]
-    out = {"n_words": n_words, "word_chars": sums_by(offsets, points), "n_symbols": sums_by(offsets, _SYMBOL[data])}
-
-    line_end = np.zeros(256, bool)
-    line_end[10] = True
-    l_starts, l_ends, l_bounds = words(data, offsets, ~line_end)
-    filled = np.concatenate([[0], np.cumsum(NOT_SPACE[data])])
-    some = filled[l_ends] > filled[l_starts]
-    text = of_text(l_bounds)[some]
-    lines = mix(span_hashes(data, l_starts[some], l_ends[some]) + text.astype(U64) * U64(0x632BE59BD9B4E019)) if some.any() else np.zeros(0, U64)
-    _, first = np.unique(lines, return_index=True)
+    points = sum(sums_by(np.clip(offsets - a, 0, b - a), _POINT[data[a:b]] & NOT_SPACE[data[a:b]]) for a, b in [*stretches(data, NOT_SPACE)] or [(0, 0)])
+    out = {"n_words": n_words, "word_chars": points, "n_symbols": sums_by(offsets, _SYMBOL[data])}
+
+    lines, l_bounds = run_codes(data, offsets, _IN_LINE, NOT_SPACE)
+    text = of_text(l_bounds)
+    _, first = np.unique(text * (int(lines.max(initial=0)) + 1) + lines, return_index=True)
     out["n_dup_lines"] = np.bincount(text, minlength=n) - np.bincount(text[first], minlength=n)
 
-    hashes = span_hashes(data, starts, ends) if len(starts) else np.zeros(0, U64)
-    text = of_text(bounds)
-    repeated = np.zeros(len(hashes) + 1, np.int64)
-    if len(hashes) >= WINDOW:
-        last = len(hashes) - WINDOW + 1
+    repeated = np.zeros(len(codes) + 1, np.int8)
+    if len(codes) >= WINDOW:
+        text = of_text(bounds)
+        last = len(codes) - WINDOW + 1
         whole = np.flatnonzero(text[:last] == text[WINDOW - 1 :])
-        window = text[whole].astype(U64) * U64(0x632BE59BD9B4E019)
+        twice = _twice(codes, text, whole)
         for k in range(WINDOW):
-            window = mix(window + U64(k + 1) + hashes[whole + k])
-        order = np.argsort(window)
-        same = window[order[1:]] == window[order[:-1]]
-        twice = np.zeros(len(window), bool)
-        twice[order[1:][same]] = True
-        twice[order[:-1][same]] = True
-        np.add.at(repeated, whole[twice], 1)
-        np.add.at(repeated, whole[twice] + WINDOW, -1)
-    out["n_repeat_words"] = sums_by(bounds, np.cumsum(repeated)[:-1] > 0)
+            repeated[twice + k] = 1
+    out["n_repeat_words"] = sums_by(bounds, repeated[:-1])
     return out
 
 
+def _twice(codes: np.ndarray, text: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Those of the windows that begin at ``whole`` that stand in their text twice or more.
+
+    Windows are sorted by a hash and neighbours compared word by word; should two different windows
+    share a hash, they are sorted by their words.
+    """
+    window = text[whole].astype(U64)
+    for k in range(WINDOW):
+        window = mix(window * U64(0x632BE59BD9B4E019) + codes[whole + k].astype(U64))
+    at = whole[np.argsort(window, kind="stable")]
+    window.sort()
+    equal = _same_windows(codes, text, at)
+    if ((window[1:] == window[:-1]) & ~equal).any():
+        at = whole[np.lexsort([codes[whole + k] for k in range(WINDOW)] + [text[whole]])]
+        equal = _same_windows(codes, text, at)
+    return np.concatenate([at[1:][equal], at[:-1][equal]])
+
+
+def _same_windows(codes: np.ndarray, text: np.ndarray, at: np.ndarray) -> np.ndarray:
+    equal = text[at[1:]] == text[at[:-1]]
+    for k in range(WINDOW):
+        equal &= codes[at[1:] + k] == codes[at[:-1] + k]
+    return equal
+
+
 def char_features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """[(hashed numbers, bounds by text)] of the byte n-grams of each size within texts."""
     out, text = [], of_text(offsets)
@@ -94,12 +108,16 @@ def char_features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarra
 
 
 def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The margin of each text; grams of a very long text are those of its stretches."""
     cut = 1 << ngrams.BITS
     total = ngrams.margins(data, offsets, np.append(weights[:cut], weights[-1]))
-    own = weights[cut:-1]
-    for idx, bounds in char_features(data, offsets):
-        total += sums_by(bounds, own[idx]) / np.maximum(np.diff(bounds), 1)
-    return total
+    own, n = weights[cut:-1], len(offsets) - 1
+    sums, grams = np.zeros((len(CHAR_SIZES), n)), np.zeros((len(CHAR_SIZES), n), np.int64)
+    for a, b in stretches(data, NOT_SPACE) if n == 1 else [(0, len(data))]:
+        for k, (idx, bounds) in enumerate(char_features(data[a:b], np.clip(offsets - a, 0, b - a))):
+            sums[k] += sums_by(bounds, own[idx])
+            grams[k] += np.diff(bounds)
+    return total + (sums / np.maximum(grams, 1)).sum(axis=0)
 
 
 def _rows(column: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:
@@ -116,27 +134,24 @@ def _rows(column: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return rows
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", fit_rows: int = FIT_ROWS, calibrate_rows: int = CALIBRATE_ROWS, how: Ftrl = Ftrl()) -> Model:
-    """Fit on at most ``fit_rows`` labelled rows (smallest hashed ids) and calibrate on the next ``calibrate_rows``."""
-    chosen = (
-        labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y"))
-        .where(F.col("id").isNotNull() & F.col("y").isin(0, 1))
-        .groupBy("id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("id"), "id").limit(fit_rows + calibrate_rows)
-    )
-    reach_workers(docs.sparkSession)
-    sample = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(F.broadcast(chosen), "id")
+def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, calibrate_every: int = CALIBRATE_EVERY, sample_bytes: int = ngrams.SAMPLE_BYTES, how: Ftrl = Ftrl()) -> Model:
+    """The model, from at most ``sample_rows`` labelled rows (see :func:`sample` of the classifier).
+
+    In the order of their hashed ids every ``calibrate_every``-th of them calibrates and the others
+    are fitted.  Without rows the model says one half for all texts.
+    """
+    ship(docs.sparkSession)
+    rows = ngrams.sample(docs, labels, id_col, text_col, label_col, sample_rows, sample_bytes)
     size = (1 << ngrams.BITS) + (1 << CHAR_BITS)
 
     def both(rows: pa.Table) -> list[np.ndarray]:
         y = rows.column("y").to_numpy()
-        third = np.arange(len(y)) % 3 == 2  # ids are in ascending order: every third row calibrates
-        weights = fit(_rows(rows.filter(pa.array(~third)).column("text"), y[~third]), size, how)
-        held = rows.filter(pa.array(third)).column("text")
-        m = np.concatenate([margins(data, offsets, weights) for _, _, data, offsets in slices(held)] or [np.zeros(0)])
-        return [weights, np.array(calibrate(m, y[third]))]
+        held = np.arange(len(y)) % calibrate_every == calibrate_every - 1
+        weights = fit(_rows(rows.filter(pa.array(~held)).column("text"), y[~held]), size, how)
+        m = np.concatenate([margins(data, offsets, weights) for _, _, data, offsets in slices(rows.filter(pa.array(held)).column("text"))] or [np.zeros(0)])
+        return [weights, np.array(calibrate(m, y[held]))]
 
-    weights, (slope, intercept) = fit_in_a_task(sample, both)
+    weights, (slope, intercept) = fit_in_a_task(rows, both)
     return Model(weights, float(slope), float(intercept))
 
 
