@@ -1,156 +1,198 @@
 """Benchmark decontamination: one Aho-Corasick automaton over normalised test items, texts scanned once.
 
-Items and texts are normalised alike (lower-cased A-Z, words of letters, digits and non-ASCII
-characters, one space between).  Every run of 13 words of an item is a pattern, delimited by spaces
-on both sides; an item with fewer words is one pattern.  Match ends are mapped back to words, and
-words to places in the original text.
+Items and texts are normalised alike: lower-cased A-Z, words of letters, digits and non-ASCII
+characters.  The automaton reads words, not characters: every run of 13 words of an item is a
+pattern over numbered words, an item with fewer words is one pattern, and a word that no item has
+ends every match.  Word places are mapped back to places in the original text.
+
+Test items of more than ITEM_BYTES bytes are dealt by their hash to groups of about that size; each
+group has an automaton and a pass over the rows, which carry the hits found before, so items in any
+number are scanned and no task or driver holds more than one group.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
-from .textarrays import ALNUM, LOWER, slices, words
+from .common import Scratch, ship
+from .textarrays import ALNUM, LOWER, slices, span_array, stretches, words
 
 WINDOW = 13
 #: A text with hits is contaminated if this many times its hit words reach its words.
 SHARE = 20
-#: Patterns in one automaton (about a kilobyte each); more patterns make further automata, each
-#: of which scans the texts in turn in the same pass.
-AUTOMATON_PATTERNS = 50_000
-#: Patterns that are broadcast; a larger set of test items is an error, not a silent cut.
-MAX_PATTERNS = 1_000_000
+#: Bytes of test items of one group; a megabyte of text makes an automaton of about 0.1 GB.
+ITEM_BYTES = 2 << 20
 
 _SPACED = bytes(c if ALNUM[c] else 32 for c in LOWER.tolist())  # lower-case, other bytes to spaces
 
 
-def normalised(text: bytes) -> list[bytes]:
-    return text.translate(_SPACED).split()
+class Automaton:
+    """The automaton over (item, text) rows; ``ids`` has the items that have a name."""
 
-
-def patterns(item: bytes, window: int = WINDOW) -> dict[str, int]:
-    """The delimited word runs of an item and their lengths in words."""
-    own = normalised(item)
-    return {f" {b' '.join(own[k : k + window]).decode()} ": len(own[k : k + window]) for k in range(max(1, len(own) - window + 1)) if own}
-
-
-class Automata:
-    """The automata over (item, text) rows; items are kept by their place in ``ids``."""
-
-    def __init__(self, items: list[tuple[str, bytes]], window: int = WINDOW):
-        self.ids = sorted({i for i, _ in items})
+    def __init__(self, items: list[tuple[str | None, bytes]], window: int = WINDOW):
+        texts = [(item, text.translate(_SPACED).split()) for item, text in items]
+        vocabulary = sorted({w for _, own in texts for w in own})
+        number = {w: k for k, w in enumerate(vocabulary, 1)}  # 0: a word of no item
+        self.vocabulary = pa.array(vocabulary, pa.large_binary())
+        self.ids = sorted({i for i, _ in items if i is not None})
         place = {i: k for k, i in enumerate(self.ids)}
-        owners: dict[str, tuple[int, set[int]]] = {}
-        for item, text in items:
-            for pattern, size in patterns(text, window).items():
-                owners.setdefault(pattern, (size, set()))[1].add(place[item])
-        if len(owners) > MAX_PATTERNS:
-            raise ValueError(f"{len(owners)} patterns; at most {MAX_PATTERNS} are broadcast")
-        every, self.automata = sorted(owners.items()), []
-        for k in range(0, len(every), AUTOMATON_PATTERNS):
-            automaton = ahocorasick.Automaton()
-            for pattern, (size, own) in every[k : k + AUTOMATON_PATTERNS]:
-                automaton.add_word(pattern, (size, tuple(sorted(own))))
-            automaton.make_automaton()
-            self.automata.append(automaton)
-
-    def scan(self, text: bytes) -> tuple[list[tuple[int, int]], set[int]]:
+        owners: dict[tuple[int, ...], set[int]] = {}
+        for item, own in texts:
+            numbers = tuple(number[w] for w in own)
+            for k in range(max(1, len(own) - window + 1) if own else 0):
+                owner = owners.setdefault(numbers[k : k + window], set())
+                if item is not None:
+                    owner.add(place[item])
+        self.shortest = min(map(len, owners), default=0)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+        for pattern, own in owners.items():
+            self.automaton.add_word(pattern, (len(pattern), tuple(sorted(own))))
+        if owners:
+            self.automaton.make_automaton()
+
+    def numbers(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        found = pc.index_in(span_array(data, starts, ends), value_set=self.vocabulary)
+        return pc.fill_null(found, -1).to_numpy().astype(np.int64) + 1
+
+    def scan(self, numbers: np.ndarray) -> tuple[list[tuple[int, int]], set[int]]:
         """[(first word, word after the last)] of the occurrences, and the items they belong to."""
-        line = f" {b' '.join(normalised(text)).decode()} "
-        found = [(end, size, own) for automaton in self.automata for end, (size, own) in automaton.iter(line)]
-        if not found:
+        if not self.shortest:
             return [], set()
-        spaces = np.flatnonzero(np.frombuffer(line.encode("utf-32-le"), np.uint32) == 32)
-        after = np.searchsorted(spaces, [end for end, _, _ in found])
-        return [(int(n) - size, int(n)) for n, (_, size, _) in zip(after, found, strict=True)], {k for _, _, own in found for k in own}
+        unknown = np.flatnonzero(numbers == 0)
+        if np.diff(unknown, prepend=-1, append=len(numbers)).max(initial=0) <= self.shortest:
+            return [], set()  # no run of known words is as long as a pattern
+        found = list(self.automaton.iter(tuple(numbers.tolist())))
+        return [(end + 1 - size, end + 1) for end, (size, _) in found], {k for _, (_, own) in found for k in own}
 
 
-_built: dict[tuple, Automata] = {}
+_built: dict[str, Automaton] = {}
 
 
-def _automata(held) -> Automata:
+def _automaton(held: Broadcast) -> Automaton:
     """Built once in each Python worker."""
     key, items, window = held.value
     if key not in _built:
         _built.clear()
-        _built[key] = Automata(items, window)
+        _built[key] = Automaton(items, window)
     return _built[key]
 
 
-def _scan(batch: pa.RecordBatch, held) -> dict:
-    automata = _automata(held)
-    out: dict[str, list] = {k: [] for k in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items", "spans")}
-    for lo, hi, data, offsets in slices(batch.column("text")):
-        starts, ends, bounds = words(LOWER[data], offsets, ALNUM)
-        whole = data.tobytes()
+def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(runs):
+        if out and a <= out[-1][1]:
+            out[-1] = out[-1][0], max(out[-1][1], b)
+        else:
+            out.append((a, b))
+    return out
+
+
+def _hits(column: pa.Array, automaton: Automaton) -> Iterator[tuple[int, list[tuple[int, int]], list[tuple[int, int]], list[str]]]:
+    """For every text: words, merged hit runs in words and in code points, and items that occur."""
+    for lo, hi, data, offsets in slices(column):
+        alone = hi - lo == 1
+        numbers, points, bounds = [], [], np.zeros(len(offsets), np.int64)
+        at = 0
+        for a, b in stretches(data, ALNUM) if alone else [(0, len(data))]:
+            own = LOWER[data[a:b]]
+            starts, ends, own_bounds = words(own, np.clip(offsets - a, 0, b - a), ALNUM)
+            numbers.append(automaton.numbers(own, starts, ends))
+            points.append((a + starts, a + ends))
+            bounds[1:] = at + own_bounds[1:]
+            at += len(starts)
+        number = np.concatenate([np.zeros(0, np.int64), *numbers])
         for k in range(hi - lo):
-            n = int(bounds[k + 1] - bounds[k])
-            text = whole[offsets[k] : offsets[k + 1]]
-            runs, items = automata.scan(text) if n else ([], set())
-            merged: list[list[int]] = []
-            for a, b in sorted(runs):
-                if merged and a <= merged[-1][1]:
-                    merged[-1][1] = max(merged[-1][1], b)
-                else:
-                    merged.append([a, b])
-            hit = sum(b - a for a, b in merged)
-            spans = []
-            if merged:
-                points = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
-                first = starts[bounds[k] : bounds[k + 1]] - offsets[k]
-                last = ends[bounds[k] : bounds[k + 1]] - offsets[k]
-                spans = [{"start": int(points[first[a]]), "end": int(points[last[b - 1]])} for a, b in merged]
-            ids = sorted(automata.ids[i] for i in items)
-            row = (n, hit, len(ids), hashlib.sha256(",".join(ids).encode()).hexdigest(), hit > 0 and SHARE * hit >= n, ids, spans)
-            for key, value in zip(out, row, strict=True):
-                out[key].append(value)
-    kinds = [pa.int64()] * 3 + [pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))]
-    return {"id": batch.column("id")} | {k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)}
-
-
-def hold_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW):
-    """Broadcast the test items, which are a fixed set; their patterns are counted against a bound.
-
-    Items whose id is null cannot be named and do not count; rows of one id are one item.
-    """
-    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("id is not null and text is not null").limit(MAX_PATTERNS + 1).collect()
-    if len(rows) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} test items")
-    items = [(r["id"], r["text"].encode()) for r in rows]
-    key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
-    return benchmark.sparkSession.sparkContext.broadcast((key, items, window))
+            first, last = int(bounds[k]), int(bounds[k + 1])
+            runs, items = automaton.scan(number[first:last]) if last > first else ([], set())
+            runs, spans = _merged(runs), []
+            if runs:
+                starts, ends = (np.concatenate(x)[first:last] - offsets[k] for x in zip(*points, strict=True))
+                before = np.concatenate([[0], np.cumsum((data[offsets[k] : offsets[k + 1]] & 0xC0) != 0x80)])
+                spans = [(int(before[starts[x]]), int(before[ends[y - 1]])) for x, y in runs]
+            yield last - first, runs, spans, [automaton.ids[i] for i in sorted(items)]
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+_SPAN_TYPE = "array<struct<start:long,end:long>>"
+_FOUND = f"row {{}}, n_words long, items array<string>, runs {_SPAN_TYPE}, spans {_SPAN_TYPE}"
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _pass(held: Broadcast):
+    """One group's hits, beside those of the groups before."""
+
+    def pairs(runs: list[tuple[int, int]]) -> list[dict]:
+        return [{"start": a, "end": b} for a, b in runs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            n_words, runs, spans, items = (list(x) for x in zip(*_hits(batch.column("row").field("text"), _automaton(held)), strict=True))
+            if "runs" in batch.schema.names:
+                for name, own in (("runs", runs), ("spans", spans)):
+                    for k, known in enumerate(batch.column(name).to_pylist()):
+                        own[k] = _merged(own[k] + [(x["start"], x["end"]) for x in known])
+                items = [sorted({*a, *b}) for a, b in zip(items, batch.column("items").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_pydict({
+                "row": batch.column("row"), "n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())),
+                "runs": pa.array([pairs(x) for x in runs], _SPANS), "spans": pa.array([pairs(x) for x in spans], _SPANS),
+            })
+
+    return run
+
+
+def hold_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> Iterator[Broadcast]:
+    """The test items as broadcast groups of about ``item_bytes``, one after the other.
+
+    Items without an id hit words but cannot be named; rows of one id are one item.
+    """
+    rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    groups = 1 + (rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // item_bytes
+    for group in range(groups):
+        own = rows.where(F.pmod(F.xxhash64("text"), F.lit(groups)) == group) if groups > 1 else rows
+        items = sorted(((r["id"], r["text"].encode()) for r in own.distinct().collect()), key=lambda r: (r[0] is None, r))
+        key = hashlib.sha256(repr((items, window)).encode()).hexdigest()
+        yield benchmark.sparkSession.sparkContext.broadcast((key, items, window))
+
+
+def _found(rows: DataFrame, benchmark: DataFrame, item_bytes: int) -> DataFrame:
+    """Every ``row`` (a struct with ``text``) with the hits of all groups, each written before the next pass."""
+    ship(rows.sparkSession)
+    schema, scratch = _FOUND.format(rows.schema["row"].dataType.simpleString()), None
+    for k, held in enumerate(hold_items(benchmark, item_bytes=item_bytes)):
+        if k:
+            scratch = scratch or Scratch(rows.sparkSession, "contamination")
+            rows = scratch.save(rows, f"pass-{k}")
+            if k > 1:
+                scratch.drop(f"pass-{k - 1}")
+        rows = rows.mapInArrow(_pass(held), schema)
+    n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
+    return rows.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+
+
+def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """For every row: words, hit words, items that occur, the verdict, and the hit spans in code points.
 
     Map-only over the texts.  A null or empty text has no words and no hits; an empty benchmark
-    hits nothing; repeated rows give equal rows; other columns are not read.
+    hits nothing; an item without an id counts for hits and verdict and is not among the items;
+    repeated rows give equal rows; other columns are not read.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
-    return arrow_map(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")),
-        _scan,
-        f"id {kind}, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>",
-        hold_items(benchmark),
+    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).alias("row"))
+    return _found(rows, benchmark, item_bytes).select(
+        "row.id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "items", "spans"
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns; one pass, no join."""
-    held = hold_items(benchmark)
-
-    def run(batches):
-        for batch in batches:
-            found = _scan(pa.RecordBatch.from_pydict({"id": pa.nulls(batch.num_rows, pa.int64()), "text": batch.column("text")}), held)
-            yield batch.filter(pc.invert(found["contaminated"]))
-
-    return docs.mapInArrow(run, docs.schema)
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
+    """The rows of ``docs`` that are not contaminated, with their columns; a pass a group, no join."""
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    return _found(rows, benchmark, item_bytes).where(~F.col("contaminated")).select("row.*")

@@ -7,12 +7,12 @@ _WORDS = r"regexp_extract_all(translate(coalesce({}, ''), 'ABCDEFGHIJKLMNOPQRSTU
 
 DECONTAMINATION = f"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS.format("text")} AS w FROM documents),
-b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("text")} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id::VARCHAR AS item, {_WORDS.format("text")} AS w FROM benchmark),
 p AS (SELECT DISTINCT item, least(len(w), 13) AS n, array_to_string(w[i : i + least(len(w), 13) - 1], ' ') AS t FROM b, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS u(i) WHERE len(w) > 0),
 s AS (SELECT r, i, n, array_to_string(w[i : i + n - 1], ' ') AS t FROM d, (SELECT DISTINCT n FROM p) AS sizes, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE len(w) >= n),
 h AS (SELECT r, i, n, item FROM s JOIN p USING (n, t)),
 hit AS (SELECT r, count(DISTINCT k) AS n_hit FROM h, unnest(range(i, i + n)) AS u(k) GROUP BY r),
-items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS own FROM (SELECT DISTINCT r, item FROM h) GROUP BY r)
+items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS own FROM (SELECT DISTINCT r, item FROM h WHERE item IS NOT NULL) GROUP BY r)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(own, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
 """
@@ -32,7 +32,7 @@ SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spa
 
 def _line_dedup() -> str:
     text = "coalesce(html, '')"
-    for pattern, by in ((HIDDEN, "chr(10)"), (COMMENT, "''"), (BREAK, "chr(10)"), (TAG, "''"), (SPACES, "' '")):
+    for pattern, by in (*((h, "chr(10)") for h in HIDDEN), (COMMENT, "''"), (BREAK, "chr(10)"), (TAG, "''"), (SPACES, "' '")):
         text = f"regexp_replace({text}, '{pattern}', {by}, 'g')"
     return f"""
 WITH p AS (SELECT row_number() OVER () AS r, page_id, lower(regexp_extract(coalesce(url, ''), '{HOST}', 1)) AS host, list_filter(list_transform(string_split({text}, chr(10)), lambda x: trim(x, ' ')), lambda x: x <> '') AS own FROM pages),

@@ -67,7 +67,8 @@ def contamination(text, items):
         for k in range(len(words) - size + 1):
             if tuple(words[k : k + size]) in windows:
                 hit |= set(range(k, k + size))
-                found.add(str(item))
+                if item is not None:  # hits words, but has no name
+                    found.add(str(item))
     return len(words), len(hit), len(found), sha(",".join(sorted(found))), len(hit) > 0 and 20 * len(hit) >= len(words)
 
 
