@@ -18,14 +18,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, partitions
 
 WEIGHTS = (5, 2, 1)
 MAX_REPEATS = 3
 SHARDS, SEED = 16, 11
 #: Documents in a block on average, blocks of a source at most, and sources at most.
 BLOCK_DOCS, MAX_BLOCKS, MAX_SOURCES = 64, 1 << 16, 100_000
-#: Rows of the block tables up to which they are broadcast, and tasks that shuffle one shard.
+#: Blocks of all sources and passes at most, so that the draws stay within 10**9; with more sources blocks are larger.
+MAX_DRAWN = 1 << 28
+#: Rows of the block tables up to which they are broadcast, and tasks that shuffle one shard, at least.
 BROADCAST_ROWS, SUBSHARDS = 100_000, 8
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -154,7 +156,7 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
     plan = []
     for number, (row, target) in enumerate(zip(found, wanted, strict=True)):
         passes = min(MAX_REPEATS, int(target // row["size"])) if row["size"] else 0
-        blocks = min(MAX_BLOCKS, max(1, -(-row["docs"] // BLOCK_DOCS)))
+        blocks = min(MAX_BLOCKS, max(1, MAX_DRAWN // ((MAX_REPEATS + 1) * len(found))), max(1, -(-row["docs"] // BLOCK_DOCS)))
         plan.append((number, row["source"], int(row["size"]), float(target), passes, float(target - passes * row["size"]), blocks))
     plans = spark.createDataFrame(plan, "number int, source string, source_size long, target double, passes int, rest double, blocks int")
     placed = _placed(sizes, plans)
@@ -219,5 +221,6 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     sizes = scratch.save(measured.drop("row"), "sizes")
     plans, homes, cut = _plan(sizes, scratch, weights, share, shards, seed)
     copies = _taken(_placed(measured, plans), homes, cut).select("row", "key", F.posexplode("shards").alias("copy", "shard"))
-    dealt = copies.repartition(max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "shard", F.pmod("key", F.lit(SUBSHARDS)))
+    parts = partitions(docs)
+    dealt = copies.repartition(max(shards, parts), "shard", F.pmod("key", F.lit(max(SUBSHARDS, -(-parts // shards)))))
     return dealt.sortWithinPartitions("shard", F.xxhash64("key", "copy", F.lit(seed))).select("row.*")

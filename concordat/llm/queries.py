@@ -23,7 +23,7 @@ from .token_files import token_index
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix(table(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", F.size("shards").alias("copies"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", "source", F.array_join(F.transform("shards", lambda s: s.cast("string")), ",").alias("shards"))
 
 
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
