@@ -3,8 +3,8 @@
 A page's lines are its text between block elements.  Pages are counted by host, and for each host
 the pages that hold a line are counted by the line's hash, combined on the map side; a host's lines
 over the ratio form one short array (of lines of which a page has n, at most n / ratio can be over
-it).  That array meets the pages of its host, and each page filters its own lines, so line texts are
-neither shuffled nor gathered.
+it).  That array meets the pages of its host, and each page filters its own lines.  Line texts are
+not gathered; up to BROADCAST_HOSTS hosts with boilerplate they are not shuffled either.
 """
 
 from __future__ import annotations
@@ -15,10 +15,10 @@ from pyspark.sql import functions as F
 from .common import Scratch
 
 # What the text of a page is (also used by the SQL twin).
-HIDDEN = r"(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)\s*>"
-COMMENT = r"(?s)<!--.*?-->"
-BREAK = r"(?i)</?(p|div|li|ul|ol|dl|dt|dd|nav|h[1-6]|br|hr|title|article|section|aside|header|footer|main|table|tr|td|th|blockquote|pre|form|head|body|html)\b[^>]*>"
-TAG = r"<[^>]*>"
+HIDDEN = [rf"(?is)<{kind}\b.*?(?:</{kind}\s*>|\z)" for kind in ("script", "style", "noscript", "template")]
+COMMENT = r"(?s)<!--.*?(?:-->|\z)"
+BREAK = r"(?i)</?(p|div|li|ul|ol|dl|dt|dd|nav|h[1-6]|br|hr|title|article|section|aside|header|footer|main|table|tr|td|th|blockquote|pre|form|head|body|html)\b[^<>]*>"
+TAG = r"</?[A-Za-z!?][^<>]*>"
 SPACES = r"[ \t\r\f]+"
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
 
@@ -34,8 +34,15 @@ def host(url: Column) -> Column:
 
 
 def lines(html: Column) -> Column:
-    """The non-empty lines of a page in order, white space collapsed."""
-    text = F.regexp_replace(F.regexp_replace(F.coalesce(html, F.lit("")), HIDDEN, "\n"), COMMENT, "")
+    """The non-empty lines of a page in order, white space collapsed.
+
+    A script or comment without its end hides the rest of the page.  No pattern reads on beyond where
+    it fails, so a page takes time in proportion to its length.
+    """
+    text = F.coalesce(html, F.lit(""))
+    for pattern in HIDDEN:
+        text = F.regexp_replace(text, pattern, "\n")
+    text = F.regexp_replace(text, COMMENT, "")
     text = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, BREAK, "\n"), TAG, ""), SPACES, " ")
     return F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != "")
 

@@ -1,14 +1,18 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from concordat.llm import line_dedup
 
 
 def plain_lines(page):
-    page = re.sub(r"(?is)<(script|style|noscript|template)\b.*?</(script|style|noscript|template)\s*>", "\n", page or "")
-    page = re.sub(r"(?s)<!--.*?-->", "", page)
+    page = page or ""
+    for kind in ("script", "style", "noscript", "template"):
+        page = re.sub(rf"(?is)<{kind}\b.*?(</{kind}\s*>|\Z)", "\n", page)
+    page = re.sub(r"(?s)<!--.*?(-->|\Z)", "", page)
     page = re.sub(line_dedup.BREAK, "\n", page)
-    page = re.sub(r"<[^>]*>", "", page)
+    page = re.sub(r"</?[A-Za-z!?][^<>]*>", "", page)
     return [x for x in (re.sub(r"[ \t\r\f]+", " ", x).strip(" ") for x in page.split("\n")) if x]
 
 
@@ -41,3 +45,13 @@ def test_against_brute_force(spark):
 
 def test_empty(spark):
     assert line_dedup.drop_boilerplate(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_lines_of_odd_pages(spark):
+    import time
+
+    pages = ["<p>a<script>x</style>y</script>b", "a<p>b<script>hidden<p>c", "a<!-- b<p>c", "1 < 2<p>3 > 2 <b>x</b>", "<" * 300_000 + "end", "<script " * 60_000, "<p <p <p>a", None]
+    began = time.time()
+    got = spark.createDataFrame([(k, p) for k, p in enumerate(pages)], "k long, html string").select("k", line_dedup.lines(F.col("html")).alias("x")).orderBy("k").collect()
+    assert time.time() - began < 60  # a page takes time in proportion to its length
+    assert [r.x for r in got][:4] == [["a", "b"], ["a", "b"], ["a"], ["1 < 2", "3 > 2 x"]] and got[4].x == ["<" * 300_000 + "end"] and got[5].x == [] and got[7].x == []
