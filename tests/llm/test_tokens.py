@@ -64,7 +64,7 @@ def test_words_are_told_apart_by_their_bytes():
 def test_a_very_long_text():
     import pyarrow as pa
 
-    text = "Längster Text, d'un côté 12345 — and words " * 110_000 + "x" * 70_000 + " end"
+    text = "Längster Text, d'un côté 12345 — and words " * 30_000 + "x" * 70_000 + " end"
     ids, bounds = token_files.Encoder(PATH).encode(*as_bytes(pa.array([text])))
     assert len(text.encode()) > 2 * token_files.SLICE_BYTES and bounds.tolist() == [0, len(ids)] and ids.tolist() == plain(text)
 
