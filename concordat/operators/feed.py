@@ -169,10 +169,10 @@ def advance(jobs: DataFrame, pages: DataFrame, key: str = "id") -> DataFrame:
     """Listing jobs after a wave of pages: the next token, complete without one, from the start if it was stale.
 
     ``pages``: key, requested_token, next_token, stale.  A page of another token than the job's is late
-    and does not count.
+    and does not count; a job that is not pending stays as it is.
     """
     joined = jobs.join(pages.select(key, "requested_token", "next_token", "stale", F.lit(True).alias("_page")), key, "left")
-    hit = F.coalesce("_page", F.lit(False)) & F.col("requested_token").eqNullSafe(F.col("page_token"))
+    hit = F.coalesce("_page", F.lit(False)) & (F.col("state") == "pending") & F.col("requested_token").eqNullSafe(F.col("page_token"))
     stale = hit & F.coalesce("stale", F.lit(False))
     done = hit & ~stale & F.col("next_token").isNull()
     return joined.select(key, "scan_id", F.when(stale | done, None).when(hit, F.col("next_token")).otherwise(F.col("page_token")).alias("page_token"), F.when(done, "complete").when(stale, "pending").otherwise(F.col("state")).alias("state"))

@@ -19,18 +19,19 @@ from concordat.sources.workspace import Workspace
 
 from .pacing import numbered
 
-#: Steps after which a chain counts as endless.
+#: Links that scope resolution follows at most.
 MAX_DEPTH = 128
 
 
-def climb(nodes: DataFrame, stops: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def climb(nodes: DataFrame, stops: DataFrame, max_depth: int | None = None) -> DataFrame:
     """(id, top, path, depth, ready, outcome) for every node.
 
     ``nodes``: id, parent_id, name, and optionally ready; ``stops``: id of the nodes at which chains
     end (they need not be roots).  outcome: ``reached`` (top is the first stop at or above the node,
     path leads from it, '' for itself), ``broken`` (top is the last node before the missing parent;
     path then starts with its name),
-    or ``deep`` (longer than ``max_depth``, or a cycle).  ready: every node from the stop down is.
+    or ``deep`` (a cycle, or longer than ``max_depth`` where that is given).  ready: every node from the
+    stop down is.  A chain that has not ended after as many links as there are nodes is a cycle.
     """
     work = Workspace(nodes.sparkSession, "climb")
     own_ready = F.col("ready") if "ready" in nodes.columns else F.lit(True)
@@ -47,7 +48,8 @@ def climb(nodes: DataFrame, stops: DataFrame, max_depth: int = MAX_DEPTH) -> Dat
         )
     )
     state, step = work.save(state, "step-0"), 0
-    while 2**step <= max_depth and not state.where("outcome = 'going'").limit(1).isEmpty():
+    longest = state.count() if max_depth is None else max_depth
+    while 2**step <= longest and not state.where("outcome = 'going'").limit(1).isEmpty():
         above = state.select(F.col("id").alias("top"), F.col("top").alias("top_"), F.col("path").alias("path_"), F.col("depth").alias("depth_"), F.col("ready").alias("ready_"), F.col("outcome").alias("outcome_"))
         going = state.where("outcome = 'going'").join(above, "top").select(
             "id", F.col("top_").alias("top"), F.concat_ws("/", F.when(F.col("path_") != "", F.col("path_")), "path").alias("path"),
@@ -56,7 +58,7 @@ def climb(nodes: DataFrame, stops: DataFrame, max_depth: int = MAX_DEPTH) -> Dat
         step += 1
         state = work.save(state.where("outcome <> 'going'").unionByName(going), f"step-{step}")
         work.drop(f"step-{step - 1}")
-    return state.withColumn("outcome", F.when((F.col("outcome") == "going") | (F.col("depth") > max_depth), "deep").otherwise(F.col("outcome")))
+    return state.withColumn("outcome", F.when((F.col("outcome") == "going") | (F.col("depth") > longest), "deep").otherwise(F.col("outcome")))
 
 
 def paths(nodes: DataFrame, roots: DataFrame) -> DataFrame:

@@ -335,13 +335,13 @@ def interval_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH j AS (SELECT n_nationkey AS id, 's' AS scan_id, CASE WHEN n_nationkey % 4 <> 0 THEN 't' || n_nationkey END AS page_token, 'pending' AS state FROM nation), p AS (SELECT s_nationkey AS id, count(*) AS n FROM supplier GROUP BY 1)
-SELECT id, scan_id, CASE WHEN n IS NULL OR (id % 5 = 0 AND id % 4 <> 0) THEN page_token WHEN n % 3 = 0 THEN NULL WHEN n % 2 = 0 THEN 'next' END AS page_token,
- CASE WHEN n IS NULL OR (id % 5 = 0 AND id % 4 <> 0) OR n % 3 = 0 OR n % 2 = 0 THEN state ELSE 'complete' END AS state FROM j LEFT JOIN p USING (id)""")
+WITH j AS (SELECT n_nationkey AS id, 's' AS scan_id, CASE WHEN n_nationkey % 4 <> 0 THEN 't' || n_nationkey END AS page_token, CASE WHEN n_nationkey % 6 = 1 THEN 'complete' ELSE 'pending' END AS state FROM nation), p AS (SELECT s_nationkey AS id, count(*) AS n FROM supplier GROUP BY 1),
+h AS (SELECT *, n IS NOT NULL AND state = 'pending' AND NOT (id % 5 = 0 AND id % 4 <> 0) AS hit FROM j LEFT JOIN p USING (id))
+SELECT id, scan_id, CASE WHEN NOT hit THEN page_token WHEN n % 3 = 0 THEN NULL WHEN n % 2 = 0 THEN 'next' END AS page_token, CASE WHEN NOT hit OR n % 3 = 0 OR n % 2 = 0 THEN state ELSE 'complete' END AS state FROM h""")
 def listing_waves(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, i, n = F.col("n_nationkey"), F.col("id"), F.col("n")
     token = lambda x: F.when(x % 4 != 0, F.concat(F.lit("t"), x))
-    jobs = table(spark, sf_dir, "nation").select(k.alias("id"), F.lit("s").alias("scan_id"), token(k).alias("page_token"), F.lit("pending").alias("state"))
+    jobs = table(spark, sf_dir, "nation").select(k.alias("id"), F.lit("s").alias("scan_id"), token(k).alias("page_token"), F.when(k % 6 == 1, "complete").otherwise("pending").alias("state"))
     pages = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("id")).agg(F.count("*").alias("n"))
     pages = pages.select("id", F.when((i % 5 == 0) & (i % 4 != 0), "late").otherwise(token(i)).alias("requested_token"), F.when(n % 2 == 0, "next").alias("next_token"), (n % 3 == 0).alias("stale"))
     return feed.advance(jobs, pages)

@@ -310,3 +310,11 @@ def test_a_choice_counts_for_its_revision(spark):
 def test_destinations(spark):
     below = lambda p: one(spark, paths.stays_below(F.lit("/data/root/"), F.lit(p)))
     assert [below(p) for p in ("a", "a/../b", "../x", "..", ".", "../root/x", "a/../../root2/x")] == [True, True, False, False, False, True, False]
+
+
+def test_trees_of_any_depth(spark):
+    rows = [(k, k - 1 if k else None, f"n{k}", True) for k in range(300)] + [(400, 401, "x", True), (401, 400, "y", True)]
+    root = spark.createDataFrame([(0,)], "id long")
+    found = tree.paths(nodes(spark, rows), root)
+    assert found.count() == 300 and found.where("id = 299").first().depth == 299
+    assert tree.excluded(nodes(spark, rows), root).count() == 300
