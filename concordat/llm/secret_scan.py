@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import arrow_map
-from .textarrays import slices, words
+from .textarrays import slices, stretches, words
 
 # The base patterns, over UTF-8 bytes (all they match is ASCII).
 ASSIGN = re.compile(rb"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -169,9 +169,12 @@ def _joined(spans: list[tuple[str, int, int]]) -> str:
 def _scan(batch: pa.RecordBatch, path: str) -> dict:
     out: dict[str, list] = {k: [] for k in ("n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans")}
     for lo, hi, data, offsets in slices(batch.column("text")):
-        starts, ends, _ = words(data, offsets, _KEY_BYTE)
-        long = ends - starts >= MIN_RANDOM
-        starts, ends = starts[long], ends[long]
+        found = []
+        for x, y in stretches(data, _KEY_BYTE) if hi - lo == 1 else [(0, len(data))]:
+            own_starts, own_ends, _ = words(data[x:y], np.clip(offsets - x, 0, y - x), _KEY_BYTE)
+            long = own_ends - own_starts >= MIN_RANDOM
+            found.append((x + own_starts[long], x + own_ends[long]))
+        starts, ends = (np.concatenate([np.zeros(0, np.int64), *side]) for side in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         cuts = np.searchsorted(starts, offsets)
         whole = data.tobytes()
         for k in range(hi - lo):

@@ -6,12 +6,13 @@ from collections import Counter
 
 import numpy as np
 import plain
+import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_tokens import colliding
 
-from concordat.llm import decontamination, license_scan, linear, mixing, quality_classifier, quality_rules, suffix_dedup, textarrays
+from concordat.llm import decontamination, license_scan, linear, mixing, quality_classifier, quality_rules, secret_scan, simhash_dedup, suffix_dedup, textarrays
 from concordat.llm.textarrays import as_bytes
 
 ONE, TWO = colliding()
@@ -76,6 +77,34 @@ def test_long_text_hits(long_text):
     assert len(plain.ALNUM_WORD.findall(long_text[a:b])) == runs[0][1] - runs[0][0]
 
 
+def test_long_text_fingerprint(long_text):
+    assert simhash_dedup.fingerprint(long_text.encode()) == plain.fingerprint(long_text)
+
+
+def test_long_text_secrets(long_text):
+    key = "q7Zx2Lw9Vb4Rt8Yp1Nm6"
+    text = long_text + f" secret=abcdefgh12 {key} " + long_text
+    row = {k: v[0].as_py() for k, v in secret_scan._scan(pa.RecordBatch.from_pydict({"id": [1], "text": [text]}), public_tokenizers.path("byte_bpe_50k.tiktoken")).items()}
+    assert (row["n_assign"], row["n_access"], row["n_hex"], row["base_sha256"]) == plain.secrets(text)[:4]
+    at = text.index(key)
+    assert row["spans"].endswith(f"random:{at}:{at + len(key)}")
+
+
+def test_random_strings_are_found_and_words_are_not():
+    rng = random.Random(11)
+    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    draw = lambda n: "".join(rng.choice(alphabet) for _ in range(n)).encode()
+    for prefix in (b"", b"service/production/configuration/", b"customer_subscription_identifier_"):
+        for size in (20, 32, 64):
+            assert sum(bool(secret_scan.random_spans(prefix + draw(size), path)) for _ in range(200)) >= 196
+    words = "customer subscription identifier service production configuration response handler maximum connection timeout request parser default encoding message".split()
+    names = [("_" if k % 2 else "").join(w.title() if k % 2 == 0 else w for w in rng.sample(words, 4)).encode() for k in range(400)]
+    assert sum(bool(secret_scan.random_spans(n, path)) for n in names) <= 4
+    for known in (b"d41d8cd98f00b204e9800998ecf8427e", b"123e4567-e89b-12d3-a456-426614174000", b"12345678901234567890123456"):
+        assert not secret_scan.random_spans(known, path)
+
+
 def test_long_text_memory():
     """A text of 64 MB raises the peak of the heavy steps by less than half a gigabyte."""
     import subprocess
