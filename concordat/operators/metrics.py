@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import slices
+
 # Fixed values.
 RATE_WINDOW_US, RATE_LIMIT = 1_010_000, 65
 MIN_SAMPLE_S = 0.1
@@ -29,10 +31,10 @@ def next_start(samples: DataFrame, by: list[str], at_us: str, order: list[str],
 
 def sampled_rate(samples: DataFrame, by: list[str], at_us: str, total: str, order: list[str]) -> DataFrame:
     """Add rate (units a second) against the sample before: null for the first or too short an interval."""
-    w = Window.partitionBy(*by).orderBy(*order)
-    seconds = (F.col(at_us) - F.lag(at_us).over(w)) / 1e6
-    moved = F.col(total) - F.lag(total).over(w)
-    return samples.withColumn("rate", F.when(seconds >= MIN_SAMPLE_S, F.greatest(moved / seconds, F.lit(0.0))))
+    met = slices.previous(slices.ranged(samples, by, order), by, order, "_before", F.struct(F.col(at_us).alias("at"), F.col(total).alias("total")))
+    seconds = (F.col(at_us) - F.col("_before.at")) / 1e6
+    moved = F.col(total) - F.col("_before.total")
+    return met.withColumn("rate", F.when(seconds >= MIN_SAMPLE_S, F.greatest(moved / seconds, F.lit(0.0)))).drop("_before", slices.RANGE)
 
 
 def fraction(done: Column, total: Column) -> Column:
@@ -42,23 +44,22 @@ def fraction(done: Column, total: Column) -> Column:
 
 def distinct_until_changed(samples: DataFrame, by: list[str], order: list[str], values: list[str]) -> DataFrame:
     """The samples whose values differ (null-safe) from the one before."""
-    w = Window.partitionBy(*by).orderBy(*order)
     now = F.struct(*values)
-    return samples.withColumn("_now", now).withColumn("_before", F.lag("_now").over(w)).where(F.col("_before").isNull() | ~F.col("_now").eqNullSafe(F.col("_before"))).drop("_now", "_before")
+    met = slices.previous(slices.ranged(samples, by, order), by, order, "_before", now)
+    return met.where(F.col("_before").isNull() | ~now.eqNullSafe(F.col("_before"))).drop("_before", slices.RANGE)
 
 
 def high_water(samples: DataFrame, by: list[str], order: list[str], value: str) -> DataFrame:
     """Add fresh: what each value adds to the greatest value before it."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return samples.withColumn("fresh", F.greatest(F.col(value) - F.coalesce(F.max(value).over(w), F.lit(0)), F.lit(0)))
+    met = slices.running_max(slices.ranged(samples, by, order), by, order, "_most", F.col(value), itself=False)
+    return met.withColumn("fresh", F.greatest(F.col(value) - F.coalesce("_most", F.lit(0)), F.lit(0))).drop("_most", slices.RANGE)
 
 
 def cooldown(samples: DataFrame, by: list[str], order: list[str], at: str, delay: str) -> DataFrame:
     """Add until: the running latest end of all pauses; delays are kept to 1 to 3600 s, unknown ones 1.5 s."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     d = F.col(delay)
     kept = F.when(d.isNull() | F.isnan(d), COOLDOWN_UNKNOWN).otherwise(F.least(F.greatest(d, F.lit(COOLDOWN[0])), F.lit(COOLDOWN[1])))
-    return samples.withColumn("until", F.max(F.col(at) + kept).over(w))
+    return slices.running_max(slices.ranged(samples, by, order), by, order, "until", F.col(at) + kept).drop(slices.RANGE)
 
 
 def stalled(samples: DataFrame, by: list[str], order: list[str], offset: str, start: int = 0) -> DataFrame:
@@ -67,16 +68,18 @@ def stalled(samples: DataFrame, by: list[str], order: list[str], offset: str, st
     stalled: the second acknowledgement in a row that confirms nothing new; went_back: it confirms less
     than the one before, which is an invalid answer and not a stall.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    before = F.coalesce(F.lag(offset).over(w), F.lit(start))
-    marked = samples.withColumn("went_back", F.col(offset) < before).withColumn("_nothing", F.col(offset) == before)
-    return marked.withColumn("stalled", F.col("_nothing") & F.coalesce(F.lag("_nothing").over(w), F.lit(False))).drop("_nothing")
+    met = slices.previous(slices.ranged(samples, by, order), by, order, "_before", F.col(offset))
+    before = F.coalesce("_before", F.lit(start))
+    marked = met.withColumn("went_back", F.col(offset) < before).withColumn("_nothing", F.col(offset) == before).drop("_before")
+    again = slices.previous(marked, by, order, "_again", F.col("_nothing"))
+    return again.withColumn("stalled", F.col("_nothing") & F.coalesce("_again", F.lit(False))).drop("_nothing", "_again", slices.RANGE)
 
 
 def batches(rows: DataFrame, by: list[str], order: list[str], chunk: int = CHUNK) -> DataFrame:
     """Add batch: the first row alone, then chunks."""
-    n = F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1
-    return rows.withColumn("batch", F.when(n < ALONE_FIRST, 0).otherwise(1 + F.floor((n - ALONE_FIRST) / chunk)).cast("bigint"))
+    met = slices.running_sum(slices.ranged(rows, by, order), by, order, "_n", F.lit(1))
+    n = F.col("_n") - 1
+    return met.withColumn("batch", F.when(n < ALONE_FIRST, 0).otherwise(1 + F.floor((n - ALONE_FIRST) / chunk)).cast("bigint")).drop("_n", slices.RANGE)
 
 
 def observation_batches(entries: DataFrame, by: list[str], order: list[str], is_directory: str, chunk: int = CHUNK) -> DataFrame:
@@ -95,7 +98,8 @@ def observation_batches(entries: DataFrame, by: list[str], order: list[str], is_
 
 def transfers_in_order(transfers: DataFrame) -> DataFrame:
     """Running and queued transfers of each direction in the order in which they began, with their place."""
-    return transfers.withColumn("place", F.row_number().over(Window.partitionBy("direction", "state").orderBy("began", "id")))
+    by, order = ["direction", "state"], ["began", "id"]
+    return slices.running_sum(slices.ranged(transfers, by, order), by, order, "place", F.lit(1)).drop(slices.RANGE)
 
 
 def run_statistics(actions: DataFrame) -> DataFrame:

@@ -11,12 +11,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.paths import depth, rebased, within
 from concordat.sources.workspace import Workspace
 
+from . import slices
 from .pacing import numbered
 
 #: Links that scope resolution follows at most.
@@ -172,7 +173,7 @@ def traverse(start: DataFrame, listing: Callable[[DataFrame], DataFrame]) -> Dat
 
 def barrier_groups(events: DataFrame, partition: str, order: list[str], is_barrier: str) -> DataFrame:
     """Add group: every barrier is a group of its own, rows between barriers are one group."""
-    w = Window.partitionBy(partition).orderBy(*order)
-    flag = F.col(is_barrier).cast("int")
-    before = F.coalesce(F.lag(flag).over(w), F.lit(0))
-    return events.withColumn("_cut", F.when((flag == 1) | (before == 1), 1).otherwise(0)).withColumn("group", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_cut")
+    by, flag = [partition], F.col(is_barrier)
+    met = slices.previous(slices.ranged(events, by, order), by, order, "_before", flag)
+    cut = F.when(flag | F.coalesce("_before", F.lit(False)), 1).otherwise(0)
+    return slices.running_sum(met, by, order, "group", cut).withColumn("group", F.col("group").cast("bigint")).drop("_before", slices.RANGE)

@@ -318,3 +318,25 @@ def test_trees_of_any_depth(spark):
     found = tree.paths(nodes(spark, rows), root)
     assert found.count() == 300 and found.where("id = 299").first().depth == 299
     assert tree.excluded(nodes(spark, rows), root).count() == 300
+
+
+def test_ordered_computations_in_two_levels(spark):
+    import random
+
+    from concordat.operators import slices
+
+    rng = random.Random(6)
+    rows = [(rng.choice([1, 1, 1, 2, None]), n, rng.choice([None, *range(9)])) for n in range(400)]
+    df = slices.ranged(spark.createDataFrame(rows, "g int, n int, v int"), ["g"], ["n"], 16)
+    assert df.select("_range").distinct().count() > 8  # the big key is spread
+    got = slices.previous(df, ["g"], ["n"], "before", F.col("v"))
+    got = slices.running_sum(got, ["g"], ["n"], "total", F.coalesce("v", F.lit(0)))
+    got = slices.running_max(got, ["g"], ["n"], "most", F.col("v"))
+    got = slices.running_max(got, ["g"], ["n"], "most_before", F.col("v"), itself=False)
+    found = {r.n: (r.before, r.total, r.most, r.most_before) for r in got.collect()}
+    seen = {}
+    for g, n, v in rows:
+        own = seen.setdefault(g, [])
+        known, later = [x for x in own if x is not None], [x for x in [*own, v] if x is not None]
+        assert found[n] == (own[-1] if own else None, sum(later), max(later, default=None), max(known, default=None))
+        own.append(v)
