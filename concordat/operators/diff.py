@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from concordat.functions.text import same_digest
+
 IDENTITY = ("device", "inode", "mtime", "ctime", "size")
 
 
@@ -112,12 +114,12 @@ def verify_existing(folder: bool) -> Column:
     )
     if folder:
         return found
-    return found.when(of(F.col("size") == F.col("expected_size")), "size").when(of(F.lower("sha256") == F.lower("expected_sha256")), "checksum")
+    return found.when(of(F.col("size") == F.col("expected_size")), "size").when(of(same_digest(F.col("sha256"), F.col("expected_sha256"))), "checksum")
 
 
 def verify_upload() -> Column:
     """The same for an upload's answer: the size may be left out, the digest may not."""
-    return F.when(F.col("size").isNotNull() & (F.col("size") != F.col("expected_size")), "size").when(~F.coalesce(F.lower("sha256") == F.lower("expected_sha256"), F.lit(False)), "checksum")
+    return F.when(F.col("size").isNotNull() & (F.col("size") != F.col("expected_size")), "size").when(~F.coalesce(same_digest(F.col("sha256"), F.col("expected_sha256")), F.lit(False)), "checksum")
 
 
 def links_in_order(items: DataFrame) -> DataFrame:

@@ -94,8 +94,3 @@ def incremental(items: DataFrame, seen: DataFrame, scan: DataFrame, digest: Call
     done = applied.where("work is not null").select(F.when(F.col("work") == "safetyBlocked", "failed").otherwise(F.col("work")).alias("action"), size.alias("bytes"))
     actions = done.union(action(skipped, "skipped")).union(action(diff.changed(scan, far.withColumn("size", F.col("local_size"))), "scanned")).union(action(feed.still_queued(seen), "pending"))
     return after, todo, metrics.run_statistics(actions)
-
-
-def gated_items(items: DataFrame, inbox: DataFrame, scans: DataFrame, conflicts: DataFrame) -> DataFrame:
-    """(item_id) that a round leaves alone, as ``gates.waiting`` finds them."""
-    return gates.waiting(items, inbox, scans, conflicts).withColumnRenamed("id", "item_id")

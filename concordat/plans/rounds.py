@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from concordat.functions import issues as meaning
 from concordat.functions import paths
 from concordat.functions.text import digest, epoch_seconds, range_digest
-from concordat.operators import cleanup, conflicts, diff, feed, gates, metrics, operations, pacing, reconcile, store, tree
+from concordat.operators import cleanup, conflicts, diff, feed, gates, metrics, operations, pacing, reconcile, rounds, store, tree
 
 from .feeds import EVENTS, events
 from .registry import query, table
@@ -260,3 +260,41 @@ def group_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes by user in commits of at most three, an hour or until an error; sequential, so beyond SQL."""
     own = events(spark, sf_dir).select(F.col("user_id").alias("writer"), F.col("event_id").alias("write"), "at_us", (F.col("event_type") == "error").alias("immediate"))
     return pacing.flushes(own, 3, 3_600_000_000)
+
+
+@query("""
+WITH d AS (SELECT doc_id + 1 AS i, text FROM documents), s AS (SELECT i, i % 11 = 0 AS gone, i % 11 <> 0 AND i % 5 = 0 AS edited, i % 11 <> 0 AND i % 13 = 0 AS moved, i % 7 = 0 AS changed, i % 7 <> 0 AND i % 17 = 0 AS removed, i % 7 <> 0 AND i % 17 <> 0 AND i % 19 = 0 AS trashed FROM d),
+k AS (SELECT CASE WHEN moved THEN 'm' ELSE 'f' END || i AS name, CASE
+  WHEN gone THEN CASE WHEN trashed THEN 'unchanged' WHEN changed THEN 'conflict' ELSE 'trashRemote' END
+  WHEN trashed THEN CASE WHEN edited THEN 'conflict' ELSE 'deleteLocal' END
+  WHEN edited AND changed THEN 'conflict' WHEN edited THEN 'upload' WHEN changed THEN 'download' END AS decision FROM s WHERE NOT removed AND i % 29 <> 0)
+SELECT name, decision, CASE decision WHEN 'unchanged' THEN 'cleanup' WHEN 'upload' THEN 'safetyBlocked' ELSE decision END AS work FROM k WHERE decision IS NOT NULL
+UNION ALL SELECT 'n' || i, 'download', 'download' FROM d WHERE i % 23 = 0""")
+def incremental_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a whole round over ``documents`` puts to work: files that were edited, moved or removed on either side."""
+    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 1).alias("i"), "text", F.col("n_chars").cast("bigint").alias("n"))
+    i, sha = F.col("i"), digest(F.col("text"))
+    fixed = {"entry_kind": "file", "local_status": "present", "remote_status": "present", "phase": "committed", "parent_remote": "r0"}
+    numbers = {"parent_id": 0, "device": 1, "remote_version": 1, "local_generation": 1, "remote_generation": 1, "dirty_generation": 0}
+    files = docs.select(
+        i.alias("item_id"), F.concat(F.lit("f"), i).alias("name"), F.concat(F.lit("r"), i).alias("remote_id"), *[sha.alias(f"{s}_sha256") for s in ("base", "local", "remote")], *[F.col("n").alias(f"{s}_size") for s in ("base", "local", "remote")],
+        *[i.alias(c) for c in ("inode", "mtime", "ctime")], F.lit(False).alias("excluded"), *[F.lit(v).alias(c) for c, v in fixed.items()], *[F.lit(v).cast("bigint").alias(c) for c, v in numbers.items()],
+    )
+    folder = spark.range(1).select(F.col("id").alias("item_id"), F.lit("").alias("name"), F.lit("r0").alias("remote_id"), F.lit("directory").alias("entry_kind"), F.lit("present").alias("local_status"), F.lit("present").alias("remote_status"), F.lit("committed").alias("phase"), F.lit(False).alias("excluded"), *[F.lit(0).cast("bigint").alias(c) for c in ("local_generation", "remote_generation", "dirty_generation")])
+    items = files.unionByName(folder, allowMissingColumns=True)
+
+    def observed(rows: DataFrame, letter: str, edit: str) -> DataFrame:
+        name = F.concat(F.lit("n" if letter == "n" else "f"), i)
+        return rows.select(
+            F.concat(F.lit(letter), i).alias("remote_id"), name.alias("name"), F.lit("r0").alias("parent_remote"), digest(F.concat("text", F.lit(edit))).alias("sha256"), F.col("n").alias("size"), F.lit(2).cast("bigint").alias("version"),
+            ((i % 7 != 0) & (i % 17 == 0) & (F.lit(letter) == "r")).alias("removed"), ((i % 7 != 0) & (i % 17 != 0) & (F.lit(letter) == "r")).alias("trashed"), F.lit("inside").alias("scope"), F.lit(True).alias("placeable"),
+        )
+
+    seen = observed(docs.where("i % 7 = 0 or i % 17 = 0 or i % 19 = 0"), "r", "R").unionByName(observed(docs.where("i % 23 = 0"), "n", "N"))
+    scan = docs.where("i % 11 <> 0").select(
+        F.lit(0).cast("bigint").alias("parent_id"), F.concat(F.when(i % 13 == 0, "m").otherwise("f"), i).alias("name"), F.lit(1).cast("bigint").alias("device"), i.alias("inode"), (i + F.when(i % 5 == 0, 1).otherwise(0)).alias("mtime"), i.alias("ctime"),
+        F.col("n").alias("size"), F.when(i % 5 == 0, F.concat("text", F.lit("L"))).otherwise(F.col("text")).alias("content"),
+    )
+    gate = docs.where("i % 29 = 0").select(i.alias("item_id"))
+    after, work, _ = rounds.incremental(items, seen, scan, lambda changed: changed.withColumn("sha256", digest(F.col("content"))), gate)
+    return work.join(after.select("item_id", "name"), "item_id").select("name", "decision", "work")
