@@ -152,14 +152,18 @@ def directory_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    ALIGNED.replace("d AS (SELECT", "w2 AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 THEN 'present' ELSE ls END AS ls, CASE WHEN doc_id % 10 = 0 THEN bh ELSE lh END AS lh, CASE WHEN doc_id % 10 = 0 AND wait IN ('Local file body is unstable, writing', 'Local observation status is unknown, no evidence decision is rejected', 'Local file body SHA-256 To be acquired', 'Observation status unknown at both ends') THEN NULL ELSE wait END AS wait) FROM w),\nw3 AS (SELECT * REPLACE (CASE WHEN doc_id % 10 = 0 AND rs = 'unknown' THEN 'The remote observation status is unknown, refuse to make an unsubstantiated decision' WHEN doc_id % 10 = 0 AND bh IS NULL THEN 'Local file body SHA-256 To be acquired' WHEN doc_id % 10 = 0 AND rs = 'present' AND rh IS NULL THEN 'Remote file body SHA-256 To be acquired' ELSE wait END AS wait) FROM w2),\nd AS (SELECT", 1).replace("FROM w),\ndecided", "FROM w3),\ndecided")
-    + "SELECT doc_id, decision, reason FROM decided WHERE doc_id % 10 = 0 AND base_sha256 IS NOT NULL"
+    ALIGNED
+    + """, f AS (SELECT doc_id, bh, rh, CASE doc_id % 3 WHEN 0 THEN rh WHEN 1 THEN coalesce(bh, sha256('occupied')) ELSE sha256('occupied') END AS nh FROM decided WHERE decision = 'download')
+SELECT doc_id, CASE WHEN bh IS NOT NULL AND nh = bh THEN 'download' WHEN nh = rh THEN 'matchUpdateBaseline' ELSE 'conflict' END AS decision, CASE WHEN bh IS NOT NULL AND nh = bh THEN 'Only remote content changed' END AS reason FROM f"""
 )
 def redecide_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Downloads that met an occupied place are decided again with a fresh local observation."""
-    base = sides(spark, sf_dir)[0]
-    fresh = base.where("doc_id % 10 = 0").select("doc_id", F.lit("present").alias("local_status"), F.col("base_sha256").alias("local_sha256"))
-    return reconcile.redecide(aligned(spark, sf_dir), fresh, "doc_id").select("doc_id", "decision", "reason")
+    own = aligned(spark, sf_dir)
+    met = reconcile.decide(own).where("decision = 'download'")
+    other = F.sha2(F.lit("occupied"), 256)
+    found = F.when(F.col("doc_id") % 3 == 0, F.col("remote_sha256")).when(F.col("doc_id") % 3 == 1, F.coalesce("base_sha256", other)).otherwise(other)
+    fresh = met.select("doc_id", F.lit("present").alias("local_status"), found.alias("local_sha256"))
+    return reconcile.redecide(own, fresh, "doc_id").select("doc_id", "decision", "reason")
 
 
 @query("""
