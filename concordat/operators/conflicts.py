@@ -31,7 +31,10 @@ def refresh(conflicts: DataFrame, inbox: DataFrame, items: DataFrame) -> DataFra
     change is settled: for a present object only if the item's name and parent (null-safe) match.
     """
     names = items.select("item_id", F.col("remote_name").alias("i_name"), F.col("remote_parent").alias("i_parent"))
-    new = inbox.select("root_id", F.col("remote_id").alias("remote_file_id"), "removed", "trashed", F.lower("sha256").alias("new_sha"), F.col("size").alias("new_size"), F.col("version").alias("new_version"), "name", "parent_remote", "is_directory", F.lit(True).alias("_change"))
+    new = inbox.select(
+        "root_id", F.col("remote_id").alias("remote_file_id"), "removed", "trashed", F.lower("sha256").alias("new_sha"), F.col("size").alias("new_size"),
+        F.col("version").alias("new_version"), "name", "parent_remote", "is_directory", F.lit(True).alias("_change"),
+    )
     joined = conflicts.join(new, ["root_id", "remote_file_id"], "left").join(names, "item_id", "left")
     change = F.col("_change").isNotNull()
     gone = change & (F.coalesce("removed", F.lit(False)) | F.coalesce("trashed", F.lit(False)))

@@ -18,7 +18,9 @@ def decoded(scan: DataFrame) -> DataFrame:
 
 def cacheable(items: DataFrame) -> DataFrame:
     """Stored files whose content need not be read again if their metadata did not change."""
-    return items.where((F.col("entry_kind") == "file") & (F.col("phase") == "committed") & (F.col("dirty_generation") == 0) & (F.col("local_status") == "present") & F.col("base_sha256").isNotNull() & F.col("local_sha256").isNotNull() & F.col("inode").isNotNull() & F.col("mtime").isNotNull())
+    settled = (F.col("phase") == "committed") & (F.col("dirty_generation") == 0) & (F.col("local_status") == "present")
+    whole = items.dropna(subset=["base_sha256", "local_sha256", "inode", "mtime"])
+    return whole.where((F.col("entry_kind") == "file") & settled)
 
 
 def unchanged(scan: DataFrame, stored: DataFrame, place: tuple[str, ...] = ("parent_id", "name")) -> DataFrame:

@@ -20,7 +20,8 @@ def rollup(reports: DataFrame, key: list[str], at: str, order: list[str], values
 def merge(stored: DataFrame, new: DataFrame, key: list[str], values: list[str]) -> DataFrame:
     """Stored issues after a round's: first seen stays, counts add up, the later values stay."""
     both = stored.unionByName(new)
-    return both.groupBy(*key).agg(F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrence_count").alias("occurrence_count"), F.max_by(F.struct(*values), F.col("last_seen")).alias("v")).select(*key, "first_seen", "last_seen", "occurrence_count", "v.*")
+    counts = (F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.sum("occurrence_count").alias("occurrence_count"))
+    return both.groupBy(*key).agg(*counts, F.max_by(F.struct(*values), F.col("last_seen")).alias("v")).select(*key, "first_seen", "last_seen", "occurrence_count", "v.*")
 
 
 def clear(stored: DataFrame, root: int) -> DataFrame:
