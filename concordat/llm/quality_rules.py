@@ -134,7 +134,10 @@ def _rows(column: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.nda
     return rows
 
 
-def fit_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample_rows: int = SAMPLE_ROWS, calibrate_every: int = CALIBRATE_EVERY, sample_bytes: int = ngrams.SAMPLE_BYTES, how: Ftrl = Ftrl()) -> Model:
+def fit_rules(
+    docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality",
+    sample_rows: int = SAMPLE_ROWS, calibrate_every: int = CALIBRATE_EVERY, sample_bytes: int = ngrams.SAMPLE_BYTES, how: Ftrl = Ftrl(),
+) -> Model:
     """The model, from at most ``sample_rows`` labelled rows (see :func:`sample` of the classifier).
 
     In the order of their hashed ids every ``calibrate_every``-th of them calibrates and the others

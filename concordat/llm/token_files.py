@@ -39,7 +39,10 @@ ENCODE_BYTES = 1 << 20
 #: Distinct units of text whose ids a Python worker remembers before it starts anew, and units of one library call.
 REMEMBERED, JOINED = 500_000, 60
 
-BLOCKS = "shard int, block int, n_docs long, n_tokens long, bits int, ids binary, no_id binary, lengths binary, sizes array<int>, planes array<binary>, ranks array<binary>, zeros array<array<int>>"
+BLOCKS = (
+    "shard int, block int, n_docs long, n_tokens long, bits int, ids binary, no_id binary, lengths binary,"
+    " sizes array<int>, planes array<binary>, ranks array<binary>, zeros array<array<int>>"
+)
 
 # How the tokenizer splits a text (normalisers, then the pattern of its pieces).
 _NORMALIZERS = ["NFC", "Replace", "Lowercase"]
@@ -227,7 +230,11 @@ def matrices(row: dict) -> Iterator[WaveletMatrix]:
         yield WaveletMatrix(n, row["bits"], planes, ranks, zeros)
 
 
-_ARROW_BLOCKS = pa.schema([("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()), ("ids", pa.binary()), ("no_id", pa.binary()), ("lengths", pa.binary()), ("sizes", pa.list_(pa.int32())), ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("zeros", pa.list_(pa.list_(pa.int32())))])
+_ARROW_BLOCKS = pa.schema([
+    ("shard", pa.int32()), ("block", pa.int32()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("bits", pa.int32()),
+    ("ids", pa.binary()), ("no_id", pa.binary()), ("lengths", pa.binary()), ("sizes", pa.list_(pa.int32())),
+    ("planes", pa.list_(pa.binary())), ("ranks", pa.list_(pa.binary())), ("zeros", pa.list_(pa.list_(pa.int32()))),
+])
 
 
 def write_token_files(docs: DataFrame, where: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = SHARD_DOCS, block_tokens: int = BLOCK_TOKENS) -> None:
