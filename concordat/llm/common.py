@@ -45,12 +45,16 @@ class Scratch(Workspace):
 
 
 def arrow_map(df: DataFrame, function: Callable[..., dict], schema: str, *args) -> DataFrame:
-    """``function(batch, *args)`` for every Arrow batch of ``df``; it returns a dict of columns."""
+    """``function(batch, *args)`` for every Arrow batch of ``df``; it returns a dict of columns.
+
+    A worker lives on after its task, for those of later stages too: it gives back what Arrow kept.
+    """
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
                 yield pa.RecordBatch.from_pydict(function(batch, *args))
+        pa.default_memory_pool().release_unused()
 
     return df.mapInArrow(run, schema)
