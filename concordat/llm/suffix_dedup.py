@@ -46,7 +46,7 @@ BLOCK = 8
 #: Different pieces of one anchor in one slice of a task's documents, and in all, that make it hot.
 HOT_IN_SLICE, HOT = 24, 4096
 #: Bytes of documents within which a task folds equal pieces.
-FOLD_BYTES = 1 << 21
+FOLD_BYTES = 1 << 20
 #: Strings of hot pieces that a task folds at a time.
 HELD_STRINGS = 250_000
 
@@ -220,11 +220,13 @@ def _meet(parts: int, most_pieces: int):
         most = np.maximum.reduceat(np.where(gone, np.iinfo(np.int64).min, doc), np.flatnonzero(a_head))
         hot = (different > most_pieces) | np.isin(a[a_head], marks)
         look = ~gone & ((different > 1) & (least < most))[of_a] & ~hot[of_a]
+        del a, x, doc, kept, a_head, head, of_x
         for kind, chosen in ((GONE, gone), (FETCH, look), (FETCH_HOT, ~gone & hot[of_a])):
             if chosen.any():
                 at = order[chosen]
                 own = {k: v[at] for k, v in all_.items()}
                 yield _batch(_by_part(kind, own, _row_part(own["row"], parts)))
+        pa.default_memory_pool().release_unused()
 
     def _by_row(packed: dict) -> list[tuple[dict, int]]:
         own = _unpack([packed])
@@ -379,6 +381,7 @@ def _resolve(parts: int):
         own = piece[heads]
         gone = {"doc": all_["doc"][own], "row": all_["row"][own], "lo": all_["lo"][own] + string[heads], "strings": np.diff(np.r_[heads, len(piece)])}
         yield _batch(_by_part(GONE, gone, _row_part(gone["row"], parts)))
+        pa.default_memory_pool().release_unused()
 
     return run
 

@@ -75,7 +75,7 @@ def powers(n: int, inverse: bool = False) -> np.ndarray:
     """``_BASE**i`` modulo 2**64 (or of its inverse) for i below n."""
     k = int(inverse)
     if len(_powers[k]) < n:
-        size = max(n, SLICE_BYTES + 64)
+        size = n + (1 << 16)  # so that slices of about one size share them
         steps = np.full(size, _BASE_INVERSE if inverse else _BASE, U64)
         steps[0] = 1
         grown = np.cumprod(steps, dtype=U64)
