@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.sources.workspace import Workspace
+from concordat.sources.workspace import Workspace, partitions
 
 from .metrics import RATE_LIMIT, RATE_WINDOW_US
 
@@ -66,13 +66,18 @@ def prefetches(held: Column) -> Column:
     return held < LOW_WATER
 
 
-def numbered(rows: DataFrame, order: list[str], first: int, groups: int = 64, ident: str = "id") -> DataFrame:
+def numbered(rows: DataFrame, order: list[str], first: int, groups: int | None = None, ident: str = "id") -> DataFrame:
     """Add ``ident``: consecutive numbers from ``first`` in ``order``, without one task that holds all rows.
 
-    Rows are range partitioned and written, so that counts and numbers come from the same ranges; the
-    sizes of the ranges (as many as partitions) are summed up, and each range numbers its own rows.
+    Rows are written, range partitioned (into more ranges for more rows) and written again, so that
+    counts and numbers come from the same ranges; the sizes of the ranges are summed up, and each range
+    numbers its own rows.
     """
-    ranged = Workspace(rows.sparkSession, "numbered").save(rows.repartitionByRange(groups, *order).withColumn("_range", F.spark_partition_id()), "ranged")
+    work = Workspace(rows.sparkSession, "numbered")
+    if groups is None:
+        rows = work.save(rows, "rows")  # sampled for the ranges and read again; its size is known
+        groups = partitions(rows)
+    ranged = work.save(rows.repartitionByRange(groups, *order).withColumn("_range", F.spark_partition_id()), "ranged")
     own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
     sizes = ranged.groupBy("_range").agg(F.count("*").alias("n"))
     before = sizes.select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))

@@ -12,14 +12,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from concordat.sources.workspace import Workspace
+from concordat.sources.workspace import Workspace, partitions
 
 RANGE = "_range"
 
 
 def ranged(rows: DataFrame, by: list[str], order: list[str], groups: int | None = None) -> DataFrame:
-    """``rows`` with the number of their range: as many ranges as shuffle partitions, unless told otherwise."""
-    groups = groups or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    """``rows`` with the number of their range: as many ranges as the rows' size needs, unless told otherwise."""
+    groups = groups or partitions(rows)
     return Workspace(rows.sparkSession, "ranged").save(rows.repartitionByRange(groups, *by, *order).withColumn(RANGE, F.spark_partition_id()), "rows")
 
 

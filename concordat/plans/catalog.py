@@ -1,6 +1,6 @@
 """All registered queries and their SQL twins."""
 
-from . import feeds, rounds, sides, tables, trees  # noqa: F401  registering
+from . import feeds, merges, rounds, sides, tables, trees  # noqa: F401  registering
 from .registry import QUERIES, SQL
 
 __all__ = ["QUERIES", "SQL"]

@@ -25,6 +25,16 @@ def shared_folder(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def partitions(df: DataFrame, size: int = 16 << 20) -> int:
+    """Partitions for an exchange of ``df``: as set, and more where it has more than ``size`` bytes for each.
+
+    Spark's estimate is used; where it has none (a plan of joins may have an absurd one), the setting holds.
+    """
+    held = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    own = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(own, held // size) if held < 1 << 60 else own
+
+
 class Workspace:
     """Tables below the shared folder, deleted when the driver's process ends, as results still read them."""
 
