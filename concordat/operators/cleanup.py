@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from concordat.sources.workspace import Workspace
+
 from .tree import climb
 
 GENERATIONS = ("local_generation", "remote_generation", "dirty_generation")
@@ -37,12 +39,34 @@ def plans(wanted: DataFrame, items: DataFrame, roots: DataFrame) -> DataFrame:
 def plan_nodes(ready: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, node_id, depth, path): what each ready plan removes, from the item down.
 
-    An item below several planned ones belongs to the nearest, so nothing is removed twice.
+    A plan has its whole subtree, also where other plans lie within it: should the inner one go stale,
+    the outer one still covers its nodes.  Nodes find the nearest plan above them by pointer doubling;
+    then each round hands them on to the next plan above, so there are as many rounds as plans nest.
+    Plans in a circle have no plan above.
     """
+    work = Workspace(items.sparkSession, "plans")
     wanted = ready.where("state = 'ready'").select("item_id")
     nodes = items.select(F.col("item_id").alias("id"), "parent_id", "name")
     nearest = climb(nodes, wanted.select(F.col("item_id").alias("id"))).where("outcome = 'reached'").select("id", "top", "path", "depth")
-    return nearest.select(F.col("top").alias("item_id"), F.col("id").alias("node_id"), "depth", "path")
+    nearest = work.save(nearest, "nearest")
+
+    planned = nodes.join(wanted.select(F.col("item_id").alias("id")), "id", "left_semi")
+    holder = nearest.select(F.col("id").alias("parent_id"), F.col("top").alias("outer"), F.col("path").alias("_path"), F.col("depth").alias("_depth"))
+    within = planned.join(holder, "parent_id").select("id", "outer", F.concat_ws("/", F.when(F.col("_path") != "", F.col("_path")), "name").alias("way"), (F.col("_depth") + 1).alias("steps"))
+    outermost = planned.select("id").join(within, "id", "left_anti")
+    chain = planned.select("id", "name").join(within.select("id", F.col("outer").alias("parent_id")), "id", "left")
+    sound = climb(chain, outermost).where("outcome = 'reached'").select("id")
+    within = work.save(within.join(sound, "id", "left_semi"), "within")
+
+    found = last = nearest.select(F.col("top").alias("item_id"), F.col("id").alias("node_id"), "depth", "path")
+    step = 0
+    while True:
+        steps = within.select(F.col("id").alias("item_id"), "outer", "way", "steps")
+        path = F.concat_ws("/", "way", F.when(F.col("path") != "", F.col("path")))
+        last = work.save(last.join(steps, "item_id").select(F.col("outer").alias("item_id"), "node_id", (F.col("depth") + F.col("steps")).alias("depth"), path.alias("path")), f"step-{step}")
+        if last.limit(1).isEmpty():
+            return found
+        found, step = found.unionByName(last), step + 1
 
 
 def conflict_paths(nodes: DataFrame, conflicts: DataFrame) -> DataFrame:

@@ -62,16 +62,22 @@ def cooldown(samples: DataFrame, by: list[str], order: list[str], at: str, delay
     return slices.running_max(slices.ranged(samples, by, order), by, order, "until", F.col(at) + kept).drop(slices.RANGE)
 
 
-def stalled(samples: DataFrame, by: list[str], order: list[str], offset: str, start: int = 0) -> DataFrame:
-    """Add stalled and went_back to acknowledged offsets, in order, after ``start``.
+def stalled(samples: DataFrame, by: list[str], order: list[str], offset: str, start: int = 0, sent: str | None = None, total: str | None = None) -> DataFrame:
+    """Add stalled and went_back to acknowledged offsets, in order, after ``start``; with ``sent`` also invalid.
 
     stalled: the second acknowledgement in a row that confirms nothing new; went_back: it confirms less
-    than the one before, which is an invalid answer and not a stall.
+    than the one before, which is an invalid answer and not a stall.  ``sent`` has the bytes sent since
+    the acknowledgement before, ``total`` those of the whole file: an answer that goes back, confirms
+    more than was sent, or says that more is wanted at the end of the file is invalid.
     """
     met = slices.previous(slices.ranged(samples, by, order), by, order, "_before", F.col(offset))
     before = F.coalesce("_before", F.lit(start))
-    marked = met.withColumn("went_back", F.col(offset) < before).withColumn("_nothing", F.col(offset) == before).drop("_before")
-    again = slices.previous(marked, by, order, "_again", F.col("_nothing"))
+    marked = met.withColumn("went_back", F.col(offset) < before).withColumn("_nothing", F.col(offset) == before)
+    if sent is not None:
+        beyond = F.col(offset) > before + F.col(sent)
+        at_end = F.lit(False) if total is None else F.col(offset) >= F.col(total)
+        marked = marked.withColumn("invalid", F.col("went_back") | beyond | at_end)
+    again = slices.previous(marked.drop("_before"), by, order, "_again", F.col("_nothing"))
     return again.withColumn("stalled", F.col("_nothing") & F.coalesce("_again", F.lit(False))).drop("_nothing", "_again", slices.RANGE)
 
 

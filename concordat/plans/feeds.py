@@ -252,6 +252,17 @@ def stalled_transfers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.stalled(offsets, ["user_id"], ["event_id"], "offset").select("event_id", "went_back", "stalled")
 
 
+@query(
+    EVENTS
+    + """, p AS (SELECT event_id, user_id, k // 7 AS o, 2 + event_id % 5 AS sent, 9 + user_id % 6 AS size FROM e), b AS (SELECT *, coalesce(lag(o) OVER (PARTITION BY user_id ORDER BY event_id), 0) AS before FROM p)
+SELECT event_id, NOT (o >= before AND o <= before + sent AND o < size) AS invalid FROM b"""
+)
+def upload_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Acknowledged offsets that cannot be: less than before, more than was sent, or the end of the file."""
+    answers = events(spark, sf_dir).withColumns({"offset": F.floor(F.col("k") / 7), "sent": F.col("event_id") % 5 + 2, "size": F.col("user_id") % 6 + 9})
+    return metrics.stalled(answers, ["user_id"], ["event_id"], "offset", sent="sent", total="size").select("event_id", "invalid")
+
+
 @query(
     EVENTS
     + """SELECT event_id, CASE k % 7 WHEN 0 THEN '429' WHEN 1 THEN '503' WHEN 2 THEN 'quotaExceeded' WHEN 3 THEN 'rateLimitExceeded' WHEN 5 THEN 'userRateLimitExceeded' END AS reason, k % 7 = 4 AND event_id % 2 = 0 AS rejected,

@@ -69,7 +69,7 @@ def cleanup_plans(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     PLANS
     + """, r AS (SELECT item_id FROM p WHERE state = 'ready'),
-u AS (SELECT item_id, item_id AS node_id, 0::BIGINT AS depth, '' AS path FROM r UNION ALL SELECT u.item_id, i.item_id, u.depth + 1, CASE WHEN u.path = '' THEN i.name ELSE u.path || '/' || i.name END FROM i JOIN u ON i.parent_id = u.node_id WHERE i.item_id NOT IN (SELECT item_id FROM r))
+u AS (SELECT item_id, item_id AS node_id, 0::BIGINT AS depth, '' AS path FROM r UNION ALL SELECT u.item_id, i.item_id, u.depth + 1, CASE WHEN u.path = '' THEN i.name ELSE u.path || '/' || i.name END FROM i JOIN u ON i.parent_id = u.node_id)
 SELECT u.*, CASE WHEN node_id % 5 = 0 THEN '/kept/' || node_id END AS conflict_path FROM u"""
 )
 def cleanup_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:

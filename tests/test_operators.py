@@ -340,3 +340,13 @@ def test_ordered_computations_in_two_levels(spark):
         known, later = [x for x in own if x is not None], [x for x in [*own, v] if x is not None]
         assert found[n] == (own[-1] if own else None, sum(later), max(later, default=None), max(known, default=None))
         own.append(v)
+
+
+def test_nested_plans_have_their_whole_subtrees(spark):
+    from concordat.operators import cleanup
+
+    items = spark.createDataFrame([(1, None, "root"), (2, 1, "a"), (3, 2, "b"), (4, 3, "c"), (5, 4, "d"), (6, 7, "x"), (7, 6, "y")], "item_id long, parent_id long, name string")
+    ready = spark.createDataFrame([(2, "ready"), (3, "ready"), (5, "ready"), (1, "stale"), (6, "ready"), (7, "ready")], "item_id long, state string")
+    got = {(r.item_id, r.node_id): (r.path, r.depth) for r in cleanup.plan_nodes(ready, items).collect()}
+    assert {k: v for k, v in got.items() if k[0] < 6} == {(2, 2): ("", 0), (2, 3): ("b", 1), (2, 4): ("b/c", 2), (2, 5): ("b/c/d", 3), (3, 3): ("", 0), (3, 4): ("c", 1), (3, 5): ("c/d", 2), (5, 5): ("", 0)}
+    assert {k for k in got if k[0] > 5} == {(6, 6), (7, 7)}  # a circle ends
