@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.text import name_key, valid_name
+from concordat.sources.workspace import Workspace
 
 from . import diff, feed, tree
 
@@ -74,11 +75,14 @@ def remote_matches(items: DataFrame, seen: DataFrame) -> DataFrame:
     in_the_way = F.col("alone").isNotNull() & (F.col("own_id").isNotNull() | (F.col("alone_kind") != kind))
     live = live.withColumn("ok", F.col("ok") & F.col("taken").isNull() & ~in_the_way)
 
+    work = Workspace(items.sparkSession, "identity")
+    live = work.save(live, "live")  # read several times below
+
     stays = F.col("own_id").isNotNull() & F.col("own_parent").eqNullSafe(F.col("to_parent")) & (F.col("own_name") == F.col("name"))
     stale = F.col("own_id").isNotNull() & ~feed.fresh_enough(F.col("version"), F.col("remote_version"))
     wants = live.where(F.col("ok") & ~stays & ~stale)
     first = wants.groupBy("parent_remote", "name_key").agg(F.min(F.struct(F.col("own_id").isNull(), "remote_id")).alias("first")).select("first.remote_id").withColumn("first", F.lit(True))
-    live = live.join(first, "remote_id", "left").withColumn("ok", F.col("ok") & (stays | stale | F.col("first").isNotNull()))
+    live = work.save(live.join(first, "remote_id", "left").withColumn("ok", F.col("ok") & (stays | stale | F.col("first").isNotNull())), "claimed")
 
     anchored = F.col("to_parent").isNotNull()
     unsure = live.where(F.col("ok") & ~anchored)

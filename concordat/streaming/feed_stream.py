@@ -45,12 +45,15 @@ def fold_into(inbox: Snapshots, key: list[str], order: list[str]):
 def consume_page(state: Snapshots, changes: DataFrame, key: str, order: list[str], number: int, token: str, expected: str | None = None) -> int:
     """One page of changes in one commit: the inbox, the items it makes unknown, and the next cursor.
 
-    ``state`` has tables ``inbox`` and ``items``.  A page that started from another cursor than the
-    stored one raises StaleCursor and changes nothing.
+    ``state`` has tables ``inbox`` and ``items``, both kept by ``key``: a page rewrites only the buckets
+    of the objects it tells of.  A page that started from another cursor than the stored one raises
+    StaleCursor and changes nothing.
     """
     new = latest(changes, [key], order)
-    items = invalidate(state.read(table="items"), changes, key)
-    return state.commit_all({"items": items}, number, {"inbox": (new, [key], folding([key], order))}, cursor=token, expected=expected)
+    folds = {"inbox": (new, [key], folding([key], order))}
+    if "items" in state.head()["tables"]:
+        folds["items"] = (changes.select(key).distinct(), [key], lambda items, changed: invalidate(items, changed, key))
+    return state.commit_all(batch=number, folds=folds, cursor=token, expected=expected)
 
 
 def replay(events: DataFrame, inbox: Snapshots, checkpoint: str, key: list[str], order: list[str], every: str | None = None) -> None:

@@ -174,3 +174,95 @@ def test_recovery_without_a_cursor(spark, tmp_path):
     with pytest.raises(RuntimeError, match="2 remote"):
         recover(state, lambda: False, lambda: None, lambda: (one(2), one(0), one(0), one(0)), lambda: "t9")
     assert state.cursor() == "t0"
+
+
+def _folding():
+    from concordat.streaming.feed_stream import folding
+
+    return folding(["id"], ["seq"])
+
+
+ROW = "id long, seq int, name string, n_events long"
+
+
+def test_a_lost_race_is_folded_onto_the_winner(spark, tmp_path):
+    first, second = (Snapshots(spark, f"file://{tmp_path}/race") for _ in range(2))
+    fold = _folding()
+    rows = lambda *r: spark.createDataFrame(list(r), ROW)
+    first.commit_all(folds={"table": (rows((1, 1, "a", 1)), ["id"], fold)}, cursor="t1")
+    tries = []
+
+    def slow(stored, new):
+        if not tries:  # while this one folds, the other commits
+            second.commit_all(folds={"table": (rows((1, 5, "winner", 1), (3, 1, "c", 1)), ["id"], fold)}, batch=0, writer="other")
+        tries.append(1)
+        return fold(stored, new)
+
+    first.commit_all(folds={"table": (rows((1, 2, "late", 1), (2, 1, "b", 1)), ["id"], slow)}, batch=0)
+    assert len(tries) == 2 and first.version() == 3
+    assert {r.id: (r.name, r.n_events) for r in second.read().collect()} == {1: ("winner", 3), 2: ("b", 1), 3: ("c", 1)}
+    assert {r.id: r.name for r in first.read(2).collect()} == {1: "winner", 3: "c"}  # the winner's version is as it was
+    assert first.batch() == 0 and first.batch("other") == 0
+    named = {f.split("/")[0] for v in (1, 2, 3) for f in first.head(v)["tables"]["table"]["folders"].values()}
+    assert {p.name for p in (tmp_path / "race").iterdir() if p.name.startswith(("v-", ".draft-"))} == named
+
+
+def test_replaced_tables_and_cursors_do_not_win_blindly(spark, tmp_path):
+    from concordat.sources.snapshots import LostRace, StaleCursor
+
+    one, two = (Snapshots(spark, f"file://{tmp_path}/whole") for _ in range(2))
+    one.commit_all({"table": spark.range(3)}, cursor="t1")
+    once = []
+
+    def meddling(stored):
+        if not once:
+            once.append(two.commit(spark.range(7), table="table"))
+        return stored.union(spark.range(100, 101))
+
+    one.commit(meddling)
+    assert sorted(r.id for r in one.read().collect()) == [*range(7), 100]
+
+    def other(stored):
+        if len(once) == 1:
+            once.append(two.commit_all({"table": spark.range(2)}, cursor="t2"))
+        return spark.range(1)
+
+    with pytest.raises(LostRace):
+        one.commit_all({"free": other, "table": spark.range(9)})
+    del once[1:]
+    with pytest.raises(StaleCursor):
+        two.commit_all(cursor="t1")
+        one.commit_all({"free": other}, expected="t1", cursor="t3")
+    assert one.read().count() == 2 and one.read(table="free") is None
+
+
+def test_emptied_buckets_read_as_empty(spark, tmp_path):
+    own = Snapshots(spark, f"file://{tmp_path}/empty")
+    drop = lambda stored, new: new.limit(0) if stored is None else stored.join(new, "id", "left_anti")
+    add = lambda stored, new: new if stored is None else stored.unionByName(new)
+    ids = spark.range(40)
+    own.commit_all(folds={"table": (ids, ["id"], add)})
+    own.commit_all(folds={"table": (spark.range(1, 40), ["id"], drop)})
+    assert [r.id for r in own.read().collect()] == [0]
+    own.commit_all(folds={"table": (ids, ["id"], drop)})
+    assert own.read().count() == 0 and own.read().columns == ["id"]
+    own.commit_all(folds={"table": (spark.range(5), ["id"], add)})
+    assert own.read().count() == 5
+    with pytest.raises(ValueError, match="kept by"):
+        own.commit_all(folds={"table": (spark.range(5).withColumnRenamed("id", "x"), ["x"], add)})
+
+
+def test_buckets_grow_with_the_table(spark, tmp_path):
+    own = Snapshots(spark, f"file://{tmp_path}/grown", leaf_bytes=2000)
+    fold = _folding()
+    many = spark.range(3000).select("id", F.lit(1).alias("seq"), F.sha2(F.col("id").cast("string"), 256).alias("name"), F.lit(1).cast("long").alias("n_events"))
+    own.commit_all(folds={"table": (many, ["id"], fold)})
+    assert len(own.head()["tables"]["table"]["leaves"]) == 32  # one bucket for each of five bits
+    own.commit_all(folds={"table": (many.limit(1).withColumn("seq", F.lit(2)), ["id"], fold)})
+    leaves = own.head()["tables"]["table"]["leaves"]
+    assert len(leaves) > 32 and sum(n.startswith("5-") for n in leaves) == 31  # only the touched one is split
+    own.commit_all(folds={"table": (many.withColumn("seq", F.lit(3)), ["id"], fold)})
+    entry = own.head()["tables"]["table"]
+    assert min(int(n.split("-")[0]) for n in entry["leaves"]) > 5 and max(entry["bytes"].values()) < 8000
+    got = own.read().collect()
+    assert len(got) == len({r.id for r in got}) == 3000 and all(r.n_events in (2, 3) and r.seq == 3 for r in got)
