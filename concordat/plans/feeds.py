@@ -11,7 +11,8 @@ from concordat.functions.text import name_key, subject_key
 from concordat.operators import feed, issues, metrics, pacing, tree
 from concordat.sources.snapshots import Snapshots
 from concordat.sources.workspace import Workspace
-from concordat.streaming.feed_stream import replay
+from concordat.streaming.feed_stream import folding, replay
+from concordat.streaming.keyed_inbox import follow
 
 from .registry import query, table
 
@@ -315,23 +316,60 @@ def page_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("event_id", feed.page_problem(k % 5 == 0, F.when(k % 7 == 0, "").when(k % 3 != 1, F.concat(F.lit("t"), k)).when(k % 11 == 0, F.concat(F.lit("t"), k)), F.when(k % 11 == 0, F.concat(F.lit("t"), k)).otherwise("t")).alias("problem"))
 
 
+def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as a stream of files: one file, or a folder of part files, as Spark writes tables."""
+    files = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", 1)
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():
+        return files.parquet(f"{sf_dir}/events.parquet")
+    return files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
 @query(EVENTS + "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, arg_max(k, event_id) AS k, count(*) AS n_events FROM e GROUP BY user_id")
 def stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The feed as a stream of files, folded batch by batch; equal to the batch query."""
-    schema = table(spark, sf_dir, "events").schema
     work = Workspace(spark, "replay")
-    files = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1)
-    where = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/events.parquet")
-    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isDirectory():  # part files, as Spark writes tables
-        raw = files.parquet(f"{sf_dir}/events.parquet")
-    else:
-        raw = files.option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    stream = raw.select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    stream = event_stream(spark, sf_dir).select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
     inbox = Snapshots(spark, f"{work.root}/inbox")
     replay(stream, inbox, f"{work.root}/checkpoint", ["user_id"], ["event_id"])
     return inbox.read()
 
 
+@query(
+    EVENTS
+    + """, w AS (SELECT max(at_us) // 1000 - 600000 AS w FROM e), l AS (SELECT user_id, max(event_id) AS number, arg_max(event_type, event_id) AS payload, arg_max(at_us, event_id) // 1000 AS at_ms, count(*) AS n_events FROM e GROUP BY user_id),
+t AS (SELECT l.*, len([j FOR j IN range(1, 6) IF at_ms + 3600000 * ((1 << j) - 1) <= w]) AS tried FROM l, w)
+SELECT user_id, number, payload, tried::BIGINT AS tried, CASE WHEN tried = 5 THEN 'given up' ELSE 'pending' END AS state, n_events FROM t"""
+)
+def keyed_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest change of each user and how often it was tried by the end of the feed: keyed state with timers."""
+    work = Workspace(spark, "keyed")
+    changes = event_stream(spark, sf_dir).select("user_id", F.col("event_id").alias("number"), F.col("event_type").alias("payload"), F.col("ts").cast("timestamp").alias("at"))
+    inbox = Snapshots(spark, f"{work.root}/inbox")
+    follow(changes, inbox, f"{work.root}/checkpoint", "user_id")
+    return inbox.read()
+
+
+@query(EVENTS + "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, event_id) AS event_type, count(*) AS n_events, 3 AS version FROM e GROUP BY user_id")
+def raced_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The inbox after two writers of one version: the one that loses folds its changes onto the winner's."""
+    key, order = ["user_id"], ["event_id"]
+    own = events(spark, sf_dir).select("user_id", "event_id", "event_type")
+    third = F.col("event_id") % 3
+    first, even, odd = (feed.latest(own.where(third == k), key, order) for k in range(3))
+    work, fold = Workspace(spark, "race"), folding(key, order)
+    one, other = (Snapshots(spark, f"{work.root}/inbox") for _ in range(2))
+    one.commit_all(batch=0, folds={"table": (first, key, fold)}, writer="one")
+
+    def overtaken(stored: DataFrame | None, new: DataFrame) -> DataFrame:
+        if other.version() == 1:
+            other.commit_all(batch=0, folds={"table": (odd, key, fold)}, writer="other")
+        return fold(stored, new)
+
+    one.commit_all(batch=1, folds={"table": (even, key, overtaken)}, writer="one")
+    return one.read().withColumn("version", F.lit(one.version()))
+
+
 @query()
 def request_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each user's events could have started under the pace; sequential, so beyond SQL."""
