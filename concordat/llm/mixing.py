@@ -66,7 +66,7 @@ def _measured(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed
         F.col(id_col).alias("id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.col(id_col), F.lit(seed)).alias("key"),
+        F.xxhash64(F.col(id_col), F.col(text_col).cast("string"), F.lit(seed)).alias("key"),  # of one id, texts are told apart
         *carry,
     )
 
@@ -122,7 +122,7 @@ def _cut(placed: DataFrame, blocks: DataFrame, scratch: Scratch, seed: int) -> D
     one = ["number", "block", "id", "key", "size"]
     rest = (
         placed.join(_small(scratch.save(later, "later")), ["number", "block"]).where("size > 0 and size < 2 * room")
-        .groupBy(*one, "room", "first").agg(F.sum("size").alias("own"))  # rows alike are taken alike
+        .groupBy(*one, "room", "first").agg(F.sum("size").alias("own"))  # rows of one id and text are taken alike
         .where("own < 2 * room").withColumn("class", F.length(F.bin("own")) - 1).withColumn("place", F.xxhash64("number", "block", F.lit(seed)))
     )
     rest = scratch.save(rest, "rest")
@@ -201,8 +201,10 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     """For every row: id, source, size, source_size, target, taken, and the shards its copies go to.
 
     Sources in ascending code points, null last, take ``weights`` in turn.  A source's taken words
-    miss its target by half the smallest document that its last pass leaves out, at most.  A null or empty
-    text has size 0 and takes nothing; repeated rows are taken alike; an empty table gives no rows.
+    miss its target by half the smallest unit that its last pass leaves out, at most.  A unit is a document;
+    only rows that have both id and text in common are one unit, taken alike.  Rows without an id, or of one
+    id, with texts of their own are units of their own.  A null or empty text has size 0 and takes nothing;
+    an empty table gives no rows.
     Columns other than the three named are not read.  A rerun gives the same result.
     """
     scratch = Scratch(docs.sparkSession, "mix")

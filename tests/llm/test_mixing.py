@@ -74,3 +74,15 @@ def test_miss_is_half_the_smallest_left_out(spark):
                 if len(r.shards) == fewest:
                     units[r.id, r.size] += r.size
             assert abs(sum(r.taken for r in own) - own[0].target) <= min(units.values()) / 2 + 1e-6
+
+
+@pytest.mark.parametrize("ident", [None, 7])
+def test_rows_without_an_id_of_their_own_are_units(spark, ident):
+    rows = [(ident, f"{k} " + "w " * 9, "a") for k in range(50)] + [(k, f"{k} " + "w " * 9, "b") for k in range(50)] + [(ident, f"x{k} " + "w " * (k % 40), "c") for k in range(300)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in "abc":
+        own = [r for r in got if r.source == source]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= max(r.size for r in own) / 2 + 1e-6
+        assert source != "c" or {0, 1} <= {len(r.shards) for r in own}
+    two = mixing.mix(spark.createDataFrame(rows[:100], "doc_id long, text string, source string")).collect()
+    assert [round(sum(r.taken for r in two if r.source == s), 2) for s in "ab"] == [710, 290]  # of 714.3 and 285.7, in tens
