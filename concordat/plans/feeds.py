@@ -9,10 +9,12 @@ from concordat.functions import issues as meaning
 from concordat.functions import transfer
 from concordat.functions.text import name_key, subject_key
 from concordat.operators import feed, issues, metrics, pacing, tree
+from concordat.sources.files import write_files
 from concordat.sources.snapshots import Snapshots
 from concordat.sources.workspace import Workspace
 from concordat.streaming.feed_stream import folding, replay
 from concordat.streaming.keyed_inbox import follow
+from concordat.streaming.listing_stream import FOLDER, list_all
 
 from .registry import query, table
 
@@ -370,6 +372,32 @@ def raced_inbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.read().withColumn("version", F.lit(one.version()))
 
 
+@query("""
+WITH RECURSIVE n AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey > 0 THEN s_suppkey // 4 END AS above, s_nationkey % 5 <> 0 AS is_directory FROM supplier),
+t AS (SELECT k, above, is_directory FROM n WHERE above = 0 UNION ALL SELECT n.k, n.above, n.is_directory FROM n JOIN t ON n.above = t.k WHERE t.is_directory)
+SELECT 'f' || k AS id, 'f' || above AS parent_id, 'n' || k AS name, is_directory, 'complete' AS listing FROM t""")
+def bootstrap_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``supplier`` as a tree of JSON listing pages, written as files and listed by a stream until no page is open."""
+    work = Workspace(spark, "bootstrap")
+    folder = work.root.removeprefix("file://").removeprefix("file:")
+    k = F.col("s_suppkey")
+    is_folder = (F.col("s_nationkey") % 5 != 0) | (k == 0)
+    own = table(spark, sf_dir, "supplier").select(k, F.when(k > 0, F.floor(k / 4)).alias("above"), is_folder.alias("is_folder"))
+    # A folder has four entries at most here: two pages of two, the second named by the first.
+    page = F.when(F.pmod(k, F.lit(4)) < 2, 0).otherwise(1)
+    file = F.struct(F.concat(F.lit("f"), k).alias("id"), F.concat(F.lit("n"), k).alias("name"), F.when(F.col("is_folder"), FOLDER).otherwise("text/plain").alias("mimeType"))
+    pages = own.where("above is not null").groupBy("above", page.alias("page")).agg(F.sort_array(F.collect_list(file)).alias("files"))
+    every = own.where("is_folder").select(F.col("s_suppkey").alias("above"), F.explode(F.array(F.lit(0), F.lit(1))).alias("page"))
+    body = F.to_json(F.struct(F.when(F.col("page") == 0, "p1").alias("nextPageToken"), F.coalesce("files", F.array()).alias("files")))
+    name = F.concat(F.lit("f"), "above", F.when(F.col("page") == 0, "/start.json").otherwise("/p1.json"))
+    write_files(every.join(pages, ["above", "page"], "left").select(name.alias("path"), body.alias("content")), f"{folder}/pages")
+    state = Snapshots(spark, f"{work.root}/state", bits=1)
+    found = list_all(spark, f"{folder}/pages", "f0", state, f"{folder}/waves", f"{work.root}/checkpoint")
+    jobs = state.read(table="jobs").select("id", F.col("state").alias("listing"))
+    listed = found.select("id", "parent_id", "name", (F.col("mimeType") == FOLDER).alias("is_directory"))
+    return listed.where("id <> 'f0'").join(jobs, "id", "left").withColumn("listing", F.coalesce("listing", F.lit("complete")))
+
+
 @query()
 def request_permits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When each user's events could have started under the pace; sequential, so beyond SQL."""

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import stat
 from collections import deque
 from collections.abc import Iterator
 
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from concordat.functions.paths import not_version_control
+from concordat.operators.diff import same_version, trusted_digest
 
 ENTRY = "path string, name string, parent string, is_directory boolean, device long, inode long, mtime long, ctime long, size long"
 READ = 8 * 1024 * 1024
@@ -22,7 +24,10 @@ READ = 8 * 1024 * 1024
 class FolderSource(DataSource):
     """``folder``: every entry below a folder with its metadata in nanoseconds, hidden and empty ones too.
 
-    Option path: a folder that all executors see; option partitions: about how many to make.  The
+    Option path: a folder that all executors see; option partitions: about how many to make.  Options
+    below (a path) and parents (a JSON list of paths) choose what is listed: all below a folder, or what
+    lies directly in some.  They are options and not pushed filters, because Spark 4.1 keeps what was
+    pushed with the source and not with the scan, so two filtered scans of one source mix up.  The
     driver lists directories from the top until so many are known, and no further; each of those is a
     partition with all below it, and the ones above them are listed by tasks too.  Within a partition
     a directory comes before what it holds.  Content is not opened.
@@ -36,15 +41,18 @@ class FolderSource(DataSource):
         return ENTRY
 
     def reader(self, schema) -> DataSourceReader:
-        return _FolderReader(self.options["path"].rstrip("/"), int(self.options.get("partitions", "64")))
+        parents = self.options.get("parents")
+        return _FolderReader(self.options["path"].rstrip("/"), int(self.options.get("partitions", "64")), self.options.get("below", ""), None if parents is None else json.loads(parents))
 
 
 class _FolderReader(DataSourceReader):
-    def __init__(self, path: str, wanted: int):
-        self.path, self.wanted = path, wanted
+    def __init__(self, path: str, wanted: int, below: str, parents: list[str] | None):
+        self.path, self.wanted, self.below, self.parents = path, wanted, below, parents
 
     def partitions(self):
-        above, below = [], deque([""])
+        if self.parents is not None:
+            return [_Folder(p, deep=False) for p in self.parents if self._listed(p)]
+        above, below = [], deque([self.below] if self._listed(self.below) else [])
         while below and len(below) < self.wanted and len(above) < 16 * self.wanted:
             at = below.popleft()
             above.append(at)
@@ -52,6 +60,14 @@ class _FolderReader(DataSourceReader):
                 below.extend(self._relative(e) for e in sorted(entries, key=lambda e: e.name) if self._is_folder(e))
         return [*(_Folder(p, deep=False) for p in above), *(_Folder(p, deep=True) for p in below)]
 
+    def _listed(self, folder: str) -> bool:
+        """Whether a folder that is asked for is one that a listing from the top would reach."""
+        parts = [p for p in folder.split("/")] if folder else []
+        if parts and (parts[0] == ".git" or any(p in ("", ".", "..") for p in parts)):
+            return False
+        at = [os.path.join(self.path, *parts[:k]) for k in range(1, len(parts) + 1)]
+        return os.path.isdir(self.path) and all(os.path.isdir(p) and not os.path.islink(p) for p in at)
+
     def _relative(self, entry: os.DirEntry) -> str:
         return entry.path[len(self.path) + 1 :]
 
@@ -59,7 +75,7 @@ class _FolderReader(DataSourceReader):
         return entry.is_dir(follow_symlinks=False) and self._relative(entry) != ".git"
 
     def read(self, partition):
-        waiting = [partition.path]
+        waiting = [] if partition is None else [partition.path]  # none where no folder is chosen
         while waiting:
             with os.scandir(os.path.join(self.path, waiting.pop())) as entries:
                 for entry in sorted(entries, key=lambda e: e.name):
@@ -71,37 +87,80 @@ class _FolderReader(DataSourceReader):
                         waiting.append(rel)
 
 
-def entries(spark: SparkSession, root: str) -> DataFrame:
-    """All entries below ``root`` but .git and what it holds."""
+def entries(spark: SparkSession, root: str, below: str = "", parents: list[str] | None = None) -> DataFrame:
+    """The entries below ``root``, or ``below`` a folder in it, or directly in ``parents``; not .git and what it holds.
+
+    Only the folders that can hold such entries are listed.
+    """
     spark.dataSource.register(FolderSource)
-    return spark.read.format("folder").option("path", root).load().where(not_version_control(F.col("path")))
+    options = {"path": root, "below": below} | ({} if parents is None else {"parents": json.dumps(sorted(set(parents)))})
+    return spark.read.format("folder").options(**options).load().where(not_version_control(F.col("path")))
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
     return entries(spark, root).where("not is_directory")
 
 
-def _hash(root: str):
+_VERSION = ("device", "inode", "mtime", "ctime", "size")
+_READINGS = "path string, sha256 string, error string, " + ", ".join(f"{when}_{c} long" for when in ("before", "after") for c in _VERSION)
+
+
+def _read(root: str, path: str) -> tuple[str | None, str | None, list, list]:
+    """(digest, error, version before, version after): a file that cannot be read is a row, not a failed task."""
+    before = after = [None] * len(_VERSION)
+    own, where = hashlib.sha256(), os.path.join(root, path)
+    try:
+        flags = os.O_RDONLY | getattr(os, "O_NOFOLLOW", 0) | getattr(os, "O_NONBLOCK", 0)
+        with open(os.open(where, flags), "rb") as content:
+            before = _version(os.fstat(content.fileno()))
+            if not stat.S_ISREG(os.fstat(content.fileno()).st_mode):
+                return None, "not a regular file", before, after
+            while part := content.read(READ):
+                own.update(part)
+        after = _version(os.lstat(where))
+    except OSError as failed:
+        return None, failed.strerror or type(failed).__name__, before, after
+    return own.hexdigest(), None, before, after
+
+
+def _version(seen: os.stat_result) -> list[int]:
+    return [seen.st_dev, seen.st_ino, seen.st_mtime_ns, seen.st_ctime_ns, seen.st_size]
+
+
+def _readings(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
-            for path in batch.column("path").to_pylist():
-                own = hashlib.sha256()
-                with open(os.path.join(root, path), "rb") as content:
-                    while part := content.read(READ):
-                        own.update(part)
-                found.append(own.hexdigest())
-            yield pa.RecordBatch.from_pydict({"path": batch.column("path"), "sha256": found})
+            rows = [_read(root, path) for path in batch.column("path").to_pylist()]
+            out = {"path": batch.column("path"), "sha256": pa.array([r[0] for r in rows], pa.string()), "error": pa.array([r[1] for r in rows], pa.string())}
+            for side, k in (("before", 2), ("after", 3)):
+                out |= {f"{side}_{c}": pa.array([r[k][n] for r in rows], pa.int64()) for n, c in enumerate(_VERSION)}
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
 
+def readings(root: str, changed: DataFrame) -> DataFrame:
+    """For each path of ``changed``: its digest, or why it could not be read, and its version around the reading.
+
+    One pass gives good and bad rows.  Files are read in pieces, so a file of any size fits.  The
+    fast-path join comes first: only files whose metadata changed are in ``changed``.
+    """
+    return changed.select("path").mapInArrow(_readings(root.rstrip("/")), _READINGS)
+
+
+def settled(read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(path, sha256) of files that did not change while they were read, and (path, error) of all others."""
+    same = same_version("before", "after")
+    good = read.where(F.col("error").isNull() & same).select("path", "sha256")
+    return good, read.where(F.col("error").isNotNull() | ~same).select("path", F.coalesce("error", F.lit("changed while it was read")).alias("error"))
+
+
 def digests(root: str, changed: DataFrame) -> DataFrame:
-    """path and sha256 of the files that ``changed`` names, read in pieces, so a file of any size fits.
+    """path and sha256 of the files that ``changed`` names; null where there is no digest to trust.
 
-    The fast-path join comes first: only files whose metadata changed are in ``changed``.
+    Such a file waits for evidence in a round, see :func:`concordat.operators.rounds.observe_local`.
     """
-    return changed.select("path").mapInArrow(_hash(root.rstrip("/")), "path string, sha256 string")
+    return readings(root, changed).select("path", F.when(F.col("error").isNull(), trusted_digest("before", "after", F.col("sha256"))).alias("sha256"))
 
 
 def is_empty(spark: SparkSession, root: str) -> bool:
@@ -118,6 +177,7 @@ class _Folder(InputPartition):
 class ListingSource(DataSource):
     """``listing``: pages of JSON listings, one folder of pages for each directory.
 
+    Option directories (a JSON list) chooses some; the others are not opened.
     Option path: a folder with one sub-folder for each listed directory, holding page files
     ``<token>.json`` ({"files": [...], "nextPageToken": ..., "incompleteSearch": ...}), the first named
     ``start.json``.  One partition for each directory; pages are followed in the task until there is no
@@ -132,19 +192,23 @@ class ListingSource(DataSource):
         return "directory string, id string, name string, mimeType string, size string, sha256Checksum string, version string, trashed boolean"
 
     def reader(self, schema) -> DataSourceReader:
-        return _ListingReader(self.options["path"])
+        chosen = self.options.get("directories")
+        return _ListingReader(self.options["path"], None if chosen is None else sorted(set(json.loads(chosen))))
 
 
 class _ListingReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, directories: list[str] | None):
+        self.path, self.directories = path, directories
 
     def partitions(self):
+        if self.directories is not None:
+            named = [d for d in self.directories if d and "/" not in d and d not in (".", "..")]
+            return [_Folder(f"{self.path}/{d}") for d in named if os.path.isdir(f"{self.path}/{d}")]
         with os.scandir(self.path) as entries:
             return [_Folder(e.path) for e in sorted(entries, key=lambda e: e.name) if e.is_dir()]
 
     def read(self, partition):
-        token, seen = "start", set()
+        token, seen = None if partition is None else "start", set()  # none where no directory is chosen
         while token:
             if token in seen:
                 raise ValueError(f"{partition.path}: the token {token} did not advance")
@@ -169,7 +233,8 @@ class ChangesSource(DataSource):
 
     Option path: a folder of ``<token>.json`` ({"changes": [...], "nextPageToken" | "newStartPageToken"}),
     option start: the first token.  The driver follows the tokens to the last page that is there; the
-    changes themselves are read by tasks, one for each page.
+    changes themselves are read by tasks, one for each page.  A page {"error": {"code": ..., "message": ...}}
+    that says that the token is not known any more ends the stream with CursorRejected.
     """
 
     @classmethod
@@ -205,6 +270,10 @@ class _ChangesReader(DataSourceStreamReader):
 
     def _after(self, offset: dict) -> dict | None:
         page = self._open(offset["token"])
+        error = (page or {}).get("error")
+        if error:
+            rejected = error.get("code") == 410 or (error.get("code") == 400 and "pagetoken" in error.get("message", "").lower())
+            raise ValueError(f"{'CursorRejected' if rejected else 'the feed cannot be read'}: {offset['token']}: {error}")
         token = page and (page.get("nextPageToken") or page.get("newStartPageToken"))
         if not token or token == offset["token"]:
             return None

@@ -57,11 +57,11 @@ class Snapshots:
     is taken, so of two writers of one version the second has lost: it drops its folders and folds its
     rows once more onto the winner's version.  Folders are a writer's own and never changed, so a lost
     executor repeats tasks on the same input, and a reader of an older version is not disturbed until
-    ``keep`` newer ones are there.
+    ``keep`` newer ones are there.  A keyed table begins with 2 ** ``bits`` buckets.
     """
 
-    def __init__(self, spark: SparkSession, root: str, keep: int = KEEP, leaf_bytes: int = LEAF_BYTES):
-        self.spark, self.root, self.keep, self.leaf_bytes = spark, root.rstrip("/"), keep, leaf_bytes
+    def __init__(self, spark: SparkSession, root: str, keep: int = KEEP, leaf_bytes: int = LEAF_BYTES, bits: int = BITS):
+        self.spark, self.root, self.keep, self.leaf_bytes, self.bits = spark, root.rstrip("/"), keep, leaf_bytes, bits
         self._jvm = spark._jvm
         conf = spark._jsc.hadoopConfiguration()
         self._fs = self._path("").getFileSystem(conf)
@@ -188,7 +188,7 @@ class Snapshots:
         keyed = entry is not None and entry["key"] is not None
         if keyed and entry["key"] != key:
             raise ValueError(f"the table is kept by {entry['key']}, not by {key}")
-        leaves = [_parts(n) for n in entry["leaves"]] if keyed else [(BITS, v) for v in range(1 << BITS)]
+        leaves = [_parts(n) for n in entry["leaves"]] if keyed else [(self.bits, v) for v in range(1 << self.bits)]
         touched = {r[0] for r in new.select(leaf_of(key, leaves)).distinct().collect()}  # names of buckets
         stored = self._of(entry, list(touched) if keyed else None) if entry else None
         if entry and not keyed:  # a whole table becomes a keyed one

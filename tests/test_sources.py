@@ -266,3 +266,66 @@ def test_buckets_grow_with_the_table(spark, tmp_path):
     assert min(int(n.split("-")[0]) for n in entry["leaves"]) > 5 and max(entry["bytes"].values()) < 8000
     got = own.read().collect()
     assert len(got) == len({r.id for r in got}) == 3000 and all(r.n_events in (2, 3) and r.seq == 3 for r in got)
+
+
+def test_files_that_cannot_be_read_are_rows(spark, tmp_path, monkeypatch):
+    for name in ("good", "bad", "gone"):
+        (tmp_path / name).write_text(name)
+    (tmp_path / "folder").mkdir()
+    (tmp_path / "link").symlink_to(tmp_path / "good")
+    wanted = spark.createDataFrame([(n,) for n in ("good", "folder", "link", "missing", "a/b")], "path string")
+    got = {r.path: r for r in scan.readings(str(tmp_path), wanted).collect()}
+    assert got["good"].error is None and got["good"].before_size == got["good"].after_size == 4 and got["good"].sha256 == hashlib.sha256(b"good").hexdigest()
+    assert all(got[n].sha256 is None and got[n].error for n in ("folder", "link", "missing", "a/b"))
+    good, others = scan.settled(scan.readings(str(tmp_path), wanted))
+    assert [r.path for r in good.collect()] == ["good"] and others.count() == 4
+    versions = iter([[1, 2, 3, 4, 5], [1, 2, 9, 4, 5]])
+    monkeypatch.setattr(scan, "_version", lambda seen: next(versions))
+    digest, error, before, after = scan._read(str(tmp_path), "bad")
+    assert digest and error is None and before != after
+    row = spark.createDataFrame([("bad", "x", None, 1, 2, 3, 4, 5, 1, 2, 9, 4, 5)], scan._READINGS)
+    assert scan.settled(row)[1].first().error == "changed while it was read"
+
+
+def _opened(df):
+    return df._jdf.queryExecution().executedPlan().execute().getNumPartitions()
+
+
+def test_only_what_is_asked_for_is_listed(spark, tmp_path):
+    for at in ("a/b/c", "a/x", "d/e", ".git/objects"):
+        (tmp_path / "in" / at).mkdir(parents=True)
+        (tmp_path / "in" / at / "f.txt").write_text(at)
+    (tmp_path / "in/link").symlink_to(tmp_path / "in/a")
+    root = f"{tmp_path}/in"
+    everything = {(r.path, r.parent) for r in scan.entries(spark, root).collect()}
+    paths = lambda **o: {r.path for r in scan.entries(spark, root, **o).collect()}
+    assert paths(below="a") == {p for p, _ in everything if p.startswith("a/")} and len(paths(below="a")) == 5
+    assert paths(below="a/b") == {"a/b/c", "a/b/c/f.txt"} and not paths(below="none") | paths(below="../in") | paths(below=".git") | paths(below="link")
+    assert paths(parents=["d", "a/x", "none", "d"]) == {p for p, above in everything if above in ("d", "a/x")}
+    assert paths(parents=[]) == set() and {"a", "d", "link"} <= paths(parents=[""])
+    both = scan.entries(spark, root, parents=["d"]).union(scan.entries(spark, root, below="a/b")).union(scan.entries(spark, root))
+    assert both.count() == 1 + 2 + len(everything)
+    assert _opened(scan.entries(spark, root, parents=["d", "a/x", "none"])) == 2 and _opened(scan.entries(spark, root, below="a/x")) == 1
+    for d in ("one", "two", "three"):
+        (tmp_path / "pages" / d).mkdir(parents=True)
+        (tmp_path / "pages" / d / "start.json").write_text(json.dumps({"files": [{"id": d, "name": d}]}))
+    spark.dataSource.register(scan.ListingSource)
+    pages = lambda *chosen: spark.read.format("listing").options(path=f"{tmp_path}/pages", directories=json.dumps(chosen)).load()
+    assert [r.id for r in pages("two").collect()] == ["two"] and _opened(pages("two")) == 1
+    assert sorted(r.id for r in pages("one", "four", "..", "three").collect()) == ["one", "three"] and pages().count() == 0
+
+
+def test_files_are_published_together(spark, tmp_path):
+    from concordat.sources.files import write_files
+
+    rows = spark.range(20).selectExpr("concat('d', id % 3, '/', id, '.txt') as path", "cast(id as string) as content").repartition(4)
+    write_files(rows, str(tmp_path))
+    held = lambda: {str(p.relative_to(tmp_path)): p.read_text() for p in tmp_path.rglob("*") if p.is_file()}
+    want = {f"d{k % 3}/{k}.txt": str(k) for k in range(20)}
+    assert held() == want
+    late = rows.selectExpr("concat('e/', path) as path", "if(path = 'd1/7.txt', raise_error('no'), content) as content")
+    twice = spark.createDataFrame([("g/1", "a"), ("g/1", "b")], "path string, content string").repartition(2)
+    for bad in (late, rows.limit(1), twice, spark.createDataFrame([("../x", "a")], "path string, content string"), spark.createDataFrame([("h/1", "a"), (None, "b")], "path string, content string")):
+        with pytest.raises(Exception):  # noqa: B017
+            write_files(bad, str(tmp_path))
+        assert held() == want and not [p for p in tmp_path.iterdir() if p.name.startswith(".staging")]
