@@ -36,8 +36,8 @@ _DIGIT = np.zeros(256, bool)
 _DIGIT[0x30:0x3A] = True
 
 
-def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """[(hashed feature numbers, bounds by text)], one entry per kind of feature, and words per text."""
+def _spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The kind of each byte, and starts and ends of the words."""
     kind = _KIND[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -47,7 +47,12 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarr
     cuts = np.flatnonzero(change)
     starts, ends = cuts[:-1], cuts[1:]
     some = kind[starts] > 0 if len(starts) else np.zeros(0, bool)
-    starts, ends = starts[some], ends[some]
+    return kind, starts[some], ends[some]
+
+
+def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
+    """[(hashed feature numbers, bounds by text)], one entry per kind of feature, and words per text."""
+    kind, starts, ends = _spans(data, offsets)
     bounds = np.searchsorted(starts, offsets)
     word = span_hashes(LOWER[data], starts, ends) if len(starts) else np.zeros(0, U64)
     upper, digit = (np.concatenate([[0], np.cumsum(x[data])]) for x in (_UPPER, _DIGIT))
@@ -73,15 +78,31 @@ def features(data: np.ndarray, offsets: np.ndarray) -> tuple[list[tuple[np.ndarr
 
 
 def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The margin of each text; pairs across the stretches of a very long text do not count."""
+    """The margin of each text, the same however a very long one is cut into stretches."""
     n = len(offsets) - 1
-    sums, n_words = np.zeros(n), np.zeros(n, np.int64)
-    for a, b in stretches(data, NOT_SPACE) if n == 1 else [(0, len(data))]:
-        kinds, own = features(data[a:b], np.clip(offsets - a, 0, b - a))
-        n_words += own
-        for idx, bounds in kinds:
-            sums += sums_by(bounds, weights[idx])
-    return weights[-1] + sums / np.maximum(n_words, 1)
+    if n == 1 and len(parts := [*stretches(data, NOT_SPACE)]) > 1:
+        return weights[-1] + _long_sum(data, parts, weights)
+    kinds, n_words = features(data, offsets)
+    return weights[-1] + sum(sums_by(bounds, weights[idx]) for idx, bounds in kinds) / np.maximum(n_words, 1)
+
+
+def _long_sum(data: np.ndarray, parts: list[tuple[int, int]], weights: np.ndarray) -> np.ndarray:
+    """The mean weight of a text's features, stretch by stretch.
+
+    A stretch is read with the two words before it: they make its first pair and tell the shape of the
+    word before it, and are not counted again.
+    """
+    total, n_words, before = 0.0, 0, []
+    for a, b in parts:
+        at = before[0] if before else a
+        own = data[at:b]
+        kinds, (count,) = features(own, np.array([0, b - at]))
+        carried = len(before)
+        for k, (idx, _) in enumerate(kinds):
+            total += weights[idx[max(0, carried - 1) if k % 2 else carried :]].sum()
+        n_words += count - carried
+        before = (_spans(own, np.array([0, b - at]))[1][-2:] + at).tolist()
+    return np.array([total / max(n_words, 1)])
 
 
 def training_rows(column: pa.Array, labels: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, int]]:

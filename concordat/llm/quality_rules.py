@@ -108,15 +108,20 @@ def char_features(data: np.ndarray, offsets: np.ndarray) -> list[tuple[np.ndarra
 
 
 def margins(data: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """The margin of each text; grams of a very long text are those of its stretches."""
+    """The margin of each text, the same however a very long one is cut into stretches."""
     cut = 1 << ngrams.BITS
     total = ngrams.margins(data, offsets, np.append(weights[:cut], weights[-1]))
     own, n = weights[cut:-1], len(offsets) - 1
     sums, grams = np.zeros((len(CHAR_SIZES), n)), np.zeros((len(CHAR_SIZES), n), np.int64)
     for a, b in stretches(data, NOT_SPACE) if n == 1 else [(0, len(data))]:
-        for k, (idx, bounds) in enumerate(char_features(data[a:b], np.clip(offsets - a, 0, b - a))):
+        at = max(0, a - max(CHAR_SIZES) + 1)  # with the bytes before, whose grams end in this stretch
+        for k, (idx, bounds) in enumerate(char_features(data[at:b], np.clip(offsets - at, 0, b - at))):
+            known = max(0, a - at - CHAR_SIZES[k] + 1)  # those that end before it
             sums[k] += sums_by(bounds, own[idx])
             grams[k] += np.diff(bounds)
+            if known:
+                sums[k] -= own[idx[:known]].sum()
+                grams[k] -= min(known, len(idx))
     return total + (sums / np.maximum(grams, 1)).sum(axis=0)
 
 

@@ -227,3 +227,35 @@ def test_many_blocks_can_be_drawn():
     assert blocks >= 1 and n * blocks * (mixing.MAX_REPEATS + 1) < 10**9
     shards = mixing.split([blocks * 4] * 2000, 3)
     assert [sum(x) for x in zip(*shards, strict=True)] == [blocks * 4] * 2000
+
+
+@pytest.mark.parametrize("size", [1, 7, 60, 1000])
+def test_margins_do_not_depend_on_stretches(monkeypatch, size):
+    from concordat.llm import quality_classifier, quality_rules, textarrays
+
+    rng = random.Random(size)
+    words = ["the", "The", "the", "a1", "x", "#", "###", "word###", "end.", "é", "(so)", "\x0b", "\x01", " "]
+    whole, cut = quality_rules.margins, lambda data, inside: textarrays.stretches(data, inside, size)
+    weights = np.random.default_rng(3).normal(size=(1 << 18) + (1 << 18) + 1)
+    for n in (0, 1, 2, 3, 40, 700):
+        data = np.frombuffer("".join(rng.choice(words) + rng.choice([" ", "", "\n", "  "]) for _ in range(n)).encode(), np.uint8)
+        offsets = np.array([0, len(data)])
+        want = whole(data, offsets, weights)
+        assert len([*cut(data, textarrays.NOT_SPACE)]) > 1 or n < 700 or size > 200
+        with monkeypatch.context() as patch:
+            patch.setattr(quality_classifier, "stretches", cut)
+            patch.setattr(quality_rules, "stretches", cut)
+            assert quality_rules.margins(data, offsets, weights) == pytest.approx(want, abs=1e-9)
+
+
+def test_a_long_text_has_the_margin_of_the_whole(monkeypatch):
+    from concordat.llm import quality_classifier, quality_rules
+
+    rng = random.Random(9)
+    data = np.frombuffer(" ".join(rng.choice(["lorem", "ipsum", "Dolor", "sit.", "#", "12"]) for _ in range(300_000)).encode(), np.uint8)
+    weights, offsets = np.random.default_rng(3).normal(size=(1 << 19) + 1), np.array([0, len(data)])
+    assert len(data) > 1 << 20
+    got = quality_rules.margins(data, offsets, weights)
+    for module in (quality_classifier, quality_rules):
+        monkeypatch.setattr(module, "stretches", lambda data, inside: [(0, len(data))])
+    assert got == pytest.approx(quality_rules.margins(data, offsets, weights), abs=1e-9)
