@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.text import same_digest
 
+from . import slices
+
 IDENTITY = ("device", "inode", "mtime", "ctime", "size")
 
 
@@ -125,8 +127,9 @@ def verify_upload() -> Column:
 
 
 def links_in_order(items: DataFrame) -> DataFrame:
-    """``items`` with link: their place (from 1) among the links of their inode, by item_id."""
-    return items.withColumn("link", F.row_number().over(Window.partitionBy("device", "inode").orderBy("item_id")))
+    """``items`` with link: their place (from 1) among the links of their inode, by item_id; numbered in ranges."""
+    inode, order = ["device", "inode"], ["item_id"]
+    return slices.running_sum(slices.ranged(items, inode, order), inode, order, "link", F.lit(1)).drop(slices.RANGE)
 
 
 def links(items: DataFrame) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,20 +15,48 @@ MIN_SAMPLE_S = 0.1
 COOLDOWN = (1.0, 3600.0)
 COOLDOWN_UNKNOWN = 1.5
 ALONE_FIRST, CHUNK = 1, 64
+#: Samples of a key up to which a window over the key is one task's work; beyond it ranges are used.
+HOT = 1 << 20
+
 
+def _hot(samples: DataFrame, by: list[str], most: int) -> bool:
+    """Whether a key has more samples than one task should hold; counted on the map side."""
+    return not samples.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > most).limit(1).isEmpty()
 
-def in_window(samples: DataFrame, by: list[str], at_us: str, width_us: int = RATE_WINDOW_US) -> DataFrame:
-    """Add in_window: starts within the last ``width_us`` up to each sample, itself included."""
-    w = Window.partitionBy(*by).orderBy(at_us).rangeBetween(-width_us, 0)
-    return samples.withColumn("in_window", F.count("*").over(w))
 
+def in_window(samples: DataFrame, by: list[str], at_us: str, width_us: int = RATE_WINDOW_US, most: int = HOT) -> DataFrame:
+    """Add in_window: starts within the last ``width_us`` up to each sample, itself and those of its time included.
 
-def next_start(samples: DataFrame, by: list[str], at_us: str, order: list[str], limit: int = RATE_LIMIT, width_us: int = RATE_WINDOW_US) -> DataFrame:
-    """Add next_us: the earliest start that the pace and the window permit after each start."""
-    w = Window.partitionBy(*by).orderBy(*order)
+    A start counts from its time until ``width_us`` after it, so the number is a running sum of what comes
+    and what goes, which :mod:`slices` takes over ranges: a key with more than ``most`` samples is many tasks.
+    """
+    if not _hot(samples, by, most):
+        return samples.withColumn("in_window", F.count("*").over(Window.partitionBy(*by).orderBy(at_us).rangeBetween(-width_us, 0)))
+    counted = samples.groupBy(*by, F.col(at_us).alias("_time")).agg(F.count("*").alias("_n"))
+    comes = counted.select(*by, "_time", F.lit(0).alias("_turn"), "_n")
+    goes = counted.select(*by, (F.col("_time") + width_us).alias("_time"), F.lit(2).alias("_turn"), (-F.col("_n")).alias("_n"))
+    own = samples.select(*by, F.col(at_us).alias("_time"), F.lit(1).alias("_turn"), F.lit(0).cast("bigint").alias("_n"), F.struct(*samples.columns).alias("_row"))
+    order = ["_time", "_turn"]
+    met = slices.running_sum(slices.ranged(comes.unionByName(goes).unionByName(own, allowMissingColumns=True), by, order), by, order, "in_window", F.col("_n"))
+    return met.where("_turn = 1").select("_row.*", "in_window")
+
+
+def next_start(samples: DataFrame, by: list[str], at_us: str, order: list[str], limit: int = RATE_LIMIT, width_us: int = RATE_WINDOW_US, most: int = HOT) -> DataFrame:
+    """Add next_us: the earliest start that the pace and the window permit after each start.
+
+    With more than ``most`` samples of a key, the start ``limit`` places before is met by its number within
+    the key, not by a window over the key.
+    """
     paced = F.col(at_us) + F.lit(1_000_000 // limit)
-    oldest = F.lag(at_us, limit - 1).over(w)
-    return samples.withColumn("next_us", F.greatest(paced, F.coalesce(oldest + F.lit(width_us), paced)))
+    start = F.greatest(paced, F.coalesce(F.col("_oldest") + F.lit(width_us), paced))
+    if not _hot(samples, by, most):
+        before = F.lag(at_us, limit - 1).over(Window.partitionBy(*by).orderBy(*order))
+        return samples.withColumn("_oldest", before).withColumn("next_us", start).drop("_oldest")
+    numbered = slices.running_sum(slices.ranged(samples, by, order), by, order, "_number", F.lit(1)).drop(slices.RANGE)
+    before = numbered.select(*[F.col(k).alias(f"_k_{k}") for k in by], (F.col("_number") + limit - 1).alias("_later"), F.col(at_us).alias("_oldest"))
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in by], F.col("_number") == F.col("_later"))
+    met = numbered.join(before, same, "left").drop(*[f"_k_{k}" for k in by], "_later", "_number")
+    return met.withColumn("next_us", start).drop("_oldest")
 
 
 def sampled_rate(samples: DataFrame, by: list[str], at_us: str, total: str, order: list[str]) -> DataFrame:
@@ -91,15 +121,18 @@ def batches(rows: DataFrame, by: list[str], order: list[str], chunk: int = CHUNK
 def observation_batches(entries: DataFrame, by: list[str], order: list[str], is_directory: str, chunk: int = CHUNK) -> DataFrame:
     """The files of a scan with segment and chunk: which commit takes them.
 
-    The first file goes alone; a directory commits what was gathered before it; the others go in chunks.
+    The first file goes alone (chunk -1); a directory commits what was gathered before it; the others go
+    in chunks.  A file's place is the number of files before it less that at the last directory, so both
+    are running sums over ranges, and one scan is many tasks.
     """
-    w = Window.partitionBy(*by).orderBy(*order)
-    marked = entries.withColumn("segment", F.sum(F.col(is_directory).cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    files = marked.where(~F.col(is_directory))
-    first = F.row_number().over(w) == 1
-    alone = files.withColumn("_alone", first)
-    place = F.row_number().over(Window.partitionBy(*by, "segment", "_alone").orderBy(*order)) - 1
-    return alone.withColumn("chunk", F.when(F.col("_alone"), F.lit(-1)).otherwise(F.floor(place / chunk)).cast("bigint")).drop("_alone")
+    folder = F.col(is_directory)
+    met = slices.running_sum(slices.ranged(entries, by, order), by, order, "segment", folder.cast("bigint"))
+    met = slices.running_sum(met, by, order, "_files", (~folder).cast("bigint"))
+    beside = F.greatest(F.col("_files") - ALONE_FIRST, F.lit(0))  # without the one that goes alone
+    met = slices.running_max(met, by, order, "_gone", F.when(folder, beside))
+    place = beside - F.coalesce("_gone", F.lit(0)) - 1
+    number = F.when(F.col("_files") <= ALONE_FIRST, -1).otherwise(F.floor(place / chunk)).cast("bigint")
+    return met.where(~folder).withColumn("chunk", number).drop("_files", "_gone", slices.RANGE)
 
 
 def transfers_in_order(transfers: DataFrame) -> DataFrame:

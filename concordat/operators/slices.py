@@ -18,9 +18,15 @@ RANGE = "_range"
 
 
 def ranged(rows: DataFrame, by: list[str], order: list[str], groups: int | None = None) -> DataFrame:
-    """``rows`` with the number of their range: as many ranges as the rows' size needs, unless told otherwise."""
-    groups = groups or partitions(rows)
-    return Workspace(rows.sparkSession, "ranged").save(rows.repartitionByRange(groups, *by, *order).withColumn(RANGE, F.spark_partition_id()), "rows")
+    """``rows`` with the number of their range: as many ranges as the rows' size needs, unless told otherwise.
+
+    Rows are written before, as they are sampled for the ranges and then dealt; their size is then known.
+    """
+    work = Workspace(rows.sparkSession, "ranged")
+    if groups is None:
+        rows = work.save(rows, "given")
+        groups = partitions(rows)
+    return work.save(rows.repartitionByRange(groups, *by, *order).withColumn(RANGE, F.spark_partition_id()), "rows")
 
 
 def _within(by: list[str], order: list[str]):

@@ -350,3 +350,43 @@ def test_nested_plans_have_their_whole_subtrees(spark):
     got = {(r.item_id, r.node_id): (r.path, r.depth) for r in cleanup.plan_nodes(ready, items).collect()}
     assert {k: v for k, v in got.items() if k[0] < 6} == {(2, 2): ("", 0), (2, 3): ("b", 1), (2, 4): ("b/c", 2), (2, 5): ("b/c/d", 3), (3, 3): ("", 0), (3, 4): ("c", 1), (3, 5): ("c/d", 2), (5, 5): ("", 0)}
     assert {k for k in got if k[0] > 5} == {(6, 6), (7, 7)}  # a circle ends
+
+
+def test_windows_of_one_hot_key_are_many_tasks(spark):
+    import random
+
+    from concordat.operators import diff, slices
+
+    rng, at, rows = random.Random(4), 0, []
+    for n in range(1500):
+        at += rng.choice([0, 0, 1, 7, 300])
+        rows.append((None if n % 50 == 0 else "hot" if n % 3 else f"k{n % 7}", n, at, n % 11 == 0))
+    df = spark.createDataFrame(rows, "g string, n long, at long, folder boolean").repartition(4)
+    df.createOrReplaceTempView("hot_rows")
+    want = spark.sql("select n, count(*) over (partition by g order by at range between 500 preceding and current row) w, lag(at, 4) over (partition by g order by at, n) o from hot_rows").collect()
+    of = lambda most: {r.n: r for r in metrics.next_start(metrics.in_window(df, ["g"], "at", 500, most=most), ["g"], "at", ["at", "n"], limit=5, width_us=500, most=most).collect()}
+    got = of(100)
+    assert {n: (r.in_window, r.next_us) for n, r in of(10_000).items()} == {n: (r.in_window, r.next_us) for n, r in got.items()}
+    assert len(got) == 1500 and got[3].folder is False
+    for r in want:
+        paced = rows[r.n][2] + 200_000
+        assert got[r.n].in_window == r.w and got[r.n].next_us == max(paced, paced if r.o is None else r.o + 500)
+    ranges = slices.ranged(df, ["g"], ["at", "n"], 8)
+    assert ranges.where("g = 'hot'").select(slices.RANGE).distinct().count() > 3
+    segment, alone, place, plain = {}, set(), {}, {}
+    for g, n, _, folder in rows:
+        if folder:
+            segment[g] = segment.get(g, 0) + 1
+            place[g] = 0
+        elif g not in alone:
+            alone.add(g)
+            plain[n] = (segment.get(g, 0), -1)
+        else:
+            plain[n] = (segment.get(g, 0), place.get(g, 0) // 4)
+            place[g] = place.get(g, 0) + 1
+    assert {r.n: (r.segment, r.chunk) for r in metrics.observation_batches(df, ["g"], ["n"], "folder", 4).collect()} == plain
+    links = diff.links_in_order(df.selectExpr("n as item_id", "1 as device", "if(n % 3 = 0, n % 6, 1) as inode")).collect()
+    seen = {}
+    for r in sorted(links, key=lambda r: r.item_id):
+        seen[r.inode] = seen.get(r.inode, 0) + 1
+        assert r.link == seen[r.inode]
