@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import shutil
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -47,15 +48,19 @@ class _Attempt(WriterCommitMessage):
 class _FilesWriter(DataSourceWriter):
     def __init__(self, root: str):
         self.root, self.staging = root, f"{root}/{STAGING}{uuid.uuid4().hex}"
+        os.makedirs(self.staging)  # by the driver alone: once it is gone, no task can bring it back
 
     def write(self, iterator: Iterator[Row]) -> WriterCommitMessage:
         folder = f"{self.staging}/{uuid.uuid4().hex}"
-        os.makedirs(folder)
+        os.mkdir(folder)
         for row in iterator:
             if not row.path or any(p in ("", ".", "..") for p in row.path.split("/")):
                 raise ValueError(f"not a path below the folder: {row.path!r}")
-            where = f"{folder}/{row.path}"
-            os.makedirs(os.path.dirname(where), exist_ok=True)
+            where, at = f"{folder}/{row.path}", folder
+            for part in row.path.split("/")[:-1]:
+                at = f"{at}/{part}"
+                if not os.path.isdir(at):
+                    os.mkdir(at)
             with open(where, "x") as out:
                 out.write(row.content or "")
         return _Attempt(folder)
@@ -74,10 +79,18 @@ class _FilesWriter(DataSourceWriter):
                 os.makedirs(os.path.dirname(to), exist_ok=True)
                 os.rename(staged, to)
         finally:
-            shutil.rmtree(self.staging, ignore_errors=True)
+            self._clear()
 
     def abort(self, messages: list[WriterCommitMessage]) -> None:
-        shutil.rmtree(self.staging, ignore_errors=True)
+        self._clear()
+
+    def _clear(self) -> None:
+        """Remove what attempts have written; those still running fail at their next file."""
+        for _ in range(100):
+            shutil.rmtree(self.staging, ignore_errors=True)
+            if not os.path.exists(self.staging):
+                return
+            time.sleep(0.1)
 
 
 def write_files(rows: DataFrame, root: str) -> None:
