@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from concordat.functions import paths
 from concordat.functions.text import name_key, valid_name
-from concordat.operators import feed, gates, store, tree
+from concordat.operators import feed, gates, path_view, store, tree
+from concordat.sources.workspace import Workspace
 
 from .registry import query, table
 
@@ -29,6 +30,26 @@ def tree_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.paths(nodes(spark, sf_dir), root(spark)).select("id", "path", F.col("depth").cast("bigint").alias("depth"))
 
 
+@query(
+    NODES
+    + """, a AS (SELECT id, CASE WHEN id % 29 = 7 THEN id // 16 ELSE parent_id END AS parent_id, CASE WHEN id % 31 = 5 THEN 'm' || id ELSE name END AS name FROM n WHERE id % 37 <> 11
+ UNION ALL SELECT id + 1000000, id, 'new' || id FROM n WHERE id % 41 = 13),
+b AS (SELECT id, CASE WHEN id < 1000000 AND id % 43 = 17 THEN 0 ELSE parent_id END AS parent_id, name FROM a UNION ALL SELECT id, parent_id, name FROM n WHERE id % 37 = 11 AND id % 2 = 0),
+t AS (SELECT id, '' AS path, 0::BIGINT AS depth FROM b WHERE id = 0 UNION ALL SELECT b.id, CASE WHEN t.path = '' THEN b.name ELSE t.path || '/' || b.name END, t.depth + 1 FROM b JOIN t ON b.parent_id = t.id) SELECT id, path, depth FROM t"""
+)
+def maintained_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths after two batches of edits: moves, new names, removals and new nodes; then moves and returns."""
+    own, i = nodes(spark, sf_dir).select("id", "parent_id", "name"), F.col("id")
+    view = path_view.PathView(spark, f"{Workspace(spark, 'maintained').root}/view")
+    view.build(own, root(spark))
+    moved, renamed, gone = i % 29 == 7, i % 31 == 5, i % 37 == 11
+    after = own.select("id", F.when(moved, F.floor(i / 16)).otherwise(F.col("parent_id")).alias("parent_id"), F.when(renamed, F.concat(F.lit("m"), i)).otherwise(F.col("name")).alias("name"), gone.alias("removed"))
+    new = own.where("id % 41 = 13").select((i + 1000000).alias("id"), i.alias("parent_id"), F.concat(F.lit("new"), i).alias("name"), F.lit(False).alias("removed"))
+    view.apply(after.where(moved | renamed | gone).unionByName(new))
+    view.apply(after.where((i % 43 == 17) & ~gone).withColumn("parent_id", F.lit(0).cast("bigint")).unionByName(own.where(gone & (i % 2 == 0)).withColumn("removed", F.lit(False))))
+    return view.read().select("id", "path", F.col("depth").cast("bigint").alias("depth"))
+
+
 @query(NODES + ", t AS (SELECT id, '' AS path, 0::BIGINT AS depth FROM n WHERE id = 3 UNION ALL SELECT n.id, CASE WHEN t.path = '' THEN n.name ELSE t.path || '/' || n.name END, t.depth + 1 FROM n JOIN t ON n.parent_id = t.id) SELECT id, path, depth, row_number() OVER (ORDER BY depth DESC, id) AS place FROM t")
 def subtree_depth_desc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows below one node, numbered deepest first, as a delete would take them."""

@@ -102,6 +102,13 @@ class Snapshots:
         """A table of a version (the newest); None if it has none."""
         return self._of(self.head(version)["tables"].get(table))
 
+    def lookup(self, keys: DataFrame, table: str = "table", version: int | None = None) -> DataFrame:
+        """The rows of a keyed table with the given keys; only the buckets that can hold them are opened."""
+        entry = self.head(version)["tables"][table]
+        leaves = [_parts(n) for n in entry["leaves"]]
+        chosen = [r[0] for r in keys.select(leaf_of(entry["key"], leaves)).distinct().collect()]  # names of buckets
+        return self._of(entry, chosen).join(keys.select(entry["key"]).distinct(), entry["key"], "left_semi")
+
     def _of(self, entry: dict | None, chosen: list[str] | None = None) -> DataFrame | None:
         if entry is None:
             return None
