@@ -98,6 +98,7 @@ class PathView:
         outside = parents.join(links, "id", "left_anti").join(own, "id", "left_anti")
         above = self.store.lookup(outside, "nodes", now).where("path is not null").select("id", "path", "depth")
         rows = _placed(links, above, self.store.read(now, "roots")).withColumn("gone", F.lit(False))
+        rows = work.save(rows, "rows")  # a commit reads them twice
         removed = changed.where("removed").select("id", *[F.lit(None).cast(rows.schema[c].dataType).alias(c) for c in ("parent_id", "name", "path", "depth")], F.lit(True).alias("gone"))
         left = changed.where("old_parent is not null").select(F.col("old_parent").alias("parent_id"), _part().alias("part"), "id", F.lit(True).alias("gone"))
         joined = changed.where("not removed and parent_id is not null").select("parent_id", _part().alias("part"), "id", F.lit(False).alias("gone"))
