@@ -6,14 +6,16 @@ pattern over numbered words, an item with fewer words is one pattern, and a word
 ends every match.  Word places are mapped back to places in the original text.
 
 Test items of more than ITEM_BYTES bytes are dealt by their hash to groups of about that size; each
-group has an automaton and a pass over the rows, which carry the hits found before, so items in any
-number are scanned and no task or driver holds more than one group.
+group has an automaton and reads the texts once, writing only what it hits, so items in any
+number are scanned, no text is written again, and no task or driver holds more than two groups.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import reduce
+from itertools import chain
 
 import ahocorasick
 import numpy as np
@@ -23,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, arrow_map, ship
 from .textarrays import ALNUM, LOWER, slices, span_array, stretches, words
 
 WINDOW = 13
@@ -126,31 +128,49 @@ _SPAN_TYPE = "array<struct<start:long,end:long>>"
 _FOUND = f"row {{}}, n_words long, items array<string>, runs {_SPAN_TYPE}, spans {_SPAN_TYPE}"
 
 
-def _pass(held: Broadcast):
-    """One group's hits, beside those of the groups before."""
+def _pairs(found: list[tuple[int, int]]) -> list[dict]:
+    return [{"start": a, "end": b} for a, b in found]
 
-    def pairs(runs: list[tuple[int, int]]) -> list[dict]:
-        return [{"start": a, "end": b} for a, b in runs]
+
+def _pass(held: Broadcast, field: str | None = None, hits_only: bool = False):
+    """One group's hits beside the row, or a ``field`` of it; with ``hits_only`` of rows that have some."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n_words, runs, spans, items = (list(x) for x in zip(*_hits(batch.column("row").field("text"), _automaton(held)), strict=True))
-            if "runs" in batch.schema.names:
-                for name, own in (("runs", runs), ("spans", spans)):
-                    for k, known in enumerate(batch.column(name).to_pylist()):
-                        own[k] = _merged(own[k] + [(x["start"], x["end"]) for x in known])
-                items = [sorted({*a, *b}) for a, b in zip(items, batch.column("items").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict({
-                "row": batch.column("row"), "n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())),
-                "runs": pa.array([pairs(x) for x in runs], _SPANS), "spans": pa.array([pairs(x) for x in spans], _SPANS),
+            row = batch.column("row")
+            n_words, runs, spans, items = (list(x) for x in zip(*_hits(row.field("text"), _automaton(held)), strict=True))
+            made = pa.RecordBatch.from_pydict({
+                "row": row if field is None else row.field(field), "n_words": pa.array(n_words, pa.int64()), "items": pa.array(items, pa.list_(pa.string())),
+                "runs": pa.array(map(_pairs, runs), _SPANS), "spans": pa.array(map(_pairs, spans), _SPANS),
             })
+            yield made.filter(pc.greater(pc.list_value_length(made.column("runs")), 0)) if hits_only else made
         pa.default_memory_pool().release_unused()
 
     return run
 
 
+def _together(runs: list[dict], spans: list[dict]) -> tuple[list[dict], list[dict]]:
+    """The runs of several groups merged, each with its span, as one automaton over all items would give them."""
+    out: list[list[int]] = []
+    for a, b, start, end in sorted((r["start"], r["end"], s["start"], s["end"]) for r, s in zip(runs, spans, strict=True)):
+        if out and a <= out[-1][1]:
+            out[-1][1], out[-1][3] = max(out[-1][1], b), max(out[-1][3], end)
+        else:
+            out.append([a, b, start, end])
+    return _pairs([(a, b) for a, b, _, _ in out]), _pairs([(c, d) for _, _, c, d in out])
+
+
+def _combined(batch: pa.RecordBatch) -> dict:
+    both = [_together(r, s) for r, s in zip(batch.column("runs").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+    items = [sorted(set(x)) for x in batch.column("items").to_pylist()]
+    return {
+        "row": batch.column("row"), "n_words": batch.column("n_words"), "items": pa.array(items, pa.list_(pa.string())),
+        "runs": pa.array([r for r, _ in both], _SPANS), "spans": pa.array([s for _, s in both], _SPANS),
+    }
+
+
 def hold_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text", window: int = WINDOW, item_bytes: int = ITEM_BYTES) -> Iterator[Broadcast]:
     """The test items as broadcast groups of about ``item_bytes``, one after the other.
 
@@ -165,35 +185,70 @@ def hold_items(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "t
         yield benchmark.sparkSession.sparkContext.broadcast((key, items, window))
 
 
-def _found(rows: DataFrame, benchmark: DataFrame, item_bytes: int) -> DataFrame:
-    """Every ``row`` (a struct with ``text``) with the hits of all groups, each written before the next pass."""
-    ship(rows.sparkSession)
-    schema, scratch = _FOUND.format(rows.schema["row"].dataType.simpleString()), None
-    for k, held in enumerate(hold_items(benchmark, item_bytes=item_bytes)):
-        if k:
-            scratch = scratch or Scratch(rows.sparkSession, "contamination")
-            rows = scratch.save(rows, f"pass-{k}")
-            if k > 1:
-                scratch.drop(f"pass-{k - 1}")
-        rows = rows.mapInArrow(_pass(held), schema)
+def _by_text(rows: DataFrame, groups: Iterable[Broadcast]) -> DataFrame:
+    """The hits of all groups by the SHA-256 of the text, for texts that have some.
+
+    Each group reads the texts and writes its hits, no text; equal texts have equal hits and are one row.
+    """
+    texts = rows.where("row.text is not null").select(F.struct(F.sha2("row.text", 256).alias("key"), "row.text").alias("row"))
+    scratch, parts = Scratch(rows.sparkSession, "contamination"), []
+    for k, held in enumerate(groups):
+        found = texts.mapInArrow(_pass(held, "key", hits_only=True), _FOUND.format("string")).dropDuplicates(["row"])
+        parts.append(scratch.save(found, f"group-{k}"))
+        held.unpersist()
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "runs", "spans")]
+    hits = reduce(DataFrame.union, parts).groupBy("row").agg(F.first("n_words").alias("n_words"), *lists)
+    return scratch.save(arrow_map(hits, _combined, _FOUND.format("string")), "hits")
+
+
+def _judged(found: DataFrame) -> DataFrame:
     n_hit = F.aggregate("runs", F.lit(0).cast("long"), lambda total, x: total + x["end"] - x["start"])
-    return rows.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumn("n_hit", n_hit).withColumn("contaminated", (F.col("n_hit") > 0) & (SHARE * F.col("n_hit") >= F.col("n_words")))
+
+
+def _groups(benchmark: DataFrame, item_bytes: int) -> tuple[Broadcast | None, Iterator[Broadcast]]:
+    """The only group, or else None, and all groups."""
+    groups = hold_items(benchmark, item_bytes=item_bytes)
+    first, second = next(groups), next(groups, None)
+    return (first if second is None else None), (g for g in chain([first, second], groups) if g is not None)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_bytes: int = ITEM_BYTES) -> DataFrame:
     """For every row: words, hit words, items that occur, the verdict, and the hit spans in code points.
 
-    Map-only over the texts.  A null or empty text has no words and no hits; an empty benchmark
+    Map-only over the texts; with several groups of items their hits are joined to the rows by the SHA-256
+    of the text.  A null or empty text has no words and no hits; an empty benchmark
     hits nothing; an item without an id counts for hits and verdict and is not among the items;
     repeated rows give equal rows; other columns are not read.
     """
-    rows = docs.select(F.struct(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).alias("row"))
-    return _found(rows, benchmark, item_bytes).select(
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key")).alias("own"), text.alias("text")).alias("row"))
+    ship(rows.sparkSession)
+    only, groups = _groups(benchmark, item_bytes)
+    schema = _FOUND.format(rows.select("row.own").schema["own"].dataType.simpleString())
+    if only is not None:
+        found = rows.mapInArrow(_pass(only, "own"), schema)
+    else:
+        hits = _by_text(rows, groups).withColumnRenamed("row", "key").drop("n_words")
+        nothing = docs.sparkSession.sparkContext.broadcast(("", [], WINDOW))
+        counted = rows.mapInArrow(_pass(nothing, "own"), schema).select("row", "n_words", F.col("row.key").alias("key"))
+        none = {c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)) for c in ("items", "runs", "spans")}
+        found = counted.join(hits, "key", "left").withColumns(none)
+    return _judged(found).select(
         "row.id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated", "items", "spans"
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = ITEM_BYTES) -> DataFrame:
-    """The rows of ``docs`` that are not contaminated, with their columns; a pass a group, no join."""
+    """The rows of ``docs`` that are not contaminated, with their columns; one pass for each group of items.
+
+    With one group there is no join; with several, contaminated texts are joined away by their SHA-256.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    return _found(rows, benchmark, item_bytes).where(~F.col("contaminated")).select("row.*")
+    ship(rows.sparkSession)
+    only, groups = _groups(benchmark, item_bytes)
+    if only is not None:
+        found = rows.mapInArrow(_pass(only), _FOUND.format(rows.schema["row"].dataType.simpleString()))
+        return _judged(found).where(~F.col("contaminated")).select("row.*")
+    gone = _judged(_by_text(rows, groups)).where("contaminated").select(F.col("row").alias("key"))
+    return rows.withColumn("key", F.sha2("row.text", 256)).join(gone, "key", "left_anti").select("row.*")

@@ -126,10 +126,21 @@ def test_contamination(spark, odd, small):
     assert any(r.contaminated for r in got)
     groups = decontamination.find_contamination(docs, items, item_bytes=4000).collect()  # several passes
     assert key([tuple(r) for r in groups]) == key([tuple(r) for r in got])
+    for size in (decontamination.ITEM_BYTES, 4000):
+        left = decontamination.drop_contaminated(docs, items, item_bytes=size).collect()
+        assert left and sorted(map(repr, left)) == sorted(repr(d) for d, r in zip(docs.collect(), want, strict=True) if not r[-1])
     kept = decontamination.drop_contaminated(odd, items)
     assert kept.columns == odd.columns and {r.doc_id for r in kept.collect()}.isdisjoint({4, 5})
 
 
+def test_neighbouring_hits_of_two_groups_are_one_run(spark):
+    docs = spark.createDataFrame([(1, "x one two  three four y"), (1, "x one two  three four y"), (2, None), (3, "one")], "doc_id long, text string")
+    items = spark.createDataFrame([(k, t) for k, t in enumerate(["one two", "three four", "two three", "five", "six", "seven"])], "item_id long, text string")
+    whole, parts = ([tuple(r) for r in decontamination.find_contamination(docs, items, item_bytes=n).orderBy("id").collect()] for n in (1 << 20, 4))
+    assert whole == parts and whole[0][2] == 4 and [(s.start, s.end) for s in whole[0][-1]] == [(2, 21)]
+    assert sorted(r.doc_id for r in decontamination.drop_contaminated(docs, items, item_bytes=4).collect()) == [2, 3]
+
+
 def test_empty_tables(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int")
