@@ -221,10 +221,11 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     hits nothing; an item without an id counts for hits and verdict and is not among the items;
     repeated rows give equal rows; other columns are not read.
     """
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.struct(F.struct(F.col(id_col).alias("id"), F.sha2(text, 256).alias("key")).alias("own"), text.alias("text")).alias("row"))
-    ship(rows.sparkSession)
+    ship(docs.sparkSession)
     only, groups = _groups(benchmark, item_bytes)
+    text = F.col(text_col).cast("string")
+    own = [F.col(id_col).alias("id"), *([] if only is not None else [F.sha2(text, 256).alias("key")])]
+    rows = docs.select(F.struct(F.struct(*own).alias("own"), text.alias("text")).alias("row"))
     schema = _FOUND.format(rows.select("row.own").schema["own"].dataType.simpleString())
     if only is not None:
         found = rows.mapInArrow(_pass(only, "own"), schema)
