@@ -285,6 +285,16 @@ def test_cleanup_plans(spark):
     assert sorted((r.item_id, r.node_id, r.path) for r in cleanup.plan_nodes(made, items).collect()) == [(2, 2, ""), (2, 3, "b"), (4, 4, "")]
 
 
+def test_climb_grows_no_paths_on_a_cycle(spark):
+    """All rows below a node that is its own parent; a chain beside them ends only after 20 links."""
+    rows = [(k, k // 3, f"n{k}") for k in range(300)] + [(1000 + k, 999 + k if k else None, f"c{k}") for k in range(21)]
+    found = tree.climb(spark.createDataFrame(rows, "id long, parent_id long, name string"), spark.createDataFrame([(1000,)], "id long"))
+    got = {r.id: (r.outcome, r.path) for r in found.collect()}
+    assert all(got[k][0] == "deep" and got[k][1].count("/") < 64 for k in range(300))
+    assert got[1020] == ("reached", "/".join(f"c{k}" for k in range(1, 21)))
+    assert len(got) == 321
+
+
 def test_traversal_ends_on_a_cycle(spark):
     rows = spark.createDataFrame([(0, 1, "a", True), (1, 2, "b", True), (2, 0, "back", True), (1, 3, "f", False), (3, 9, "hidden", False)], "parent_id long, id long, name string, is_directory boolean")
     found = tree.traverse(spark.createDataFrame([(0,)], "id long"), lambda f: rows.join(f.withColumnRenamed("id", "parent_id"), "parent_id", "left_semi"))
