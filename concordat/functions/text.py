@@ -72,4 +72,15 @@ def cache_key(remote: Column, sha256: Column) -> Column:
 def byte_size(n: Column) -> Column:
     """Binary megabytes below a gigabyte, else gigabytes, with two decimals."""
     giga = 1024.0**3
-    return F.when(n >= giga, F.format_string("%.2f GB", n / giga)).otherwise(F.format_string("%.2f MB", n / 1024.0**2))
+    return F.when(n >= giga, F.format_string("%.2f GB", n / giga)).otherwise(megabytes(n))
+
+
+def megabytes(n: Column) -> Column:
+    """Whole bytes as binary megabytes with two decimals, however many; halves go to the even digit."""
+    mega = 1 << 20
+    whole = n.cast("decimal(30,0)") * 100
+    left = whole % mega
+    floor = ((whole - left) / mega).cast("decimal(30,0)")
+    up = (left * 2 > mega) | ((left * 2 == mega) & (floor % 2 == 1))
+    cents = (floor + up.cast("int")).cast("decimal(30,0)")
+    return F.concat((cents / 100).cast("decimal(30,2)").cast("string"), F.lit(" MB"))

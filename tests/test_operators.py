@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions import paths, text, transfer
 from concordat.operators import diff, feed, gates, issues, metrics, operations, pacing, reconcile, store, tree
+from concordat.plans.catalog import QUERIES
 
 
 def plan(df):
@@ -285,6 +286,19 @@ def test_cleanup_plans(spark):
     assert sorted((r.item_id, r.node_id, r.path) for r in cleanup.plan_nodes(made, items).collect()) == [(2, 2, ""), (2, 3, "b"), (4, 4, "")]
 
 
+def test_megabytes_as_printf_writes_them(spark):
+    """Above a gigabyte too; exact halves go to the even digit, as in C."""
+    sizes = [0, 1, 131072, 393216, 655360, 1 << 30, (1 << 30) + 131072, 45_000_000_000, 10**15 + 7]
+    got = [r.x for r in spark.createDataFrame([(float(n),) for n in sizes], "n double").select(text.megabytes(F.col("n")).alias("x")).collect()]
+    assert got == [f"{n / 1048576:.2f} MB" for n in sizes]
+
+
+def test_throughput_beyond_a_gigabyte(spark, tmp_path):
+    spark.createDataFrame([("a", 3e9), ("a", 1.5), ("b", 2.0), ("c", None)], "o_orderpriority string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    got = {r.name: r.size for r in QUERIES["throughput"](spark, str(tmp_path)).collect()}
+    assert got == {"a": "2861.02 MB", "b": "0.00 MB", "c": None}
+
+
 def test_climb_grows_no_paths_on_a_cycle(spark):
     """All rows below a node that is its own parent; a chain beside them ends only after 20 links."""
     rows = [(k, k // 3, f"n{k}") for k in range(300)] + [(1000 + k, 999 + k if k else None, f"c{k}") for k in range(21)]
