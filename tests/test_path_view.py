@@ -2,9 +2,11 @@
 
 import random
 
+import duckdb
 import pytest
 
 from concordat.operators import path_view, tree
+from concordat.plans.catalog import QUERIES, SQL
 
 COLS = "id long, parent_id long, name string"
 
@@ -94,3 +96,38 @@ def test_two_writers(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(view, "_commit", late)
     edit(spark, view, [(3, 2, "c", False)])
     assert raced and kept(view) == {0: ("", 0), 1: ("z", 1), 2: ("z/b", 2), 3: ("z/b/c", 3)}
+
+
+def test_nodes_of_one_id(spark, tmp_path):
+    """What is below an id that stands twice has two paths; each of its nodes changes alone."""
+    cols = "id long, entry int, parent_id long, name string"
+    rows = [(0, 0, None, "r"), (1, 0, 0, "a"), (2, 0, 0, "b"), (5, 0, 1, "x"), (5, 1, 2, "y"), (6, 0, 5, "z"), (7, 0, 6, "q")]
+    view = path_view.PathView(spark, str(tmp_path), bits=1)
+    view.build(spark.createDataFrame(rows, cols), spark.createDataFrame([(0,)], "id long"))
+
+    def now():
+        return sorted((r.id, r.path, r.depth) for r in view.read().collect() if r.id > 2)
+
+    def change(*new):
+        view.apply(spark.createDataFrame(new, cols + ", removed boolean"))
+
+    assert now() == [(5, "a/x", 2), (5, "b/y", 2), (6, "a/x/z", 3), (6, "b/y/z", 3), (7, "a/x/z/q", 4), (7, "b/y/z/q", 4)]
+    change((5, 1, 0, "y", False), (7, 1, 0, "s", False))
+    assert now() == [(5, "a/x", 2), (5, "y", 1), (6, "a/x/z", 3), (6, "y/z", 2), (7, "a/x/z/q", 4), (7, "s", 1), (7, "y/z/q", 3)]
+    change((5, 0, None, None, True), (7, 0, 5, "q", False))
+    assert now() == [(5, "y", 1), (6, "y/z", 2), (7, "s", 1), (7, "y/q", 2)]
+
+
+def test_new_ids_that_the_table_has(spark, tmp_path):
+    """Rows of a million and more, of which one is a new id too and has rows below it."""
+    keys = set(range(100))
+    for k in (1000095, 1000068, 4000380, 4000383, 1000097):
+        while k:
+            keys.add(k)
+            k //= 4
+    spark.createDataFrame([(k, k % 50 + 1) for k in sorted(keys)], "p_partkey long, p_size int").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = sorted(con.sql(f"SELECT id, path, depth FROM ({SQL['maintained_paths']})").fetchall())
+    assert [r[0] for r in want].count(1000095) == [r[0] for r in want].count(4000380) == 2
+    assert sorted(tuple(r) for r in QUERIES["maintained_paths"](spark, str(tmp_path)).select("id", "path", "depth").collect()) == want
