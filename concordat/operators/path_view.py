@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from concordat.sources.snapshots import Snapshots, StaleCursor
-from concordat.sources.workspace import Workspace, partitions
+from concordat.sources.workspace import Workspace, partitions, shuffled
 
 from .tree import climb
 
@@ -42,17 +42,17 @@ def _placed(links: DataFrame, above: DataFrame, roots: DataFrame) -> DataFrame:
     """
     no_parent = F.lit(None).cast(links.schema["parent_id"].dataType)
     nodes = links.select("id", "entry", "parent_id", "name").union(above.select("id").distinct().select("id", F.lit(ENTRY), no_parent, F.lit("")))
-    tops = above.select("id", "path", "depth").union(roots.join(above, "id", "left_anti").select("id", F.lit(""), F.lit(0)))
+    tops = above.select("id", "path", "depth").union(roots.join(shuffled(above), "id", "left_anti").select("id", F.lit(""), F.lit(0)))
     tops = tops.select(F.col("id").alias("top"), F.col("path").alias("_over"), F.col("depth").alias("_down"))
     path = F.when(F.col("_over") == "", F.col("path")).when(F.col("path") == "", F.col("_over")).otherwise(F.concat_ws("/", "_over", "path"))
-    reached = climb(nodes, tops.select(F.col("top").alias("id"))).where("outcome = 'reached'").join(tops, "top")
+    reached = climb(nodes, tops.select(F.col("top").alias("id"))).where("outcome = 'reached'").join(shuffled(tops), "top")
     found = reached.select("id", "entry", path.alias("path"), (F.col("depth") + F.col("_down")).alias("depth"))
-    return links.select("id", "entry", "parent_id", "name").join(found, ["id", "entry"], "left")
+    return links.select("id", "entry", "parent_id", "name").join(shuffled(found), ["id", "entry"], "left")
 
 
 def _fold(stored: DataFrame | None, new: DataFrame, key: list[str]) -> DataFrame:
     kept = new.where("not gone").drop("gone")
-    return kept if stored is None else stored.join(new.select(key), key, "left_anti").unionByName(kept)
+    return kept if stored is None else stored.join(shuffled(new.select(key)), key, "left_anti").unionByName(kept)
 
 
 class PathView:
@@ -101,10 +101,10 @@ class PathView:
             return now
         own, link = changed.select("id").distinct(), ["id", "entry", "parent_id", "name"]
         below = self._below(own, now, work)
-        stored = self.store.lookup(below.union(own), "nodes", now).select(link).distinct().join(changed, ["id", "entry"], "left_anti")
+        stored = self.store.lookup(below.union(own), "nodes", now).select(link).distinct().join(shuffled(changed), ["id", "entry"], "left_anti")
         links = work.save(changed.where("not removed").select(link).unionByName(stored), "links")
         parents = links.where("parent_id is not null").select(F.col("parent_id").alias("id")).distinct()
-        outside = parents.join(links, "id", "left_anti").join(own, "id", "left_anti")
+        outside = parents.join(shuffled(links), "id", "left_anti").join(shuffled(own), "id", "left_anti")
         above = self.store.lookup(outside, "nodes", now).where("path is not null").select("id", "path", "depth")
         rows = _placed(links, above, self.store.read(now, "roots")).withColumn("gone", F.lit(False))
         rows = work.save(rows, "rows")  # a commit reads them twice
@@ -120,7 +120,7 @@ class PathView:
         old = self.store.lookup(new.select("id"), "nodes", now).select("id", "entry", F.col("parent_id").alias("old_parent"), F.col("name").alias("old_name"), F.lit(True).alias("known")).distinct()
         same = F.col("parent_id").eqNullSafe(F.col("old_parent")) & F.col("name").eqNullSafe(F.col("old_name"))
         known = F.col("known").isNotNull()
-        return new.join(old, ["id", "entry"], "left").where(F.when(F.col("removed"), known).otherwise(~(known & same))).drop("old_name", "known")
+        return new.join(shuffled(old), ["id", "entry"], "left").where(F.when(F.col("removed"), known).otherwise(~(known & same))).drop("old_name", "known")
 
     def _below(self, changed: DataFrame, now: int, work: Workspace) -> DataFrame:
         """(id) of what is below the changed nodes and not changed itself.
@@ -130,7 +130,7 @@ class PathView:
         level, found = changed, [changed]
         while True:
             wanted = level.select(F.col("id").alias("parent_id"), F.explode(F.array(*map(F.lit, range(PARTS)))).alias("part"))
-            children = self.store.lookup(wanted, "children", now).select("id").distinct().join(reduce(DataFrame.union, found), "id", "left_anti")
+            children = self.store.lookup(wanted, "children", now).select("id").distinct().join(shuffled(reduce(DataFrame.union, found)), "id", "left_anti")
             level = work.save(children, f"level-{len(found)}")
             found.append(level)
             if level.isEmpty():

@@ -299,6 +299,11 @@ def test_throughput_beyond_a_gigabyte(spark, tmp_path):
     assert got == {"a": "2861.02 MB", "b": "0.00 MB", "c": None}
 
 
+def test_cleanup_sends_only_roots_by_broadcast(spark):
+    got = plan(QUERIES["cleanup_plans"](spark, "/root/testdata/sf0.001"))
+    assert got.count("BroadcastExchange") == 1 and got.count("SortMergeJoin") == 2
+
+
 def test_climb_grows_no_paths_on_a_cycle(spark):
     """All rows below a node that is its own parent; a chain beside them ends only after 20 links."""
     rows = [(k, k // 3, f"n{k}") for k in range(300)] + [(1000 + k, 999 + k if k else None, f"c{k}") for k in range(21)]
