@@ -11,7 +11,7 @@ from concordat.functions.text import name_key, subject_key
 from concordat.operators import feed, issues, metrics, pacing, tree
 from concordat.sources.files import write_files
 from concordat.sources.snapshots import Snapshots
-from concordat.sources.workspace import Workspace
+from concordat.sources.workspace import Workspace, shuffled
 from concordat.streaming.feed_stream import folding, replay
 from concordat.streaming.keyed_inbox import follow
 from concordat.streaming.listing_stream import FOLDER, list_all
@@ -390,12 +390,12 @@ def bootstrap_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = own.where("is_folder").select(F.col("s_suppkey").alias("above"), F.explode(F.array(F.lit(0), F.lit(1))).alias("page"))
     body = F.to_json(F.struct(F.when(F.col("page") == 0, "p1").alias("nextPageToken"), F.coalesce("files", F.array()).alias("files")))
     name = F.concat(F.lit("f"), "above", F.when(F.col("page") == 0, "/start.json").otherwise("/p1.json"))
-    write_files(every.join(pages, ["above", "page"], "left").select(name.alias("path"), body.alias("content")), f"{folder}/pages")
+    write_files(every.join(shuffled(pages), ["above", "page"], "left").select(name.alias("path"), body.alias("content")), f"{folder}/pages")
     state = Snapshots(spark, f"{work.root}/state", bits=1)
     found = list_all(spark, f"{folder}/pages", "f0", state, f"{folder}/waves", f"{work.root}/checkpoint")
     jobs = state.read(table="jobs").select("id", F.col("state").alias("listing"))
     listed = found.select("id", "parent_id", "name", (F.col("mimeType") == FOLDER).alias("is_directory"))
-    return listed.where("id <> 'f0'").join(jobs, "id", "left").withColumn("listing", F.coalesce("listing", F.lit("complete")))
+    return listed.where("id <> 'f0'").join(shuffled(jobs), "id", "left").withColumn("listing", F.coalesce("listing", F.lit("complete")))
 
 
 @query()

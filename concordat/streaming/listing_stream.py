@@ -1,13 +1,15 @@
 """A full listing as a stream that feeds itself: pages lead to more pages until none is open.
 
-The offset of the stream holds the open pages of one wave, so a batch can be repeated exactly.  Each
-page is read by a task.  A batch is one commit: the entries found, and the listing jobs after it, with
+A wave is written before it is read, all open pages in files of some pages each, and the offset of the stream
+is its number, so a batch can be repeated exactly and no page passes through the driver.  There are as many waves
+as the tree has levels and folders have pages.  Each file is a task.  A batch is one commit: the entries found, and the listing jobs after it, with
 new ones for the folders found; what is then pending makes the next wave.  The stream ends by itself when
 no job is pending, and goes on where it was after a restart.
 """
 
 from __future__ import annotations
 
+import glob
 import json
 import os
 from collections.abc import Iterator
@@ -21,11 +23,12 @@ from concordat.operators import feed
 from concordat.sources.scan import ChangesSource
 from concordat.sources.ship import ship
 from concordat.sources.snapshots import Snapshots
+from concordat.sources.workspace import shuffled
 
 from .feed_stream import replay
 
 FOLDER = "application/vnd.google-apps.folder"
-#: Pages of a wave at most.
+#: Pages that a task lists at most.
 WAVE = 64
 WRITER = "listing"
 
@@ -34,7 +37,7 @@ class ListingWaves(DataSource):
     """``listing_waves``: the pages of successive waves.
 
     Options: path, a folder of page files ``<directory>/<token>.json``, the first of each named ``start.json``;
-    waves, a folder of wave files ``<n>.json`` ([[directory, token or null], ...]).  A page gives a row
+    waves, a folder of folders ``<n>.json`` of JSON lines (id of a directory, page_token).  A page gives a row
     for each file, or one without a file.  A page that is not there any more, or answers with an error, is
     stale; a first page must be there.  An incomplete page or an empty token fails the batch.
     """
@@ -51,8 +54,8 @@ class ListingWaves(DataSource):
 
 
 class _Open(InputPartition):
-    def __init__(self, directory: str, token: str | None):
-        self.directory, self.token = directory, token
+    def __init__(self, file: str):
+        self.file = file
 
 
 class _WaveReader(DataSourceStreamReader):
@@ -60,22 +63,23 @@ class _WaveReader(DataSourceStreamReader):
         self.path, self.waves, self.wave = path, waves, 0
 
     def initialOffset(self) -> dict:
-        return {"wave": 0, "open": []}
+        return {"wave": 0}
 
     def latestOffset(self) -> dict:
-        pages = []
-        while os.path.exists(f"{self.waves}/{self.wave}.json"):
-            with open(f"{self.waves}/{self.wave}.json") as held:
-                pages = json.load(held)
+        while os.path.exists(f"{self.waves}/{self.wave}.json/_SUCCESS"):
             self.wave += 1
-        self.last = pages or getattr(self, "last", [])
-        return {"wave": self.wave, "open": self.last}
+        return {"wave": self.wave}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [_Open(*page) for page in end["open"]] if end["wave"] > start["wave"] else []
+        return [_Open(f) for f in sorted(glob.glob(f"{self.waves}/{end['wave'] - 1}.json/part-*"))] if end["wave"] > start["wave"] else []
 
     def read(self, partition: _Open) -> Iterator[tuple]:
-        directory, token = partition.directory, partition.token
+        with open(partition.file) as held:
+            for line in held:
+                page = json.loads(line)
+                yield from self._page(page["id"], page.get("page_token"))
+
+    def _page(self, directory: str, token: str | None) -> Iterator[tuple]:
         try:
             with open(f"{self.path}/{directory}/{token or 'start'}.json") as held:
                 page = json.load(held)
@@ -101,8 +105,8 @@ _ENTRY = ["id", "name", "mimeType", "size", "sha256Checksum", "version", "trashe
 
 def _fold_jobs(stored: DataFrame, new: DataFrame) -> DataFrame:
     """Listing jobs after a wave: pages move them on, and folders that were found have a job of their own."""
-    moved = feed.advance(stored, new.where("not found").select("id", "requested_token", "next_token", "stale"))
-    fresh = new.where("found").select("id").distinct().join(stored.select("id"), "id", "left_anti")
+    moved = feed.advance(stored, shuffled(new.where("not found")).select("id", "requested_token", "next_token", "stale"))
+    fresh = new.where("found").select("id").distinct().join(shuffled(stored.select("id")), "id", "left_anti")
     return moved.unionByName(fresh.withColumns({"scan_id": F.lit(1).cast("bigint"), "page_token": F.lit(None).cast("string"), "state": F.lit("pending")})).select(stored.columns)
 
 
@@ -112,23 +116,24 @@ def _fold_entries(stored: DataFrame | None, new: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.max_by(F.struct("parent_id", *_ENTRY[1:], "wave"), "wave").alias("r")).select("id", "r.*")
 
 
-def _open_wave(state: Snapshots, waves: str, limit: int) -> None:
+def _open_wave(state: Snapshots, waves: str, limit: int | None) -> None:
     """Write the wave that the state's cursor names, unless nothing is pending; written twice, it is the same."""
-    number = int(json.loads(state.cursor())["wave"])
-    pages = [[r["id"], r["page_token"]] for r in feed.wave(state.read(table="jobs"), limit).collect()]  # 64 at most
-    if pages:
-        os.makedirs(waves, exist_ok=True)
-        with open(f"{waves}/.{number}.draft", "w") as out:
-            json.dump(pages, out)
-        os.replace(f"{waves}/.{number}.draft", f"{waves}/{number}.json")
+    where = f"{waves}/{int(json.loads(state.cursor())['wave'])}.json"
+    if os.path.exists(f"{where}/_SUCCESS"):
+        return
+    jobs = state.read(table="jobs")
+    pages = (jobs.where("state = 'pending'") if limit is None else feed.wave(jobs, limit)).select("id", "page_token")
+    if number := pages.count():
+        parts = min(number, max(state.spark.sparkContext.defaultParallelism, -(-number // WAVE)))
+        pages.repartition(parts).write.mode("overwrite").json(f"file://{where}")
 
 
-def list_all(spark: SparkSession, pages: str, root: str, state: Snapshots, waves: str, checkpoint: str, token: str = "", limit: int = WAVE) -> DataFrame:
+def list_all(spark: SparkSession, pages: str, root: str, state: Snapshots, waves: str, checkpoint: str, token: str = "", limit: int | None = None) -> DataFrame:
     """List everything below the folder ``root`` (an id); gives (id, parent_id, name, ...) of what was found.
 
     ``state`` takes tables jobs and entries and, as its cursor, the wave and ``token``, the place in the
     feed that was taken before the first page was read.  ``pages``, ``waves``: folders that driver and
-    executors see.  Called again after a failure, it goes on with the wave that was open.
+    executors see; ``limit``: pages of a wave, 64 at most, or all that are open.  Called again after a failure, it goes on with the wave that was open.
     """
     ship(spark)
     spark.dataSource.register(ListingWaves)

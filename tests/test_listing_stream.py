@@ -107,3 +107,13 @@ def test_a_rejected_cursor_hands_over_to_a_listing_and_then_to_the_feed(spark, t
     (feed / "bad.json").write_text(json.dumps({"error": {"code": 500}}))
     with pytest.raises(Exception, match="cannot be read"):
         go("bad")
+
+
+def test_as_many_waves_as_levels_and_pages(spark, tmp_path):
+    """Of 120 folders of one level, all are listed in one wave, by tasks of several pages."""
+    tree = {"root": [(f"d{k}", True) for k in range(120)]} | {f"d{k}": [(f"f{k}", False)] for k in range(120)}
+    write_pages(tmp_path / "pages", tree, size=200)
+    state = Snapshots(spark, f"file://{tmp_path}/state")
+    found = list_all(spark, f"{tmp_path}/pages", "root", state, f"{tmp_path}/waves", f"file://{tmp_path}/check")
+    assert found.count() == 240 and json.loads(state.cursor())["wave"] == 2
+    assert 1 < len(list((tmp_path / "waves/1.json").glob("part-*"))) <= 4
