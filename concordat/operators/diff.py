@@ -65,12 +65,11 @@ def renames(scan: DataFrame, stored: DataFrame, current: DataFrame) -> DataFrame
     old = stored.select("item_id", *keys, F.col("parent_id").alias("old_parent"), F.col("name").alias("old_name"))
     exact = scan.join(old, [*keys], "inner").where((F.col("parent_id") == F.col("old_parent")) & (F.col("name") == F.col("old_name"))).groupBy("scan_id").agg(F.min("item_id").alias("item_id"))
     one = old.groupBy(*keys).agg(F.count("*").alias("n"), F.min_by(F.struct("item_id", "old_parent", "old_name"), "item_id").alias("c")).select(*keys, "n", "c.*")
-    rest = scan.join(exact, "scan_id", "left_anti").join(one, keys)
-    files = rest.where((F.col("kind") == "file") & (F.col("n") == 1)).select("scan_id", "item_id", "old_parent", "old_name")
-    files = files.join(current.select(F.col("parent_id").alias("old_parent"), F.col("name").alias("old_name")), ["old_parent", "old_name"], "left_anti")
-    folders = rest.where("kind = 'directory'")
+    rest = scan.join(exact, "scan_id", "left_anti").join(one, keys).where("kind = 'directory' or (kind = 'file' and n = 1)").select("scan_id", "kind", "item_id", "old_parent", "old_name")
+    there = current.select(F.col("parent_id").alias("old_parent"), F.col("name").alias("old_name")).distinct().withColumn("_there", F.lit(True))
+    moved = rest.join(there, ["old_parent", "old_name"], "left").where("kind = 'directory' or _there is null")
     tag = lambda df, how: df.select("scan_id", "item_id", F.lit(how).alias("how"))
-    return tag(exact, "inPlace").unionByName(tag(files, "moved")).unionByName(tag(folders, "moved"))
+    return tag(exact, "inPlace").unionByName(tag(moved, "moved"))
 
 
 def missing(stored: DataFrame, seen: DataFrame, gated: DataFrame | None = None) -> DataFrame:
@@ -81,7 +80,23 @@ def missing(stored: DataFrame, seen: DataFrame, gated: DataFrame | None = None)
     gone = stored.where("local_status = 'present' and parent_id is not null").join(seen, ["parent_id", "name"], "left_anti")
     if gated is not None:
         gone = gone.join(gated, "item_id", "left_anti")
-    return gone.withColumns({"local_status": F.lit("absent"), "local_generation": F.col("local_generation") + 1, "dirty_generation": F.col("dirty_generation") + 1, "phase": F.lit("ready")})
+    return gone.withColumns(_absent())
+
+
+def _absent() -> dict[str, Column]:
+    """What an entry becomes that is not there any more."""
+    return {"local_status": F.lit("absent"), "local_generation": F.col("local_generation") + 1, "dirty_generation": F.col("dirty_generation") + 1, "phase": F.lit("ready")}
+
+
+def without_missing(stored: DataFrame, seen: DataFrame, among: Column, gated: DataFrame | None = None) -> DataFrame:
+    """All of ``stored``, with what :func:`missing` gives of the rows ``among`` in place of these; one pass."""
+    met = stored.join(seen.select("parent_id", "name").distinct().withColumn("_there", F.lit(True)), ["parent_id", "name"], "left")
+    gone = among & (F.col("local_status") == "present") & F.col("parent_id").isNotNull() & F.col("_there").isNull()
+    if gated is not None:
+        met = met.join(gated.select("item_id").distinct().withColumn("_gated", F.lit(True)), "item_id", "left")
+        gone = gone & F.col("_gated").isNull()
+    gone = F.coalesce(gone, F.lit(False))
+    return met.withColumns({c: F.when(gone, v).otherwise(F.col(c)) for c, v in _absent().items()}).select(stored.columns)
 
 
 def changed_since(fresh: DataFrame, baselines: DataFrame) -> DataFrame:

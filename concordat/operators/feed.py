@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from concordat.sources.workspace import spread
+
 from .tree import excluded
 
 #: Rows of one round.
@@ -151,7 +153,7 @@ def name_conflicts(inbox: DataFrame, items: DataFrame) -> DataFrame:
     """
     place = ["parent_id", "name_key"]
     parents = items.select(F.col("item_id").alias("parent_id"), F.col("remote_id").alias("parent_remote"))
-    wanted = inbox.join(parents, "parent_remote").select("remote_id", "name", *place).distinct()
+    wanted = spread(inbox, parents, "parent_remote", "remote_id").select("remote_id", "name", *place).distinct()
     taken = items.groupBy(*place).agg(F.count("remote_id").alias("remote"), F.count_if(F.col("remote_id").isNull()).alias("local"))
     own = items.where("remote_id is not null").groupBy(*place, "remote_id").agg(F.count("*").alias("own"))
     spelt = items.where("remote_id is null").groupBy(*place, "name").agg(F.count("*").alias("spelt"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from concordat.functions.text import name_key, valid_name
-from concordat.sources.workspace import Workspace
+from concordat.sources.workspace import Workspace, spread
 
 from . import diff, feed, tree
 
@@ -41,11 +41,14 @@ def local_matches(fresh: DataFrame, items: DataFrame, current: DataFrame) -> Dat
     """
     own = items.select("item_id", F.col("entry_kind").alias("stored_kind"), "parent_id", "name")
     placed = fresh.join(own, ["parent_id", "name"]).select("scan_id", "item_id", F.when(F.col("kind") == F.col("stored_kind"), "inPlace").otherwise("otherKind").alias("how"))
-    rest = fresh.join(placed, "scan_id", "left_anti").withColumn("root_id", F.lit(1))
+    work = Workspace(items.sparkSession, "places")
+    placed = work.save(placed, "placed")
+    rest = work.save(fresh.join(placed, "scan_id", "left_anti").withColumn("root_id", F.lit(1)), "rest")
     stored = items.withColumns({"root_id": F.lit(1), "kind": F.col("entry_kind")})
     here = current.select(F.col("parent_id"), F.col("name"))
-    free = stored.where("parent_id is not null").join(here, ["parent_id", "name"], "left_anti").select("item_id")
-    moved = diff.renames(rest, stored, here).join(free, "item_id", "left_semi").groupBy("item_id").agg(F.min("scan_id").alias("scan_id"))
+    old = stored.where("parent_id is not null").select("item_id", "parent_id", "name")
+    free = diff.renames(rest, stored, here).join(old, "item_id").join(here, ["parent_id", "name"], "left_anti")
+    moved = free.groupBy("item_id").agg(F.min("scan_id").alias("scan_id"))
     return placed.unionByName(moved.select("scan_id", "item_id", F.lit("moved").alias("how")))
 
 
@@ -62,21 +65,22 @@ def remote_matches(items: DataFrame, seen: DataFrame) -> DataFrame:
 
     adopts: the item without a remote object, of the same name and kind, that a new object becomes.
     """
-    keyed = items.select("item_id", "parent_id", "name", "entry_kind", "remote_id", "remote_version", name_key("name").alias("name_key"))
+    work = Workspace(items.sparkSession, "identity")  # what is read several times is written once, and a name folded once
+    keyed = work.save(items.select("item_id", "parent_id", "name", "entry_kind", "remote_id", "remote_version", name_key("name").alias("name_key")), "keyed")
     stored = keyed.where("remote_id is not null").select("remote_id", F.col("item_id").alias("own_id"), F.col("parent_id").alias("own_parent"), F.col("name").alias("own_name"), "remote_version")
     folders = keyed.where("remote_id is not null and entry_kind = 'directory'").select(F.col("remote_id").alias("parent_remote"), F.col("item_id").alias("to_parent"))
     live = seen.select("remote_id", "name", "parent_remote", "version", "is_directory", (F.coalesce("placeable", F.lit(False)) & valid_name(F.col("name"))).alias("ok"), name_key("name").alias("name_key"))
-    live = live.join(stored, "remote_id", "left").join(folders, "parent_remote", "left")
+    asked = work.save(live, "asked")
+    live = spread(asked, folders, "parent_remote", "remote_id", "left").join(stored, "remote_id", "left")
     kind = F.when(F.col("is_directory"), "directory").otherwise("file")
 
-    taken = feed.name_conflicts(live.select("remote_id", "parent_remote", "name", "name_key"), keyed).select("remote_id").distinct().withColumn("taken", F.lit(True))
+    taken = feed.name_conflicts(asked.select("remote_id", "parent_remote", "name", "name_key"), keyed).select("remote_id").distinct().withColumn("taken", F.lit(True))
     alone = keyed.where("remote_id is null").select(F.col("parent_id").alias("to_parent"), "name", F.col("item_id").alias("alone"), F.col("entry_kind").alias("alone_kind"))
     live = live.join(taken, "remote_id", "left").join(alone, ["to_parent", "name"], "left")
     in_the_way = F.col("alone").isNotNull() & (F.col("own_id").isNotNull() | (F.col("alone_kind") != kind))
     live = live.withColumn("ok", F.col("ok") & F.col("taken").isNull() & ~in_the_way)
 
-    work = Workspace(items.sparkSession, "identity")
-    live = work.save(live, "live")  # read several times below
+    live = work.save(live, "live")
 
     stays = F.col("own_id").isNotNull() & F.col("own_parent").eqNullSafe(F.col("to_parent")) & (F.col("own_name") == F.col("name"))
     stale = F.col("own_id").isNotNull() & ~feed.fresh_enough(F.col("version"), F.col("remote_version"))

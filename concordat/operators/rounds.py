@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from concordat.sources.snapshots import Snapshots
-from concordat.sources.workspace import Workspace
+from concordat.sources.workspace import Workspace, partitions, spread
 
 from . import diff, feed, identity, metrics, reconcile, tree
 from .pacing import numbered
@@ -67,7 +67,7 @@ def observe_remote(items: DataFrame, seen: DataFrame, conflicts: DataFrame | Non
     live = "not coalesce(removed, false) and not coalesce(trashed, false) and scope = 'inside'"
     match = work.save(identity.remote_matches(items, free.where(live)), "matches")
     found = match.select("remote_id", "accepted", "adopts", "to_parent", "moves")
-    free = free.drop("placeable").join(found, "remote_id", "left").withColumn("placeable", F.coalesce("accepted", F.lit(False)))
+    free = work.save(free.drop("placeable").join(found, "remote_id", "left").withColumn("placeable", F.coalesce("accepted", F.lit(False))), "free")
 
     far = items.where("remote_id is not null")
     view = far.select("remote_id", "name", "parent_remote", *[F.col(c).alias(n) for n, c in _REMOTE.items()], "phase", "excluded", "remote_generation", "dirty_generation")
@@ -76,7 +76,7 @@ def observe_remote(items: DataFrame, seen: DataFrame, conflicts: DataFrame | Non
     if not applied.where("effect = 'excluded'").limit(1).isEmpty():
         applied = feed.exclude_below(applied, "remote_id")
     after = applied.select("*", *[F.col(n).alias(c) for n, c in _REMOTE.items()]).drop(*_REMOTE)
-    after = after.join(free.select("remote_id", "adopts", "to_parent", "moves", "is_directory"), "remote_id", "left")
+    after = work.save(after.join(free.select("remote_id", "adopts", "to_parent", "moves", "is_directory"), "remote_id", "left"), "after")
     set_ = ["name", "parent_remote", *_REMOTE.values(), "phase", "excluded", "remote_generation", "dirty_generation"]
 
     def written(rows: DataFrame, key: str) -> DataFrame:
@@ -94,10 +94,11 @@ def observe_remote(items: DataFrame, seen: DataFrame, conflicts: DataFrame | Non
     alone = alone.withColumns({c: F.when(hit, F.col(f"_{c}")).otherwise(F.col(c)) for c in set_ if c not in counted} | counted | {"remote_id": F.col("_remote_id")}).select(items.columns)
 
     kind = F.when(F.col("is_directory"), "directory").otherwise("file")
-    fresh = numbered(inserted.where("adopts is null").withColumns({"entry_kind": kind, "local_status": F.lit("absent"), "local_generation": F.lit(0).cast("bigint")}), ["remote_id"], _next_id(items), ident="item_id")
+    unmet = inserted.where("adopts is null").withColumns({"entry_kind": kind, "local_status": F.lit("absent"), "local_generation": F.lit(0).cast("bigint")})
+    fresh = numbered(unmet, ["remote_id"], _next_id(items), partitions(unmet), ident="item_id")
     fresh = work.save(fresh, "new")
     parents = fresh.where("entry_kind = 'directory'").select(F.col("remote_id").alias("parent_remote"), F.col("item_id").alias("_new_parent"))
-    fresh = fresh.join(parents, "parent_remote", "left").withColumn("parent_id", F.coalesce("to_parent", "_new_parent"))
+    fresh = spread(fresh, parents, "parent_remote", "remote_id", "left").withColumn("parent_id", F.coalesce("to_parent", "_new_parent"))
     rows = known.unionByName(alone).unionByName(fresh.select([c for c in items.columns if c in fresh.columns]), allowMissingColumns=True).select(items.columns)
 
     back = far.where("excluded").select("remote_id", F.lit(True).alias("_back"))
@@ -108,8 +109,8 @@ def observe_remote(items: DataFrame, seen: DataFrame, conflicts: DataFrame | Non
 def observe_local(items: DataFrame, scan: DataFrame, digest: Callable[[DataFrame], DataFrame], gated: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items, skipped, rejected) after a complete scan: parent_id, name, device, inode, mtime, ctime, size and what ``digest`` reads.
 
-    Files whose metadata are those of a settled item are skipped; only the others reach ``digest``,
-    which adds sha256, null where the file could not be read: such an item is unknown here and waits.
+    Files whose metadata are those of a settled item are skipped; only the others reach ``digest``, once and
+    before they are numbered, and only what it leaves is written: no content is. It adds sha256, null where the file could not be read: such an item is unknown here and waits.
     Rows are items by place, or moved ones by inode (see :func:`identity.local_matches`), or new; a row
     of another kind than the item at its place is rejected and the item left alone.  ``scan`` may have
     is_directory; without it directories are not looked at.  Items that the scan did not meet become
@@ -122,14 +123,17 @@ def observe_local(items: DataFrame, scan: DataFrame, digest: Callable[[DataFrame
     files = scan.where("not is_directory")
     skipped = diff.unchanged(files, stored)
     place = ["parent_id", "name"]
-    read = digest(numbered(diff.changed(files, stored), place, 1, ident="scan_id"))
-    fresh = read.withColumn("kind", F.lit("file"))
+    seen = [*place, *_METADATA, "size"]
+    places = work.save(scan.select(*seen, "is_directory"), "places")
+    read = digest(diff.changed(files, stored)).select(*seen, "sha256")
+    fresh = numbered(read, place, 1, ident="scan_id").withColumn("kind", F.lit("file"))
     if has_folders:
-        folders = numbered(scan.where("is_directory"), place, 1, ident="scan_id").withColumns({"kind": F.lit("directory"), "sha256": F.lit(None).cast("string"), "scan_id": -F.col("scan_id")})
+        folders = places.where("is_directory")
+        folders = numbered(folders, place, 1, partitions(folders), ident="scan_id").withColumns({"kind": F.lit("directory"), "sha256": F.lit(None).cast("string"), "scan_id": -F.col("scan_id")})
         fresh = fresh.unionByName(folders, allowMissingColumns=True)
     local = {"parent_id": "parent_id", "name": "name", **{c: c for c in _METADATA}, "local_sha256": "sha256", "local_size": "size"}
     fresh = work.save(fresh.select("scan_id", "kind", *local.values()), "fresh")
-    met = work.save(fresh.join(identity.local_matches(fresh, items, scan), "scan_id", "left"), "met")
+    met = work.save(fresh.join(identity.local_matches(fresh, items, places), "scan_id", "left"), "met")
 
     found = met.where("how <> 'otherKind'").select("item_id", *[F.col(c).alias(f"_{n}") for n, c in local.items()], F.col("kind").alias("_kind"))
     hit = F.col("_kind").isNotNull()
@@ -142,14 +146,13 @@ def observe_local(items: DataFrame, scan: DataFrame, digest: Callable[[DataFrame
     values |= {c: _bumped(c, wrote) for c in ("local_generation", "dirty_generation")}
     known = items.join(found, "item_id", "left").withColumns(values).select(items.columns)
     scanned = F.lit(True) if has_folders else F.col("entry_kind") == "file"
-    gone = diff.missing(known.where(scanned), scan.select(*place), gated).select(items.columns)
-    known = known.join(gone.select("item_id"), "item_id", "left_anti").unionByName(gone)
+    known = diff.without_missing(known, places, scanned, gated)
 
     unread = (F.col("kind") == "file") & F.col("sha256").isNull()
     new = met.where("item_id is null").select(*[F.col(c).alias(n) for n, c in local.items()], F.col("kind").alias("entry_kind"), F.when(unread, "unknown").otherwise("present").alias("local_status"), F.when(unread, "waitingEvidence").otherwise("ready").alias("phase"))
     one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
     new = new.withColumns({"remote_status": F.lit("absent"), "excluded": F.lit(False), "local_generation": one, "remote_generation": none, "dirty_generation": one})
-    added = numbered(new, place, _next_id(items), ident="item_id")
+    added = numbered(new, place, _next_id(items), partitions(new), ident="item_id")
     return known.unionByName(added, allowMissingColumns=True).select(items.columns), skipped, met.where("how = 'otherKind'").select("item_id", *place, "kind")
 
 
@@ -188,6 +191,7 @@ def run(
     With ``state`` the items are its next version.
     """
     work_ = Workspace(items.sparkSession, "round")
+    items, seen = work_.save(items, "items"), work_.save(seen, "seen")  # read in every step
     gate = items.limit(0).select("item_id") if gate is None else gate
     far, queued, listings = observe_remote(items, seen, conflicts)
     far, queued, listings = work_.save(far, "far"), work_.save(queued, "queued"), work_.save(listings, "listings")

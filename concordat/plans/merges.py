@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from concordat.functions.text import digest
 from concordat.operators import rounds
+from concordat.sources.workspace import Workspace, spread
 
 from .registry import query, table
 
@@ -19,9 +20,11 @@ _ITEM_COLUMNS = ["name", "parent", "entry_kind", "remote_id", "base_sha256", "lo
 
 
 def _round(spark: SparkSession, sf_dir: str) -> rounds.Round:
-    docs = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("i"), "text", F.col("n_chars").cast("bigint").alias("n"))
+    texts = table(spark, sf_dir, "documents").select((F.col("doc_id") + 10).alias("i"), "text", F.col("n_chars").cast("bigint").alias("n"))
+    digests = [digest(F.col("text")).alias("plain"), digest(F.concat("text", F.lit("R"))).alias("there")]
+    docs = Workspace(spark, "merges").save(texts.select("i", "n", *digests), "docs")  # only the scan reads texts again
     i, k, odd = F.col("i"), F.col("i") % 10, F.floor(F.col("i") / 10) % 2 == 1
-    plain, here, there = (digest(F.concat("text", F.lit(x))) for x in ("", "L", "R"))
+    plain, there = F.col("plain"), F.col("there")
     long = lambda v: F.lit(v).cast("bigint")
     string = F.lit(None).cast("string")
 
@@ -60,25 +63,23 @@ def _round(spark: SparkSession, sf_dir: str) -> rounds.Round:
     for more in seen[1:]:
         found = found.unionByName(more)
 
-    def near(rows: DataFrame, name: Column, inode: Column = i, changed: int = 0, content: Column = F.col("text"), folder: bool = False) -> DataFrame:
-        return rows.select(long(1).alias("parent_id"), name.alias("name"), long(1).alias("device"), inode.alias("inode"), (i + changed).alias("mtime"), i.alias("ctime"), F.col("n").alias("size"), content.alias("content"), F.lit(folder).alias("is_directory"))
-
-    edited = F.concat("text", F.lit("L"))
-    scan = [
-        near(docs.where(k == 0), named("f"), i + 10_000_000, 1, edited),
-        near(docs.where(k.isin(1, 2)), F.when(k == 1, named("a")).otherwise(named("b"))),
-        near(docs.where((k == 3) & odd), named("d"), folder=True),
-        near(docs.where(k == 4), named("A")),
-        near(docs.where(k == 5), named("f"), i, 1, string),
-        near(docs.where(k == 6), named("m")),
-        near(docs.where((k == 6) & odd), named("f"), i + 10_000_000, 1, edited),
-        near(docs.where(k.isin(8, 9)), named("f")),
-    ]
-    held = scan[0]
-    for more in scan[1:]:
-        held = held.unionByName(more)
+    def near(at: Column, name: Column, inode: Column = i, changed: int = 0, held: str = "text", folder: bool = False) -> Column:
+        return F.when(at, F.struct(name.alias("name"), inode.alias("inode"), (i + changed).alias("mtime"), F.lit(held).alias("held"), F.lit(folder).alias("is_directory")))
+
+    places = F.array_compact(F.array(
+        near(k == 0, named("f"), i + 10_000_000, 1, "edited"),
+        near(k.isin(1, 2), F.when(k == 1, named("a")).otherwise(named("b"))),
+        near((k == 3) & odd, named("d"), folder=True),
+        near(k == 4, named("A")),
+        near(k == 5, named("f"), i, 1, "unread"),
+        near(k == 6, named("m")),
+        near((k == 6) & odd, named("f"), i + 10_000_000, 1, "edited"),
+        near(k.isin(8, 9), named("f")),
+    ))
+    content = F.when(F.col("at.held") == "text", F.col("text")).when(F.col("at.held") == "edited", F.concat("text", F.lit("L")))
+    scan = texts.select("*", F.explode(places).alias("at")).select(long(1).alias("parent_id"), "at.name", long(1).alias("device"), "at.inode", "at.mtime", i.alias("ctime"), F.col("n").alias("size"), content.alias("content"), "at.is_directory")
     conflicts = docs.where((k == 9) & odd).select(named("r").alias("remote_id"))
-    return rounds.run(items, found, held, lambda changed: changed.withColumn("sha256", digest(F.col("content"))), conflicts=conflicts)
+    return rounds.run(items, found, scan, lambda changed: changed.withColumn("sha256", digest(F.col("content"))), conflicts=conflicts)
 
 
 @query(
@@ -108,7 +109,7 @@ def merged_round(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     done = _round(spark, sf_dir)
     above = done.items.select(F.col("item_id").alias("parent_id"), F.col("name").alias("parent"))
-    return done.items.join(above, "parent_id", "left").join(done.work.select("item_id", "work"), "item_id", "left").select(*_ITEM_COLUMNS, "work")
+    return spread(done.items, above, "parent_id", "item_id", "left").join(done.work.select("item_id", "work"), "item_id", "left").select(*_ITEM_COLUMNS, "work")
 
 
 @query(

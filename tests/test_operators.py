@@ -419,3 +419,33 @@ def test_windows_of_one_hot_key_are_many_tasks(spark):
     for r in sorted(links, key=lambda r: r.item_id):
         seen[r.inode] = seen.get(r.inode, 0) + 1
         assert r.link == seen[r.inode]
+
+
+def test_missing_in_one_pass_is_the_same(spark):
+    rows = spark.createDataFrame(
+        [(1, None, "", "present", 0, 0, "committed"), (2, 1, "a", "present", 1, 0, "committed"), (3, 1, "b", "present", 2, 1, "ready"), (4, 1, "c", "absent", 1, 0, "committed"), (5, 1, "d", None, 1, 0, "committed"), (6, 1, "e", "present", 4, None, "committed"), (7, 1, "f", "present", 1, 0, "committed")],
+        "item_id long, parent_id long, name string, local_status string, local_generation long, dirty_generation long, phase string",
+    )
+    seen = spark.createDataFrame([(1, "a"), (1, "a"), (2, "b")], "parent_id long, name string")
+    gated = spark.createDataFrame([(6,), (6,)], "item_id long")
+    gone = diff.missing(rows.where("item_id <> 7"), seen, gated)
+    want = rows.join(gone, "item_id", "left_anti").unionByName(gone)
+    got = diff.without_missing(rows, seen, F.col("item_id") != 7, gated)
+    assert [r.item_id for r in gone.collect()] == [3] and got.columns == rows.columns
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_key_of_most_rows_is_met_in_parts(spark):
+    from concordat.sources.workspace import spread
+
+    rows = spark.range(400).select(F.col("id"), F.when(F.col("id") % 50 == 0, F.col("id")).when(F.col("id") % 51 == 0, None).otherwise(1).alias("at"))
+    side = spark.createDataFrame([(1, "one"), (1, "uno"), (50, "fifty"), (999, "none")], "at long, what string")
+    for how in ("inner", "left"):
+        got = spread(rows, side, "at", "id", how)
+        assert sorted(map(str, got.select("id", "what").collect())) == sorted(map(str, rows.join(side, "at", how).select("id", "what").collect()))
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        met = spread(rows, side, "at", "id").where("at = 1").groupBy(F.spark_partition_id()).count().collect()
+        assert len(met) > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")

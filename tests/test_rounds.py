@@ -53,3 +53,55 @@ def test_a_round(spark, tmp_path):
     assert state.read().count() == after.count() == len(name) == 11
     again, work, _ = rounds.incremental(after, seen.limit(0), scan, digest, spark.createDataFrame([], "item_id long"))
     assert {name[r.item_id]: r.work for r in work.collect()} == {k: w for k, (_, w) in got.items()}  # what is not carried out comes up again
+
+
+def counted(spark, rows, schema):
+    """``rows`` and how often a row of them was made."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    return spark.createDataFrame(rows, schema).mapInArrow(count, schema), made
+
+
+def test_what_a_round_is_given_is_made_once(spark, tmp_path):
+    folder = item(1, "", "", parent=None, entry_kind="directory", parent_remote=None, base_sha256=None, local_sha256=None)
+    items, n_items = counted(spark, [folder, *(item(i, f"f{i}", f"t{i}") for i in range(2, 8))], ITEM)
+    far = lambda i, text: (f"r{i}", f"f{i}", "r1", sha(text), len(text), 2, False, False, "inside", True)
+    seen, n_seen = counted(spark, [far(6, "new there"), far(20, "only there"), far(21, "too")], SEEN)
+    near = lambda i, text, name=None, changed=0: (1, name or f"f{i}", 1, i, i + changed, i, len(text), text)
+    scan, n_scan = counted(spark, [near(2, "t2"), near(3, "edited", changed=1), near(4, "t4", name="elsewhere"), near(30, "new", name="new")], SCAN)
+    hashed, n_hashed = [], spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def sha_of(text):
+        import hashlib
+
+        n_hashed.add(1)
+        return hashlib.sha256(text.encode()).hexdigest()
+
+    def digest(changed):
+        hashed.append(changed)
+        return changed.withColumn("sha256", sha_of("content"))
+
+    before = set(glob(spark))
+    done = rounds.run(items, seen, scan, digest)
+    rows = {r.name: r for r in done.items.collect()}
+    assert rows["f3"].local_sha256 == sha("edited") and rows["elsewhere"].item_id == 4 and rows["f20"].item_id == 8 and rows["new"].local_status == "present"
+    assert rows["f5"].local_status == rows["f7"].local_status == "absent" and len(rows) == 10
+    assert (n_items.value, n_seen.value, n_hashed.value, len(hashed)) == (7, 3, 3, 1)
+    assert n_scan.value == 2 * 4  # once for its places, once for the contents
+    written = set(glob(spark)) - before
+    assert written and not any("content" in spark.read.parquet(p).columns for p in written)
+
+
+def glob(spark):
+    """The folders of tables that are written now."""
+    from pathlib import Path
+
+    from concordat.sources.workspace import shared_folder
+
+    return [f"file://{p.parent}" for p in Path(shared_folder(spark).removeprefix("file:").replace("//", "/")).rglob("_SUCCESS")]
