@@ -25,7 +25,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, arrow_map, ship
+from .common import Scratch, arrow_map, in_arrow, kept
 from .textarrays import ALNUM, LOWER, slices, span_array, stretches, words
 
 WINDOW = 13
@@ -33,6 +33,7 @@ WINDOW = 13
 SHARE = 20
 #: Bytes of test items of one group; a megabyte of text makes an automaton of about 0.1 GB.
 ITEM_BYTES = 2 << 20
+_OWNER = "decontamination"
 
 _SPACED = bytes(c if ALNUM[c] else 32 for c in LOWER.tolist())  # lower-case, other bytes to spaces
 
@@ -76,16 +77,14 @@ class Automaton:
         return [(end + 1 - size, end + 1) for end, (size, _) in found], {k for _, (_, own) in found for k in own}
 
 
-_built: dict[str, Automaton] = {}
-
-
 def _automaton(held: Broadcast) -> Automaton:
-    """Built once in each Python worker."""
+    """Built once in each Python worker, and dropped when another is."""
     key, items, window = held.value
-    if key not in _built:
-        _built.clear()
-        _built[key] = Automaton(items, window)
-    return _built[key]
+    built = kept(_OWNER)
+    if key not in built:
+        built.clear()
+        built[key] = Automaton(items, window)
+    return built[key]
 
 
 def _merged(runs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -146,7 +145,6 @@ def _pass(held: Broadcast, field: str | None = None, hits_only: bool = False):
                 "runs": pa.array(map(_pairs, runs), _SPANS), "spans": pa.array(map(_pairs, spans), _SPANS),
             })
             yield made.filter(pc.greater(pc.list_value_length(made.column("runs")), 0)) if hits_only else made
-        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -193,7 +191,7 @@ def _by_text(rows: DataFrame, groups: Iterable[Broadcast]) -> DataFrame:
     texts = rows.where("row.text is not null").select(F.struct(F.sha2("row.text", 256).alias("key"), "row.text").alias("row"))
     scratch, parts = Scratch(rows.sparkSession, "contamination"), []
     for k, held in enumerate(groups):
-        found = texts.mapInArrow(_pass(held, "key", hits_only=True), _FOUND.format("string")).dropDuplicates(["row"])
+        found = in_arrow(texts, _pass(held, "key", hits_only=True), _FOUND.format("string"), _OWNER).dropDuplicates(["row"])
         parts.append(scratch.save(found, f"group-{k}"))
         held.unpersist()
     lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("items", "runs", "spans")]
@@ -221,18 +219,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc
     hits nothing; an item without an id counts for hits and verdict and is not among the items;
     repeated rows give equal rows; other columns are not read.
     """
-    ship(docs.sparkSession)
     only, groups = _groups(benchmark, item_bytes)
     text = F.col(text_col).cast("string")
     own = [F.col(id_col).alias("id"), *([] if only is not None else [F.sha2(text, 256).alias("key")])]
     rows = docs.select(F.struct(F.struct(*own).alias("own"), text.alias("text")).alias("row"))
     schema = _FOUND.format(rows.select("row.own").schema["own"].dataType.simpleString())
     if only is not None:
-        found = rows.mapInArrow(_pass(only, "own"), schema)
+        found = in_arrow(rows, _pass(only, "own"), schema, _OWNER)
     else:
         hits = _by_text(rows, groups).withColumnRenamed("row", "key").drop("n_words")
         nothing = docs.sparkSession.sparkContext.broadcast(("", [], WINDOW))
-        counted = rows.mapInArrow(_pass(nothing, "own"), schema).select("row", "n_words", F.col("row.key").alias("key"))
+        counted = in_arrow(rows, _pass(nothing, "own"), schema, _OWNER).select("row", "n_words", F.col("row.key").alias("key"))
         none = {c: F.coalesce(c, F.array().cast(hits.schema[c].dataType)) for c in ("items", "runs", "spans")}
         found = counted.join(hits, "key", "left").withColumns(none)
     return _judged(found).select(
@@ -246,10 +243,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, item_bytes: int = I
     With one group there is no join; with several, contaminated texts are joined away by their SHA-256.
     """
     rows = docs.select(F.struct(*docs.columns).alias("row"))
-    ship(rows.sparkSession)
     only, groups = _groups(benchmark, item_bytes)
     if only is not None:
-        found = rows.mapInArrow(_pass(only), _FOUND.format(rows.schema["row"].dataType.simpleString()))
+        found = in_arrow(rows, _pass(only), _FOUND.format(rows.schema["row"].dataType.simpleString()), _OWNER)
         return _judged(found).where(~F.col("contaminated")).select("row.*")
     gone = _judged(_by_text(rows, groups)).where("contaminated").select(F.col("row").alias("key"))
     return rows.withColumn("key", F.sha2("row.text", 256)).join(gone, "key", "left_anti").select("row.*")

@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import in_arrow
+
 
 @dataclass(frozen=True)
 class Ftrl:
@@ -63,7 +65,7 @@ def fit_in_a_task(sample: DataFrame, fit_rows: Callable[[pa.Table], list[np.ndar
         found = fit_rows(table.sort_by([("turn", "ascending"), ("id", "ascending")]))
         yield pa.RecordBatch.from_pydict({"part": pa.array(range(len(found)), pa.int32()), "value": [x.astype("<f8").tobytes() for x in found]})
 
-    got = sample.repartition(1).mapInArrow(run, "part int, value binary").collect()
+    got = in_arrow(sample.repartition(1), run, "part int, value binary").collect()
     if not got:  # Spark runs no task over a table that it knows to be empty
         return fit_rows(none)
     return [np.frombuffer(r["value"], "<f8") for r in sorted(got, key=lambda r: r["part"])]

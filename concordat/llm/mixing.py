@@ -15,7 +15,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, partitions
@@ -145,6 +145,18 @@ def _cut(placed: DataFrame, blocks: DataFrame, scratch: Scratch, seed: int) -> D
     return offered.groupBy("number").applyInArrow(_filled, rest.select(*one).schema)
 
 
+_PLANS = pa.schema([
+    ("number", pa.int32()), ("source", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()),
+    ("passes", pa.int32()), ("rest", pa.float64()), ("blocks", pa.int32()),
+])
+_ENDS = pa.schema([("number", pa.int32()), ("bases", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64()))])
+
+
+def _rows(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """A few rows of the driver.  As an Arrow table they need no Python worker; as a list they would start some more."""
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, r, strict=True)) for r in rows], schema=schema))
+
+
 def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share: float, shards: int, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Plans by source, homes of the drawn blocks, and the documents taken of partial blocks."""
     spark = sizes.sparkSession
@@ -158,7 +170,7 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
         passes = min(MAX_REPEATS, int(target // row["size"])) if row["size"] else 0
         blocks = min(MAX_BLOCKS, max(1, MAX_DRAWN // ((MAX_REPEATS + 1) * len(found))), max(1, -(-row["docs"] // BLOCK_DOCS)))
         plan.append((number, row["source"], int(row["size"]), float(target), passes, float(target - passes * row["size"]), blocks))
-    plans = spark.createDataFrame(plan, "number int, source string, source_size long, target double, passes int, rest double, blocks int")
+    plans = _rows(spark, plan, _PLANS)
     placed = _placed(sizes, plans)
 
     # The last pass: whole blocks in permuted order, then documents.  A source has MAX_BLOCKS rows at most.
@@ -184,7 +196,7 @@ def _plan(sizes: DataFrame, scratch: Scratch, weights: tuple[float, ...], share:
         quotas.setdefault(r["number"], []).append(r["n"])
     numbers = sorted(quotas)
     cuts = np.cumsum(np.array(split([sum(quotas[n]) for n in numbers], shards, seed)).reshape(shards, len(numbers)), axis=0)
-    ends = spark.createDataFrame([(n, [0, *np.cumsum(quotas[n]).tolist()], cuts[:, k].tolist()) for k, n in enumerate(numbers)], "number int, bases array<long>, ends array<long>")
+    ends = _rows(spark, [(n, [0, *np.cumsum(quotas[n]).tolist()], cuts[:, k].tolist()) for k, n in enumerate(numbers)], _ENDS)
     permuted = Window.partitionBy("number", "turn").orderBy(F.xxhash64("number", "block", F.lit(seed) + F.col("turn")), "block")
     homes = (
         drawn.withColumn("rank", F.row_number().over(permuted) - 1)

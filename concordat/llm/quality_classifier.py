@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ship
+from .common import arrow_map, in_arrow
 from .linear import Ftrl, fit, fit_in_a_task, sigmoid
 from .textarrays import LOWER, NOT_SPACE, U64, mix, slices, span_hashes, stretches, sums_by
 
@@ -138,7 +138,6 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label
 
 def fit_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", limit: int = FIT_ROWS, row_bytes: int = SAMPLE_BYTES, how: Ftrl = Ftrl()) -> np.ndarray:
     """Weights from a sample of at most ``limit`` labelled rows outside the held-out quarter, fitted in one task."""
-    ship(docs.sparkSession)
     rows = sample(docs, labels, id_col, text_col, label_col, limit, row_bytes, held_out=True)
     return fit_in_a_task(rows, lambda t: [fit(training_rows(t.column("text"), t.column("y").to_numpy()), 1 << BITS, how)])[0]
 
@@ -187,6 +186,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
             for lo, hi, data, offsets in slices(batch.column("text")):
                 keep[lo:hi] = sigmoid(margins(data, offsets, held.value)) >= threshold
             yield batch.filter(pa.array(keep))
-        pa.default_memory_pool().release_unused()
 
-    return docs.mapInArrow(run, docs.schema)
+    return in_arrow(docs, run, docs.schema)

@@ -13,7 +13,6 @@ import json
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 from itertools import chain
 
 import numpy as np
@@ -23,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship
+from .common import Scratch, in_arrow, kept
 from .textarrays import LOWER, NOT_SPACE, SLICE_BYTES, binaries, slices, stretches, words
 from .wavelet import WaveletMatrix, build
 
@@ -36,8 +35,9 @@ MAX_SHARDS = 20_000
 GROUP_SHARDS, BROADCAST_SHARDS = 1000, 100_000
 #: Bytes of text that are encoded at a time.
 ENCODE_BYTES = 1 << 20
-#: Distinct units of text whose ids a Python worker remembers before it starts anew, and units of one library call.
-REMEMBERED, JOINED = 500_000, 60
+#: Distinct units of text whose ids a Python worker remembers before it drops the rarer half, and units of one library call.
+REMEMBERED, JOINED = 200_000, 60
+_OWNER = "token_files"
 
 BLOCKS = (
     "shard int, block int, n_docs long, n_tokens long, bits int, ids binary, no_id binary, lengths binary,"
@@ -54,7 +54,7 @@ _LETTERS, _NOT_LETTERS = (0xC3, 0xC4, 0xC5, 0xD0, 0xD1), ("\u00d7", "\u00f7", "\
 
 
 class Encoder:
-    """Ids of texts, as the library gives them, encoding each distinct unit once.
+    """Ids of texts, as the library gives them, encoding a unit met often once.
 
     The tokenizer lower-cases, drops white space and cuts a text into letter runs, single digits and
     runs of other characters, each of which ends with a word-end token.  So a stretch between ASCII
@@ -96,6 +96,16 @@ class Encoder:
     def forget(self) -> None:
         self.memory: dict[bytes, int] = {}
         self.at, self.n, self.pool = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, self.kind)
+        self.met = np.zeros(0, np.int32)  # slices that had the unit
+
+    def _forget_rare(self, most: int) -> None:
+        """Keep the units met more than once, ``most`` of them at most, the oftenest."""
+        held = np.sort(np.argsort(-self.met, kind="stable")[:most])
+        held = held[self.met[held] > 1]
+        keys, n, ends = list(self.memory), self.n[held], np.cumsum(self.n[held])
+        self.pool = self.pool[np.repeat(self.at[held] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+        self.memory = {keys[k]: place for place, k in enumerate(held.tolist())}
+        self.at, self.n, self.met = ends - n, n, self.met[held] // 2
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -123,6 +133,7 @@ class Encoder:
         self.memory.update(zip(plain + whole, range(len(self.n), len(self.n) + len(n)), strict=True))
         self.at = np.concatenate([self.at, len(self.pool) + np.cumsum(n) - n])
         self.n = np.concatenate([self.n, n])
+        self.met = np.concatenate([self.met, np.zeros(len(n), np.int32)])
         self.pool = np.concatenate([self.pool, ids, np.fromiter(chain.from_iterable(others), self.kind)])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -161,12 +172,13 @@ class Encoder:
         whole = np.zeros(len(keys), bool)
         whole[codes] = kept[at]
         if len(self.memory) > REMEMBERED:
-            self.forget()
+            self._forget_rare(REMEMBERED // 2)
         get = self.memory.get
         slot = np.array([get(k, -1) for k in keys], np.int64)
         if (new := slot < 0).any():
             self._learn([keys[k] for k in np.flatnonzero(new & ~whole).tolist()], [keys[k] for k in np.flatnonzero(new & whole).tolist()])
             slot[new] = [get(keys[k]) for k in np.flatnonzero(new).tolist()]
+        self.met[slot] += 1
         lengths = np.insert(self.n[slot][codes], bounds[1:], 1)
         begin = np.insert(self.at[slot][codes], bounds[1:], len(self.pool))
         total = np.concatenate([[0], np.cumsum(lengths)])
@@ -180,9 +192,12 @@ def _bytes(column: pa.LargeBinaryArray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
 
 
-@cache
 def encoder(path: str) -> Encoder:
-    return Encoder(path)
+    """Made once in each Python worker, and kept until a task of another operator runs there."""
+    own = kept(_OWNER)
+    if path not in own:
+        own[path] = Encoder(path)
+    return own[path]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", limits: tuple[int, ...] = (), nameless: int = 1) -> DataFrame:
@@ -207,10 +222,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     shard[k] = len(cuts) + 1 + zlib.crc32(tokens[k]) % nameless
                 yield pa.RecordBatch.from_pydict({"id": own_ids, "shard": pa.array(shard, pa.int32()), "tokens": pa.array(tokens, pa.binary())})
                 del ids, raw, tokens
-        pa.default_memory_pool().release_unused()
 
-    ship(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, shard int, tokens binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    return in_arrow(rows, run, "id long, shard int, tokens binary", _OWNER)
 
 
 def _block(shard: int, block: int, ids: list[int | None], tokens: list[np.ndarray], bits: int, size: int) -> dict:
@@ -269,10 +283,10 @@ def write_token_files(docs: DataFrame, where: str, path: str | None = None, id_c
                 held.append(np.frombuffer(raw.as_buffer(), width))
                 size += len(held[-1])
         yield from close()
-        pa.default_memory_pool().release_unused()
 
     dealt = encode(docs, path, id_col, text_col, tuple(limits), nameless).repartitionById(len(limits) + 1 + nameless, F.col("shard"))
-    dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "tokens").mapInArrow(run, BLOCKS).write.option("compression", "zstd").mode("overwrite").parquet(where)
+    blocks = in_arrow(dealt.sortWithinPartitions("shard", F.col("id").asc_nulls_last(), "tokens"), run, BLOCKS, _OWNER)
+    blocks.write.option("compression", "zstd").mode("overwrite").parquet(where)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +307,6 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     at = d + (end <= len(tokens))
                 seen += len(tokens)
             yield pa.RecordBatch.from_pydict({"id": pa.array(np.frombuffer(row["ids"], "<i8"), mask=missing), "start": row["start"] + ends - lengths, "n_tokens": lengths, "ids_crc32": pa.array(crc, pa.int64())})
-    pa.default_memory_pool().release_unused()
 
 
 def read_token_files(spark: SparkSession, where: str) -> DataFrame:
@@ -312,7 +325,8 @@ def read_token_files(spark: SparkSession, where: str) -> DataFrame:
     starts = starts.select("shard", "block", (F.col("base") + F.col("own")).alias("start"))
     if sizes.count() <= BROADCAST_SHARDS:
         starts = F.broadcast(starts)
-    return blocks.join(starts, ["shard", "block"]).select("bits", "ids", "no_id", "lengths", "sizes", "planes", "ranks", "zeros", "start").mapInArrow(_decode, "id long, start long, n_tokens long, ids_crc32 long")
+    placed = blocks.join(starts, ["shard", "block"]).select("bits", "ids", "no_id", "lengths", "sizes", "planes", "ranks", "zeros", "start")
+    return in_arrow(placed, _decode, "id long, start long, n_tokens long, ids_crc32 long", _OWNER)
 
 
 def token_index(docs: DataFrame, path: str | None = None) -> DataFrame:
